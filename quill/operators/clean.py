@@ -92,7 +92,8 @@ def clean_corpus(docs: DataFrame, lexicon: DataFrame | None = None, lemmatize: b
     Documents whose cleaned token list is empty keep an empty list and an
     empty string unless ``keep_empty`` is False (P3).
     """
-    base = with_clean_tokens(docs, text_col)
+    from quill.session import materialize
+    base = materialize(with_clean_tokens(docs, text_col).drop(text_col))
     if not lemmatize:
         out = base.select("doc_id", "tokens", T.join_tokens("tokens").alias("processed_content"),
                           *[c for c in ("label",) if c in docs.columns])

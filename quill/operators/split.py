@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from quill.functions.hashing import hash_key
 from quill.functions.ranking import ceil_frac, rank_within
+from quill.session import materialize
 
 RARE_STRATUM = "Other_Rare"
 RARE_TEMP_STRATUM = "Other_Rare_Temp"
@@ -101,7 +102,7 @@ def stratified_split(docs: DataFrame, label_col: str = "label", train_frac: floa
     else:
         x = x.withColumn("stratum", F.lit(ALL_STRATUM))
     temp_frac = float(val_frac + test_frac)
-    s1 = _cut(x, "stratum", temp_frac, seed, "s1", "train", "temp", "_s1")
+    s1 = materialize(_cut(x, "stratum", temp_frac, seed, "s1", "train", "temp", "_s1"))
     train = s1.where(F.col("_s1") == "train").withColumn("split", F.lit("train")).drop("_s1")
     temp = s1.where(F.col("_s1") == "temp").drop("_s1")
     if stratify:
@@ -110,7 +111,7 @@ def stratified_split(docs: DataFrame, label_col: str = "label", train_frac: floa
         temp = temp.withColumn("_stratum2", F.lit(ALL_STRATUM))
     s2 = _cut(temp, "_stratum2", float(test_frac / temp_frac), seed, "s2", "val", "test", "split")
     s2 = s2.drop("_stratum2")
-    return train.unionByName(s2)
+    return materialize(train.unionByName(s2))
 
 
 def random_split(docs: DataFrame, **kw) -> DataFrame:

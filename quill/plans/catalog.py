@@ -174,3 +174,84 @@ def q_split_sizes(spark, sf):
 def q_presplit_union(spark, sf):
     c = C.nonempty_docs(src.conversations_corpus(spark, sf))
     return S.presplit(c, "conv_id").select("doc_id", "conv_id", "label", "split")
+
+
+# ----------------------------------------------------------------- vocabulary and bag of words
+
+from quill.operators import labels as L  # noqa: E402
+from quill.operators import prepare as P  # noqa: E402
+from quill.operators import vectorize as V  # noqa: E402
+
+
+def prepared_documents(spark, sf, label="lang") -> P.Prepared:
+    return P.prepare(src.documents_corpus(spark, sf, label))
+
+
+def prepared_conversations(spark, sf) -> P.Prepared:
+    c = src.conversations_corpus(spark, sf)
+    return P.prepare(c.select("doc_id", "text", "label"), splits=S.presplit(c.select("doc_id", "conv_id"), "conv_id"))
+
+
+_PREP = Q.prepared()
+
+
+@query("fit_vocabulary", Q.with_(*_PREP, Q.vocab()) + "SELECT token, token_id FROM voc")
+def q_fit_vocabulary(spark, sf):
+    return V.fit_vocabulary(prepared_documents(spark, sf).tokens)
+
+
+@query("vocab_json", Q.with_(*_PREP, Q.vocab()) +
+       "SELECT CAST(json_object('token', token, 'token_id', token_id) AS VARCHAR) AS json FROM voc")
+def q_vocab_json(spark, sf):
+    return V.vocab_json_lines(V.fit_vocabulary(prepared_documents(spark, sf).tokens))
+
+
+@query("bow_train", Q.with_(*_PREP, Q.vocab(), Q.bow()) +
+       "SELECT doc_id, token_id, cnt FROM bow WHERE split = 'train'")
+def q_bow_train(spark, sf):
+    p = prepared_documents(spark, sf)
+    toks = p.tokens.where(F.col("split") == "train")
+    return V.term_counts(toks, V.fit_vocabulary(p.tokens)).select("doc_id", "token_id", "cnt")
+
+
+@query("bow_transform", Q.with_(*_PREP, Q.vocab(), Q.bow()) +
+       "SELECT doc_id, split, token_id, cnt FROM bow WHERE split <> 'train'")
+def q_bow_transform(spark, sf):
+    p = prepared_documents(spark, sf)
+    toks = p.tokens.where(F.col("split") != "train")
+    return V.term_counts(toks, V.fit_vocabulary(p.tokens)).select("doc_id", "split", "token_id", "cnt")
+
+
+@query("bow_vector_stats", Q.with_(*_PREP, Q.vocab(), Q.bow()) +
+       "SELECT doc_id, CAST(count(*) AS BIGINT) AS nnz, CAST(sum(cnt) AS BIGINT) AS total, "
+       "CAST(max(token_id) AS BIGINT) AS max_index FROM bow GROUP BY doc_id")
+def q_bow_vector_stats(spark, sf):
+    p = prepared_documents(spark, sf)
+    return V.bow_vector_stats(V.term_counts(p.tokens, V.fit_vocabulary(p.tokens)))
+
+
+# ----------------------------------------------------------------- labels
+
+_PREP_C = Q.prepared_conversations()
+
+
+@query("label_map", Q.with_(*_PREP_C, Q.label_map()) + "SELECT label_id, label FROM lmap")
+def q_label_map(spark, sf):
+    p = prepared_conversations(spark, sf)
+    return L.fit_label_map(p.docs.where(F.col("split") == "train"))
+
+
+@query("encode_labels", Q.with_(*_PREP_C, Q.label_map()) +
+       "SELECT p.doc_id, p.split, p.label, m.label_id FROM pd p JOIN lmap m ON p.label = m.label")
+def q_encode_labels(spark, sf):
+    p = prepared_conversations(spark, sf)
+    m = L.fit_label_map(p.docs.where(F.col("split") == "train"))
+    return L.encode_labels(p.docs, m).select("doc_id", "split", "label", "label_id")
+
+
+@query("unseen_labels", Q.with_(*_PREP_C, Q.label_map()) +
+       "SELECT DISTINCT label FROM pd WHERE split <> 'train' AND label NOT IN (SELECT label FROM lmap)")
+def q_unseen_labels(spark, sf):
+    p = prepared_conversations(spark, sf)
+    m = L.fit_label_map(p.docs.where(F.col("split") == "train"))
+    return L.unseen_labels(p.docs.where(F.col("split") != "train"), m)

@@ -128,3 +128,44 @@ def presplit(name: str, src: str, key: str, seed: int = 42) -> str:
     b = f"({hash_draw_sql(seed, 'presplit', '@' + key)} % 10)"
     return (f"{name} AS (SELECT *, CASE WHEN {b} = 8 THEN 'val' WHEN {b} = 9 THEN 'test' ELSE 'train' END AS split "
             f"FROM {src})")
+
+
+def prepared(label: str = "lang") -> list[str]:
+    """docs -> non-empty -> split -> long tokens -> lemmas: CTE ``tll(doc_id, label, split, pos, token)``
+    plus ``pd(doc_id, label, split, tokens)``."""
+    return [docs("docs", label), clean_arrays(),
+            "ne_t AS (SELECT doc_id, label, tokens FROM ct WHERE len(tokens) > 0)",
+            "ne AS (SELECT doc_id, label FROM ne_t)",
+            *splits(),
+            "pd AS (SELECT n.doc_id, n.label, s.split, n.tokens FROM ne_t n JOIN splits s ON n.doc_id = s.doc_id)",
+            "tl AS (SELECT doc_id, label, split, unnest(tokens) AS token, generate_subscripts(tokens, 1) - 1 AS pos FROM pd)",
+            lexicon(), lemma_map(),
+            "tll AS (SELECT t.doc_id, t.label, t.split, t.pos, coalesce(m.lemma, t.token) AS token "
+            "FROM tl t LEFT JOIN lm m ON t.token = m.token)"]
+
+
+def prepared_conversations() -> list[str]:
+    """Short-text corpus, pre-split by conversation."""
+    return [conv_docs("cdocs"), clean_arrays("ct", "cdocs"),
+            "ne_t AS (SELECT c.doc_id, c.conv_id, c.label, ct.tokens FROM cdocs c JOIN ct ON c.doc_id = ct.doc_id WHERE len(ct.tokens) > 0)",
+            presplit("pd0", "ne_t", "conv_id"),
+            "pd AS (SELECT doc_id, label, split, tokens FROM pd0)",
+            "tl AS (SELECT doc_id, label, split, unnest(tokens) AS token, generate_subscripts(tokens, 1) - 1 AS pos FROM pd)",
+            lexicon(), lemma_map(),
+            "tll AS (SELECT t.doc_id, t.label, t.split, t.pos, coalesce(m.lemma, t.token) AS token "
+            "FROM tl t LEFT JOIN lm m ON t.token = m.token)"]
+
+
+def vocab(name: str = "voc", src: str = "tll") -> str:
+    return (f"{name} AS (SELECT token, CAST(row_number() OVER (ORDER BY token) - 1 AS INTEGER) AS token_id "
+            f"FROM (SELECT DISTINCT token FROM {src} WHERE split = 'train' AND length(token) >= 2))")
+
+
+def bow(name: str = "bow", src: str = "tll", voc: str = "voc") -> str:
+    return (f"{name} AS (SELECT t.doc_id, t.split, t.label, v.token_id, CAST(count(*) AS INTEGER) AS cnt "
+            f"FROM {src} t JOIN {voc} v ON t.token = v.token GROUP BY t.doc_id, t.split, t.label, v.token_id)")
+
+
+def label_map(name: str = "lmap", src: str = "pd") -> str:
+    return (f"{name} AS (SELECT CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS label_id, label "
+            f"FROM (SELECT DISTINCT label FROM {src} WHERE split = 'train' AND label IS NOT NULL))")

@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
@@ -52,3 +53,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             pass
     spark.sparkContext.setCheckpointDir(current)
     return current
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage: write ``df`` once as a Parquet table in the shared folder
+    named by ``spark.checkpoint.dir`` and read it back.  It is computed once,
+    survives executor loss, and keeps later plans small (a plan that
+    references its own input several times grows with every stage)."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/quill-tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
