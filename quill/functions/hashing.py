@@ -66,7 +66,7 @@ def hash_draw_sql(seed, tag, i) -> str:
 
 
 def hash_unit_sql(seed, tag, i) -> str:
-    return f"({hash_draw_sql(seed, tag, i)} / {TWO_32})"
+    return f"({hash_draw_sql(seed, tag, i)} / CAST({int(TWO_32)} AS DOUBLE))"
 
 
 def hash_normal_sql(seed, tag, i) -> str:

@@ -255,3 +255,93 @@ def q_unseen_labels(spark, sf):
     p = prepared_conversations(spark, sf)
     m = L.fit_label_map(p.docs.where(F.col("split") == "train"))
     return L.unseen_labels(p.docs.where(F.col("split") != "train"), m)
+
+
+# ----------------------------------------------------------------- balancing
+
+from quill.operators import balance as B  # noqa: E402
+from quill.operators import knn as KNN  # noqa: E402
+
+
+def _train_docs(spark, sf, label="lang"):
+    return prepared_documents(spark, sf, label).docs.where(F.col("split") == "train").select("doc_id", "label")
+
+
+_PREP_TRAIN = [*_PREP, "tdocs AS (SELECT doc_id, label FROM pd WHERE split = 'train')"]
+
+
+@query("oversample_targets", Q.with_(*_PREP_TRAIN, Q.targets("tg", "tdocs")) +
+       "SELECT label, n, target, deficit FROM tg")
+def q_oversample_targets(spark, sf):
+    return B.class_targets(_train_docs(spark, sf)).select("label", "n", "target", "deficit")
+
+
+@query("random_oversample", Q.with_(*_PREP_TRAIN, *Q.ros("ros", "tdocs")) +
+       "SELECT out_id, doc_id, label, is_copy FROM ros")
+def q_random_oversample(spark, sf):
+    return B.random_oversample(_train_docs(spark, sf))
+
+
+@query("balanced_distribution", Q.with_(*_PREP_TRAIN, *Q.ros("ros", "tdocs")) +
+       "SELECT label, CAST(count(*) AS BIGINT) AS n FROM ros GROUP BY label")
+def q_balanced_distribution(spark, sf):
+    return S.class_distribution(B.random_oversample(_train_docs(spark, sf)))
+
+
+@query("smote_k", Q.with_(*_PREP_TRAIN) +
+       "SELECT CAST(min(n) AS BIGINT) AS min_class, CAST(least(5, min(n) - 1) AS BIGINT) AS k, "
+       "CASE WHEN min(n) < 2 THEN 'ros' ELSE 'smote' END AS method FROM (SELECT count(*) AS n FROM tdocs GROUP BY label)")
+def q_smote_k(spark, sf):
+    return B.smote_k(_train_docs(spark, sf))
+
+
+_PREP_RARE_TRAIN = [*Q.prepared("size_bucket"), "tdocs AS (SELECT doc_id, label FROM pd WHERE split = 'train')"]
+
+
+@query("balance_fallback", Q.with_(*_PREP_RARE_TRAIN, *Q.ros("ros", "tdocs")) +
+       "SELECT label, CAST(count(*) AS BIGINT) AS n, "
+       "(SELECT CASE WHEN min(n) < 2 THEN 'ros' ELSE 'smote' END FROM (SELECT count(*) AS n FROM tdocs GROUP BY label)) AS method "
+       "FROM ros GROUP BY label")
+def q_balance_fallback(spark, sf):
+    docs = _train_docs(spark, sf, "size_bucket")
+    method = B.smote_k(docs).first()["method"]  # scalar that picks the plan (B10)
+    if method == "smote":
+        raise RuntimeError("expected the random-oversampling fallback on this corpus")
+    return S.class_distribution(B.random_oversample(docs)).withColumn("method", F.lit(method))
+
+
+_EMB_K = Q.smote_k("pts")
+
+
+@query("knn_within_class", Q.with_(Q.emb_points(), "allq AS (SELECT doc_id FROM pts)",
+                                   Q.knn_dense("nn", "pts", "allq", "5")) +
+       "SELECT query_id, neighbor_id, rank, round(dist, 6) AS dist FROM nn")
+def q_knn_within_class(spark, sf):
+    pts = src.embeddings_table(spark, sf)
+    nn = KNN.knn_dense(pts, pts.select("doc_id", "label"), 5)
+    return nn.select("query_id", "neighbor_id", "rank", F.round("dist", 6).alias("dist"))
+
+
+_SMOTE_DENSE = [Q.emb_points(), *Q.smote_draws("sd", "pts", _EMB_K),
+                "sq AS (SELECT DISTINCT base_id AS doc_id FROM sd)",
+                Q.knn_dense("nn", "pts", "sq", _EMB_K),
+                "sm AS (SELECT d.out_id, d.label, d.base_id, n.neighbor_id, d.gap FROM sd d JOIN nn n "
+                "ON n.query_id = d.base_id AND n.rank = d.nn_rank)"]
+
+
+@query("smote_draws", Q.with_(*_SMOTE_DENSE) +
+       "SELECT out_id, label, base_id, neighbor_id, round(gap, 9) AS gap FROM sm")
+def q_smote_draws(spark, sf):
+    s = B.smote_dense(src.embeddings_table(spark, sf))
+    return s.select("out_id", "label", "base_id", "neighbor_id", F.round("gap", 9).alias("gap"))
+
+
+@query("smote_dense", Q.with_(*_SMOTE_DENSE,
+                              "sv AS (SELECT m.out_id, list_transform(range(1, len(b.f) + 1), "
+                              "lambda i: b.f[i] + m.gap * (n.f[i] - b.f[i])) AS v FROM sm m "
+                              "JOIN pts b ON b.doc_id = m.base_id JOIN pts n ON n.doc_id = m.neighbor_id)") +
+       "SELECT out_id, CAST(generate_subscripts(v, 1) - 1 AS INTEGER) AS dim, round(unnest(v), 6) AS value FROM sv")
+def q_smote_dense(spark, sf):
+    s = B.smote_dense(src.embeddings_table(spark, sf))
+    return s.select("out_id", F.posexplode("features").alias("dim", "value")).select(
+        "out_id", F.col("dim").cast("int"), F.round("value", 6).alias("value"))

@@ -169,3 +169,56 @@ def bow(name: str = "bow", src: str = "tll", voc: str = "voc") -> str:
 def label_map(name: str = "lmap", src: str = "pd") -> str:
     return (f"{name} AS (SELECT CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS label_id, label "
             f"FROM (SELECT DISTINCT label FROM {src} WHERE split = 'train' AND label IS NOT NULL))")
+
+
+# ----------------------------------------------------------------- balancing
+
+def index_rows(name: str, src: str, seed: int = 42) -> str:
+    return (f"{name} AS (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY "
+            f"{hash_key_sql(seed, 'order', '@doc_id')}, doc_id) AS idx FROM {src})")
+
+
+def targets(name: str, src: str) -> str:
+    return (f"{name} AS (SELECT label, n, target, deficit, CAST(base + coalesce(sum(deficit) OVER "
+            f"(ORDER BY label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" "
+            f"FROM (SELECT label, n, max(n) OVER () AS target, max(n) OVER () - n AS deficit, "
+            f"max(mk) OVER () + 1 AS base FROM (SELECT label, CAST(count(*) AS BIGINT) AS n, max(doc_id) AS mk "
+            f"FROM {src} GROUP BY label)))")
+
+
+def draws(name: str, tg: str) -> str:
+    return (f"{name} AS (SELECT label, n, \"offset\", unnest(range(1, deficit + 1)) AS j FROM {tg} WHERE deficit > 0)")
+
+
+def ros(name: str, src: str, seed: int = 42) -> list[str]:
+    return [index_rows(f"{name}_i", src, seed), targets(f"{name}_t", src), draws(f"{name}_d", f"{name}_t"),
+            f"{name} AS (SELECT doc_id AS out_id, doc_id, label, false AS is_copy FROM {src} UNION ALL "
+            f"SELECT d.\"offset\" + d.j - 1 AS out_id, i.doc_id, d.label, true AS is_copy FROM {name}_d d "
+            f"JOIN {name}_i i ON i.label = d.label AND i.idx = 1 + {hash_draw_sql(seed, '@d.label', '@d.j')} % d.n)"]
+
+
+def smote_draws(name: str, src: str, k: str, seed: int = 42) -> list[str]:
+    r = f"({hash_draw_sql(seed, '@label', '@j')} % (n * {k}))"
+    from quill.functions.hashing import hash_unit_sql
+    return [index_rows(f"{name}_i", src, seed), targets(f"{name}_t", src), draws(f"{name}_d", f"{name}_t"),
+            f"{name}_r AS (SELECT *, {r} AS r, {hash_unit_sql(seed + 1, '@label', '@j')} AS gap FROM {name}_d)",
+            f"{name} AS (SELECT d.\"offset\" + d.j - 1 AS out_id, d.label, i.doc_id AS base_id, "
+            f"CAST(d.r % {k} + 1 AS INTEGER) AS nn_rank, d.gap FROM {name}_r d JOIN {name}_i i "
+            f"ON i.label = d.label AND i.idx = d.r // {k} + 1)"]
+
+
+def smote_k(src: str, k_max: int = 5) -> str:
+    return f"(SELECT least({k_max}, min(n) - 1) FROM (SELECT count(*) AS n FROM {src} GROUP BY label))"
+
+
+def emb_points(name: str = "pts") -> str:
+    return (f"{name} AS (SELECT CAST(vec_id AS BIGINT) AS doc_id, CAST(embedding AS DOUBLE[]) AS f, "
+            f"CAST(label AS VARCHAR) AS label FROM embeddings)")
+
+
+def knn_dense(name: str, pts: str, queries: str, k: str) -> str:
+    return (f"{name} AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY dist, neighbor_id) AS INTEGER) AS rank "
+            f"FROM (SELECT q.doc_id AS query_id, r.doc_id AS neighbor_id, "
+            f"list_sum(list_transform(range(1, len(q.f) + 1), lambda i: (q.f[i] - r.f[i]) * (q.f[i] - r.f[i]))) AS dist "
+            f"FROM {queries} qq JOIN {pts} q ON q.doc_id = qq.doc_id JOIN {pts} r ON r.label = q.label AND r.doc_id <> q.doc_id)) "
+            f"WHERE rank <= {k})")
