@@ -345,3 +345,26 @@ def q_smote_dense(spark, sf):
     s = B.smote_dense(src.embeddings_table(spark, sf))
     return s.select("out_id", F.posexplode("features").alias("dim", "value")).select(
         "out_id", F.col("dim").cast("int"), F.round("value", 6).alias("value"))
+
+
+_BOW_TRAIN = [*_PREP_TRAIN, Q.vocab(), Q.bow(), "tbow AS (SELECT doc_id, token_id, cnt FROM bow WHERE split = 'train')"]
+
+
+@query("smote_bow", Q.with_(*_BOW_TRAIN, *Q.smote_bow()) +
+       "SELECT out_id, label, token_id, cnt FROM syn WHERE cnt <> 0")
+def q_smote_bow(spark, sf):
+    p = prepared_documents(spark, sf)
+    vocab = V.fit_vocabulary(p.tokens)
+    train = p.tokens.where(F.col("split") == "train")
+    bow = V.term_counts(train, vocab)
+    docs = p.docs.where(F.col("split") == "train").select("doc_id", "label")
+    return B.smote_sparse(docs, bow).select("out_id", "label", "token_id", "cnt")
+
+
+@query("features_with_labels", Q.with_(*_BOW_TRAIN) +
+       "SELECT b.doc_id, d.label, b.token_id, b.cnt FROM tbow b JOIN tdocs d ON b.doc_id = d.doc_id")
+def q_features_with_labels(spark, sf):
+    p = prepared_documents(spark, sf)
+    bow = V.term_counts(p.tokens.where(F.col("split") == "train"), V.fit_vocabulary(p.tokens), keep=())
+    labels = p.docs.where(F.col("split") == "train").select("doc_id", "label")
+    return bow.join(labels, on="doc_id", how="inner").select("doc_id", "label", "token_id", "cnt")

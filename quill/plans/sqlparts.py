@@ -222,3 +222,30 @@ def knn_dense(name: str, pts: str, queries: str, k: str) -> str:
             f"list_sum(list_transform(range(1, len(q.f) + 1), lambda i: (q.f[i] - r.f[i]) * (q.f[i] - r.f[i]))) AS dist "
             f"FROM {queries} qq JOIN {pts} q ON q.doc_id = qq.doc_id JOIN {pts} r ON r.label = q.label AND r.doc_id <> q.doc_id)) "
             f"WHERE rank <= {k})")
+
+
+def smote_bow(docs_src: str = "tdocs", bow_src: str = "tbow", seed: int = 42) -> list[str]:
+    """Exact brute-force SMOTE on integer counts (oracle form)."""
+    k = smote_k(docs_src)
+    return [*smote_draws("sd", docs_src, k, seed),
+            "bases AS (SELECT DISTINCT base_id, label FROM sd)",
+            f"sq AS (SELECT d.doc_id, CAST(coalesce(sum(b.cnt * b.cnt), 0) AS DOUBLE) AS s FROM {docs_src} d "
+            f"LEFT JOIN {bow_src} b ON b.doc_id = d.doc_id GROUP BY d.doc_id)",
+            f"pairs AS (SELECT bs.base_id AS q, t.doc_id AS r FROM bases bs JOIN {docs_src} t "
+            f"ON t.label = bs.label AND t.doc_id <> bs.base_id)",
+            f"dots AS (SELECT x.doc_id AS q, y.doc_id AS r, CAST(sum(x.cnt * y.cnt) AS DOUBLE) AS dot "
+            f"FROM {bow_src} x JOIN bases bs ON x.doc_id = bs.base_id JOIN {docs_src} ty ON ty.label = bs.label "
+            f"JOIN {bow_src} y ON y.doc_id = ty.doc_id AND y.token_id = x.token_id WHERE y.doc_id <> x.doc_id GROUP BY 1, 2)",
+            "dist AS (SELECT p.q, p.r, s1.s + s2.s - 2 * coalesce(d.dot, 0) AS dist FROM pairs p "
+            "JOIN sq s1 ON s1.doc_id = p.q JOIN sq s2 ON s2.doc_id = p.r LEFT JOIN dots d ON d.q = p.q AND d.r = p.r)",
+            f"nn AS (SELECT * FROM (SELECT q AS query_id, r AS neighbor_id, row_number() OVER "
+            f"(PARTITION BY q ORDER BY dist, r) AS rank FROM dist) WHERE rank <= {k})",
+            "sm AS (SELECT d.out_id, d.label, d.base_id, n.neighbor_id, d.gap FROM sd d JOIN nn n "
+            "ON n.query_id = d.base_id AND n.rank = d.nn_rank)",
+            f"sa AS (SELECT m.out_id, m.label, m.gap, b.token_id, b.cnt AS a FROM sm m JOIN {bow_src} b ON b.doc_id = m.base_id)",
+            f"sb AS (SELECT m.out_id, m.label, m.gap, b.token_id, b.cnt AS b FROM sm m JOIN {bow_src} b ON b.doc_id = m.neighbor_id)",
+            "syn AS (SELECT coalesce(sa.out_id, sb.out_id) AS out_id, coalesce(sa.label, sb.label) AS label, "
+            "coalesce(sa.token_id, sb.token_id) AS token_id, "
+            "CAST(trunc(CAST(coalesce(sa.a, 0) AS DOUBLE) + coalesce(sa.gap, sb.gap) * "
+            "(CAST(coalesce(sb.b, 0) AS DOUBLE) - CAST(coalesce(sa.a, 0) AS DOUBLE))) AS INTEGER) AS cnt "
+            "FROM sa FULL OUTER JOIN sb ON sa.out_id = sb.out_id AND sa.token_id = sb.token_id)"]
