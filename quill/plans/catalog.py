@@ -368,3 +368,49 @@ def q_features_with_labels(spark, sf):
     bow = V.term_counts(p.tokens.where(F.col("split") == "train"), V.fit_vocabulary(p.tokens), keep=())
     labels = p.docs.where(F.col("split") == "train").select("doc_id", "label")
     return bow.join(labels, on="doc_id", how="inner").select("doc_id", "label", "token_id", "cnt")
+
+
+# ----------------------------------------------------------------- sub-word sequences
+
+from quill.operators import wordpiece as WP  # noqa: E402
+
+
+def _sequences(p: P.Prepared) -> DataFrame:
+    vocab = WP.build_piece_vocab(p.tokens.where(F.col("split") == "train"))
+    enc = WP.encode_words(p.tokens, vocab)
+    return WP.encode_sequences(p.tokens, enc)
+
+
+def _ints(c) -> F.Column:
+    return F.array_join(F.col(c).cast("array<string>"), " ")
+
+
+_WP = Q.with_(*_PREP, *Q.wordpiece()).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("wordpiece_encode", _WP + "SELECT token, array_to_string(piece_ids, ' ') AS piece_ids FROM wp_enc")
+def q_wordpiece_encode(spark, sf):
+    p = prepared_documents(spark, sf)
+    vocab = WP.build_piece_vocab(p.tokens.where(F.col("split") == "train"))
+    return WP.encode_words(p.tokens, vocab).select("token", _ints("piece_ids").alias("piece_ids"))
+
+
+_SEQ = Q.with_(*_PREP, *Q.wordpiece(), *Q.sequences()).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("encode_sequences", _SEQ + "SELECT doc_id, split, n_real, input_ids, attention_mask FROM seq")
+def q_encode_sequences(spark, sf):
+    s = _sequences(prepared_documents(spark, sf))
+    return s.select("doc_id", "split", "n_real", _ints("input_ids").alias("input_ids"),
+                    _ints("attention_mask").alias("attention_mask"))
+
+
+@query("oversampled_sequences", Q.with_(*_PREP_TRAIN, *Q.ros("ros", "tdocs"), *Q.wordpiece(), *Q.sequences()
+                                        ).replace("WITH ", "WITH RECURSIVE ", 1) +
+       "SELECT r.out_id, r.doc_id, r.label, s.input_ids FROM ros r JOIN seq s ON s.doc_id = r.doc_id")
+def q_oversampled_sequences(spark, sf):
+    p = prepared_documents(spark, sf)
+    s = _sequences(p)
+    draws = B.random_oversample(p.docs.where(F.col("split") == "train").select("doc_id", "label"))
+    return draws.join(s.select("doc_id", "input_ids"), on="doc_id", how="inner").select(
+        "out_id", "doc_id", "label", _ints("input_ids").alias("input_ids"))

@@ -249,3 +249,44 @@ def smote_bow(docs_src: str = "tdocs", bow_src: str = "tbow", seed: int = 42) ->
             "CAST(trunc(CAST(coalesce(sa.a, 0) AS DOUBLE) + coalesce(sa.gap, sb.gap) * "
             "(CAST(coalesce(sb.b, 0) AS DOUBLE) - CAST(coalesce(sa.a, 0) AS DOUBLE))) AS INTEGER) AS cnt "
             "FROM sa FULL OUTER JOIN sb ON sa.out_id = sb.out_id AND sa.token_id = sb.token_id)"]
+
+
+# ----------------------------------------------------------------- sub-word sequences
+
+def wordpiece(src: str = "tll", top_words: int = 200) -> list[str]:
+    """Piece vocabulary ``wpv(piece, id)`` and word encodings ``wp_enc(token, piece_ids)``;
+    needs ``WITH RECURSIVE``."""
+    from quill.operators.wordpiece import MAX_WORD_CHARS, SPECIALS, strip_accents_sql
+    spec = " UNION ALL ".join(f"SELECT '{p}' AS piece, {i} AS id" for i, p in enumerate(SPECIALS))
+    piece = "CASE WHEN x.s = 0 THEN substr(x.w, 1, x.l) ELSE '##' || substr(x.w, x.s + 1, x.l) END"
+    return [
+        f"wp_tr AS (SELECT {strip_accents_sql('token')} AS w FROM {src} WHERE split = 'train')",
+        "wp_ch AS (SELECT DISTINCT c FROM (SELECT unnest(string_split(w, '')) AS c FROM wp_tr) WHERE length(c) = 1)",
+        f"wp_top AS (SELECT w AS piece FROM (SELECT w, count(*) AS n FROM wp_tr GROUP BY w) ORDER BY n DESC, w LIMIT {top_words})",
+        "wp_p AS (SELECT c AS piece FROM wp_ch UNION SELECT '##' || c FROM wp_ch UNION SELECT piece FROM wp_top)",
+        f"wpv AS ({spec} UNION ALL SELECT piece, CAST(row_number() OVER (ORDER BY piece) + {len(SPECIALS) - 1} AS INTEGER) FROM wp_p)",
+        "wp_ml AS (SELECT max(CASE WHEN piece LIKE '##%' THEN length(piece) - 2 ELSE length(piece) END) AS ml "
+        "FROM wpv WHERE id >= 4)",
+        f"wp_w AS (SELECT DISTINCT token, {strip_accents_sql('token')} AS w FROM {src})",
+        f"wp_s AS (SELECT token, w, unnest(range(0, length(w))) AS s FROM wp_w WHERE length(w) <= {MAX_WORD_CHARS})",
+        "wp_sub AS (SELECT token, w, s, unnest(range(1, least((SELECT ml FROM wp_ml), length(w) - s) + 1)) AS l FROM wp_s)",
+        f"wp_m AS (SELECT x.token, x.s, max(x.l) AS l FROM wp_sub x JOIN wpv v ON v.piece = {piece} GROUP BY x.token, x.s)",
+        f"wp_mi AS (SELECT x.token, x.s, x.l, v.id FROM (SELECT m.token, m.s, m.l, w.w FROM wp_m m JOIN wp_w w ON w.token = m.token) x "
+        f"JOIN wpv v ON v.piece = {piece})",
+        "walk AS (SELECT token, s + l AS nxt, [id] AS ids FROM wp_mi WHERE s = 0 "
+        "UNION ALL SELECT w.token, m.s + m.l, list_append(w.ids, m.id) FROM walk w JOIN wp_mi m ON m.token = w.token AND m.s = w.nxt)",
+        "wp_enc AS (SELECT w.token, coalesce(k.ids, [1]) AS piece_ids FROM wp_w w LEFT JOIN "
+        "(SELECT walk.token, walk.ids FROM walk JOIN wp_w x ON x.token = walk.token WHERE walk.nxt = length(x.w)) k ON k.token = w.token)",
+    ]
+
+
+def sequences(src: str = "tll", max_len: int = 128) -> list[str]:
+    return [
+        f"seq0 AS (SELECT t.doc_id, t.split, t.label, flatten(list(e.piece_ids ORDER BY t.pos)) AS ids "
+        f"FROM {src} t JOIN wp_enc e ON e.token = t.token GROUP BY t.doc_id, t.split, t.label)",
+        f"seq1 AS (SELECT doc_id, split, label, list_concat([2], ids[1:{max_len - 2}], [3]) AS x FROM seq0)",
+        f"seq AS (SELECT doc_id, split, label, CAST(len(x) AS BIGINT) AS n_real, "
+        f"array_to_string(list_concat(x, list_transform(range({max_len} - len(x)), lambda i: 0)), ' ') AS input_ids, "
+        f"array_to_string(list_concat(list_transform(range(len(x)), lambda i: 1), "
+        f"list_transform(range({max_len} - len(x)), lambda i: 0)), ' ') AS attention_mask FROM seq1)",
+    ]
