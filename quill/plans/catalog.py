@@ -414,3 +414,87 @@ def q_oversampled_sequences(spark, sf):
     draws = B.random_oversample(p.docs.where(F.col("split") == "train").select("doc_id", "label"))
     return draws.join(s.select("doc_id", "input_ids"), on="doc_id", how="inner").select(
         "out_id", "doc_id", "label", _ints("input_ids").alias("input_ids"))
+
+
+# ----------------------------------------------------------------- classifier
+
+from quill.operators import classify as CL  # noqa: E402
+
+
+def _classifier(spark, sf):
+    pts = src.embeddings_table(spark, sf)
+    sp = S.stratified_split(pts.select("doc_id", "label"))
+    ep = pts.join(sp.select("doc_id", "split"), on="doc_id")
+    lmap = L.fit_label_map(ep.where(F.col("split") == "train"))
+    head = CL.fit_centroid_head(ep.where(F.col("split") == "train"), lmap)
+    test = L.encode_labels(ep.where(F.col("split") == "test"), lmap)
+    pred = CL.argmax_predict(CL.head_logits(test, head))
+    return pred, lmap
+
+
+_CLS = Q.with_(*Q.classifier())
+
+
+@query("head_logits", _CLS + "SELECT doc_id, CAST(class_id AS INTEGER) AS class_id, round(logit, 6) AS logit FROM lg")
+def q_head_logits(spark, sf):
+    pred, _ = _classifier(spark, sf)
+    return pred.select("doc_id", F.posexplode("logits").alias("class_id", "logit")).select(
+        "doc_id", F.col("class_id").cast("int"), F.round("logit", 6).alias("logit"))
+
+
+@query("argmax_predict", _CLS + "SELECT doc_id, label_id, CAST(pred_id AS INTEGER) AS pred_id FROM pr")
+def q_argmax_predict(spark, sf):
+    pred, _ = _classifier(spark, sf)
+    return pred.select("doc_id", "label_id", "pred_id")
+
+
+@query("accuracy", _CLS + "SELECT round(avg(CASE WHEN pred_id = label_id THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM pr")
+def q_accuracy(spark, sf):
+    pred, _ = _classifier(spark, sf)
+    return CL.accuracy(pred).select(F.round("accuracy", 6).alias("accuracy"))
+
+
+@query("weighted_metrics", _CLS +
+       "SELECT round(sum(precision * support) / sum(support), 6) AS precision, "
+       "round(sum(recall * support) / sum(support), 6) AS recall, round(sum(f1 * support) / sum(support), 6) AS f1, "
+       "round(sum(tp) / sum(support), 6) AS accuracy FROM sc")
+def q_weighted_metrics(spark, sf):
+    pred, _ = _classifier(spark, sf)
+    m = CL.weighted_metrics(pred)
+    return m.select(*[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "accuracy")])
+
+
+@query("classification_report", _CLS +
+       "SELECT coalesce(m.label, CAST(s.label_id AS VARCHAR)) AS \"row\", round(precision, 6) AS precision, "
+       "round(recall, 6) AS recall, round(f1, 6) AS f1, CAST(support AS BIGINT) AS support FROM sc s LEFT JOIN lmap m USING (label_id) "
+       "UNION ALL SELECT 'accuracy', NULL, NULL, round(avg(CASE WHEN pred_id = label_id THEN 1.0 ELSE 0.0 END), 6), CAST(count(*) AS BIGINT) FROM pr "
+       "UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), CAST(sum(support) AS BIGINT) FROM sc "
+       "UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6), "
+       "round(sum(f1 * support) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM sc")
+def q_classification_report(spark, sf):
+    pred, lmap = _classifier(spark, sf)
+    r = CL.classification_report(pred, lmap)
+    return r.select("row", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
+@query("cross_entropy", _CLS +
+       "SELECT round(avg(lse - zl), 6) AS cross_entropy FROM (SELECT doc_id, max(mx) + ln(sum(exp(logit - mx))) AS lse, "
+       "max(CASE WHEN class_id = true_id THEN logit END) AS zl FROM (SELECT *, max(logit) OVER (PARTITION BY doc_id) AS mx FROM lg) "
+       "GROUP BY doc_id)")
+def q_cross_entropy(spark, sf):
+    pred, _ = _classifier(spark, sf)
+    return CL.cross_entropy(pred).select(F.round("cross_entropy", 6).alias("cross_entropy"))
+
+
+@query("train_head")
+def q_train_head(spark, sf):
+    """C1-C2 (rows only): softmax head fitted with distributed L-BFGS, then
+    test predictions with the same metrics as the centroid head."""
+    pts = src.embeddings_table(spark, sf)
+    sp = S.stratified_split(pts.select("doc_id", "label"))
+    ep = pts.join(sp.select("doc_id", "split"), on="doc_id")
+    lmap = L.fit_label_map(ep.where(F.col("split") == "train"))
+    head = CL.fit_softmax_head(ep.where(F.col("split") == "train"), lmap)
+    test = L.encode_labels(ep.where(F.col("split") == "test"), lmap)
+    pred = CL.argmax_predict(CL.head_logits(test, head))
+    return pred.select("doc_id", "label_id", "pred_id")

@@ -290,3 +290,31 @@ def sequences(src: str = "tll", max_len: int = 128) -> list[str]:
         f"array_to_string(list_concat(list_transform(range(len(x)), lambda i: 1), "
         f"list_transform(range({max_len} - len(x)), lambda i: 0)), ' ') AS attention_mask FROM seq1)",
     ]
+
+
+# ----------------------------------------------------------------- classifier on pooled vectors
+
+def classifier() -> list[str]:
+    """Embeddings split by label, label map, centroid head, test logits and predictions."""
+    return [emb_points("pts"), *splits("esplit", "pts"),
+            "ep AS (SELECT p.doc_id, p.label, p.f, s.split FROM pts p JOIN esplit s ON s.doc_id = p.doc_id)",
+            "lmap AS (SELECT CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS label_id, label "
+            "FROM (SELECT DISTINCT label FROM ep WHERE split = 'train'))",
+            "cx AS (SELECT m.label_id, unnest(e.f) AS v, generate_subscripts(e.f, 1) AS dim FROM ep e "
+            "JOIN lmap m ON m.label = e.label WHERE e.split = 'train')",
+            "cw AS (SELECT label_id, list(m ORDER BY dim) AS w FROM (SELECT label_id, dim, avg(v) AS m FROM cx GROUP BY label_id, dim) GROUP BY label_id)",
+            "head AS (SELECT label_id, w, -0.5 * list_sum(list_transform(w, lambda x: x * x)) AS b FROM cw)",
+            "tst AS (SELECT e.doc_id, m.label_id, e.f FROM ep e JOIN lmap m ON m.label = e.label WHERE e.split = 'test')",
+            "lg AS (SELECT t.doc_id, t.label_id AS true_id, h.label_id AS class_id, "
+            "list_sum(list_transform(range(1, len(t.f) + 1), lambda i: t.f[i] * h.w[i])) + h.b AS logit FROM tst t, head h)",
+            "pr AS (SELECT doc_id, true_id AS label_id, class_id AS pred_id FROM (SELECT *, row_number() OVER "
+            "(PARTITION BY doc_id ORDER BY logit DESC, class_id) AS rk FROM lg) WHERE rk = 1)",
+            "tp AS (SELECT label_id, count(*) AS tp FROM pr WHERE pred_id = label_id GROUP BY label_id)",
+            "sup AS (SELECT label_id, count(*) AS support FROM pr GROUP BY label_id)",
+            "np AS (SELECT pred_id AS label_id, count(*) AS npred FROM pr GROUP BY pred_id)",
+            "cls AS (SELECT label_id FROM sup UNION SELECT label_id FROM np)",
+            "sc0 AS (SELECT c.label_id, coalesce(tp.tp, 0) AS tp, coalesce(sup.support, 0) AS support, coalesce(np.npred, 0) AS npred "
+            "FROM cls c LEFT JOIN tp USING (label_id) LEFT JOIN sup USING (label_id) LEFT JOIN np USING (label_id))",
+            "sc1 AS (SELECT label_id, tp, support, CASE WHEN npred > 0 THEN tp / npred ELSE 0.0 END AS precision, "
+            "CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS recall FROM sc0)",
+            "sc AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM sc1)"]
