@@ -498,3 +498,124 @@ def q_train_head(spark, sf):
     test = L.encode_labels(ep.where(F.col("split") == "test"), lmap)
     pred = CL.argmax_predict(CL.head_logits(test, head))
     return pred.select("doc_id", "label_id", "pred_id")
+
+
+# ----------------------------------------------------------------- topic model
+
+from quill.operators import coherence as CH  # noqa: E402
+from quill.operators import topics as TM  # noqa: E402
+
+TOPIC_H, TOPIC_K = 64, 40   # hidden width reduced from 500 for the SQL twin; 40 topics as in the reference
+
+
+def _topic_setup(spark, sf):
+    p = prepared_documents(spark, sf)
+    vocab = V.fit_vocabulary(p.tokens)
+    from quill.session import materialize
+    vocab = materialize(vocab)
+    n_vocab = vocab.count()  # scalar that sizes the model
+    params = TM.init_params(spark, n_vocab, TOPIC_H, TOPIC_K)
+    return p, vocab, params
+
+
+def _val_bow(p, vocab):
+    return V.term_counts(p.tokens.where(F.col("split") == "val"), vocab, keep=()).select("doc_id", "token_id", "cnt")
+
+
+_TOPIC = [*_PREP, Q.vocab(), *Q.topic_params(TOPIC_H, TOPIC_K)]
+_TOPIC_FWD = [*_TOPIC, Q.bow(), "vb AS (SELECT doc_id, token_id, cnt FROM bow WHERE split = 'val')",
+              *Q.topic_forward(TOPIC_H, TOPIC_K)]
+
+
+@query("topic_word_matrix", Q.with_(*_TOPIC) +
+       "SELECT CAST(generate_subscripts(w, 1) - 1 AS INTEGER) AS topic, CAST(r AS INTEGER) AS token_id, "
+       "round(unnest(w), 9) AS weight FROM tp_dec")
+def q_topic_word_matrix(spark, sf):
+    _, _, params = _topic_setup(spark, sf)
+    return TM.topic_word_matrix(params).select("topic", "token_id", F.round("weight", 9).alias("weight"))
+
+
+@query("topic_top_words", Q.with_(*_TOPIC, Q.top_words(10)) + "SELECT topic, rank, token_id, token FROM tw")
+def q_topic_top_words(spark, sf):
+    _, vocab, params = _topic_setup(spark, sf)
+    return TM.top_words(TM.topic_word_matrix(params), vocab, 10)
+
+
+@query("topic_monitor", Q.with_(*_TOPIC, Q.top_words(8, 5)) + "SELECT topic, rank, token_id, token FROM tw")
+def q_topic_monitor(spark, sf):
+    _, vocab, params = _topic_setup(spark, sf)
+    return TM.top_words(TM.topic_word_matrix(params), vocab, 8, n_topics=5)
+
+
+@query("topic_report", Q.with_(*_TOPIC, Q.top_words(10)) +
+       "SELECT topic, 'Topic ' || CAST(topic AS VARCHAR) || ': ' || string_agg(token, ' ' ORDER BY rank) AS line FROM tw GROUP BY topic")
+def q_topic_report(spark, sf):
+    _, vocab, params = _topic_setup(spark, sf)
+    return TM.topic_report(TM.top_words(TM.topic_word_matrix(params), vocab, 10))
+
+
+_CTX = "ctx AS (SELECT doc_id, pos, token FROM tll WHERE split = 'val')"
+
+
+@query("sliding_window_counts", Q.with_(*_TOPIC, Q.top_words(10), _CTX, *Q.coherence()) +
+       "SELECT doc_id, token, CAST(sum(hi - lo + 1) AS BIGINT) AS windows FROM ch_isl GROUP BY doc_id, token")
+def q_sliding_window_counts(spark, sf):
+    p, vocab, params = _topic_setup(spark, sf)
+    top = TM.top_words(TM.topic_word_matrix(params), vocab, 10)
+    ctx = p.tokens.where(F.col("split") == "val").select("doc_id", "pos", "token")
+    return CH.sliding_window_counts(ctx, top.select("token"))
+
+
+@query("coherence_by_topic", Q.with_(*_TOPIC, Q.top_words(10), _CTX, *Q.coherence()) +
+       "SELECT topic, round(coherence, 6) AS coherence FROM ch_coh")
+def q_coherence_by_topic(spark, sf):
+    p, vocab, params = _topic_setup(spark, sf)
+    top = TM.top_words(TM.topic_word_matrix(params), vocab, 10)
+    ctx = p.tokens.where(F.col("split") == "val").select("doc_id", "pos", "token")
+    return CH.coherence_by_topic(top, ctx).select("topic", F.round("coherence", 6).alias("coherence"))
+
+
+@query("coherence_cv", Q.with_(*_TOPIC, Q.top_words(10), _CTX, *Q.coherence()) +
+       "SELECT round(avg(coherence), 6) AS coherence FROM ch_coh")
+def q_coherence_cv(spark, sf):
+    p, vocab, params = _topic_setup(spark, sf)
+    top = TM.top_words(TM.topic_word_matrix(params), vocab, 10)
+    ctx = p.tokens.where(F.col("split") == "val").select("doc_id", "pos", "token")
+    return CH.coherence_cv(top, ctx).select(F.round("coherence", 6).alias("coherence"))
+
+
+@query("topic_encode", Q.with_(*_TOPIC_FWD) +
+       "SELECT doc_id, CAST(generate_subscripts(mu, 1) - 1 AS INTEGER) AS dim, round(unnest(mu), 6) AS mu FROM tf_z")
+def q_topic_encode(spark, sf):
+    p, vocab, params = _topic_setup(spark, sf)
+    e = TM.encode(_val_bow(p, vocab), params)
+    return e.select("doc_id", F.posexplode("mu").alias("dim", "mu")).select(
+        "doc_id", F.col("dim").cast("int"), F.round("mu", 6).alias("mu"))
+
+
+@query("topic_word_logp", Q.with_(*_TOPIC_FWD) + "SELECT doc_id, token_id, round(logp, 6) AS logp FROM tf_lp")
+def q_topic_word_logp(spark, sf):
+    p, vocab, params = _topic_setup(spark, sf)
+    lp = TM.word_logp(_val_bow(p, vocab), params)
+    return lp.select("doc_id", "token_id", F.round("logp", 6).alias("logp"))
+
+
+@query("elbo_loss", Q.with_(*_TOPIC_FWD,
+                            "el_r AS (SELECT doc_id, -sum(cnt * logp) AS recon FROM tf_lp GROUP BY doc_id)",
+                            "el_k AS (SELECT z.doc_id, -0.5 * list_sum(list_transform(range(1, len(z.mu) + 1), "
+                            "lambda k: 1.0 + v.lv[k] - z.mu[k] * z.mu[k] - exp(v.lv[k]))) AS kl FROM tf_z z JOIN tf_v v ON v.doc_id = z.doc_id)") +
+       "SELECT r.doc_id, round(r.recon, 4) AS recon, round(k.kl, 6) AS kl, round(r.recon + k.kl, 4) AS loss "
+       "FROM el_r r JOIN el_k k ON k.doc_id = r.doc_id")
+def q_elbo_loss(spark, sf):
+    p, vocab, params = _topic_setup(spark, sf)
+    e = TM.elbo(_val_bow(p, vocab), params)
+    return e.select("doc_id", F.round("recon", 4).alias("recon"), F.round("kl", 6).alias("kl"),
+                    F.round("loss", 4).alias("loss"))
+
+
+@query("perplexity", Q.with_(*_TOPIC_FWD) +
+       "SELECT round(exp(sum(-cnt * logp) / sum(cnt)), 4) AS perplexity, CAST(sum(cnt) AS BIGINT) AS total_words FROM tf_lp")
+def q_perplexity(spark, sf):
+    p, vocab, params = _topic_setup(spark, sf)
+    r = TM.perplexity(_val_bow(p, vocab), params)
+    return r.select(F.round("perplexity", 4).alias("perplexity"), "total_words")

@@ -318,3 +318,84 @@ def classifier() -> list[str]:
             "sc1 AS (SELECT label_id, tp, support, CASE WHEN npred > 0 THEN tp / npred ELSE 0.0 END AS precision, "
             "CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS recall FROM sc0)",
             "sc AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM sc1)"]
+
+
+# ----------------------------------------------------------------- topic model
+
+def topic_params(H: int, K: int, seed: int = 42, voc: str = "voc") -> list[str]:
+    """Hash-initialised parameters: enc(r, w[H]), encb(w[H]), mu/lv(r, w[K]), mub/lvb(w[K]),
+    dec(r, w[K]), decb(r, b)."""
+    from quill.functions.hashing import hash_unit_sql
+
+    def vals(layer, cols, fan_in, row="r"):
+        b2 = f"(CAST(2.0 AS DOUBLE) * (CAST(1.0 AS DOUBLE) / sqrt(CAST({fan_in} AS DOUBLE))))"
+        u = hash_unit_sql(seed, layer, f"@(CAST({row} AS BIGINT) * {cols} + c)")
+        return f"list_transform(range({cols}), lambda c: ({u} - 0.5) * {b2})"
+    b2k = f"(CAST(2.0 AS DOUBLE) * (CAST(1.0 AS DOUBLE) / sqrt(CAST({K} AS DOUBLE))))"
+    return [
+        f"tp_V AS (SELECT count(*) AS V FROM {voc})",
+        f"tp_enc AS (SELECT token_id AS r, {vals('enc', H, 'tv.V')} AS w FROM {voc}, tp_V tv)",
+        f"tp_encb AS (SELECT {vals('enc_b', H, 'tv.V', '0')} AS w FROM tp_V tv)",
+        f"tp_mu AS (SELECT r, {vals('mu', K, H)} AS w FROM range({H}) t(r))",
+        f"tp_mub AS (SELECT {vals('mu_b', K, H, '0')} AS w)",
+        f"tp_dec AS (SELECT token_id AS r, {vals('dec', K, K)} AS w FROM {voc})",
+        f"tp_decb AS (SELECT token_id AS r, ({hash_unit_sql(seed, 'dec_b', '@token_id')} - 0.5) * {b2k} AS b FROM {voc})",
+        f"tp_lv AS (SELECT r, {vals('lv', K, H)} AS w FROM range({H}) t(r))",
+        f"tp_lvb AS (SELECT {vals('lv_b', K, H, '0')} AS w)",
+    ]
+
+
+def topic_forward(H: int, K: int, bow_src: str = "vb") -> list[str]:
+    """Evaluation forward pass (z = mu) for ``bow_src(doc_id, token_id, cnt)``:
+    mu/logvar per document, log-probabilities of the document's tokens."""
+    return [
+        f"tf_a AS (SELECT doc_id, j, sum(cnt * w[j + 1]) AS s FROM (SELECT b.doc_id, b.cnt, e.w, unnest(range({H})) AS j "
+        f"FROM {bow_src} b JOIN tp_enc e ON e.r = b.token_id) GROUP BY doc_id, j)",
+        "tf_h AS (SELECT a.doc_id, a.j, greatest(a.s + b.w[a.j + 1], 0.0) AS h FROM tf_a a, tp_encb b)",
+        f"tf_mu AS (SELECT h.doc_id, k, sum(h.h * m.w[k + 1]) AS s FROM (SELECT *, unnest(range({K})) AS k FROM tf_h) h "
+        f"JOIN tp_mu m ON m.r = h.j GROUP BY h.doc_id, k)",
+        f"tf_lv AS (SELECT h.doc_id, k, sum(h.h * m.w[k + 1]) AS s FROM (SELECT *, unnest(range({K})) AS k FROM tf_h) h "
+        f"JOIN tp_lv m ON m.r = h.j GROUP BY h.doc_id, k)",
+        "tf_z AS (SELECT m.doc_id, list(m.s + b.w[m.k + 1] ORDER BY m.k) AS mu FROM tf_mu m, tp_mub b GROUP BY m.doc_id)",
+        "tf_v AS (SELECT m.doc_id, list(m.s + b.w[m.k + 1] ORDER BY m.k) AS lv FROM tf_lv m, tp_lvb b GROUP BY m.doc_id)",
+        f"tf_l AS (SELECT z.doc_id, d.r AS token_id, list_sum(list_transform(range(1, {K} + 1), lambda k: z.mu[k] * d.w[k])) "
+        f"+ db.b AS logit FROM tf_z z, tp_dec d JOIN tp_decb db ON db.r = d.r)",
+        "tf_lse AS (SELECT doc_id, max(logit) + ln(sum(exp(logit - mx))) AS lse FROM "
+        "(SELECT *, max(logit) OVER (PARTITION BY doc_id) AS mx FROM tf_l) GROUP BY doc_id)",
+        f"tf_lp AS (SELECT b.doc_id, b.token_id, b.cnt, l.logit - s.lse AS logp FROM {bow_src} b "
+        f"JOIN tf_l l ON l.doc_id = b.doc_id AND l.token_id = b.token_id JOIN tf_lse s ON s.doc_id = b.doc_id)",
+    ]
+
+
+def top_words(n: int = 10, n_topics: int | None = None) -> str:
+    lim = f"WHERE topic < {n_topics}" if n_topics is not None else ""
+    return (f"tw AS (SELECT t.topic, CAST(t.rank AS INTEGER) AS rank, t.token_id, v.token FROM ("
+            f"SELECT topic, token_id, row_number() OVER (PARTITION BY topic ORDER BY weight DESC, token_id DESC) AS rank "
+            f"FROM (SELECT CAST(generate_subscripts(w, 1) - 1 AS INTEGER) AS topic, CAST(r AS INTEGER) AS token_id, unnest(w) AS weight FROM tp_dec) {lim}"
+            f") t JOIN voc v ON v.token_id = t.token_id WHERE t.rank <= {n})")
+
+
+def coherence(texts: str = "ctx", words: str = "tw", width: int = 110) -> list[str]:
+    return [
+        f"ch_len AS (SELECT doc_id, max(pos) + 1 AS L FROM {texts} GROUP BY doc_id)",
+        f"ch_occ AS (SELECT doc_id, token, pos FROM {texts} WHERE token IN (SELECT token FROM {words}))",
+        f"ch_n AS (SELECT CAST(sum(greatest(L - {width - 1}, 1)) AS BIGINT) AS n FROM ch_len WHERE doc_id IN (SELECT doc_id FROM ch_occ))",
+        f"ch_o AS (SELECT o.doc_id, o.token, greatest(o.pos - {width - 1}, 0) AS lo, least(o.pos, greatest(l.L - {width}, 0)) AS hi "
+        f"FROM ch_occ o JOIN ch_len l ON l.doc_id = o.doc_id)",
+        "ch_o2 AS (SELECT *, CASE WHEN pm IS NULL OR lo > pm THEN 1 ELSE 0 END AS nw_ FROM (SELECT *, max(hi) OVER "
+        "(PARTITION BY doc_id, token ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM ch_o))",
+        "ch_o3 AS (SELECT *, sum(nw_) OVER (PARTITION BY doc_id, token ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS isl FROM ch_o2)",
+        "ch_isl AS (SELECT doc_id, token, min(lo) AS lo, max(hi) AS hi FROM ch_o3 GROUP BY doc_id, token, isl)",
+        "ch_wc AS (SELECT token, sum(hi - lo + 1) AS c FROM ch_isl GROUP BY token)",
+        f"ch_t AS (SELECT DISTINCT w.topic, w.token, c.c FROM {words} w JOIN ch_wc c ON c.token = w.token)",
+        "ch_p AS (SELECT a.topic, a.token AS wi, b.token AS wj, a.c AS c_wi, b.c AS c_wj FROM ch_t a JOIN ch_t b ON a.topic = b.topic)",
+        "ch_ov AS (SELECT a.token AS wi, b.token AS wj, sum(least(a.hi, b.hi) - greatest(a.lo, b.lo) + 1) AS c_ij "
+        "FROM ch_isl a JOIN ch_isl b ON a.doc_id = b.doc_id AND a.lo <= b.hi AND b.lo <= a.hi GROUP BY 1, 2)",
+        "ch_np AS (SELECT p.topic, p.wi, p.wj, CASE WHEN ov.c_ij = n.n THEN 1.0 ELSE "
+        "ln((coalesce(ov.c_ij, 0) / n.n + 1e-12) / ((p.c_wi / n.n) * (p.c_wj / n.n))) / (-ln(coalesce(ov.c_ij, 0) / n.n + 1e-12)) END AS npmi "
+        "FROM ch_p p LEFT JOIN ch_ov ov ON ov.wi = p.wi AND ov.wj = p.wj, ch_n n)",
+        "ch_vs AS (SELECT topic, wj, sum(npmi) AS V FROM ch_np GROUP BY topic, wj)",
+        "ch_cs AS (SELECT x.topic, x.wi, sum(x.npmi * v.V) / (sqrt(sum(x.npmi * x.npmi)) * sqrt(sum(v.V * v.V))) AS cos "
+        "FROM ch_np x JOIN ch_vs v ON v.topic = x.topic AND v.wj = x.wj GROUP BY x.topic, x.wi)",
+        "ch_coh AS (SELECT topic, avg(cos) AS coherence FROM ch_cs GROUP BY topic)",
+    ]
