@@ -19,6 +19,7 @@ vocabulary.  Parameters live in a table ``(layer, row, values)``; layers
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -30,6 +31,7 @@ from pyspark.sql import types as T
 from quill.functions.hashing import TWO_32, hash_key, hash_unit
 
 MAX_PARAMS = 50_000_000        # bound on numbers broadcast to tasks
+GRAD_CHUNK = 2048              # parameter rows per gradient record
 LAYERS = ("enc", "enc_b", "mu", "mu_b", "lv", "lv_b", "dec", "dec_b")
 
 
@@ -222,7 +224,6 @@ def _grad_fn(bm, seed: int, epoch: int, scale: float):
             for i, d in enumerate(pdf["doc_id"]):
                 for k in range(K):  # reproducible noise per (doc, epoch, k)
                     s = f"{seed}:eps{epoch}:{int(d) * K + k}".encode()
-                    import hashlib
                     u = [int(hashlib.md5(s + bytes([j])).hexdigest()[:8], 16) / TWO_32 for j in range(2)]
                     eps[i, k] = math.sqrt(-2.0 * math.log(max(u[0], 1e-300))) * math.cos(2 * math.pi * u[1])
             std = np.exp(0.5 * lv)
@@ -233,7 +234,7 @@ def _grad_fn(bm, seed: int, epoch: int, scale: float):
                 np.add.at(X[i], t, c)
             recon = -(X * lp).sum(1)
             kl = -0.5 * (1 + lv - mu ** 2 - np.exp(lv)).sum(1)
-            stats += [B, recon.sum(), kl.sum(), (recon + kl).sum()]
+            stats += np.array([B, recon.sum(), kl.sum(), (recon + kl).sum()])
             sm = np.exp(lp)
             dlog = (-X + X.sum(1, keepdims=True) * sm) * scale
             dz = dlog @ m.Wd
@@ -251,14 +252,20 @@ def _grad_fn(bm, seed: int, epoch: int, scale: float):
                     g = cn * da1[i]
                     enc_rows[tok] = g if tok not in enc_rows else enc_rows[tok] + g
         out_l, out_r, out_v = [], [], []
+        if enc_rows:
+            enc = np.zeros((V, H))
+            for tok, g in enc_rows.items():
+                enc[tok] = g
+            acc["enc"] = enc
         for layer, mat in acc.items():
             if mat is None:
                 continue
-            for r in range(mat.shape[0]):
-                out_l.append(layer); out_r.append(r); out_v.append(mat[r].tolist())
-        for tok, g in enc_rows.items():
-            out_l.append("enc"); out_r.append(int(tok)); out_v.append(g.tolist())
-        out_l.append("_stats"); out_r.append(0); out_v.append(stats.tolist())
+            for c0 in range(0, mat.shape[0], GRAD_CHUNK):  # row blocks: few, large records
+                block = mat[c0:c0 + GRAD_CHUNK]
+                if layer == "enc" and not block.any():
+                    continue
+                out_l.append(layer); out_r.append(c0 // GRAD_CHUNK); out_v.append(block.ravel())
+        out_l.append("_stats"); out_r.append(0); out_v.append(stats)
         yield pd.DataFrame({"layer": out_l, "row": pd.Series(out_r, dtype="int32"), "values": out_v})
     return fn
 
@@ -284,14 +291,12 @@ def fit(bow: DataFrame, V: int, H: int = 500, K: int = 40, epochs: int = 15, bat
     log_rows, mon_rows = [], []
     for epoch in range(epochs):
         mb = minibatches(ent.select("doc_id"), epoch, batch_size, seed)
-        batched = materialize(ent.join(mb, on="doc_id"))
-        n_batches = batched.agg(F.max("batch")).first()[0]
-        for b in range(int(n_batches) + 1):
+        batched = materialize(ent.join(mb, on="doc_id"), partition_by="batch")
+        sizes = {r["batch"]: r["n"] for r in batched.groupBy("batch").agg(F.count(F.lit(1)).alias("n")).collect()}
+        for b in sorted(sizes):
+            n_docs = sizes[b]
             bm = spark.sparkContext.broadcast(mats)
-            part = batched.where(F.col("batch") == b)
-            n_docs = part.count()
-            if n_docs == 0:
-                continue
+            part = batched.where(F.col("batch") == b)  # directory pruning on the batch partition
             grads = (part.mapInPandas(_grad_fn(bm, seed, epoch, 1.0 / n_docs), "layer string, row int, values array<double>")
                      .groupBy("layer", "row").agg(_vsum("values").alias("values")).collect())
             step += 1
@@ -300,8 +305,11 @@ def fit(bow: DataFrame, V: int, H: int = 500, K: int = 40, epochs: int = 15, bat
             for r in grads:
                 if r["layer"] == "_stats":
                     stats = r["values"]
-                else:
-                    g[r["layer"]][r["row"]] += np.asarray(r["values"])
+                    continue
+                flat = np.asarray(r["values"])
+                mat = g[r["layer"]]
+                c0 = r["row"] * GRAD_CHUNK
+                mat[c0:c0 + flat.size // mat.shape[1]] += flat.reshape(-1, mat.shape[1])
             for k in mats:
                 m1[k] = b1 * m1[k] + (1 - b1) * g[k]
                 m2[k] = b2 * m2[k] + (1 - b2) * g[k] ** 2
@@ -310,7 +318,7 @@ def fit(bow: DataFrame, V: int, H: int = 500, K: int = 40, epochs: int = 15, bat
                 mats[k] = mats[k] - lr * mh / (np.sqrt(vh) + e)
             bm.unpersist()
             nd = stats[0] if stats else n_docs
-            log_rows.append((epoch, b, int(nd), stats[3] / nd, stats[1] / nd, stats[2] / nd))
+            log_rows.append((epoch, int(b), int(nd), stats[3] / nd, stats[1] / nd, stats[2] / nd))
         if vocab is not None:
             dec = mats["dec"]
             for k in range(min(monitor_topics, dec.shape[1])):

@@ -619,3 +619,47 @@ def q_perplexity(spark, sf):
     p, vocab, params = _topic_setup(spark, sf)
     r = TM.perplexity(_val_bow(p, vocab), params)
     return r.select(F.round("perplexity", 4).alias("perplexity"), "total_words")
+
+
+@query("minibatch_assign", Q.with_(*_PREP_TRAIN,
+                                   "mb AS (SELECT doc_id, e AS epoch, CAST((row_number() OVER (PARTITION BY e ORDER BY "
+                                   "md5(concat_ws(':', '42', 'epoch' || CAST(e AS VARCHAR), CAST(doc_id AS VARCHAR))), doc_id) - 1) // 64 AS BIGINT) AS batch "
+                                   "FROM tdocs, (SELECT unnest([0, 1]) AS e))") +
+       "SELECT doc_id, CAST(epoch AS INTEGER) AS epoch, batch FROM mb")
+def q_minibatch_assign(spark, sf):
+    docs = _train_docs(spark, sf)
+    out = TM.minibatches(docs, 0, 64).unionByName(TM.minibatches(docs, 1, 64))
+    return out.select("doc_id", F.col("epoch").cast("int"), "batch")
+
+
+FIT_H, FIT_K, FIT_EPOCHS, FIT_BATCH = 32, 8, 2, 256
+
+
+def _fit(spark, sf):
+    p = prepared_documents(spark, sf)
+    from quill.session import materialize
+    vocab = materialize(V.fit_vocabulary(p.tokens))
+    n_vocab = vocab.count()
+    bow = V.term_counts(p.tokens.where(F.col("split") == "train"), vocab, keep=())
+    return TM.fit(bow, n_vocab, H=FIT_H, K=FIT_K, epochs=FIT_EPOCHS, batch_size=FIT_BATCH, vocab=vocab)
+
+
+@query("topic_fit")
+def q_topic_fit(spark, sf):
+    """M4/M8 (rows only): data-parallel fit; the per-step training log."""
+    _, log, _ = _fit(spark, sf)
+    return log
+
+
+@query("training_log_summary")
+def q_training_log_summary(spark, sf):
+    """A13 (rows only): per-epoch averages of the fit's log."""
+    _, log, _ = _fit(spark, sf)
+    return TM.training_log_summary(log)
+
+
+@query("best_checkpoint")
+def q_best_checkpoint(spark, sf):
+    """A14 (rows only): the epoch with the lowest average loss (earliest on ties)."""
+    _, log, _ = _fit(spark, sf)
+    return TM.best_epoch(TM.training_log_summary(log))

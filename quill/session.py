@@ -55,12 +55,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Cut lineage: write ``df`` once as a Parquet table in the shared folder
     named by ``spark.checkpoint.dir`` and read it back.  It is computed once,
     survives executor loss, and keeps later plans small (a plan that
     references its own input several times grows with every stage)."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/quill-tables/{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    w = df.write.mode("overwrite")
+    if partition_by:
+        w = w.partitionBy(partition_by)
+    w.parquet(path)
     return spark.read.parquet(path)
