@@ -54,14 +54,12 @@ def lemma_map(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     candidate in the lexicon the token is its own lemma.
     """
     w = words.select("token").distinct()
-    parts = [w.select("token", F.col("token").alias("cand"))]
-    for old, new in NOUN_RULES:
-        parts.append(w.where(F.col("token").endswith(old)).select(
-            "token",
-            F.concat(F.expr(f"substring(token, 1, length(token) - {len(old)})"), F.lit(new)).alias("cand")))
-    cands = parts[0]
-    for p in parts[1:]:
-        cands = cands.unionByName(p)
+    # all candidates in one pass: the token itself and every applicable rule result
+    forms = [F.col("token")] + [
+        F.when(F.col("token").endswith(old),
+               F.concat(F.expr(f"substring(token, 1, length(token) - {len(old)})"), F.lit(new)))
+        for old, new in NOUN_RULES]
+    cands = w.select("token", F.explode(F.array(*forms)).alias("cand")).where(F.col("cand").isNotNull())
     known = cands.join(lexicon.select(F.col("word").alias("cand")), on="cand", how="left_semi")
     best = known.groupBy("token").agg(
         F.min(F.struct(F.length("cand").alias("len"), F.col("cand").alias("cand"))).alias("b"))

@@ -111,14 +111,11 @@ def params_to_numpy(params: DataFrame) -> dict:
     n = params.select(F.sum(F.size("values"))).first()[0] or 0
     if n > MAX_PARAMS:
         raise ValueError(f"{n} parameters exceed the broadcast bound {MAX_PARAMS}")
+    pdf = params.toPandas()  # Arrow transfer; size checked above
     mats: dict = {}
-    rows = params.collect()
-    by_layer: dict = {}
-    for r in rows:
-        by_layer.setdefault(r["layer"], []).append((r["row"], r["values"]))
-    for layer, items in by_layer.items():
-        items.sort()
-        mats[layer] = np.asarray([v for _, v in items], dtype=np.float64)
+    for layer, g in pdf.groupby("layer"):
+        g = g.sort_values("row")
+        mats[layer] = np.stack([np.asarray(v, dtype=np.float64) for v in g["values"].to_numpy()])
     return mats
 
 
