@@ -5,17 +5,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quill.llm import bpe, mixing, quality_rules
+from quill.llm import bpe, chat, fingerprints, line_dedup, mixing, ngram_join, pii, quality_rules, substring_dedup, suffix_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.summary(_documents(spark, sf_dir))
+
+
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.search(_documents(spark, sf_dir))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(_documents(spark, sf_dir))
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited(_documents(spark, sf_dir))
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_records(chat.records_of(table.unionByName(added))))
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(_documents(spark, sf_dir))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = quality_rules.quality(_documents(spark, sf_dir))
     return q.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_line_words")
@@ -25,9 +52,12 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_documents(spark, sf_dir))
 
 
-QUERIES = {
-    "op3_mix_sources": op3_mix_sources,
-    "op8_quality_rules": op8_quality_rules,
-    "op9_byte_bpe": op9_byte_bpe,
-}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicated(_documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_line_dedup, op2_personal_data, op3_mix_sources, op4_ngram_join, op5_fingerprints, op6_chat_format,
+    op7_suffix_dedup, op8_quality_rules, op9_byte_bpe, op10_substring_dedup,
+)}
 ORACLE = {"op3_mix_sources": mixing.SQL, "op8_quality_rules": quality_rules.SQL}
