@@ -3,7 +3,7 @@
 Every random choice in the library (split order, oversampling draws, SMOTE
 gaps, generated weights) is a pure function of ``(seed, tag, i)``:
 
-    h(seed, tag, i) = first 8 hex digits of md5("seed:tag:i") as an integer in [0, 2**32)
+    h(seed, tag, i) = first 15 hex digits of md5("seed:tag:i") as an integer in [0, 2**60)
 
 so the same draw can be recomputed in SQL by any engine with ``md5``.  Each
 Spark expression has a DuckDB twin (``*_sql``) used by the oracle queries.
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TWO_32 = 4294967296.0
+TWO_60 = 1152921504606846976.0
 
 
 def _as_str(c) -> Column:
@@ -29,22 +29,13 @@ def hash_key(seed, tag, i) -> Column:
 
 
 def hash_draw(seed, tag, i) -> Column:
-    """Integer draw in [0, 2**32) as LONG."""
-    return F.conv(F.substring(hash_key(seed, tag, i), 1, 8), 16, 10).cast("long")
+    """Integer draw in [0, 2**60) as LONG: a row of any table can be drawn."""
+    return F.conv(F.substring(hash_key(seed, tag, i), 1, 15), 16, 10).cast("long")
 
 
 def hash_unit(seed, tag, i) -> Column:
     """Uniform double in [0, 1)."""
-    return hash_draw(seed, tag, i) / F.lit(TWO_32)
-
-
-def hash_normal(seed, tag, i) -> Column:
-    """Approximately standard-normal value (sum of 4 uniforms, centred and scaled)."""
-    s = None
-    for j in range(4):
-        u = hash_unit(seed, F.concat_ws("/", _as_str(tag), F.lit(str(j))), i)
-        s = u if s is None else s + u
-    return (s - F.lit(2.0)) * F.lit(3.0 ** 0.5)
+    return hash_draw(seed, tag, i) / F.lit(TWO_60)
 
 
 # ---------------------------------------------------------------- SQL twins
@@ -62,20 +53,8 @@ def hash_key_sql(seed, tag, i) -> str:
 
 
 def hash_draw_sql(seed, tag, i) -> str:
-    return f"CAST(('0x' || substr({hash_key_sql(seed, tag, i)}, 1, 8)) AS BIGINT)"
+    return f"CAST(('0x' || substr({hash_key_sql(seed, tag, i)}, 1, 15)) AS BIGINT)"
 
 
 def hash_unit_sql(seed, tag, i) -> str:
-    return f"({hash_draw_sql(seed, tag, i)} / CAST({int(TWO_32)} AS DOUBLE))"
-
-
-def hash_normal_sql(seed, tag, i) -> str:
-    parts = []
-    for j in range(4):
-        t = tag
-        if isinstance(tag, str) and tag.startswith("@"):
-            t = f"@(CAST({tag[1:]} AS VARCHAR) || '/{j}')"
-        else:
-            t = f"{tag}/{j}"
-        parts.append(hash_unit_sql(seed, t, i))
-    return f"(({' + '.join(parts)}) - 2.0) * {3.0 ** 0.5!r}"
+    return f"({hash_draw_sql(seed, tag, i)} / CAST({int(TWO_60)} AS DOUBLE))"

@@ -10,7 +10,7 @@ recomputed in SQL:
   ``1 + h(seed, c, j) % n_c``;
 * SMOTE: draw ``j`` picks cell ``r = h(seed, c, j) % (n_c * k)``; the base is
   row ``r div k + 1``, the neighbour is its ``(r % k + 1)``-th nearest
-  neighbour in the class, the gap is ``h(seed + 1, c, j) / 2**32``.
+  neighbour in the class, the gap is ``h(seed + 1, c, j) / 2**60``.
 
 Copies get ``out_id = max(doc_id) + 1 + (deficits of earlier classes) + j - 1``;
 originals keep ``out_id = doc_id``.  The draw table is generated in chunks
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quill.functions.hashing import TWO_32, hash_draw, hash_key
+from quill.functions.hashing import TWO_60, hash_draw, hash_key
 from quill.functions.ranking import rank_within
 
 DRAW_CHUNK = 1 << 20
@@ -36,7 +36,8 @@ def class_targets(df: DataFrame, label_col: str = "label", strategy="auto",
     ``strategy``: ``'auto'``/``'not majority'``/``'all'`` raise every class
     to the majority size; ``'minority'`` only the smallest class (ties: the
     smallest label); ``'not minority'`` every class but the smallest;
-    a DataFrame ``(label, target)`` gives explicit targets.  ``offset`` is
+    a DataFrame ``(label, target)`` gives explicit targets (one below a class's
+    size fails the job).  ``offset`` is
     the first ``out_id`` of the class's copies."""
     c = df.groupBy(F.col(label_col).alias("label")).agg(
         F.count(F.lit(1)).alias("n"), F.max(key_col).alias("_maxkey"))
@@ -45,7 +46,9 @@ def class_targets(df: DataFrame, label_col: str = "label", strategy="auto",
     if isinstance(strategy, DataFrame):
         t = strategy.select(F.col(strategy.columns[0]).alias("label"), F.col(strategy.columns[1]).alias("_t"))
         c = c.join(t, on="label", how="left").withColumn(
-            "target", F.greatest(F.coalesce(F.col("_t"), F.col("n")), F.col("n"))).drop("_t")
+            "target", F.when(F.col("_t") < F.col("n"), F.raise_error(F.concat(
+                F.lit("target below the size of class "), F.col("label"))).cast("long"))
+            .otherwise(F.coalesce(F.col("_t"), F.col("n")))).drop("_t")
     else:
         s = str(strategy).lower()
         minority = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("n", "label")) == 1
@@ -118,7 +121,7 @@ def smote_draws(df: DataFrame, k: int, label_col: str = "label", key_col: str =
     draws = (draw_table(targets, seed)
              .withColumn("idx", (F.floor(r / k) + 1).cast("long"))
              .withColumn("nn_rank", (r % k + 1).cast("int"))
-             .withColumn("gap", hash_draw(seed + 1, F.col("label"), F.col("j")) / F.lit(TWO_32)))
+             .withColumn("gap", hash_draw(seed + 1, F.col("label"), F.col("j")) / F.lit(TWO_60)))
     return draws.join(idx, on=["label", "idx"], how="inner").select(
         (F.col("offset") + F.col("j") - 1).alias("out_id"), "label",
         F.col("doc_id").alias("base_id"), "nn_rank", "gap")
@@ -127,9 +130,10 @@ def smote_draws(df: DataFrame, k: int, label_col: str = "label", key_col: str =
 def smote_dense(points: DataFrame, k: int | None = None, label_col: str = "label",
                 features_col: str = "features", seed: int = 42, strategy="auto",
                 block_size: int = 256) -> DataFrame:
-    """B8 on dense vectors: synthetic rows ``(out_id, label, base_id,
-    neighbor_id, gap, features)``; ``k`` defaults to the adaptive k (B9).
-    Falls back to random oversampling when a class has fewer than 2 rows."""
+    """B8 on dense vectors: the originals and the synthetic rows ``(out_id,
+    label, base_id, neighbor_id, gap, features)``; an original is its own base
+    without neighbour and gap.  ``k`` defaults to the adaptive k (B9); a class
+    of fewer than 2 rows is an error here (``balance`` falls back instead)."""
     from quill.operators.knn import knn_dense
     pts = points.select(F.col("doc_id"), F.col(label_col).alias("label"), F.col(features_col).alias("features"))
     if k is None:
@@ -146,15 +150,17 @@ def smote_dense(points: DataFrame, k: int | None = None, label_col: str = "label
     n = pts.select(F.col("doc_id").alias("neighbor_id"), F.col("features").alias("_fn"))
     d = d.join(b, on="base_id").join(n, on="neighbor_id")
     feats = F.zip_with("_fb", "_fn", lambda a, c: a + F.col("gap") * (c - a))
-    return d.select("out_id", "label", "base_id", "neighbor_id", "gap", feats.alias("features"))
+    own = pts.select(F.col("doc_id").alias("out_id"), "label", F.col("doc_id").alias("base_id"),
+                     F.lit(None).cast("long").alias("neighbor_id"), F.lit(None).cast("double").alias("gap"), "features")
+    return own.unionByName(d.select("out_id", "label", "base_id", "neighbor_id", "gap", feats.alias("features")))
 
 
 def smote_sparse(docs: DataFrame, bow: DataFrame, k: int | None = None, seed: int = 42,
                  strategy="auto", integral: bool = True, block_size: int = 256) -> DataFrame:
     """B8 on bag-of-words counts.  ``docs(doc_id, label)`` are the rows (a
     document without an in-vocabulary token is an all-zero row),
-    ``bow(doc_id, token_id, cnt)`` their counts.  Returns synthetic triples
-    ``(out_id, label, token_id, cnt)``; with ``integral`` the value is
+    ``bow(doc_id, token_id, cnt)`` their counts.  Returns the triples
+    ``(out_id, label, token_id, cnt)`` of originals and synthetic rows; with ``integral`` the value is
     truncated to an integer like the reference's integer matrix, zeros dropped."""
     from quill.operators.knn import knn_sparse
     docs = docs.select("doc_id", "label")
@@ -179,4 +185,31 @@ def smote_sparse(docs: DataFrame, bow: DataFrame, k: int | None = None, seed: in
     val = av + gap * (bv - av)
     out = j.select("out_id", F.coalesce(F.col("label"), F.col("_lb")).alias("label"), "token_id",
                    (val.cast("long").cast("int") if integral else val).alias("cnt"))
-    return out.where(F.col("cnt") != 0)
+    own = docs.join(bow.select("doc_id", "token_id", "cnt"), on="doc_id").select(
+        F.col("doc_id").alias("out_id"), "label", "token_id", F.col("cnt").cast(out.schema["cnt"].dataType).alias("cnt"))
+    return own.unionByName(out.where(F.col("cnt") != 0))
+
+
+METHODS = ("ros", "smote")
+
+
+def balance(docs: DataFrame, features: DataFrame, method: str = "smote", strategy="auto",
+            k: int | None = None, seed: int = 42) -> DataFrame:
+    """The balanced table, originals and added rows together.
+
+    ``docs(doc_id, label)``; ``features`` has one row per document
+    (``features`` vectors, or any columns with ``method='ros'``) or bag-of-words
+    triples (``token_id, cnt``).  ``smote`` needs 2 rows in every class and
+    turns into ``ros`` otherwise; another method is an error."""
+    if method not in METHODS:
+        raise ValueError(f"unknown balancing method: {method!r}")
+    docs = docs.select("doc_id", "label")
+    if method == "smote" and smote_k(docs).first()["method"] == "ros":  # one scalar row that picks the plan
+        method = "ros"
+    if method == "ros":
+        rows = random_oversample(docs, seed=seed, strategy=strategy).select("out_id", "doc_id", "label")
+        return rows.join(features.drop("label"), on="doc_id", how="inner").drop("doc_id")
+    if "token_id" in features.columns:
+        return smote_sparse(docs, features, k, seed=seed, strategy=strategy)
+    points = docs.join(features.select("doc_id", "features"), on="doc_id", how="inner")
+    return smote_dense(points, k, seed=seed, strategy=strategy).select("out_id", "label", "features")

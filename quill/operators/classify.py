@@ -82,21 +82,26 @@ def accuracy(pred: DataFrame) -> DataFrame:
     return pred.agg(F.avg((F.col("pred_id") == F.col("label_id")).cast("double")).alias("accuracy"))
 
 
+def confusion(pred: DataFrame) -> DataFrame:
+    """``(label_id, pred_id, n)``: every metric below is a sum over it."""
+    return pred.groupBy("label_id", "pred_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 def class_scores(pred: DataFrame, label_map: DataFrame | None = None) -> DataFrame:
-    """Per class ``(label_id, precision, recall, f1, support)`` over classes in
-    truth or prediction (plus every class of ``label_map`` when given); 0/0 -> 0."""
-    tp = pred.where(F.col("pred_id") == F.col("label_id")).groupBy("label_id").agg(F.count(F.lit(1)).alias("tp"))
-    sup = pred.groupBy("label_id").agg(F.count(F.lit(1)).alias("support"))
-    npred = pred.groupBy(F.col("pred_id").alias("label_id")).agg(F.count(F.lit(1)).alias("npred"))
-    classes = sup.select("label_id").unionByName(npred.select("label_id"))
+    """Per class ``(label_id, precision, recall, f1, support, tp)`` over classes
+    in truth or prediction (plus every class of ``label_map`` when given); 0/0 -> 0.
+    ``pred`` may be predictions or their confusion table."""
+    c = pred if "n" in pred.columns else confusion(pred)
+    hit = F.when(F.col("label_id") == F.col("pred_id"), F.col("n")).otherwise(0)
+    zero = F.lit(0).cast("long")
+    rows = c.select("label_id", hit.cast("long").alias("tp"), F.col("n").cast("long").alias("support"), zero.alias("npred")).unionAll(
+        c.select("pred_id", zero, zero, F.col("n").cast("long")))
     if label_map is not None:
-        classes = classes.unionByName(label_map.select("label_id"))
-    c = (classes.distinct().join(tp, "label_id", "left").join(sup, "label_id", "left").join(npred, "label_id", "left")
-         .fillna(0, ["tp", "support", "npred"]))
+        rows = rows.unionAll(label_map.select("label_id", zero, zero, zero))
+    c = rows.groupBy("label_id").agg(*[F.sum(x).alias(x) for x in ("tp", "support", "npred")])
     p = F.when(F.col("npred") > 0, F.col("tp") / F.col("npred")).otherwise(F.lit(0.0))
     r = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(F.lit(0.0))
-    c = c.select("label_id", p.alias("precision"), r.alias("recall"), F.col("support").cast("long"),
-                 F.col("tp").cast("long"))
+    c = c.select("label_id", p.alias("precision"), r.alias("recall"), "support", "tp")
     f1 = F.when(F.col("precision") + F.col("recall") > 0,
                 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(F.lit(0.0))
     return c.withColumn("f1", f1)
@@ -114,20 +119,21 @@ def weighted_metrics(pred: DataFrame) -> DataFrame:
 
 
 def classification_report(pred: DataFrame, label_map: DataFrame) -> DataFrame:
-    """One row per class name, then ``accuracy``, ``macro avg``,
-    ``weighted avg`` — ``(row, precision, recall, f1, support)``."""
-    s = class_scores(pred).join(label_map, "label_id", "left")
+    """One row per class of the label map, then ``accuracy``, ``macro
+    avg``, ``weighted avg`` — ``(row, precision, recall, f1, support)``.  The
+    scores are one row per class, written once; every line comes from them."""
+    from quill.session import materialize
+    s = materialize(class_scores(confusion(pred), label_map).join(label_map, "label_id", "left"))
     per = s.select(F.coalesce(F.col("label"), F.col("label_id").cast("string")).alias("row"),
                    "precision", "recall", "f1", "support")
     tot = F.sum("support")
+    null = F.lit(None).cast("double")
     macro = s.agg(F.lit("macro avg").alias("row"), F.avg("precision").alias("precision"),
                   F.avg("recall").alias("recall"), F.avg("f1").alias("f1"), tot.cast("long").alias("support"))
     weighted = s.agg(F.lit("weighted avg").alias("row"),
                      (F.sum(F.col("precision") * F.col("support")) / tot).alias("precision"),
                      (F.sum(F.col("recall") * F.col("support")) / tot).alias("recall"),
                      (F.sum(F.col("f1") * F.col("support")) / tot).alias("f1"), tot.cast("long").alias("support"))
-    acc = pred.agg(F.lit("accuracy").alias("row"), F.lit(None).cast("double").alias("precision"),
-                   F.lit(None).cast("double").alias("recall"),
-                   F.avg((F.col("pred_id") == F.col("label_id")).cast("double")).alias("f1"),
-                   F.count(F.lit(1)).cast("long").alias("support"))
+    acc = s.agg(F.lit("accuracy").alias("row"), null.alias("precision"), null.alias("recall"),
+                (F.sum("tp") / tot).alias("f1"), tot.cast("long").alias("support"))
     return per.unionByName(acc).unionByName(macro).unionByName(weighted)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quill.functions.hashing import TWO_32, hash_key, hash_unit
+from quill.functions.hashing import TWO_60, hash_key, hash_unit
 
 MAX_PARAMS = 50_000_000        # bound on numbers broadcast to tasks
 GRAD_CHUNK = 2048              # parameter rows per gradient record
@@ -221,7 +221,7 @@ def _grad_fn(bm, seed: int, epoch: int, scale: float):
             for i, d in enumerate(pdf["doc_id"]):
                 for k in range(K):  # reproducible noise per (doc, epoch, k)
                     s = f"{seed}:eps{epoch}:{int(d) * K + k}".encode()
-                    u = [int(hashlib.md5(s + bytes([j])).hexdigest()[:8], 16) / TWO_32 for j in range(2)]
+                    u = [int(hashlib.md5(s + bytes([j])).hexdigest()[:15], 16) / TWO_60 for j in range(2)]
                     eps[i, k] = math.sqrt(-2.0 * math.log(max(u[0], 1e-300))) * math.cos(2 * math.pi * u[1])
             std = np.exp(0.5 * lv)
             z = mu + eps * std

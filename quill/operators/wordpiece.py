@@ -4,7 +4,7 @@ truncation, padding and attention masks.
 The piece vocabulary is a DataFrame ``(piece, id)``; continuation pieces
 carry ``##``.  ``build_piece_vocab`` derives a test vocabulary from the
 train split: the special markers, every character and its ``##`` form, and
-the most frequent train words.  Words are encoded once per *distinct* word
+the words of enough train documents.  Words are encoded once per *distinct* word
 (Arrow batches, the vocabulary as a broadcast dictionary of bounded size),
 then joined back to the token stream and assembled per document.
 """
@@ -22,7 +22,7 @@ PAD, UNK, CLS, SEP = "[PAD]", "[UNK]", "[CLS]", "[SEP]"
 SPECIALS = (PAD, UNK, CLS, SEP)          # ids 0, 1, 2, 3
 MAX_LEN = 128                            # sequence length, markers included
 MAX_WORD_CHARS = 100                     # longer words encode as [UNK]
-TOP_WORDS = 200                          # whole words added to the test vocabulary
+MIN_WORD_DOCS = 20                       # a derived vocabulary holds the words of that many train documents
 MAX_VOCAB_PIECES = 2_000_000             # size bound for broadcasting the vocabulary
 
 
@@ -51,15 +51,15 @@ def strip_accents_sql(expr: str) -> str:
     return f"translate({expr}, '{ACCENT_FROM}', '{ACCENT_TO}')"
 
 
-def build_piece_vocab(train_tokens: DataFrame, top_words: int = TOP_WORDS) -> DataFrame:
-    """``(piece, id)``: specials 0-3, then pieces in ascending order."""
-    words = train_tokens.select(strip_accents("token").alias("w"))
+def build_piece_vocab(train_tokens: DataFrame, min_docs: int = MIN_WORD_DOCS) -> DataFrame:
+    """``(piece, id)``: specials 0-3, then pieces in ascending order.  All words
+    in at least ``min_docs`` documents are whole pieces."""
+    words = train_tokens.select("doc_id", strip_accents("token").alias("w"))
     chars = words.select(F.explode(F.split("w", "")).alias("c")).where(F.length("c") == 1).distinct()
     pieces = chars.select(F.col("c").alias("piece")).unionByName(
         chars.select(F.concat(F.lit("##"), "c").alias("piece")))
-    top = (words.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-           .orderBy(F.col("n").desc(), F.col("w")).limit(top_words)  # top-k is the feature here
-           .select(F.col("w").alias("piece")))
+    top = (words.distinct().groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+           .where(F.col("n") >= min_docs).select(F.col("w").alias("piece")))
     allp = pieces.unionByName(top).distinct()
     from quill.functions.ranking import dense_index
     idx = dense_index(allp, "piece", out="id", prefix_chars=1)

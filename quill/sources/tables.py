@@ -15,21 +15,21 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations")
 
 # conversations are keyed by (conv_id, turn); the single LONG key is
-# conv_id * TURN_BASE + turn.
-TURN_BASE = 100000
+# Conversations are keyed by (conv_id, turn); the single LONG key is
+# conv_id * TURN_BASE + turn.  A turn outside the base is an error, not a collision.
+TURN_BASE = 1 << 20
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a CPU-heavy text scan at least one partition per core.
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows of a small file dealt out to as many tasks as the session asks for
+    (``spark.quill.minInputPartitions``); unset, nothing is shuffled."""
+    n = df.sparkSession.conf.get("spark.quill.minInputPartitions", None)
+    return df.repartition(int(n)) if n else df
 
-    A small file is one Parquet row group, hence one task; at cluster scale
-    the input already has many splits and nothing is shuffled.
-    """
-    spark = df.sparkSession
-    par = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
-        return df.repartition(par)
-    return df
+
+def turn_key(conv_id: F.Column, turn: F.Column) -> F.Column:
+    key = (conv_id * TURN_BASE + turn).cast("long")
+    return F.when(turn.between(0, TURN_BASE - 1), key).otherwise(F.raise_error(F.lit("turn out of range")).cast("long"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,7 +44,7 @@ def documents_corpus(spark: SparkSession, sf_dir: str, label: str = "lang") -> D
         lab = F.concat(F.lit("b"), F.floor(F.col("n_chars") / 2000).cast("long").cast("string"))
     else:
         lab = F.col(label).cast("string")
-    return spread(d.select(F.col("doc_id").cast("long").alias("doc_id"),
+    return dealt(d.select(F.col("doc_id").cast("long").alias("doc_id"),
                            F.col("text"), lab.alias("label")))
 
 
@@ -57,8 +57,8 @@ def documents_label_sql(label: str = "lang") -> str:
 def conversations_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Short-text corpus: one document per turn, class = role."""
     c = table(spark, sf_dir, "conversations")
-    return spread(c.select(
-        (F.col("conv_id") * TURN_BASE + F.col("turn")).cast("long").alias("doc_id"),
+    return dealt(c.select(
+        turn_key(F.col("conv_id"), F.col("turn")).alias("doc_id"),
         F.col("conv_id").cast("long").alias("conv_id"),
         F.col("text"), F.col("role").cast("string").alias("label")))
 
