@@ -8,6 +8,7 @@ one array per document.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,8 @@ NOUN_RULES = (("s", ""), ("ses", "s"), ("ves", "f"), ("xes", "x"), ("zes", "z"),
               ("ches", "ch"), ("shes", "sh"), ("men", "man"), ("ies", "y"))
 
 LEXICON_MIN_DF = 2
+#: Entries up to which a lemma map is sent to the tasks.
+MAP_ROWS = 500_000
 
 
 def require_columns(df: DataFrame, *cols: str) -> None:
@@ -39,19 +42,22 @@ def explode_tokens(df: DataFrame, tokens_col: str = "tokens", keep=("label",)) -
     return df.select("doc_id", *keep, F.posexplode(tokens_col).alias("pos", "token"))
 
 
-def default_lexicon(tokens_long: DataFrame, min_df: int = LEXICON_MIN_DF) -> DataFrame:
-    """Words known to the lemmatiser: tokens in at least ``min_df`` documents."""
+def corpus_lexicon(tokens_long: DataFrame, min_df: int = LEXICON_MIN_DF) -> DataFrame:
+    """A lexicon for corpora without a dictionary: tokens in at least ``min_df``
+    documents.  It takes any word of any language for a noun and depends on the
+    corpus; give a dictionary of nouns where there is one."""
     return (tokens_long.select("doc_id", "token").distinct()
             .groupBy("token").agg(F.count(F.lit(1)).alias("df"))
             .where(F.col("df") >= min_df).select(F.col("token").alias("word")))
 
 
-def lemma_map(words: DataFrame, lexicon: DataFrame) -> DataFrame:
+def lemma_map(words: DataFrame, lexicon: DataFrame, exceptions: DataFrame | None = None) -> DataFrame:
     """``(token, lemma)`` for every distinct token whose lemma differs.
 
-    Candidates are the token itself and each suffix-rule result; those in the
-    lexicon compete and the shortest wins (ties by text).  Without any
-    candidate in the lexicon the token is its own lemma.
+    ``exceptions(token, lemma)`` come first.  Else the candidates are the token
+    itself and each suffix-rule result; those in ``lexicon(word)`` compete and
+    the shortest wins (ties by text).  Without any candidate in the lexicon the
+    token is its own lemma.
     """
     w = words.select("token").distinct()
     # all candidates in one pass: the token itself and every applicable rule result
@@ -63,51 +69,67 @@ def lemma_map(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     known = cands.join(lexicon.select(F.col("word").alias("cand")), on="cand", how="left_semi")
     best = known.groupBy("token").agg(
         F.min(F.struct(F.length("cand").alias("len"), F.col("cand").alias("cand"))).alias("b"))
-    return best.select("token", F.col("b.cand").alias("lemma")).where(F.col("lemma") != F.col("token"))
+    best = best.select("token", F.col("b.cand").alias("lemma"))
+    if exceptions is not None:
+        fixed = exceptions.select("token", "lemma").join(w, on="token", how="left_semi")
+        best = best.join(fixed, on="token", how="left_anti").unionByName(fixed)
+    return best.where(F.col("lemma") != F.col("token"))
 
 
-def lemmatize_long(tokens_long: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
+def lemmatize_long(tokens_long: DataFrame, lexicon: DataFrame, exceptions: DataFrame | None = None) -> DataFrame:
     """T5 over a long token table; ``token`` is replaced by its lemma."""
-    if lexicon is None:
-        lexicon = default_lexicon(tokens_long)
-    m = lemma_map(tokens_long.select("token"), lexicon)
+    m = lemma_map(tokens_long.select("token"), lexicon, exceptions)
     return (tokens_long.join(m, on="token", how="left")
             .withColumn("token", F.coalesce(F.col("lemma"), F.col("token")))
             .drop("lemma"))
 
 
-def clean_long(docs: DataFrame, lexicon: DataFrame | None = None, lemmatize: bool = True,
-               text_col: str = "text") -> DataFrame:
-    """Long cleaned tokens ``(doc_id, label, pos, token)``; empty documents have no rows."""
-    toks = explode_tokens(with_clean_tokens(docs, text_col))
-    return lemmatize_long(toks, lexicon) if lemmatize else toks
+def lemmatize_arrays(docs: DataFrame, lemmas: DataFrame, tokens_col: str = "tokens") -> DataFrame:
+    """T5 over token arrays: ``docs(doc_id, tokens, ...)`` with the lemma of
+    every token in place.  A map of at most ``MAP_ROWS`` entries goes to the
+    tasks and the arrays are not shuffled; a larger one is joined to the
+    distinct (document, token) pairs, and a document's own map to its array."""
+    from quill.session import materialize
+    lemmas = materialize(lemmas.select("token", "lemma"))
+    if lemmas.count() <= MAP_ROWS:
+        table = docs.sparkSession.sparkContext.broadcast({r["token"]: r["lemma"] for r in lemmas.toLocalIterator()})
+
+        @F.pandas_udf("array<string>")
+        def replace(column: pd.Series) -> pd.Series:
+            get = table.value.get
+            return column.map(lambda tokens: None if tokens is None else [get(t, t) for t in tokens])
+
+        return docs.withColumn(tokens_col, replace(tokens_col))
+    pairs = docs.select("doc_id", F.explode(F.array_distinct(tokens_col)).alias("token")).join(lemmas, on="token")
+    own = pairs.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "lemma"))).alias("_own"))
+    new = F.transform(tokens_col, lambda t: F.coalesce(F.element_at("_own", t), t))
+    return (docs.join(own, on="doc_id", how="left")
+            .withColumn(tokens_col, F.when(F.col("_own").isNull(), F.col(tokens_col)).otherwise(new)).drop("_own"))
+
+
+def clean_long(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Long cleaned tokens ``(doc_id, label, pos, token)`` before
+    lemmatisation; empty documents have no rows."""
+    return explode_tokens(with_clean_tokens(docs, text_col))
 
 
 def clean_corpus(docs: DataFrame, lexicon: DataFrame | None = None, lemmatize: bool = True,
-                 text_col: str = "text", keep_empty: bool = True) -> DataFrame:
+                 text_col: str = "text", keep_empty: bool = True, exceptions: DataFrame | None = None) -> DataFrame:
     """``(doc_id, tokens, processed_content, label)``.
 
-    Documents whose cleaned token list is empty keep an empty list and an
-    empty string unless ``keep_empty`` is False (P3).
+    ``lexicon(word)`` and ``exceptions(token, lemma)`` feed the lemmatiser;
+    without a lexicon the corpus's own is used (``corpus_lexicon``).  Documents
+    whose cleaned token list is empty keep an empty list and an empty string
+    unless ``keep_empty`` is False (P3).
     """
     from quill.session import materialize
-    base = materialize(with_clean_tokens(docs, text_col).drop(text_col))
-    if not lemmatize:
-        out = base.select("doc_id", "tokens", T.join_tokens("tokens").alias("processed_content"),
-                          *[c for c in ("label",) if c in docs.columns])
-    else:
-        toks = lemmatize_long(explode_tokens(base, keep=()), lexicon)
-        regrouped = toks.groupBy("doc_id").agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))),
-                        lambda s: s["token"]).alias("lemmas"))
-        cols = ["doc_id"] + [c for c in ("label",) if c in docs.columns]
-        out = (base.select(*cols).join(regrouped, on="doc_id", how="left")
-               .select(*cols, F.coalesce(F.col("lemmas"), F.array().cast("array<string>")).alias("tokens")))
-        out = out.select("doc_id", "tokens", T.join_tokens("tokens").alias("processed_content"),
-                         *[c for c in ("label",) if c in docs.columns])
-    if not keep_empty:
-        out = drop_empty(out)
-    return out
+    out = materialize(with_clean_tokens(docs, text_col).drop(text_col))
+    if lemmatize:
+        long = explode_tokens(out, keep=())
+        out = lemmatize_arrays(out, lemma_map(long.select("token"), corpus_lexicon(long) if lexicon is None else lexicon, exceptions))
+    out = out.select("doc_id", "tokens", T.join_tokens("tokens").alias("processed_content"),
+                     *[c for c in ("label",) if c in docs.columns])
+    return out if keep_empty else drop_empty(out)
 
 
 def drop_empty(clean: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ NPMI(i, j) = ln((p_ij + e) / (p_i p_j)) / -ln(p_ij + e), e = 1e-12, p_ii = p_i;
 a pair present in every window scores 1 (the limit) instead of the formula's
 0/0.  For topic words W: v_i = (NPMI(i, j))_j, V = sum_i v_i,
 topic score = mean_i cos(v_i, V); the model score is the mean over topics.
-Topic words absent from every reference text are left out.
+Topic words absent from every reference text are left out and counted.
 """
 
 from __future__ import annotations
@@ -32,7 +32,8 @@ def window_islands(texts: DataFrame, words: DataFrame, width: int = WINDOW):
     """``texts(doc_id, pos, token)``; ``words(token)`` the relevant words.
     Returns ``(islands(doc_id, token, lo, hi), n_windows)`` as DataFrames."""
     lens = texts.groupBy("doc_id").agg((F.max("pos") + 1).alias("L"))
-    occ = texts.join(words.select("token").distinct(), on="token", how="inner")
+    # the words are topics times top words, a size set by the model and not by the data
+    occ = texts.join(F.broadcast(words.select("token").distinct()), on="token", how="inner")
     relevant = occ.select("doc_id").distinct()
     n_windows = lens.join(relevant, on="doc_id").agg(
         F.sum(F.greatest(F.col("L") - (width - 1), F.lit(1))).cast("long").alias("n_windows"))
@@ -54,10 +55,16 @@ def sliding_window_counts(texts: DataFrame, words: DataFrame, width: int = WINDO
 
 
 def coherence_by_topic(top: DataFrame, texts: DataFrame, width: int = WINDOW) -> DataFrame:
-    """M6: ``(topic, coherence)``; ``top(topic, token)`` are the topic words."""
+    """M6: ``(topic, coherence, n_words, n_scored)`` of every topic;
+    ``top(topic, token)`` are the topic words (topics times words: they are
+    sent to the tasks).  A topic none of whose words occurs has a null score."""
+    from quill.session import materialize
+    top = materialize(top.select("topic", "token").distinct())
     islands, n_windows = window_islands(texts, top.select("token"), width)
+    islands = materialize(islands)
     wc = islands.groupBy("token").agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("c_i"))
-    t = top.select("topic", "token").distinct().join(wc, on="token", how="inner")  # words seen in the texts
+    wc = materialize(wc)
+    t = top.join(wc, on="token", how="inner")  # words seen in the texts
     pairs = (t.select("topic", F.col("token").alias("wi"), F.col("c_i").alias("c_wi"))
              .join(t.select("topic", F.col("token").alias("wj"), F.col("c_i").alias("c_wj")), on="topic"))
     a = islands.select("doc_id", F.col("token").alias("wi"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"))
@@ -81,9 +88,12 @@ def coherence_by_topic(top: DataFrame, texts: DataFrame, width: int = WINDOW) ->
     cos = x.groupBy("topic", "wi").agg(
         F.try_divide(F.sum(F.col("npmi") * F.col("V")),
                      F.sqrt(F.sum(F.col("npmi") * F.col("npmi"))) * F.sqrt(F.sum(F.col("V") * F.col("V")))).alias("cos"))
-    return cos.groupBy("topic").agg(F.avg("cos").alias("coherence"))
+    scores = cos.groupBy("topic").agg(F.avg("cos").alias("coherence"))
+    words = top.join(wc, on="token", how="left").groupBy("topic").agg(
+        F.count(F.lit(1)).alias("n_words"), F.count("c_i").alias("n_scored"))
+    return words.join(scores, on="topic", how="left").select("topic", "coherence", "n_words", "n_scored")
 
 
 def coherence_cv(top: DataFrame, texts: DataFrame, width: int = WINDOW) -> DataFrame:
-    """M6: one row, the mean topic coherence."""
+    """M6: one row, the mean over the topics that have a score."""
     return coherence_by_topic(top, texts, width).agg(F.avg("coherence").alias("coherence"))

@@ -2,15 +2,15 @@
 
     docs --T1-T4--> doc-level token arrays (checkpointed: the regex chain runs once)
          --P3-----> non-empty documents --B2--> split per document (doc-level join)
-         --explode-> (doc_id, label, split, pos, token) --T5--> lemmas
+         --T5-----> lemmas in place --explode-> (doc_id, label, split, pos, token)
 
-The lemma lexicon is built from every split (it stands in for an external
+A corpus lexicon is built from every split (it stands in for an external
 dictionary, not a fitted model); the vocabulary is fitted on train only.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,28 +20,37 @@ from quill.operators import split as S
 from quill.session import materialize
 
 
-@dataclass
 class Prepared:
-    docs: DataFrame      # (doc_id, label, split) of non-empty documents
-    tokens: DataFrame    # (doc_id, label, split, pos, token) lemmatised
+    """``docs(doc_id, label, split)`` of the non-empty documents, and
+    ``tokens(doc_id, label, split, pos, token)``, lemmatised: made and written
+    when first asked for, so keys that need only ids and labels never read them."""
 
+    def __init__(self, base: DataFrame, splits: DataFrame, lexicon: DataFrame | None, exceptions: DataFrame | None):
+        self._base, self._splits, self._lexicon, self._exceptions = base, splits, lexicon, exceptions
+        self.docs = base.select("doc_id", "label").join(splits, on="doc_id", how="inner").select("doc_id", "label", "split")
 
-def prepare(docs: DataFrame, splits: DataFrame | None = None, checkpoint: bool = True,
-            lexicon: DataFrame | None = None, **split_kw) -> Prepared:
+    @cached_property
+    def tokens(self) -> DataFrame:
+        long = C.explode_tokens(self._base, keep=())
+        lexicon = C.corpus_lexicon(long) if self._lexicon is None else self._lexicon
+        lemmas = C.lemma_map(long.select("token"), lexicon, self._exceptions)
+        d = C.lemmatize_arrays(self._base, lemmas).join(self._splits, on="doc_id", how="inner")
+        return materialize(d.select("doc_id", "label", "split", F.posexplode("tokens").alias("pos", "token")))
+
+
+def prepare(docs: DataFrame, splits: DataFrame | None = None, lexicon: DataFrame | None = None,
+            exceptions: DataFrame | None = None, **split_kw) -> Prepared:
     """``splits`` (doc_id, split) may be given (pre-split corpora, B6);
-    otherwise a stratified split on ``label`` is made."""
-    base = C.with_clean_tokens(docs).select("doc_id", "label", "tokens")
-    if checkpoint:
-        # written before the emptiness filter so the regex chain runs once
-        base = materialize(base)
-    base = base.where(F.size("tokens") > 0)
+    otherwise a stratified split on ``label`` is made.  ``lexicon(word)`` and
+    ``exceptions(token, lemma)`` feed the lemmatiser; without a lexicon the
+    corpus's own is used."""
+    clean = C.with_clean_tokens(docs)
+    # written before the emptiness filter so the regex chain runs once; the
+    # size is a column of its own, so ids are read without the tokens
+    base = materialize(clean.select("doc_id", "label", "tokens", F.size("tokens").alias("n_tokens")))
+    base = base.where("n_tokens > 0").drop("n_tokens")
     if splits is None:
         splits = S.stratified_split(base.select("doc_id", "label"), **split_kw)
     else:
         splits = materialize(splits.select("doc_id", "split"))
-    d = base.join(splits.select("doc_id", "split"), on="doc_id", how="inner")
-    long = d.select("doc_id", "label", "split", F.posexplode("tokens").alias("pos", "token"))
-    long = C.lemmatize_long(long, lexicon)
-    if checkpoint:
-        long = materialize(long)
-    return Prepared(docs=d.select("doc_id", "label", "split"), tokens=long)
+    return Prepared(base, splits.select("doc_id", "split"), lexicon, exceptions)

@@ -108,12 +108,18 @@ def encode_words(words: DataFrame, piece_vocab: DataFrame) -> DataFrame:
     return d.mapInPandas(fn, "token string, piece_ids array<int>")
 
 
+def sequence_tokens(tokens: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
+    """The tokens that can reach a sequence: every word yields a piece at
+    least, so those from position ``max_len - 2`` on are cut in any case."""
+    return tokens.where(F.col("pos") < max_len - 2)
+
+
 def encode_sequences(tokens: DataFrame, word_pieces: DataFrame, max_len: int = MAX_LEN,
                      keep=("split", "label")) -> DataFrame:
     """``(doc_id, *keep, input_ids, attention_mask, n_real)``; pieces
     are truncated to ``max_len - 2``, wrapped in [CLS] .. [SEP], padded with 0."""
     keep = [k for k in keep if k in tokens.columns]
-    t = tokens.join(word_pieces, on="token", how="inner")
+    t = sequence_tokens(tokens, max_len).join(word_pieces, on="token", how="inner")
     g = t.groupBy("doc_id", *keep).agg(F.array_sort(F.collect_list(F.struct("pos", "piece_ids"))).alias("_s"))
     ids = F.slice(F.flatten(F.transform("_s", lambda s: s["piece_ids"])), 1, max_len - 2)
     seq = F.concat(F.array(F.lit(SPECIALS.index(CLS))), ids, F.array(F.lit(SPECIALS.index(SEP))))

@@ -67,8 +67,9 @@ def q_filter_alnum(spark, sf):
 @query("lemmatize", Q.with_(Q.docs(), Q.clean_arrays(), Q.long_tokens(), Q.lexicon(), Q.lemma_map()) +
        "SELECT token, lemma FROM lm")
 def q_lemmatize(spark, sf):
-    toks = C.clean_long(src.documents_corpus(spark, sf), lemmatize=False)
-    return C.lemma_map(toks.select("token"), C.default_lexicon(toks))
+    from quill.session import materialize
+    toks = C.explode_tokens(materialize(C.with_clean_tokens(src.documents_corpus(spark, sf)).select("doc_id", "tokens")))
+    return C.lemma_map(toks.select("token"), C.corpus_lexicon(toks))
 
 
 _CLEAN_SQL = Q.with_(*Q.full_clean()) + "SELECT doc_id, label, n_tokens, processed_content FROM cc"
@@ -113,7 +114,8 @@ def q_multi_corpus_clean(spark, sf):
 # ----------------------------------------------------------------- split
 
 def _nonempty(spark, sf, label="lang"):
-    return C.nonempty_docs(src.documents_corpus(spark, sf, label)).select("doc_id", "label")
+    from quill.session import materialize  # ids and labels, written once: later steps never touch a text
+    return materialize(C.nonempty_docs(src.documents_corpus(spark, sf, label)).select("doc_id", "label"))
 
 
 @query("class_distribution", Q.with_(Q.docs(), Q.clean_arrays(), Q.nonempty()) +
@@ -264,7 +266,7 @@ from quill.operators import knn as KNN  # noqa: E402
 
 
 def _train_docs(spark, sf, label="lang"):
-    return prepared_documents(spark, sf, label).docs.where(F.col("split") == "train").select("doc_id", "label")
+    return S.stratified_split(_nonempty(spark, sf, label)).where(F.col("split") == "train").select("doc_id", "label")
 
 
 _PREP_TRAIN = [*_PREP, "tdocs AS (SELECT doc_id, label FROM pd WHERE split = 'train')"]
@@ -378,8 +380,8 @@ from quill.operators import wordpiece as WP  # noqa: E402
 
 def _sequences(p: P.Prepared) -> DataFrame:
     vocab = WP.build_piece_vocab(p.tokens.where(F.col("split") == "train"))
-    enc = WP.encode_words(p.tokens, vocab)
-    return WP.encode_sequences(p.tokens, enc)
+    head = WP.sequence_tokens(p.tokens)
+    return WP.encode_sequences(head, WP.encode_words(head, vocab))
 
 
 def _ints(c) -> F.Column:
@@ -568,12 +570,14 @@ def q_sliding_window_counts(spark, sf):
 
 
 @query("coherence_by_topic", Q.with_(*_TOPIC, Q.top_words(10), _CTX, *Q.coherence()) +
-       "SELECT topic, round(coherence, 6) AS coherence FROM ch_coh")
+       "SELECT w.topic, round(c.coherence, 6) AS coherence, CAST(count(*) AS BIGINT) AS n_words, "
+       "CAST(count(k.token) AS BIGINT) AS n_scored FROM tw w LEFT JOIN ch_coh c ON c.topic = w.topic "
+       "LEFT JOIN ch_wc k ON k.token = w.token GROUP BY w.topic, c.coherence")
 def q_coherence_by_topic(spark, sf):
     p, vocab, params = _topic_setup(spark, sf)
     top = TM.top_words(TM.topic_word_matrix(params), vocab, 10)
     ctx = p.tokens.where(F.col("split") == "val").select("doc_id", "pos", "token")
-    return CH.coherence_by_topic(top, ctx).select("topic", F.round("coherence", 6).alias("coherence"))
+    return CH.coherence_by_topic(top, ctx).withColumn("coherence", F.round("coherence", 6))
 
 
 @query("coherence_cv", Q.with_(*_TOPIC, Q.top_words(10), _CTX, *Q.coherence()) +
