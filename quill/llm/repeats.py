@@ -96,16 +96,21 @@ def runs(keyed_docs: DataFrame, symbols: Symbols, window: int, gram: int) -> Dat
     return keyed_docs.mapInArrow(run, "id long, th long, gram long, slab long, start long, windows int, anchor int")
 
 
+def of_repeated_grams(table: DataFrame) -> DataFrame:
+    """The runs whose gram has another run, written: the others are finished."""
+    table = C.cut(table)
+    grams = C.cut(table.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
+    return C.cut(table.join(grams, "gram"))
+
+
 def spread(table: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(slabs, disputed): distinct slabs of repeated grams with their number and
-    least place, and those of them whose gram has several.  Both counts are
+    """(slabs, disputed): distinct slabs with several copies, their number and
+    least place; and the slabs whose gram has different ones.  Both counts are
     pre-aggregated before their shuffles, so copies meet as numbers."""
     slabs = table.groupBy("gram", "slab", "windows", "anchor").agg(F.count("*").alias("copies"), F.min(F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("order"), "start", "id", "th")).alias("at"))
     slabs = C.cut(slabs)
-    many = slabs.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum("copies").alias("all")).where("all > 1")
-    many = C.cut(many)
-    several = many.where("kinds > 1").select("gram", "kinds")
-    return slabs.where("copies > 1"), slabs.join(C.small(several), "gram")
+    several = C.cut(slabs.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1"))
+    return slabs.where("copies > 1"), slabs.join(several, "gram")
 
 
 def fetch(keyed_docs: DataFrame, slabs: DataFrame, symbols: Symbols, window: int, as_bytes: bool) -> DataFrame:
@@ -152,12 +157,12 @@ def covered(table: DataFrame, whole: DataFrame, parts: DataFrame, window: int, e
     w = whole.select(F.col("gram").alias("g"), F.col("slab").alias("s"), F.col("at.order").alias("least"))
     same = (F.col("gram") == F.col("g")) & (F.col("slab") == F.col("s"))
     mine = F.coalesce("id", F.lit((1 << 63) - 1))
-    full = table.join(C.small(C.cut(w)), same)
+    full = table.join(w, same)
     if earlier:
         full = full.where(mine > F.col("least"))
     full = full.select("id", "th", F.struct("start", (F.col("start") + F.col("windows") - 1 + window).alias("end")).alias("x"))
     p = parts.select(F.col("gram").alias("g"), F.col("slab").alias("s"), "first", "last")
-    some = table.join(C.small(C.cut(p)), same).select("id", "th", F.struct((F.col("start") + F.col("first")).alias("start"), (F.col("start") + F.col("last") + window).alias("end")).alias("x"))
+    some = table.join(p, same).select("id", "th", F.struct((F.col("start") + F.col("first")).alias("start"), (F.col("start") + F.col("last") + window).alias("end")).alias("x"))
     return full.unionAll(some).groupBy("id", "th").agg(F.collect_list("x").alias("spans"))
 
 

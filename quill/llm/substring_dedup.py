@@ -30,7 +30,7 @@ from quill.llm import common as C
 from quill.llm import repeats as R
 
 WINDOW = 50
-GRAM = 16
+GRAM = 8
 #: Slabs up to which a block is parsed in one task.
 BLOCK = 2_000
 
@@ -112,7 +112,7 @@ def factors(disputed: DataFrame) -> DataFrame:
 def duplicated(docs: DataFrame) -> DataFrame:
     """(id, text, spans) of every document: the word ranges to remove."""
     k = R.keyed(docs)
-    table = C.cut(R.runs(k, R.word_symbols, WINDOW, GRAM))
+    table = R.of_repeated_grams(R.runs(k, R.word_symbols, WINDOW, GRAM))
     whole, disputed = R.spread(table)
     parts = factors(C.cut(R.fetch(k, disputed, R.word_symbols, WINDOW, False)))
     return R.with_spans(k, R.covered(table, whole, parts, WINDOW, True))
