@@ -8,13 +8,17 @@ vocabulary.  Parameters live in a table ``(layer, row, values)``; layers
 
 * ``init_params`` generates weights from hashes (uniform in
   ``±1/sqrt(fan_in)``), so a model can be rebuilt in SQL;
-* inference (encode, log-probabilities, ELBO, perplexity) runs on Arrow
-  batches of documents with the parameters broadcast (their size is the
-  model's, not the data's, and is checked);
+* inference (encode, log-probabilities, ELBO, perplexity) is one pass over
+  slices of documents and blocks of the vocabulary with a running
+  log-sum-exp, so no array is documents x vocabulary.  A model of at most
+  ``BROADCAST_PARAMS`` numbers goes to the tasks; of a larger one the
+  vocabulary layers stay a table, and each (block of it, slice of documents)
+  meets in a task of its own;
 * fitting is synchronous data-parallel: every task computes gradient sums
   for its documents of the step, Spark sums them per parameter row, the
-  driver applies one Adam step and re-broadcasts.  Each epoch's parameters
-  and losses are written to tables, so a lost executor only repeats a step.
+  driver applies one Adam step and re-broadcasts.  The log has one row per
+  step and is kept by the driver until the end; ``fit`` is for models that
+  the driver holds and refuses larger ones.
 """
 
 from __future__ import annotations
@@ -30,7 +34,11 @@ from pyspark.sql import types as T
 
 from quill.functions.hashing import TWO_60, hash_key, hash_unit
 
-MAX_PARAMS = 50_000_000        # bound on numbers broadcast to tasks
+BROADCAST_PARAMS = 20_000_000  # numbers of a model that is sent to the tasks whole
+FIT_PARAMS = 50_000_000        # numbers of a model that the driver updates
+VOCAB_BLOCK = 8192             # vocabulary rows worked on at a time
+DOC_SLICE = 64                 # documents worked on at a time
+SLICE_DOCS = 50_000            # documents that meet a block of a large model in one task
 GRAD_CHUNK = 2048              # parameter rows per gradient record
 LAYERS = ("enc", "enc_b", "mu", "mu_b", "lv", "lv_b", "dec", "dec_b")
 
@@ -91,11 +99,7 @@ class Model:
         self.Wd, self.bd = mats["dec"], mats["dec_b"][0]
 
     def encode(self, ids_list, cnt_list):
-        B, H = len(ids_list), self.W1.shape[1]
-        a1 = np.tile(self.b1, (B, 1))
-        for i, (ids, cnt) in enumerate(zip(ids_list, cnt_list)):
-            if len(ids):
-                a1[i] += (np.asarray(cnt, dtype=np.float64)[:, None] * self.W1[np.asarray(ids)]).sum(0)
+        a1 = np.tile(self.b1, (len(ids_list), 1)) + gather_sum(self.W1, ids_list, cnt_list)
         h = np.maximum(a1, 0.0)
         return a1, h, h @ self.Wmu + self.bmu, h @ self.Wlv + self.blv
 
@@ -105,12 +109,48 @@ class Model:
         lse = mx + np.log(np.exp(logits - mx).sum(1, keepdims=True))
         return logits, logits - lse
 
+    def token_logp(self, z, ids_list):
+        """Log-probabilities of the documents' own tokens, and nothing wider
+        than DOC_SLICE x VOCAB_BLOCK."""
+        out = []
+        for lo in range(0, len(z), DOC_SLICE):
+            part = z[lo:lo + DOC_SLICE]
+            mx, total = np.full(len(part), -np.inf), np.zeros(len(part))
+            for v in range(0, len(self.Wd), VOCAB_BLOCK):
+                mx, total = log_sum(mx, total, part @ self.Wd[v:v + VOCAB_BLOCK].T + self.bd[v:v + VOCAB_BLOCK])
+            for zi, ids, lse in zip(part, ids_list[lo:lo + DOC_SLICE], mx + np.log(total)):
+                out.append(self.Wd[ids] @ zi + self.bd[ids] - lse)
+        return out
+
+
+def gather_sum(W, ids_list, cnt_list):
+    """Row i: the sum of the rows ids_list[i] of W, weighted by cnt_list[i]."""
+    out = np.zeros((len(ids_list), W.shape[1]))
+    for lo in range(0, len(ids_list), DOC_SLICE):
+        sizes = np.array([len(x) for x in ids_list[lo:lo + DOC_SLICE]])
+        if not sizes.sum():
+            continue
+        rows = W[np.concatenate(ids_list[lo:lo + DOC_SLICE])] * np.concatenate(cnt_list[lo:lo + DOC_SLICE])[:, None]
+        full = np.flatnonzero(sizes)
+        out[lo + full] = np.add.reduceat(rows, np.concatenate([[0], np.cumsum(sizes[full])[:-1]]), axis=0)
+    return out
+
+
+def log_sum(mx, total, logits):
+    """A running log-sum-exp (its maximum, and the sum relative to it) with more logits."""
+    new = np.maximum(mx, logits.max(1))
+    return new, total * np.exp(mx - new) + np.exp(logits - new[:, None]).sum(1)
+
 
-def params_to_numpy(params: DataFrame) -> dict:
+def n_params(params: DataFrame) -> int:
+    return params.select(F.sum(F.size("values"))).first()[0] or 0
+
+
+def params_to_numpy(params: DataFrame, bound: int = FIT_PARAMS) -> dict:
     """Collect the (model-sized, checked) parameter table to matrices."""
-    n = params.select(F.sum(F.size("values"))).first()[0] or 0
-    if n > MAX_PARAMS:
-        raise ValueError(f"{n} parameters exceed the broadcast bound {MAX_PARAMS}")
+    n = n_params(params)
+    if n > bound:
+        raise ValueError(f"{n} parameters exceed the bound {bound}")
     pdf = params.toPandas()  # Arrow transfer; size checked above
     mats: dict = {}
     for layer, g in pdf.groupby("layer"):
@@ -129,51 +169,131 @@ def _ids_cnts(pdf):
     return ids, cnts
 
 
-def encode(bow: DataFrame, params: DataFrame) -> DataFrame:
-    """M1/M2 (evaluation: z = mu): ``(doc_id, mu array<double>, logvar array<double>)``."""
-    spark = bow.sparkSession
-    bm = spark.sparkContext.broadcast(params_to_numpy(params))
+def forward(bow: DataFrame, params: DataFrame) -> DataFrame:
+    """One pass at z = mu: ``(doc_id, mu, logvar, token_ids, cnts, logps)``."""
+    if n_params(params) > BROADCAST_PARAMS:
+        return _forward_blocks(bow, params)
+    bm = bow.sparkSession.sparkContext.broadcast(params_to_numpy(params, BROADCAST_PARAMS))
 
     def fn(batches):
         m = Model(bm.value)
         for pdf in batches:
             ids, cnts = _ids_cnts(pdf)
             _, _, mu, lv = m.encode(ids, cnts)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "mu": list(mu), "logvar": list(lv)})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "mu": list(mu), "logvar": list(lv), "token_ids": ids,
+                                "cnts": [c.astype(np.int64) for c in cnts], "logps": m.token_logp(mu, ids)})
 
-    return _doc_entries(bow).mapInPandas(fn, "doc_id long, mu array<double>, logvar array<double>")
+    return _doc_entries(bow).mapInPandas(fn, FORWARD)
 
 
-def word_logp(bow: DataFrame, params: DataFrame) -> DataFrame:
-    """M3: ``(doc_id, token_id, cnt, logp)`` for the document's own tokens, z = mu."""
-    spark = bow.sparkSession
-    bm = spark.sparkContext.broadcast(params_to_numpy(params))
+FORWARD = ("doc_id long, mu array<double>, logvar array<double>, token_ids array<int>, "
+           "cnts array<int>, logps array<double>")
 
-    def fn(batches):
-        m = Model(bm.value)
+
+def _forward_blocks(bow: DataFrame, params: DataFrame) -> DataFrame:
+    """The same with a model of any vocabulary.  Documents are dealt into
+    slices, the encoder's and decoder's rows into blocks; a slice and a block
+    meet in one task, and what they give is summed per document.  Only the
+    heads (hidden x topics) and the biases of fixed width are sent to the tasks."""
+    from quill.session import materialize
+    small = params_to_numpy(params.where(~F.col("layer").isin("enc", "dec", "dec_b")), BROADCAST_PARAMS)
+    heads = bow.sparkSession.sparkContext.broadcast(small)
+    slices = max(1, -(-bow.select("doc_id").distinct().count() // SLICE_DOCS))
+    entries = bow.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(slices)).cast("int").alias("slice"),
+                         F.col("token_id").cast("long").alias("token_id"), F.col("cnt").cast("int").alias("cnt"))
+    entries = entries.withColumn("block", F.floor(F.col("token_id") / VOCAB_BLOCK).cast("int"))
+    block = F.floor(F.col("row") / VOCAB_BLOCK).cast("int").alias("block")
+    to_slices = F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice")
+
+    def rows_of(frame):
+        frame = frame.sort_values("row")
+        return frame["row"].to_numpy(), np.stack(frame["values"].to_numpy())
+
+    def by_doc(frame):
+        frame = frame.sort_values(["doc_id", "token_id"])
+        docs, first = np.unique(frame["doc_id"].to_numpy(), return_index=True)
+        cut = lambda c: np.split(frame[c].to_numpy(), first[1:])
+        return docs, cut("token_id"), cut("cnt")
+
+    def hidden(e: pd.DataFrame, w: pd.DataFrame) -> pd.DataFrame:
+        if not len(e):
+            return pd.DataFrame({"doc_id": [], "v": []})
+        row, W = rows_of(w)
+        docs, ids, cnts = by_doc(e)
+        return pd.DataFrame({"doc_id": docs, "v": list(gather_sum(W, [x - row[0] for x in ids], [c.astype(float) for c in cnts]))})
+
+    enc = params.where("layer = 'enc'").select("row", "values", block, to_slices)
+    a1 = (entries.groupBy("block", "slice").cogroup(enc.groupBy("block", "slice"))
+          .applyInPandas(hidden, "doc_id long, v array<double>").groupBy("doc_id").agg(_vsum("v").alias("a")))
+
+    def encode_rows(batches):
+        m = heads.value
         for pdf in batches:
-            ids, cnts = _ids_cnts(pdf)
-            _, _, mu, lv = m.encode(ids, cnts)
-            _, lp = m.log_probs(mu)
-            out_d, out_t, out_c, out_l = [], [], [], []
-            for i, (d, t, c) in enumerate(zip(pdf["doc_id"], ids, cnts)):
-                out_d.extend([d] * len(t)); out_t.extend(t.tolist()); out_c.extend(c.astype(np.int64).tolist())
-                out_l.extend(lp[i, t].tolist())
-            yield pd.DataFrame({"doc_id": pd.Series(out_d, dtype="int64"), "token_id": pd.Series(out_t, dtype="int32"),
-                                "cnt": pd.Series(out_c, dtype="int32"), "logp": pd.Series(out_l, dtype="float64")})
+            h = np.maximum(np.stack(pdf["a"].to_numpy()) + m["enc_b"][0], 0.0) if len(pdf) else np.zeros((0, m["mu"].shape[0]))
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "mu": list(h @ m["mu"] + m["mu_b"][0]), "logvar": list(h @ m["lv"] + m["lv_b"][0])})
+
+    z = materialize(a1.mapInPandas(encode_rows, "doc_id long, mu array<double>, logvar array<double>"))
+    # the decoder's bias is one row as long as the vocabulary: one number per row from here on
+    bias = params.where("layer = 'dec_b'").select(F.posexplode("values").alias("row", "bias"))
+    dec = params.where("layer = 'dec'").select("row", "values").join(bias, "row")
+    dec = dec.select("row", F.concat("values", F.array("bias")).alias("values"), block)
+    blocks = dec.select("block").distinct()
+    own = entries.groupBy("doc_id", "slice", "block").agg(F.array_sort(F.collect_list(F.struct("token_id", "cnt"))).alias("e"))
+    places = z.select("doc_id", "mu", F.pmod(F.xxhash64("doc_id"), F.lit(slices)).cast("int").alias("slice"))
+    # every document meets every block: that is what a softmax over the vocabulary is
+    places = places.join(F.broadcast(blocks.agg(F.collect_list("block").alias("all"))), F.lit(True)).select("doc_id", "mu", "slice", F.explode("all").alias("block"))
+    left = places.join(own, ["doc_id", "slice", "block"], "left").select(
+        "doc_id", "mu", "slice", "block", F.col("e.token_id").alias("t"), F.col("e.cnt").alias("c"))
+
+    def logits(d: pd.DataFrame, w: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(d):
+            row, W = rows_of(w)
+            for lo in range(0, len(d), DOC_SLICE):
+                part = d.iloc[lo:lo + DOC_SLICE]
+                Z = np.stack(part["mu"].to_numpy())
+                x = Z @ W[:, :-1].T + W[:, -1]
+                mx, total = log_sum(np.full(len(Z), -np.inf), np.zeros(len(Z)), x)
+                for i, (doc, t, c) in enumerate(zip(part["doc_id"], part["t"], part["c"])):
+                    t = np.zeros(0, np.int64) if t is None else np.asarray(t)
+                    out.append((doc, mx[i], total[i], t, np.zeros(0, np.int64) if c is None else c, x[i, t - row[0]]))
+        return pd.DataFrame(out, columns=["doc_id", "mx", "total", "t", "c", "x"])
+
+    got = (left.groupBy("block", "slice").cogroup(dec.select("*", to_slices).groupBy("block", "slice"))
+           .applyInPandas(logits, "doc_id long, mx double, total double, t array<int>, c array<int>, x array<double>"))
+    per_doc = got.groupBy("doc_id").agg(F.collect_list(F.struct("mx", "total")).alias("s"),  # one per block
+                                        F.flatten(F.collect_list("t")).alias("token_ids"),
+                                        F.flatten(F.collect_list("c")).alias("cnts"), F.flatten(F.collect_list("x")).alias("x"))
+    top = F.array_max(F.transform("s", lambda v: v["mx"]))
+    per_doc = per_doc.withColumn("top", top)
+    lse = F.col("top") + F.log(F.aggregate("s", F.lit(0.0), lambda a, v: a + v["total"] * F.exp(v["mx"] - F.col("top"))))
+    per_doc = per_doc.withColumn("lse", lse).select("doc_id", "token_ids", "cnts", F.transform("x", lambda v: v - F.col("lse")).alias("logps"))
+    return z.join(per_doc, "doc_id").select("doc_id", "mu", "logvar", "token_ids", "cnts", "logps")
+
+
+def encode(bow: DataFrame, params: DataFrame) -> DataFrame:
+    """M1/M2 (evaluation: z = mu): ``(doc_id, mu array<double>, logvar array<double>)``."""
+    return forward(bow, params).select("doc_id", "mu", "logvar")
+
 
-    return _doc_entries(bow).mapInPandas(fn, "doc_id long, token_id int, cnt int, logp double")
+def word_logp(bow: DataFrame, params: DataFrame) -> DataFrame:
+    """M3: ``(doc_id, token_id, cnt, logp)`` for the document's own tokens, z = mu."""
+    f = forward(bow, params).select("doc_id", F.explode(F.arrays_zip("token_ids", "cnts", "logps")).alias("x"))
+    return f.select("doc_id", F.col("x.token_ids").alias("token_id"), F.col("x.cnts").alias("cnt"), F.col("x.logps").alias("logp"))
 
 
 def elbo(bow: DataFrame, params: DataFrame) -> DataFrame:
-    """A15 per document at z = mu: ``(doc_id, recon, kl, loss)``."""
-    lp = word_logp(bow, params)
-    recon = lp.groupBy("doc_id").agg((-F.sum(F.col("cnt") * F.col("logp"))).alias("recon"))
-    enc = encode(bow, params)
-    kl = enc.select("doc_id", (F.lit(-0.5) * F.aggregate(
-        F.zip_with("mu", "logvar", lambda m, v: F.lit(1.0) + v - m * m - F.exp(v)),
-        F.lit(0.0), lambda a, x: a + x)).alias("kl"))
-    return recon.join(kl, on="doc_id").withColumn("loss", F.col("recon") + F.col("kl"))
+    """A15 per document at z = mu: ``(doc_id, recon, kl, loss)``, from one pass."""
+    f = forward(bow, params)
+    add = lambda a, x: a + x
+    recon = -F.aggregate(F.zip_with("cnts", "logps", lambda c, p: c * p), F.lit(0.0), add)
+    kl = F.lit(-0.5) * F.aggregate(F.zip_with("mu", "logvar", lambda m, v: F.lit(1.0) + v - m * m - F.exp(v)), F.lit(0.0), add)
+    return f.select("doc_id", recon.alias("recon"), kl.alias("kl")).withColumn("loss", F.col("recon") + F.col("kl"))
+
+
+def elbo_mean(losses: DataFrame) -> DataFrame:
+    """A15 as the training log has it: the mean over a batch of documents."""
+    return losses.agg(*[F.avg(c).alias(c) for c in ("recon", "kl", "loss")], F.count(F.lit(1)).alias("n_docs"))
 
 
 def perplexity(bow: DataFrame, params: DataFrame) -> DataFrame:

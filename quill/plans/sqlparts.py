@@ -358,12 +358,12 @@ def topic_forward(H: int, K: int, bow_src: str = "vb") -> list[str]:
         f"JOIN tp_lv m ON m.r = h.j GROUP BY h.doc_id, k)",
         "tf_z AS (SELECT m.doc_id, list(m.s + b.w[m.k + 1] ORDER BY m.k) AS mu FROM tf_mu m, tp_mub b GROUP BY m.doc_id)",
         "tf_v AS (SELECT m.doc_id, list(m.s + b.w[m.k + 1] ORDER BY m.k) AS lv FROM tf_lv m, tp_lvb b GROUP BY m.doc_id)",
-        f"tf_l AS (SELECT z.doc_id, d.r AS token_id, list_sum(list_transform(range(1, {K} + 1), lambda k: z.mu[k] * d.w[k])) "
-        f"+ db.b AS logit FROM tf_z z, tp_dec d JOIN tp_decb db ON db.r = d.r)",
-        "tf_lse AS (SELECT doc_id, max(logit) + ln(sum(exp(logit - mx))) AS lse FROM "
-        "(SELECT *, max(logit) OVER (PARTITION BY doc_id) AS mx FROM tf_l) GROUP BY doc_id)",
-        f"tf_lp AS (SELECT b.doc_id, b.token_id, b.cnt, l.logit - s.lse AS logp FROM {bow_src} b "
-        f"JOIN tf_l l ON l.doc_id = b.doc_id AND l.token_id = b.token_id JOIN tf_lse s ON s.doc_id = b.doc_id)",
+        # logits are summed as they come, none is kept; weights are at most 1 / sqrt(K), so exp cannot overflow
+        "tf_lse AS (SELECT z.doc_id, ln(sum(exp(list_inner_product(z.mu, d.w) + db.b))) AS lse FROM tf_z z, tp_dec d "
+        "JOIN tp_decb db ON db.r = d.r GROUP BY z.doc_id)",
+        f"tf_lp AS (SELECT b.doc_id, b.token_id, b.cnt, list_inner_product(z.mu, d.w) + db.b - s.lse AS logp FROM {bow_src} b "
+        f"JOIN tf_z z ON z.doc_id = b.doc_id JOIN tp_dec d ON d.r = b.token_id JOIN tp_decb db ON db.r = b.token_id "
+        f"JOIN tf_lse s ON s.doc_id = b.doc_id)",
     ]
 
 

@@ -47,3 +47,26 @@ def test_fit_loss_falls(spark):
     s = TM.training_log_summary(log).orderBy("epoch").collect()
     assert s[-1]["avg_loss"] < s[0]["avg_loss"]
     assert not any(math.isnan(r["avg_loss"]) for r in s)
+
+
+def test_blocks_of_a_large_model_give_the_same(spark, monkeypatch):
+    import random
+    import numpy as np
+    from quill.operators import topics as TM
+    r = random.Random(1)
+    bow = spark.createDataFrame([(d, t, r.randint(1, 3)) for d in range(23) for t in sorted(r.sample(range(37), r.randint(1, 9)))],
+                                "doc_id long, token_id int, cnt int")
+    params = TM.init_params(spark, 37, 6, 4)
+    whole = sorted(TM.forward(bow, params).collect(), key=lambda x: x["doc_id"])
+    m = TM.Model(TM.params_to_numpy(params))
+    for x in whole:
+        _, lp = m.log_probs(np.array([x["mu"]]))
+        assert np.allclose(x["logps"], lp[0, x["token_ids"]])
+    for name, value in (("BROADCAST_PARAMS", 100), ("VOCAB_BLOCK", 10), ("SLICE_DOCS", 9), ("DOC_SLICE", 4)):
+        monkeypatch.setattr(TM, name, value)
+    parts = sorted(TM._forward_blocks(bow, params).collect(), key=lambda x: x["doc_id"])
+    assert [x["doc_id"] for x in parts] == [x["doc_id"] for x in whole]
+    for a, b in zip(whole, parts):
+        assert np.allclose(a["mu"], b["mu"]) and np.allclose(a["logvar"], b["logvar"])
+        assert sorted(zip(a["token_ids"], a["cnts"])) == sorted(zip(b["token_ids"], b["cnts"]))
+        assert np.allclose([p for _, p in sorted(zip(a["token_ids"], a["logps"]))], [p for _, p in sorted(zip(b["token_ids"], b["logps"]))])
