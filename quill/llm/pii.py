@@ -41,7 +41,7 @@ SEEDS = re.compile(r"(?:password|passwd|token|secret|api_key)\s?[=:]\s?\"?([A-Za
 
 #: Bounds of the fit and of a region.
 FIT_REGIONS, FIT_EPOCHS = 1500, 6
-MAX_TOKENS, SIDE_TOKENS, MAX_REGION = 5, 1, 24
+MAX_TOKENS, SIDE_TOKENS, MAX_REGION = 5, 2, 24
 MIN_CERTAINTY = 0.9
 _TRIGGER = re.compile(r"[0-9@]")
 _TOKEN = re.compile(r"[^\x20\x09-\x0d]+")
@@ -294,7 +294,7 @@ def fit(texts: list[str], epochs: int = FIT_EPOCHS, rate: float = 0.4) -> Field:
 
 
 def region_table(docs: DataFrame) -> DataFrame:
-    """(h, region): texts of the regions, with one word more on either side."""
+    """(h, region): texts of the regions, with a character more on either side."""
     schema = pa.schema([("h", pa.int64()), ("region", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
