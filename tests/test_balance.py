@@ -53,10 +53,55 @@ def test_knn_matches_brute_force(spark):
 
 def test_smote_rows_between_base_and_neighbour(spark):
     pts, rows = _points(spark, {"a": 30, "b": 6})
-    syn = B.smote_dense(pts).collect()
+    out = B.smote_dense(pts).collect()
+    assert len([r for r in out if r["neighbor_id"] is None]) == 36  # the originals
+    syn = [r for r in out if r["neighbor_id"] is not None]
     assert len(syn) == 24
     feats = {i: f for i, _, f in rows}
     for r in syn:
         a, b = np.array(feats[r["base_id"]]), np.array(feats[r["neighbor_id"]])
         v = np.array(r["features"])
         assert np.all(v >= np.minimum(a, b) - 1e-12) and np.all(v <= np.maximum(a, b) + 1e-12)
+
+
+def test_knn_sparse_is_brute_force(spark):
+    import random
+    from quill.operators.knn import knn_sparse
+    r = random.Random(3)
+    docs = [(d, "ab"[d % 2]) for d in range(40)]
+    bow = {d: {t: r.randint(1, 3) for t in r.sample(range(12), r.randint(0, 5))} for d, _ in docs}
+    rows = [(d, t, c) for d, e in bow.items() for t, c in e.items()]
+    df = spark.createDataFrame(docs, "doc_id long, label string")
+    got = {(x["query_id"], x["rank"]): (x["neighbor_id"], x["dist"]) for x in knn_sparse(
+        df, spark.createDataFrame(rows, "doc_id long, token_id int, cnt int"), df, 3, block_size=7).collect()}
+    for d, label in docs:
+        dist = sorted((sum((bow[d].get(t, 0) - bow[e].get(t, 0)) ** 2 for t in range(12)), e) for e, m in docs if m == label and e != d)
+        assert [got[d, k + 1] for k in range(3)] == [(e, float(x)) for x, e in dist[:3]]
+
+
+def test_balance_returns_originals_and_falls_back(spark):
+    import pytest as pt
+    from pyspark.sql import functions as F
+    from quill.operators import balance as B
+    docs = spark.createDataFrame([(i, "a" if i < 10 else "b") for i in range(13)], "doc_id long, label string")
+    points = docs.select("doc_id", F.array(F.col("doc_id").cast("double"), F.lit(1.0)).alias("features"))
+    for method in B.METHODS:
+        got = B.balance(docs, points, method).collect()
+        assert sorted(x["label"] for x in got) == ["a"] * 10 + ["b"] * 10
+        assert {x["out_id"] for x in got} >= set(range(13))
+    lone = docs.where("doc_id <= 10")
+    rows = B.balance(lone, points, "smote").where("label = 'b'").collect()
+    assert len(rows) == 10 and {tuple(x["features"]) for x in rows} == {(10.0, 1.0)}
+    with pt.raises(ValueError):
+        B.balance(docs, points, "other")
+    low = spark.createDataFrame([("a", 3)], "label string, target long")
+    with pt.raises(Exception, match="target below"):
+        B.class_targets(docs, strategy=low).collect()
+    for strategy, want in (("minority", [10, 10]), ("not minority", [3, 10]), ("all", [10, 10])):
+        assert sorted(x["target"] for x in B.class_targets(docs, strategy=strategy).collect()) == want
+
+
+def test_draws_reach_past_32_bits(spark):
+    from pyspark.sql import functions as F
+    from quill.functions.hashing import hash_draw
+    assert spark.range(50).agg(F.max(hash_draw(1, "t", F.col("id")))).first()[0] > 2**40
