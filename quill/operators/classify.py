@@ -9,8 +9,8 @@ linear layer ``logits = W x + b``.  Two heads are provided:
 * ``fit_softmax_head``: multinomial logistic regression (MLlib, distributed
   L-BFGS), the trained head of the reference.
 
-Model weights are small (classes x dimensions) and are applied as array
-expressions, so inference is a narrow, shuffle-free stage.
+Model weights (classes x dimensions, checked) go to the tasks as one row of
+arrays, so inference is a narrow, shuffle-free stage.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_HEAD_WEIGHTS = 10_000_000   # classes x dims bound for inlining weights
+MAX_HEAD_WEIGHTS = 10_000_000   # classes x dims up to which the head is sent to the tasks
 
 
 def fit_centroid_head(train: DataFrame, label_map: DataFrame) -> DataFrame:
@@ -36,7 +36,7 @@ def fit_softmax_head(train: DataFrame, label_map: DataFrame, max_iter: int = 100
                      reg: float = 0.01) -> DataFrame:
     """Multinomial logistic regression; returns the same weight table."""
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.functions import array_to_vector
     t = train.join(label_map, on="label", how="inner").select(
         array_to_vector("features").alias("fv"), F.col("label_id").cast("double").alias("y"))
     lr = LogisticRegression(featuresCol="fv", labelCol="y", family="multinomial", maxIter=max_iter,
@@ -46,22 +46,19 @@ def fit_softmax_head(train: DataFrame, label_map: DataFrame, max_iter: int = 100
     coef = m.coefficientMatrix.toArray().tolist()  # classes x dims: bounded model
     icpt = m.interceptVector.toArray().tolist()
     rows = [(i, coef[i], float(icpt[i])) for i in range(len(coef))]
-    _ = vector_to_array
     return spark.createDataFrame(rows, "label_id int, weights array<double>, bias double")
 
 
 def head_logits(df: DataFrame, head: DataFrame) -> DataFrame:
-    """C4: adds ``logits array<double>`` (index = label_id).  The head is
-    collected (bounded by classes x dims) and inlined as literal arrays."""
-    rows = sorted(head.collect(), key=lambda r: r["label_id"])
-    if sum(len(r["weights"]) for r in rows) > MAX_HEAD_WEIGHTS:
-        raise ValueError("head too large to inline")
-    exprs = []
-    for r in rows:
-        w = F.array(*[F.lit(float(x)) for x in r["weights"]])
-        dot = F.aggregate(F.zip_with("features", w, lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
-        exprs.append(dot + F.lit(float(r["bias"])))
-    return df.withColumn("logits", F.array(*exprs))
+    """C4: adds ``logits array<double>`` (index = label_id).  The head is one
+    row of arrays, sent to the tasks after a check of its size."""
+    n = head.agg(F.sum(F.size("weights"))).first()[0] or 0  # one scalar
+    if n > MAX_HEAD_WEIGHTS:
+        raise ValueError(f"a head of {n} weights is too large to send to every task")
+    one = head.agg(F.array_sort(F.collect_list(F.struct("label_id", "weights", "bias"))).alias("_head"))
+    dot = lambda w: F.aggregate(F.zip_with("features", w, lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
+    out = df.join(F.broadcast(one), F.lit(True))
+    return out.withColumn("logits", F.transform("_head", lambda h: dot(h["weights"]) + h["bias"])).drop("_head")
 
 
 def argmax_predict(df: DataFrame, logits_col: str = "logits") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quill.functions import text as T
+from quill.sources.files import require_column
 
 # ----------------------------------------------------------------- fixed values
 # Noun suffix rules of the lemmatiser: (suffix, replacement).
@@ -24,15 +25,10 @@ LEXICON_MIN_DF = 2
 MAP_ROWS = 500_000
 
 
-def require_columns(df: DataFrame, *cols: str) -> None:
-    missing = [c for c in cols if c not in df.columns]
-    if missing:
-        raise ValueError(f"missing required column(s): {missing}")
-
-
 def with_clean_tokens(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds ``tokens`` = T1-T4 of the text (before lemmatisation)."""
-    require_columns(docs, "doc_id", text_col)
+    for c in ("doc_id", text_col):
+        require_column(docs, c)
     return docs.withColumn("tokens", T.clean_tokens(text_col))
 
 

@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    r = (spark.read.option("header", True).option("multiLine", True).option("escape", '"'))
+def read_csv(spark: SparkSession, path: str, schema: str | None = None, multi_line: bool = True) -> DataFrame:
+    """S1.  Fields with line breaks need ``multi_line``, which reads a file in
+    one task; a large file without them is split when it is off."""
+    r = (spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"'))
     if schema:
         r = r.schema(schema)
     return r.csv(path)
@@ -76,6 +78,10 @@ def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("token string, token_id int").json(path)
 
 
+def read_label_map(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("label_id int, label string").json(path)
+
+
 def write_topic_report(report: DataFrame, path: str) -> None:
     """``Topic i: w1 ... wn`` lines (ordered by topic inside one small file set)."""
     report.orderBy("topic").select("line").write.mode("overwrite").text(path)
