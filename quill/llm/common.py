@@ -4,8 +4,6 @@ connected components."""
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quill.session import ensure_checkpoint_dir
+
 U64 = np.uint64
 # An odd multiplier and its inverse modulo 2**64, and the three
 # constants of the splitmix64 finaliser.
@@ -163,21 +163,17 @@ def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names.  Where none is named, a local
-    session gets a folder of its own and any other is refused."""
-    current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not current:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is not set: the executors need a shared folder")
-        current = tempfile.mkdtemp(prefix="quill-llm-")
-        spark.sparkContext.setCheckpointDir(current)
-    return current.rstrip("/")
+def cut_path(spark: SparkSession) -> str:
+    """A new path in the shared folder that the session names; tables of one
+    application lie together, so they can be removed when it has ended."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or ensure_checkpoint_dir(spark)
+    return f"{folder.rstrip('/')}/quill-llm/{sc.applicationId}/{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once into the shared folder and read it back."""
-    path = f"{checkpoint_dir(df.sparkSession)}/quill-llm/{uuid.uuid4().hex}"
+    path = cut_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -249,7 +245,3 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("a").alias("id"), F.col("b").alias("component"))
-
-
-def repo_root() -> str:
-    return os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
