@@ -54,7 +54,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not is_local(spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir is not set; name a folder that driver and executors share")
         current = tempfile.mkdtemp(prefix="quill-ckpt-")
-    spark.sparkContext.setCheckpointDir(current)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(current)
     return current
 
 
@@ -87,7 +88,8 @@ def materialize(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     survives executor loss, and keeps later plans small (a plan that
     references its own input several times grows with every stage)."""
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/quill-tables/{uuid.uuid4().hex}"
+    # tables of one application lie together, so they can be removed when it has ended
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/quill-tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(partition_by)
