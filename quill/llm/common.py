@@ -204,32 +204,43 @@ def list_array(values: pa.Array, sizes: np.ndarray) -> pa.ListArray:
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A spanning forest of each batch of links: at most one link per node."""
-    for b in batches:
-        parent: dict[int, int] = {}
+    """A spanning forest of a partition's links: one link per node but the
+    smallest of its tree, to that one."""
+    parent: dict[int, int] = {}
 
-        def root(x: int) -> int:
-            while (p := parent.get(x, x)) != x:
-                parent[x] = parent.get(p, p)
-                x = p
-            return x
+    def root(x: int) -> int:
+        while (p := parent.get(x, x)) != x:
+            parent[x] = parent.get(p, p)
+            x = p
+        return x
 
+    for b in batches:
         for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             x, y = root(x), root(y)
             if x != y:
                 parent[max(x, y)] = min(x, y)
-        nodes = list(parent)
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], names=["a", "b"])
+    nodes = list(parent)
+    for k in range(0, len(nodes), 1 << 16):
+        part = nodes[k : k + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], names=["a", "b"])
+
+
+#: Links that one task turns into a forest.
+FOREST_LINKS = 200_000
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, component) of every node of ``links`` (a, b): component is the
-    smallest node reachable.  Alternating large-star and small-star rounds;
-    every round pre-aggregates the minimum per node before its shuffle, and
-    the links of a hot node are split by the skew join."""
-    spark = links.sparkSession
-    e = links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b"))
-    e = cut(e.mapInArrow(_forest, "a long, b long").where("a <> b").distinct())
+    smallest node reachable; the smallest node itself has no row.  Links are
+    first cut down to a forest per FOREST_LINKS of them; if there are several
+    forests, alternating large-star and small-star rounds join them: a round
+    pre-aggregates the minimum per node before its shuffle, and the links of a
+    hot node are split by the skew join."""
+    e = cut(links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")))
+    forests = e.count() // FOREST_LINKS + 1
+    e = cut(e.coalesce(forests).mapInArrow(_forest, "a long, b long"))
+    if forests == 1:
+        return e.select(F.col("a").alias("id"), F.col("b").alias("component"))
     seen = None
     for _ in range(max_rounds):
         state = e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.col("b") % 1000003)).first()

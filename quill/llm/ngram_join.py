@@ -4,22 +4,29 @@ Sets that are equal are one set from the start.  Two different sets with
 Jaccard similarity t share at least ``c`` elements of their short forms: the
 first ``n - ceil(t * n) + c`` elements in a global order, so the join on
 similarity is a join on an overlap of ``c``.  Light (small) sets enumerate all
-subsets of ``c`` elements of the short form and meet in any one; heavy (large)
-sets scan the inverted lists of their elements and count.  The boundary is
-where enumerating costs as much as scanning, with the cost of a scan measured
-on the corpus.  Sets just below the boundary are in the inverted lists as well,
-so every pair meets on one side.
+subsets of ``c`` = 2 elements of the short form and meet in any one; heavy
+(large) sets scan the inverted lists of their elements, where one shared
+element (``c`` = 1) is enough to meet.  The boundary is where enumerating costs
+as much as scanning, with the cost of a scan measured on the corpus.  Sets just
+below the boundary are in the inverted lists as well, so every pair meets on
+one side.
+
+Two sets of n and m elements overlap in ``ceil(t / (1 + t) * (n + m))`` at
+least (t as a fraction), so sets of like size must meet still earlier in their
+orders than the short form reaches: entries carry their place, and a list pairs
+only entries whose places allow it.
 
 The order puts frequent elements last, so a passage that many documents share
-makes no long lists.  Frequencies are counted over all documents for a fixed
-fraction of the element space and kept as levels in a table of fixed size; any
-level gives right results, the levels only decide how short the lists are.
+makes no long lists.  Frequencies are counted over all documents (by 48 bits of
+the element) and kept as levels in a table of fixed size; any level gives right
+results, the levels only decide how short the lists are.
 
-A list's smallest set is its pivot: first every set is compared with the pivots
-of its lists (as many rows as list entries), which already joins groups of near
-copies; then pairs of sets that are in one list but in different groups are
-compared.  No pair inside a group is ever made.  A pair is verified on its
-whole texts only if the count of shared elements allows the threshold.
+Groups of near copies are joined without their pairs: every list has a pivot,
+the set that meets most others, and each set is compared with the pivots of its
+lists (as many rows as list entries); then, for the groups so found, one set
+of each group in a list is compared with that list's pivot, some rounds on.  What
+is left are pairs of sets in one list but in different groups: these are all
+compared, on their whole texts.  No pair inside a group is made.
 
 Defined cases: null and empty texts (or such without words) have the empty set
 and are linked with nothing; 1 to 4 words are one element; a null ``doc_id``
@@ -41,11 +48,13 @@ from quill.llm import common as C
 
 K = 5
 SIMILARITY = 80  # percent
+#: Elements in the subsets that light sets enumerate.
 OVERLAP = 2
-#: Elements whose hash is below this fraction of the space are counted.
-COUNTED = 0.3
+#: Rounds of comparing groups with the pivots of their lists.
+ROUNDS = 2
 #: Slots of the table of levels (one byte each), and the count of level 1.
-SLOTS = 1 << 22
+SLOT_BITS = 23
+SLOTS = 1 << SLOT_BITS
 FREQUENT = 8
 #: Bytes of text per partition of the counting step.
 COUNT_BYTES = 1 << 24
@@ -75,12 +84,12 @@ def least_shared(n: np.ndarray) -> np.ndarray:
     return -(-SIMILARITY * n // 100)
 
 
-def short_form(n: np.ndarray) -> np.ndarray:
-    return np.minimum(n, n - least_shared(n) + OVERLAP)
+def short_form(n: np.ndarray, overlap: int = OVERLAP) -> np.ndarray:
+    return np.minimum(n, n - least_shared(n) + overlap)
 
 
 def _slot(values: np.ndarray) -> np.ndarray:
-    return (C.mix(values) >> np.uint64(64 - 22)).astype(np.int64)
+    return (C.mix(values) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
 def levels(docs: DataFrame) -> tuple[np.ndarray, float]:
@@ -90,23 +99,22 @@ def levels(docs: DataFrame) -> tuple[np.ndarray, float]:
     summed apart from each other."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = int(max(16, size // COUNT_BYTES))
-    top = int(COUNTED * (1 << 64))
-    width = top // ranges + 1
-    block = pa.schema([("part", pa.int32()), ("elements", pa.binary()), ("counts", pa.binary())])
+    width = (1 << 48) // ranges + 1
+    block = pa.schema([("part", pa.int32()), ("high", pa.binary()), ("low", pa.binary()), ("counts", pa.binary())])
 
     def packed(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         values, counts = np.unique(np.concatenate(found), return_counts=True)
-        edge = np.searchsorted(values, np.array([min(k * width, top) for k in range(ranges + 1)], dtype=np.uint64))
-        counts = counts.astype(np.uint32)
+        edge = np.searchsorted(values, np.arange(ranges + 1, dtype=np.uint64) * np.uint64(width))
+        # sorted values: their high bits repeat and compress away
+        planes = (values >> np.uint64(32)).astype(np.uint16), values.astype(np.uint32), counts.astype(np.uint32)
         parts = [k for k in range(ranges) if edge[k] < edge[k + 1]]
-        yield C.batch(block, parts, [values[edge[k] : edge[k + 1]].tobytes() for k in parts], [counts[edge[k] : edge[k + 1]].tobytes() for k in parts])
+        yield C.batch(block, parts, *([x[edge[k] : edge[k + 1]].tobytes() for k in parts] for x in planes))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, n = [], 0
         for b in batches:
             for _, _, data, off in C.text_blocks(b.column(0)):
-                _, values = gram_sets(data, off)
-                values = values[values < np.uint64(top)]
+                values = gram_sets(data, off)[1] >> np.uint64(16)
                 found.append(values)
                 n += len(values)
                 if n > 1 << 20:
@@ -116,25 +124,28 @@ def levels(docs: DataFrame) -> tuple[np.ndarray, float]:
             yield from packed(found)
 
     def total(t):
-        values = np.frombuffer(b"".join(t.column("elements").to_pylist()), np.uint64)
-        counts = np.frombuffer(b"".join(t.column("counts").to_pylist()), np.uint32).astype(np.int64)
+        high, low, counts = (np.frombuffer(b"".join(t.column(c).to_pylist()), kind) for c, kind in (("high", np.uint16), ("low", np.uint32), ("counts", np.uint32)))
+        values = high.astype(np.uint64) << np.uint64(32) | low.astype(np.uint64)
         order = np.argsort(values)
-        values, counts = values[order], counts[order]
+        values, counts = values[order], counts[order].astype(np.int64)
         new = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
         counts, values = np.add.reduceat(counts, new), values[new]
         usual = counts[counts < FREQUENT].astype(np.float64)
         often = counts >= FREQUENT
         level = (np.log2(counts[often] / FREQUENT) + 1).astype(np.int32)
-        return pa.Table.from_arrays([pa.array(np.concatenate([[-1], _slot(values[often])]), pa.int64()), pa.array(np.concatenate([[0], level]), pa.int32()), pa.array(np.concatenate([[float((usual**2).sum())], np.zeros(len(level))]), pa.float64()), pa.array(np.concatenate([[float(usual.sum())], np.zeros(len(level))]), pa.float64())], names=["slot", "level", "scanned", "entries"])
+        return pa.table({
+            "slot": pa.array(np.concatenate([[-1], _slot(values[often])]), pa.int64()), "level": pa.array(np.concatenate([[0], level]), pa.int32()),
+            "scanned": np.concatenate([[(usual**2).sum()], np.zeros(len(level))]), "entries": np.concatenate([[usual.sum()], np.zeros(len(level))]),
+        })
 
-    rows = docs.select("text").mapInArrow(gather, "part int, elements binary, counts binary")
+    rows = docs.select("text").mapInArrow(gather, "part int, high binary, low binary, counts binary")
     by_slot = rows.groupBy("part").applyInArrow(total, "slot long, level int, scanned double, entries double").groupBy("slot").agg(F.max("level").alias("level"), F.sum("scanned").alias("scanned"), F.sum("entries").alias("entries"))
+    got = by_slot.toArrow()  # at most SLOTS + 1 rows
     table, scan = np.zeros(SLOTS, np.uint8), 1.0
-    for r in by_slot.toLocalIterator():  # at most SLOTS + 1 rows
-        if r["slot"] < 0:
-            scan = r["scanned"] / r["entries"] if r["entries"] else 1.0
-        else:
-            table[r["slot"]] = min(255, r["level"])
+    slot, level = got.column("slot").to_numpy(), got.column("level").to_numpy()
+    table[slot[slot >= 0]] = np.minimum(255, level[slot >= 0])
+    scanned, entries = (float(got.column(c).to_numpy().sum()) for c in ("scanned", "entries"))
+    scan = scanned / entries if entries else scan
     return table, scan
 
 
@@ -147,13 +158,13 @@ def light_size(scan: float) -> int:
     return int(n[dear[0]] - 1) if len(dear) else int(n[-1])
 
 
-_KEYS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("keys", pa.list_(pa.int64()))])
+_KEYS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("keys", pa.list_(pa.int64())), ("places", pa.list_(pa.int32()))])
 
 
 def short_forms(docs: DataFrame, table: np.ndarray, light: int) -> DataFrame:
-    """(doc_id, n, d1, d2, keys): size and digest of each set, and the keys
-    under which it meets others.  An element is a key with its lowest bit 0, a
-    subset one with its lowest bit 1."""
+    """(doc_id, n, d1, d2, keys, places): size and digest of each set, the keys
+    under which it meets others, and their places in its order.  An element is
+    a key with its lowest bit 0, a subset one with its lowest bit 1."""
     shared = docs.sparkSession.sparkContext.broadcast(table)  # of fixed size
     both = SIMILARITY * light // 100
 
@@ -166,32 +177,33 @@ def short_forms(docs: DataFrame, table: np.ndarray, light: int) -> DataFrame:
                 first = np.concatenate([[0], np.cumsum(n)])
                 sums = [np.concatenate([[np.uint64(0)], np.cumsum(C.mix(values ^ np.uint64(seed)))]) for seed in (0x51, 0xA7)]
                 d1, d2 = (s[first[1:]] - s[first[:-1]] for s in sums)
-                order = np.lexsort((values, level[_slot(values)], rows))
+                order = np.lexsort((values, level[_slot(values >> np.uint64(16))], rows))
                 rows, values = rows[order], values[order]
                 place = np.arange(len(rows)) - first[rows]
                 size = short_form(n)
-                inside = place < size[rows]
-                as_list = inside & (n[rows] >= both)
-                got_rows, got = [rows[as_list]], [values[as_list] & ~np.uint64(1)]
+                as_list = (place < short_form(n, 1)[rows]) & (n[rows] >= both)
+                got_rows, got, places = [rows[as_list]], [values[as_list] & ~np.uint64(1)], [place[as_list]]
                 for r in np.flatnonzero((n > 0) & (n <= light)):
-                    own = np.sort(values[first[r] : first[r] + size[r]])
-                    a, c = np.triu_indices(len(own), 1)
-                    pairs = C.mix(own[a] * np.uint64(0x9E3779B97F4A7C15) + C.mix(own[c])) | np.uint64(1)
-                    got_rows.append(np.full(len(pairs), r))
-                    got.append(pairs)
-                got_rows, got = np.concatenate(got_rows), np.concatenate(got)
+                    own = values[first[r] : first[r] + size[r]]
+                    x, y = np.triu_indices(len(own), 1)
+                    low, high = np.minimum(own[x], own[y]), np.maximum(own[x], own[y])
+                    got_rows.append(np.full(len(x), r))
+                    got.append(C.mix(low * np.uint64(0x9E3779B97F4A7C15) + C.mix(high)) | np.uint64(1))
+                    places.append(np.maximum(x, y) - OVERLAP + 1)
+                got_rows, got, places = (np.concatenate(v) for v in (got_rows, got, places))
                 order = np.argsort(got_rows, kind="stable")
-                yield C.batch(_KEYS, b.column(0).slice(i, j - i), n, C.signed(d1), C.signed(d2), C.list_array(pa.array(C.signed(got[order])), np.bincount(got_rows, minlength=j - i)))
+                sizes = np.bincount(got_rows, minlength=j - i)
+                yield C.batch(_KEYS, b.column(0).slice(i, j - i), n, C.signed(d1), C.signed(d2), C.list_array(pa.array(C.signed(got[order])), sizes), C.list_array(pa.array(places[order].astype(np.int32)), sizes))
 
-    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, keys array<long>, places array<int>")
 
 
-def _possible(shared, n_a, n_b):
-    """Whether sets of n_a and n_b elements can be similar if their short forms
-    share so many: what the shorter reaching form leaves out bounds the rest."""
-    need = F.ceil(F.lit(SIMILARITY) * (n_a + n_b) / F.lit(100 + SIMILARITY) - F.lit(1e-9))
-    rest = lambda n: n - F.least(n, n - F.ceil(F.lit(SIMILARITY) * n / 100 - F.lit(1e-9)) + OVERLAP)
-    return (F.least(n_a, n_b) * 100 >= SIMILARITY * F.greatest(n_a, n_b)) & (shared >= need - F.greatest(rest(n_a), rest(n_b)))
+def _can_meet(n_a, at_a, n_b, at_b):
+    """Whether sets of n_a and n_b elements can be similar and meet at these
+    places: their least overlap leaves that many places in each one's form."""
+    shared = F.expr(f"({SIMILARITY} * ({n_a} + {n_b}) + {SIMILARITY + 99}) div {SIMILARITY + 100}")
+    sizes = F.least(n_a, n_b) * 100 >= SIMILARITY * F.greatest(n_a, n_b)
+    return sizes & (F.col(at_a) <= F.col(n_a) - shared) & (F.col(at_b) <= F.col(n_b) - shared)
 
 
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -241,29 +253,55 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     key = C.small(heads.select(F.col("d1").alias("h1"), F.col("d2").alias("h2"), "head"))
     sets = forms.select("doc_id", "n", "d1", "d2").join(key, (F.col("d1") == F.col("h1")) & (F.col("d2") == F.col("h2")) & (F.col("n") > 0), "left").select("doc_id", "n", "head")
     own = C.small(heads.select(F.col("d1").alias("h1"), F.col("d2").alias("h2"), "head"))
-    first = forms.join(own, (F.col("d1") == F.col("h1")) & (F.col("d2") == F.col("h2")) & (F.col("doc_id") == F.col("head"))).select(F.col("head").alias("id"), "n", F.explode("keys").alias("key"))
+    first = forms.join(own, (F.col("d1") == F.col("h1")) & (F.col("d2") == F.col("h2")) & (F.col("doc_id") == F.col("head")))
+    first = first.select(F.col("head").alias("id"), "n", F.explode(F.arrays_zip("keys", "places")).alias("k")).select("id", "n", F.col("k.keys").alias("key"), F.col("k.places").alias("at"))
     # lists with two entries or more
-    lists = first.groupBy("key").agg(F.count("*").alias("entries"), F.min(F.struct("id", "n")).alias("pivot")).where("entries > 1")
-    entries = C.cut(first.join(lists, "key").select("key", "id", "n", "pivot").distinct())
-    need = F.when(F.col("subsets") > 0, F.lit(True))
-    counted = lambda df: df.withColumn("subsets", F.col("key").bitwiseAND(1))
-    stars = counted(entries.where("id <> pivot.id")).groupBy(F.col("id").alias("a"), F.col("pivot.id").alias("b"), F.col("n").alias("n_a"), F.col("pivot.n").alias("n_b"))
-    stars = stars.agg(F.sum(1 - F.col("subsets")).alias("shared"), F.sum("subsets").alias("subsets")).where(need.otherwise((F.col("shared") >= OVERLAP) & _possible(F.col("shared"), F.col("n_a"), F.col("n_b"))))
-    stars = C.cut(stars.where(F.least("n_a", "n_b") * 100 >= SIMILARITY * F.greatest("n_a", "n_b")).select("a", "b").distinct())
-    near = C.cut(_verify(stars, _texts(d, stars)))
-    groups = components(near)
-    # pairs of one list in different groups
-    grouped = entries.join(C.small(groups.select("id", F.col("component").alias("g"))), "id", "left").withColumn("g", F.coalesce("g", "id")).select("key", "id", "n", "g")
-    mixed = grouped.groupBy("key").agg(F.min("g").alias("g1"), F.max("g").alias("g2")).where("g1 <> g2").select("key")
-    open_ = C.cut(grouped.join(mixed, "key"))
-    sides = open_.select("key", "g").distinct()
-    crossing = sides.select("key", F.col("g").alias("x")).join(sides.select("key", F.col("g").alias("y")), "key").where("x < y")
-    left = crossing.join(open_.select("key", F.col("g").alias("x"), F.col("id").alias("a"), F.col("n").alias("n_a")), ["key", "x"])
-    pairs = left.join(open_.select("key", F.col("g").alias("y"), F.col("id").alias("b"), F.col("n").alias("n_b")), ["key", "y"]).where(F.least("n_a", "n_b") * 100 >= SIMILARITY * F.greatest("n_a", "n_b"))
-    pairs = counted(pairs).groupBy("a", "b", "n_a", "n_b").agg(F.sum(1 - F.col("subsets")).alias("shared"), F.sum("subsets").alias("subsets"))
-    pairs = C.cut(pairs.where(need.otherwise((F.col("shared") >= OVERLAP) & _possible(F.col("shared"), F.col("n_a"), F.col("n_b")))).select("a", "b"))
+    lists = first.groupBy("key").agg(F.count("*").alias("entries")).where("entries > 1")
+    entries = C.cut(first.join(lists, "key").distinct())
+    weight = entries.groupBy("id").agg(F.sum("entries").alias("weight"))
+    entries = C.cut(entries.join(weight, "id").select("key", "id", "n", "at", "weight"))
+    grouped, found = entries.withColumn("g", F.col("id")), None
+    for _ in range(ROUNDS):
+        stars = C.cut(_stars(grouped))
+        near = C.cut(_verify(stars, _texts(d, stars)))
+        found = near if found is None else found.unionAll(near)
+        groups = components(found)
+        grouped = C.cut(entries.join(C.small(groups.select("id", F.col("component").alias("g"))), "id", "left").withColumn("g", F.coalesce("g", "id")))
+        found = groups.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    pairs = C.cut(_crossing(grouped))
     more = C.cut(_verify(pairs, _texts(d, pairs)))
-    return sets, groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(more.select("a", "b"))
+    return sets, found.unionAll(more)
+
+
+def _stars(grouped: DataFrame) -> DataFrame:
+    """(a, b): of each group in a list one set, and the list's pivot.  The
+    pivot is of the list's largest group and has the longest lists itself."""
+    best = F.max(F.struct("weight", (-F.col("id")).alias("order"), "id", "n", "at")).alias("best")
+    reps = grouped.groupBy("key", "g").agg(F.count("*").alias("size"), best)
+    tops = reps.groupBy("key").agg(F.max(F.struct("size", "best", "g")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1")
+    met = reps.join(tops, "key").where((F.col("g") != F.col("top.g")) & _can_meet("best.n", "best.at", "top.best.n", "top.best.at"))
+    a, b = F.col("best.id"), F.col("top.best.id")
+    return met.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+
+
+def _crossing(grouped: DataFrame) -> DataFrame:
+    """(a, b): all sets that meet in lists but are in different groups.  The
+    smaller one (by size, then id) meets with its shorter form."""
+    kinds = grouped.groupBy("key").agg(F.min("g").alias("g1"), F.max("g").alias("g2")).where("g1 <> g2").select("key")
+    open_ = C.cut(grouped.join(kinds, "key").select("key", "g", "id", "n", "at"))
+    inner = F.expr(f"at <= n - (2 * {SIMILARITY} * n + {SIMILARITY + 99}) div {SIMILARITY + 100}")
+    left = open_.where(inner).select("key", F.col("g").alias("x"), F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
+    right = open_.select("key", F.col("g").alias("y"), F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
+    # groups that can meet, by the sizes and places of their sets: what the
+    # farthest reaching set of a group leaves for the other's smallest one
+    reach = lambda n, at: F.max(F.expr(f"{SIMILARITY + 100} * ({n} - {at}) - {SIMILARITY} * {n}"))
+    sides = left.groupBy("key", "x").agg(F.min("n_a").alias("low_a"), F.max("n_a").alias("high_a"), reach("n_a", "at_a").alias("reach_a"))
+    others = right.groupBy("key", "y").agg(F.min("n_b").alias("low_b"), F.max("n_b").alias("high_b"), reach("n_b", "at_b").alias("reach_b"))
+    fit = (F.col("x") != F.col("y")) & (F.col("low_a") <= F.col("high_b")) & (F.col("high_a") * 100 >= SIMILARITY * F.col("low_b"))
+    fit &= (F.col("reach_a") >= SIMILARITY * F.col("low_b")) & (F.col("reach_b") >= SIMILARITY * F.col("low_a"))
+    met = sides.join(others, (sides["key"] == others["key"]) & fit).select(sides["key"], "x", "y")
+    pairs = met.join(left, ["key", "x"]).join(right, ["key", "y"])
+    return pairs.where(_can_meet("n_a", "at_a", "n_b", "at_b") & (F.struct("n_a", "a") < F.struct("n_b", "b"))).select("a", "b").distinct()
 
 
 def components(pairs: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from quill.llm import common as C
 from quill.llm import line_dedup, ngram_join, repeats, substring_dedup, suffix_dedup
 from tests.llm import brute
 
@@ -22,6 +23,20 @@ def test_jaccard_classes(docs_of, seed):
     assert got == brute.jaccard_classes(rows)
 
 
+@pytest.mark.parametrize("size", [200_000, 7])
+def test_components(spark, monkeypatch, size):
+    monkeypatch.setattr(C, "FOREST_LINKS", size)
+    r = random.Random(size)
+    links = [(r.randint(0, 120), r.randint(0, 120)) for _ in range(90)] + [(k, k + 1) for k in range(200, 230)] + [(300, k) for k in range(301, 330)]
+    got = {x["id"]: x["component"] for x in C.components(spark.createDataFrame(links, "a long, b long").repartition(5)).collect()}
+    root = {}
+    for _ in range(60):
+        for a, b in links:
+            m = min(root.get(a, a), root.get(b, b))
+            root[a] = root[b] = m
+    assert got == {k: v for k, v in root.items() if k != v}
+
+
 def test_jaccard_short_sets(docs_of):
     r = random.Random(3)
     base = [str(i) for i in range(14)]
@@ -131,7 +146,9 @@ def test_segments_miss_no_pair():
             assert any(k % 2 == 0 and k + 1 in side[1] for k in side[0]) or any(k % 2 == 0 and k + 1 in side[0] for k in side[1])
 
 
-def test_line_classes(docs_of):
+@pytest.mark.parametrize("crowded", [50, 1])
+def test_line_classes(docs_of, monkeypatch, crowded):
+    monkeypatch.setattr(line_dedup, "CROWDED", crowded)
     rows = brute.corpus(60, 12, vocabulary=60)
     want = brute.line_heads(rows, line_dedup.DISTANCE, line_dedup.MIN_CHARS)
     for r in line_dedup.summary(docs_of(rows, CLASHING)).collect():
