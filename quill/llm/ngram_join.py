@@ -292,15 +292,12 @@ def _crossing(grouped: DataFrame) -> DataFrame:
     inner = F.expr(f"at <= n - (2 * {SIMILARITY} * n + {SIMILARITY + 99}) div {SIMILARITY + 100}")
     left = open_.where(inner).select("key", F.col("g").alias("x"), F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
     right = open_.select("key", F.col("g").alias("y"), F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
-    # groups that can meet, by the sizes and places of their sets: what the
-    # farthest reaching set of a group leaves for the other's smallest one
-    reach = lambda n, at: F.max(F.expr(f"{SIMILARITY + 100} * ({n} - {at}) - {SIMILARITY} * {n}"))
-    sides = left.groupBy("key", "x").agg(F.min("n_a").alias("low_a"), F.max("n_a").alias("high_a"), reach("n_a", "at_a").alias("reach_a"))
-    others = right.groupBy("key", "y").agg(F.min("n_b").alias("low_b"), F.max("n_b").alias("high_b"), reach("n_b", "at_b").alias("reach_b"))
-    fit = (F.col("x") != F.col("y")) & (F.col("low_a") <= F.col("high_b")) & (F.col("high_a") * 100 >= SIMILARITY * F.col("low_b"))
-    fit &= (F.col("reach_a") >= SIMILARITY * F.col("low_b")) & (F.col("reach_b") >= SIMILARITY * F.col("low_a"))
-    met = sides.join(others, (sides["key"] == others["key"]) & fit).select(sides["key"], "x", "y")
-    pairs = met.join(left, ["key", "x"]).join(right, ["key", "y"])
+    # sets of one size of a group go by the first of their places
+    sides = left.groupBy("key", "x", "n_a").agg(F.min("at_a").alias("first_a"))
+    others = right.groupBy("key", "y", "n_b").agg(F.min("at_b").alias("first_b"))
+    fit = (F.col("x") != F.col("y")) & (F.col("n_a") <= F.col("n_b")) & _can_meet("n_a", "first_a", "n_b", "first_b")
+    met = sides.join(others, (sides["key"] == others["key"]) & fit).select(sides["key"], "x", "n_a", "y", "n_b")
+    pairs = met.join(left, ["key", "x", "n_a"]).join(right, ["key", "y", "n_b"])
     return pairs.where(_can_meet("n_a", "at_a", "n_b", "at_b") & (F.struct("n_a", "a") < F.struct("n_b", "b"))).select("a", "b").distinct()
 
 
