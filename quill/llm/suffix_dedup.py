@@ -6,10 +6,10 @@ each stretch of strings that share theirs.  Suffixes of anchors that occur in
 different surroundings are range-partitioned by their leading bytes with
 sampled splitters; a bucket sorts its strings locally by multikey quicksort
 (eight bytes a step, only groups that are still equal go on), so strings that
-stay together for 400 bytes are its repeats.  A group of equal leading bytes
-that touches the border of its bucket may go on in the next one: its strings
-are compared across boundaries by their hashes, counted map-side first, so a
-passage in a third of all documents is spread over as many buckets as it fills.
+stay together for 400 bytes are its repeats.  A group too large for a bucket is
+split; where it touches the border of one, its strings are compared across boundaries by their hashes, one for those a bucket holds twice,
+so a passage in a third of all documents is spread over as many buckets as it
+fills.
 
 Defined cases: null texts are empty; a text of less than 400 bytes keeps all of
 its bytes; rows that repeat a document repeat its strings; a string that
@@ -33,8 +33,8 @@ from quill.llm import repeats as R
 WINDOW = 400  # a multiple of 8
 GRAM = 128
 LEAD = 64
-#: Slabs a bucket holds on average.
-BUCKET = 8_000
+#: Slabs a bucket holds on average, and up to which a group stays in one bucket.
+BUCKET = 4_000
 
 
 def multikey_sort(data: np.ndarray, at: np.ndarray, group: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,7 +63,8 @@ _PART_DDL = "gram long, slab long, first int, last int, open long"
 
 
 def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted repeats of one bucket; strings of groups at its borders, by hash (``open``)."""
+    """Sorted repeats of one bucket; and by hash (``open``) the strings of groups at
+    its borders: each that is alone, and one without a place for those repeated here."""
     tables = [b for b in batches if b.num_rows]
     if not tables:
         return
@@ -73,25 +74,31 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     t = t.take(pa.array(order)).combine_chunks()
     lead = [lead[k] for k in order]
     group = np.cumsum([True, *(x != y for x, y in zip(lead[1:], lead[:-1]))])
-    gram, slab, windows = (t.column(c).to_numpy() for c in ("gram", "slab", "windows"))
+    gram, slab, windows, split = (t.column(c).to_numpy() for c in ("gram", "slab", "windows", "split"))
     data, off = C.utf8(t.column("content"))
     owner = np.repeat(np.arange(len(windows)), windows)
     place = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
     at = off[owner] + place
-    inner = (group[owner] != group[0]) & (group[owner] != group[-1])
-    equal, _ = multikey_sort(data, at[inner], group[owner][inner], WINDOW)
+    equal, _ = multikey_sort(data, at, group[owner], WINDOW)
     flags = np.zeros(len(at), bool)
     flags[np.searchsorted(at, equal)] = True
     own, first, last = R.flag_spans(flags, owner, place)
     yield C.batch(_PART, gram[own], slab[own], first.astype(np.int32), last.astype(np.int32), pa.nulls(len(own), pa.int64()))
     for k in np.unique(group[[0, -1]]):
-        rows = np.flatnonzero(group == k)
+        rows = np.flatnonzero((group == k) & split)
         for lo in range(0, len(rows), 1000):  # a few hundred strings a slab
             part = np.isin(owner, rows[lo : lo + 1000])
-            prefix = C.prefix_hash(C.BYTE_VALUE[data[off[rows[lo]] : off[rows[min(lo + 1000, len(rows)) - 1] + 1]]])
+            end = off[rows[min(lo + 1000, len(rows)) - 1] + 1]
+            prefix = C.prefix_hash(C.BYTE_VALUE[data[off[rows[lo]] : end]])
             start = at[part] - off[rows[lo]]
             h = C.range_hash(prefix, start, start + WINDOW)
-            yield C.batch(_PART, gram[owner[part]], slab[owner[part]], place[part].astype(np.int32), place[part].astype(np.int32), C.signed(h))
+            # strings repeated here are known to go: one of them speaks for all
+            known = flags[part]
+            alone = np.flatnonzero(~known)
+            once = np.flatnonzero(known)[np.unique(h[known], return_index=True)[1]]
+            for mine, one in ((True, alone), (False, once)):
+                own, first = owner[part][one], place[part][one].astype(np.int32)
+                yield C.batch(_PART, gram[own], slab[own], first, first if mine else pa.nulls(len(one), pa.int32()), C.signed(h[one]))
 
 
 def repeated_parts(disputed: DataFrame) -> DataFrame:
@@ -99,19 +106,21 @@ def repeated_parts(disputed: DataFrame) -> DataFrame:
     lead = F.expr(f"substring(content, anchor + 1, {LEAD})")
     n = disputed.count()
     buckets = max(int(disputed.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // BUCKET + 1)
-    ordered = disputed.select("gram", "slab", "windows", "content", lead.alias("lead")).repartitionByRange(buckets, "lead", "slab")
+    split = F.col("kinds") > BUCKET
+    ordered = disputed.select("gram", "slab", "windows", "content", lead.alias("lead"), split.alias("split"), F.when(split, F.col("slab")).otherwise(0).alias("part"))
+    ordered = ordered.repartitionByRange(buckets, "lead", "part")
     found = C.cut(ordered.mapInArrow(_bucket, _PART_DDL))
     inside = found.where("open is null").select("gram", "slab", "first", "last")
     border = found.where("open is not null")
     twice = border.groupBy("gram", "open").agg(F.count("*").alias("n")).where("n > 1").select(F.col("gram").alias("g"), F.col("open").alias("o"))
-    across = border.join(twice, (F.col("gram") == F.col("g")) & (F.col("open") == F.col("o"))).select("gram", "slab", "first", "last")
+    across = border.where("last is not null").join(twice, (F.col("gram") == F.col("g")) & (F.col("open") == F.col("o"))).select("gram", "slab", "first", "last")
     return inside.unionAll(across)
 
 
 def repeated(docs: DataFrame) -> DataFrame:
     """(id, text, spans) of every document: the byte ranges to remove."""
     k = R.keyed(docs)
-    table = C.cut(R.runs(k, R.byte_symbols, WINDOW, GRAM))
+    table = R.of_repeated_grams(R.runs(k, R.byte_symbols, WINDOW, GRAM))
     whole, disputed = R.spread(table)
     parts = repeated_parts(C.cut(R.fetch(k, disputed, R.byte_symbols, WINDOW, True)))
     return R.with_spans(k, R.covered(table, whole, parts, WINDOW, False))
