@@ -6,6 +6,8 @@ two lines within the distance agree in one segment at least, so each line looks
 up, for every possible length of a shorter or equally long partner, the
 substrings at the few places where an agreeing segment of that length's layout
 can stand.  Lines that meet are verified by banded bit-parallel edit distance.
+Where very many lines share a segment, only those are paired whose counts of
+characters and of character pairs are near enough: an edit changes few of them.
 Linked lines form classes; the first line of a class, by (doc_id, line), stays.
 
 Lines of less than ``MIN_CHARS`` characters are only compared for equality: two
@@ -31,6 +33,9 @@ from quill.llm import common as C
 
 DISTANCE = 2
 MIN_CHARS = 20
+#: Lines of one segment from which on pairs are first held to their profiles.
+CROWDED = 20
+CLASSES = 32
 
 _ODD = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 _LINES = pa.schema([
@@ -167,6 +172,37 @@ def within(a: list[str], b: list[str], distance: int) -> np.ndarray:
     return out <= distance
 
 
+def _texts(keyed: DataFrame, distinct: DataFrame, ids: DataFrame) -> DataFrame:
+    """(line_id, t) of the named lines, cut from the text of their first place."""
+    wanted = distinct.join(C.small(C.cut(ids)), F.col("line_id") == F.col("of")).select("line_id", F.col("first.id").alias("in"), F.col("first.th").alias("in_th"), F.col("first.line").alias("at"))
+    per_doc = C.cut(wanted.groupBy("in", "in_th").agg(F.collect_list(F.struct("line_id", "at")).alias("want")))  # as many as a text has lines
+    found = keyed.join(C.small(per_doc), F.col("id").eqNullSafe(F.col("in")) & (F.col("th") == F.col("in_th"))).select(F.split("text", "\n", -1).alias("l"), "want")
+    return found.select("l", F.explode("want").alias("w")).select(F.col("w.line_id").alias("line_id"), F.btrim(F.col("l")[F.col("w.at")], F.lit(" \t\n\x0b\f\r")).alias("t")).dropDuplicates(["line_id"])
+
+
+def _profiles(texts: DataFrame) -> DataFrame:
+    """(line_id, profile): counts of the line's characters, then of its pairs of
+    neighbouring characters, each in CLASSES classes by hash."""
+    schema = pa.schema([("line_id", pa.int64()), ("profile", pa.list_(pa.int32()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for t in b.column(1).to_pylist():
+                codes = np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.uint64)
+                pairs = codes[:-1] * np.uint64(0x10FFFF) + codes[1:]
+                rows.append(np.concatenate([np.bincount((C.mix(x) % np.uint64(CLASSES)).astype(np.int64), minlength=CLASSES) for x in (codes, pairs)]))
+            flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+            yield C.batch(schema, b.column(0), C.list_array(pa.array(flat.astype(np.int32)), np.full(len(rows), 2 * CLASSES)))
+
+    return texts.mapInArrow(run, "line_id long, profile array<int>")
+
+
+def _apart(first: int) -> str:
+    """SQL for the sum of the differences of two profiles' counts from there on."""
+    return " + ".join(f"abs(p[{k}] - q[{k}])" for k in range(first, first + CLASSES))
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, distance: int) -> DataFrame:
     both = pairs.join(texts.select(F.col("line_id").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("line_id").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb")
 
@@ -195,14 +231,18 @@ def line_classes(docs: DataFrame, distance: int = DISTANCE, min_chars: int = MIN
     entries = distinct.select("line_id", F.explode("keys").alias("key"))
     own = entries.where(F.col("key").bitwiseAND(1) == 0).select(F.col("line_id").alias("x"), "key")
     looked = entries.where(F.col("key").bitwiseAND(1) == 1).select(F.col("line_id").alias("y"), (F.col("key") - 1).alias("key"))
-    met = own.join(looked, "key").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    pairs = C.cut(met)
-    ids = pairs.select(F.col("a").alias("of")).unionAll(pairs.select("b")).distinct()
-    wanted = distinct.join(C.small(C.cut(ids)), F.col("line_id") == F.col("of")).select("line_id", F.col("first.id").alias("in"), F.col("first.th").alias("in_th"), F.col("first.line").alias("at"))
-    per_doc = C.cut(wanted.groupBy("in", "in_th").agg(F.collect_list(F.struct("line_id", "at")).alias("want")))  # as many as a text has lines
-    found = keyed.join(C.small(per_doc), F.col("id").eqNullSafe(F.col("in")) & (F.col("th") == F.col("in_th"))).select(F.split("text", "\n", -1).alias("l"), "want")
-    blank = " \t\n\x0b\f\r"
-    texts = C.cut(found.select("l", F.explode("want").alias("w")).select(F.col("w.line_id").alias("line_id"), F.btrim(F.col("l")[F.col("w.at")], F.lit(blank)).alias("t")).dropDuplicates(["line_id"]))
+    crowded = C.cut(own.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).select("key"))
+    hot = C.small(crowded)
+    met = own.join(hot, "key", "left_anti").join(looked, "key").where("x <> y").select("x", "y")
+    own_hot, looked_hot = C.cut(own.join(hot, "key")), C.cut(looked.join(hot, "key"))
+    lines_hot = own_hot.select(F.col("x").alias("of")).unionAll(looked_hot.select("y")).distinct()
+    profiles = C.cut(_profiles(_texts(keyed, distinct, lines_hot)))
+    one = own_hot.join(C.small(profiles.select(F.col("line_id").alias("x"), F.col("profile").alias("p"))), "x")
+    two = looked_hot.join(C.small(profiles.select(F.col("line_id").alias("y"), F.col("profile").alias("q"))), "y")
+    near = F.expr(f"x <> y and {_apart(0)} <= {2 * distance} and {_apart(CLASSES)} <= {4 * distance}")
+    met_hot = one.alias("one").join(two.alias("two"), (F.col("one.key") == F.col("two.key")) & near).select("x", "y")
+    pairs = C.cut(met.unionAll(met_hot).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    texts = C.cut(_texts(keyed, distinct, pairs.select(F.col("a").alias("of")).unionAll(pairs.select("b")).distinct()))
     links = C.cut(_verify(pairs, texts, distance))
     degree = links.select(F.col("a").alias("node")).unionAll(links.select("b")).groupBy("node").agg(F.count("*").alias("links"))
     groups = C.cut(C.components(links))
