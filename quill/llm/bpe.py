@@ -34,7 +34,7 @@ from quill.llm import common as C
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 #: Bounds of the lazily filled tables of a worker; reaching one empties it.
 MAX_TRANSITIONS = 200_000
-MAX_PIECES = 150_000
+MAX_PIECES = 200_000
 MAX_PAIRS = 300_000
 _NEVER = 1 << 60
 
@@ -192,16 +192,22 @@ class Transducer:
 
 
 class Pieces(dict):
-    """Piece -> its ids as little-endian unsigned 32-bit integers, filled as met."""
+    """Piece -> its ids as little-endian unsigned 32-bit integers, filled as met.
+    A full table becomes the old one, from which pieces met again come back, so
+    frequent pieces stay and memory is bounded by two tables."""
 
     def __init__(self, transducer: Transducer, max_pieces: int = MAX_PIECES) -> None:
         super().__init__()
         self.transducer, self.limit = transducer, max_pieces
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.transducer.encode(piece.encode("utf-8"))
-        ids = struct.pack(f"<{len(ids)}I", *ids)
+        ids = self.old.get(piece)
+        if ids is None:
+            found = self.transducer.encode(piece.encode("utf-8"))
+            ids = struct.pack(f"<{len(found)}I", *found)
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
         if len(piece) <= 64:
             self[piece] = ids
