@@ -26,9 +26,10 @@ from quill.llm import common as C
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 #: A line is boilerplate of a host if it is in more distinct documents than
-#: both of these: a number, and a share of the host's distinct documents.
-LINE_DOCS = 50
-LINE_SHARE = 0.10
+#: this (a dozen or more), whatever the size of the host.  A share of the
+#: host's documents can be asked for besides; 0 is none.
+LINE_DOCS = 11
+LINE_SHARE = 0.0
 #: A document is depleted if fewer of its words than this share remain.
 MIN_LEFT = 0.20
 SYMBOLS = "#*$%&|<>"
@@ -126,10 +127,12 @@ def measure(docs: DataFrame) -> DataFrame:
 
 
 def frequent_lines(measured: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
-    """(host, line_hash, n_docs) of the lines above their host's limit.  Both
-    counts are pre-aggregated before their shuffles; no row is a whole group."""
+    """(host, line_hash, n_docs) of the lines above the limit.  Counts are
+    pre-aggregated before their shuffles; no row is a whole group."""
     seen = measured.select("host", "text_hash", F.explode("line_hash").alias("line_hash")).distinct()
     lines = seen.groupBy("host", "line_hash").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > line_docs)
+    if not line_share:
+        return lines
     hosts = measured.select(F.col("host").alias("of_host"), "text_hash").distinct().groupBy("of_host").agg(F.count("*").alias("host_docs"))
     return lines.join(hosts, F.col("host").eqNullSafe(F.col("of_host"))).where(F.col("n_docs") > line_share * F.col("host_docs")).select("host", "line_hash", "n_docs")
 
@@ -226,7 +229,11 @@ def base_ok(text: pa.Array) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, bool)
 
 
-SQL = rf"""
+def __getattr__(name: str) -> str:
+    """``SQL``, the twin, with the limits in force when it is read."""
+    if name != "SQL":
+        raise AttributeError(f"module {__name__!r} has no attribute {name!r}")
+    return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, string_split(text, chr(10)) AS lines FROM d),
 p AS (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w),

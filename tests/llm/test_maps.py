@@ -87,6 +87,22 @@ def test_quality_cleans(docs_of):
     assert same[3] == rows[3][1]
 
 
+def test_line_limit_is_alike_at_every_host_size(spark):
+    """Production values: a line of 12 documents goes from a host of 30 and from one of 400; a line of 11 stays in both."""
+    often, seldom = "accept all cookies to go on reading", "this line is in eleven documents only"
+    rows = []
+    for host, n in (("small", 30), ("hot", 400)):
+        for i in range(n):
+            own = " ".join(f"{host}{i}w{k}" for k in range(12))
+            rows.append((len(rows), "\n".join([own, *[often] * (i < 12), *[seldom] * (12 <= i < 23)]), host, 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    lost = {r["doc_id"]: r["n_line_words"] for r in quality_rules.quality(docs).collect()}
+    assert lost == {d: 7 * (often in t) for d, t, _, _ in rows}
+    assert {r["doc_id"]: r["text"].rstrip("\n") for r in quality_rules.clean(docs).collect()} == {d: t.replace("\n" + often, "") for d, t, _, _ in rows}
+    columns, want = in_duckdb(quality_rules.SQL, [(d, t, h) for d, t, h, _ in rows])
+    assert {r[columns.index("doc_id")]: r[columns.index("n_line_words")] for r in want} == lost
+
+
 @pytest.fixture(scope="module")
 def transducer():
     return bpe.Transducer(bpe.read_ranks(bpe.RANK_FILE))
