@@ -14,17 +14,18 @@ vocabulary.  Parameters live in a table ``(layer, row, values)``; layers
   ``BROADCAST_PARAMS`` numbers goes to the tasks; of a larger one the
   vocabulary layers stay a table, and each (block of it, slice of documents)
   meets in a task of its own;
-* fitting is synchronous data-parallel: every task computes gradient sums
-  for its documents of the step, Spark sums them per parameter row, the
-  driver applies one Adam step and re-broadcasts.  The log has one row per
-  step and is kept by the driver until the end; ``fit`` is for models that
-  the driver holds and refuses larger ones.
+* fitting is synchronous: the vocabulary layers and Adam's moments are a
+  table with one row (bytes of doubles) per block of the vocabulary.  The documents of a step go
+  to the blocks; each sums the gradient of its own rows and updates them, and
+  the driver sees sums as wide as the batch and the heads only.  The log has
+  one row per step and is kept by the driver until the end.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -35,11 +36,11 @@ from pyspark.sql import types as T
 from quill.functions.hashing import TWO_60, hash_key, hash_unit
 
 BROADCAST_PARAMS = 20_000_000  # numbers of a model that is sent to the tasks whole
-FIT_PARAMS = 50_000_000        # numbers of a model that the driver updates
+FIT_PARAMS = 50_000_000        # numbers of the heads that the driver updates
+FIT_BLOCK = 1024               # vocabulary rows updated at a time
 VOCAB_BLOCK = 8192             # vocabulary rows worked on at a time
 DOC_SLICE = 64                 # documents worked on at a time
 SLICE_DOCS = 50_000            # documents that meet a block of a large model in one task
-GRAD_CHUNK = 2048              # parameter rows per gradient record
 LAYERS = ("enc", "enc_b", "mu", "mu_b", "lv", "lv_b", "dec", "dec_b")
 
 
@@ -159,8 +160,13 @@ def params_to_numpy(params: DataFrame, bound: int = FIT_PARAMS) -> dict:
     return mats
 
 
-def _doc_entries(bow: DataFrame) -> DataFrame:
-    return bow.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("token_id", "cnt"))).alias("e"))
+def _doc_entries(bow: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """The entries of each document; of those in ``docs``, also without any."""
+    e = bow.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("token_id", "cnt"))).alias("e"))
+    if docs is None:
+        return e
+    none = F.array().cast(e.schema["e"].dataType)
+    return docs.select("doc_id").join(e, "doc_id", "left").select("doc_id", F.coalesce("e", none).alias("e"))
 
 
 def _ids_cnts(pdf):
@@ -323,135 +329,226 @@ def _vsum(v: pd.Series) -> list:
     return np.sum(np.stack(v.to_numpy()), axis=0).tolist()
 
 
-def _grad_fn(bm, seed: int, epoch: int, scale: float):
+def noise(seed: int, epoch: int, doc_id: int, K: int) -> np.ndarray:
+    """Reproducible normal draws of a document in an epoch."""
+    out = np.empty(K)
+    for k in range(K):
+        s = f"{seed}:eps{epoch}:{doc_id * K + k}".encode()
+        u = [int(hashlib.md5(s + bytes([j])).hexdigest()[:15], 16) / TWO_60 for j in range(2)]
+        out[k] = math.sqrt(-2.0 * math.log(max(u[0], 1e-300))) * math.cos(2 * math.pi * u[1])
+    return out
+
+
+def adam(w, m, v, g, step: int, lr: float):
+    """One Adam step: weights and both moments."""
+    m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g ** 2
+    return w - lr * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8), m, v
+
+
+STATE = "block int, " + ", ".join(f"{layer}{part} binary" for layer in ("enc", "dec") for part in ("", "_m", "_v"))
+
+
+def _first_state(params: DataFrame, blocks: int) -> DataFrame:
+    """The vocabulary layers as one row per FIT_BLOCK vocabulary rows, with
+    Adam's moments; the decoder's bias is the last column of its rows."""
+    bias = params.where("layer = 'dec_b'").select(F.posexplode("values").alias("row", "bias"))
+    dec = params.where("layer = 'dec'").select("row", "values").join(bias, "row").select("row", F.concat("values", F.array("bias")).alias("dec"))
+    rows = params.where("layer = 'enc'").select("row", F.col("values").alias("enc")).join(dec, "row")
+
+    def pack(key, pdf):
+        pdf = pdf.sort_values("row")
+        out = {"block": [key[0]]}
+        for layer in ("enc", "dec"):
+            w = np.concatenate(pdf[layer].to_numpy())
+            out |= {layer: [w.tobytes()], f"{layer}_m": [bytes(w.nbytes)], f"{layer}_v": [bytes(w.nbytes)]}
+        return pd.DataFrame(out)
+
+    # dealt out by block for good: the steps keep to these files
+    rows = rows.withColumn("block", F.floor(F.col("row") / FIT_BLOCK).cast("int")).repartition(max(blocks, 1), "block")
+    return rows.groupBy("block").applyInPandas(pack, STATE)
+
+
+class _Batch:
+    """The entries of a batch's documents, in the order of tokens."""
+
+    def __init__(self, rows):
+        self.size = FIT_BLOCK
+        self.docs = [r["doc_id"] for r in rows]
+        d = np.repeat(np.arange(len(rows)), [len(r["e"]) for r in rows])
+        t = np.array([x["token_id"] for r in rows for x in r["e"]], dtype=np.int64)
+        c = np.array([x["cnt"] for r in rows for x in r["e"]], dtype=np.float64)
+        order = np.argsort(t, kind="stable")
+        self.d, self.t, self.c = d[order], t[order], c[order]
+        self.words = np.bincount(d, weights=c, minlength=len(rows))
+
+    def block(self, block: int, n: int):
+        """Document, row of the block, count of the entries in a block of n rows."""
+        lo, hi = np.searchsorted(self.t, [block * self.size, block * self.size + n])
+        return self.d[lo:hi], self.t[lo:hi] - block * self.size, self.c[lo:hi]
+
+
+def _hidden_fn(bm, H: int):
     def fn(batches):
-        m = Model(bm.value)
-        H, K = m.W1.shape[1], m.Wmu.shape[1]
-        V = m.Wd.shape[0]
-        acc = {k: None for k in ("dec", "dec_b", "mu", "mu_b", "lv", "lv_b", "enc_b")}
-        enc_rows: dict = {}
-        stats = np.zeros(4)
+        x, out = bm.value, None
         for pdf in batches:
-            ids, cnts = _ids_cnts(pdf)
-            if not len(ids):
-                continue
-            a1, h, mu, lv = m.encode(ids, cnts)
-            B = len(ids)
-            eps = np.empty((B, K))
-            for i, d in enumerate(pdf["doc_id"]):
-                for k in range(K):  # reproducible noise per (doc, epoch, k)
-                    s = f"{seed}:eps{epoch}:{int(d) * K + k}".encode()
-                    u = [int(hashlib.md5(s + bytes([j])).hexdigest()[:15], 16) / TWO_60 for j in range(2)]
-                    eps[i, k] = math.sqrt(-2.0 * math.log(max(u[0], 1e-300))) * math.cos(2 * math.pi * u[1])
-            std = np.exp(0.5 * lv)
-            z = mu + eps * std
-            logits, lp = m.log_probs(z)
-            X = np.zeros((B, V))
-            for i, (t, c) in enumerate(zip(ids, cnts)):
-                np.add.at(X[i], t, c)
-            recon = -(X * lp).sum(1)
-            kl = -0.5 * (1 + lv - mu ** 2 - np.exp(lv)).sum(1)
-            stats += np.array([B, recon.sum(), kl.sum(), (recon + kl).sum()])
-            sm = np.exp(lp)
-            dlog = (-X + X.sum(1, keepdims=True) * sm) * scale
-            dz = dlog @ m.Wd
-            dmu = dz + mu * scale
-            dlv = dz * eps * 0.5 * std + (-0.5 + 0.5 * np.exp(lv)) * scale
-            dh = dmu @ m.Wmu.T + dlv @ m.Wlv.T
-            da1 = dh * (a1 > 0)
-            parts = {"dec": dlog.T @ z, "dec_b": dlog.sum(0, keepdims=True), "mu": h.T @ dmu,
-                     "mu_b": dmu.sum(0, keepdims=True), "lv": h.T @ dlv, "lv_b": dlv.sum(0, keepdims=True),
-                     "enc_b": da1.sum(0, keepdims=True)}
-            for k2, v in parts.items():
-                acc[k2] = v if acc[k2] is None else acc[k2] + v
-            for i, (t, c) in enumerate(zip(ids, cnts)):
-                for tok, cn in zip(t.tolist(), c.tolist()):
-                    g = cn * da1[i]
-                    enc_rows[tok] = g if tok not in enc_rows else enc_rows[tok] + g
-        out_l, out_r, out_v = [], [], []
-        if enc_rows:
-            enc = np.zeros((V, H))
-            for tok, g in enc_rows.items():
-                enc[tok] = g
-            acc["enc"] = enc
-        for layer, mat in acc.items():
-            if mat is None:
-                continue
-            for c0 in range(0, mat.shape[0], GRAD_CHUNK):  # row blocks: few, large records
-                block = mat[c0:c0 + GRAD_CHUNK]
-                if layer == "enc" and not block.any():
-                    continue
-                out_l.append(layer); out_r.append(c0 // GRAD_CHUNK); out_v.append(block.ravel())
-        out_l.append("_stats"); out_r.append(0); out_v.append(stats)
-        yield pd.DataFrame({"layer": out_l, "row": pd.Series(out_r, dtype="int32"), "values": out_v})
+            for block, w in zip(pdf["block"], pdf["enc"]):
+                W = np.frombuffer(w).reshape(-1, H)
+                d, t, c = x.block(block, len(W))
+                out = np.zeros((len(x.docs), H)) if out is None else out
+                np.add.at(out, d, W[t] * c[:, None])
+        if out is not None:
+            yield pd.DataFrame({"a": [out.ravel()]})
+    return fn
+
+
+def _softmax_fn(bm, K: int):
+    """Per task: maximum and sum of a running softmax, its sum of decoder rows,
+    and over the documents' own words the sums of decoder rows and of logits."""
+    def fn(batches):
+        x, z = bm.value
+        B, seen = len(x.docs), False
+        mx, total, rows, own, xl = np.full(B, -np.inf), np.zeros(B), np.zeros((B, K)), np.zeros((B, K)), np.zeros(B)
+        for pdf in batches:
+            for block, w in zip(pdf["block"], pdf["dec"]):
+                seen, W = True, np.frombuffer(w).reshape(-1, K + 1)
+                logits = z @ W[:, :K].T + W[:, K]
+                d, t, c = x.block(block, len(W))
+                np.add.at(own, d, W[t, :K] * c[:, None])
+                np.add.at(xl, d, logits[d, t] * c)
+                top = np.maximum(mx, logits.max(1))
+                e, old = np.exp(logits - top[:, None]), np.exp(mx - top)
+                mx, total, rows = top, total * old + e.sum(1), rows * old[:, None] + e @ W[:, :K]
+        if seen:
+            yield pd.DataFrame({"mx": [mx], "total": [total], "rows": [rows.ravel()], "own": [own.ravel()], "xl": [xl]})
+    return fn
+
+
+def _update_fn(bm, H: int, K: int, step: int, lr: float, scale: float):
+    def fn(batches):
+        x, z, lse, da1 = bm.value
+        for pdf in batches:
+            for block, *parts in pdf.itertuples(index=False):
+                ew, em, ev, dw, dm, dv = map(np.frombuffer, parts)
+                E, D = ew.reshape(-1, H), dw.reshape(-1, K + 1)
+                d, t, c = x.block(block, len(E))
+                g = np.zeros_like(E)
+                np.add.at(g, t, c[:, None] * da1[d])
+                dlog = np.exp(z @ D[:, :K].T + D[:, K] - lse[:, None]) * x.words[:, None]
+                np.add.at(dlog, (d, t), -c)
+                gd = np.concatenate([dlog.T @ z, dlog.sum(0)[:, None]], axis=1) * scale
+                enc, dec = adam(ew, em, ev, g.ravel(), step, lr), adam(dw, dm, dv, gd.ravel(), step, lr)
+                yield pd.DataFrame({"block": [block], **{n: [v.tobytes()] for n, v in zip(pdf.columns[1:], (*enc, *dec))}})
     return fn
 
 
+def _monitor(state: DataFrame, epoch: int, K: int, topics: int, words: int) -> list:
+    """The largest weights of the first topics: a few of every block, then of those."""
+    fit_block = FIT_BLOCK
+
+    def fn(batches):
+        for pdf in batches:
+            for block, w in zip(pdf["block"], pdf["dec"]):
+                W = np.frombuffer(w).reshape(-1, K + 1)
+                for k in range(min(topics, K)):
+                    top = np.lexsort((-np.arange(len(W)), -W[:, k]))[:words]
+                    yield pd.DataFrame({"topic": k, "token_id": top + block * fit_block, "weight": W[top, k]})
+
+    w = Window.partitionBy("topic").orderBy(F.col("weight").desc(), F.col("token_id").desc())
+    best = state.select("block", "dec").mapInPandas(fn, "topic int, token_id int, weight double").withColumn("rank", F.row_number().over(w))
+    return [(epoch, r["topic"], r["rank"], r["token_id"]) for r in best.where(F.col("rank") <= words).collect()]
+
+
 def fit(bow: DataFrame, V: int, H: int = 500, K: int = 40, epochs: int = 15, batch_size: int = 64,
         lr: float = 1e-3, seed: int = 42, params: DataFrame | None = None,
-        vocab: DataFrame | None = None, monitor_topics: int = 5, monitor_words: int = 8):
+        vocab: DataFrame | None = None, monitor_topics: int = 5, monitor_words: int = 8,
+        docs: DataFrame | None = None):
     """M4: returns ``(params, training_log, monitor)``; ``training_log`` has
     ``(epoch, batch, docs, loss, recon, kl)`` per step, ``monitor`` the first
-    topics' top words after every epoch (M8).  One step = one global batch of
-    ``batch_size`` documents per partition-sized slice (``batch_size`` here is
-    the global batch)."""
+    topics' top words after every epoch (M8).  ``docs(doc_id)`` names the
+    documents when some of them may be without a counted token."""
     spark = bow.sparkSession
-    from quill.session import materialize
-    ent = materialize(_doc_entries(bow))
+    from quill.session import ensure_checkpoint_dir, materialize
+    ent = materialize(_doc_entries(bow, docs))
     if params is None:
         params = init_params(spark, V, H, K, seed)
-    mats = params_to_numpy(params)
-    m1 = {k: np.zeros_like(v) for k, v in mats.items()}
-    m2 = {k: np.zeros_like(v) for k, v in mats.items()}
-    b1, b2, e = 0.9, 0.999, 1e-8
-    step = 0
+    heads = params_to_numpy(params.where(~F.col("layer").isin("enc", "dec", "dec_b")), FIT_PARAMS)
+    (H, K), moments = heads["mu"].shape, {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in heads.items()}
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/quill-tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+    def kept(state: DataFrame, step: int) -> DataFrame:
+        # two tables take turns: a step reads the one and writes the other
+        state.write.mode("overwrite").parquet(f"{folder}/{step % 2}")
+        return spark.read.schema(STATE).parquet(f"{folder}/{step % 2}")
+
+    state, step = kept(_first_state(params, -(-V // FIT_BLOCK)), 0), 0
     log_rows, mon_rows = [], []
+    send = spark.sparkContext.broadcast
     for epoch in range(epochs):
         mb = minibatches(ent.select("doc_id"), epoch, batch_size, seed)
         batched = materialize(ent.join(mb, on="doc_id"), partition_by="batch")
-        sizes = {r["batch"]: r["n"] for r in batched.groupBy("batch").agg(F.count(F.lit(1)).alias("n")).collect()}
-        for b in sorted(sizes):
-            n_docs = sizes[b]
-            bm = spark.sparkContext.broadcast(mats)
-            part = batched.where(F.col("batch") == b)  # directory pruning on the batch partition
-            grads = (part.mapInPandas(_grad_fn(bm, seed, epoch, 1.0 / n_docs), "layer string, row int, values array<double>")
-                     .groupBy("layer", "row").agg(_vsum("values").alias("values")).collect())
-            step += 1
-            stats = None
-            g = {k: np.zeros_like(v) for k, v in mats.items()}
-            for r in grads:
-                if r["layer"] == "_stats":
-                    stats = r["values"]
-                    continue
-                flat = np.asarray(r["values"])
-                mat = g[r["layer"]]
-                c0 = r["row"] * GRAD_CHUNK
-                mat[c0:c0 + flat.size // mat.shape[1]] += flat.reshape(-1, mat.shape[1])
-            for k in mats:
-                m1[k] = b1 * m1[k] + (1 - b1) * g[k]
-                m2[k] = b2 * m2[k] + (1 - b2) * g[k] ** 2
-                mh = m1[k] / (1 - b1 ** step)
-                vh = m2[k] / (1 - b2 ** step)
-                mats[k] = mats[k] - lr * mh / (np.sqrt(vh) + e)
-            bm.unpersist()
-            nd = stats[0] if stats else n_docs
-            log_rows.append((epoch, int(b), int(nd), stats[3] / nd, stats[1] / nd, stats[2] / nd))
+        for b in sorted(r["batch"] for r in batched.select("batch").distinct().collect()):
+            # directory pruning on the batch partition; what the driver holds follows the batch, not the vocabulary
+            x = _Batch(sorted(batched.where(F.col("batch") == b).select("doc_id", "e").collect(), key=lambda r: r["doc_id"]))
+            n, step = len(x.docs), step + 1
+            scale = 1.0 / n
+            sent = [send(x)]
+            a1 = sum(np.asarray(r["a"]) for r in state.select("block", "enc").mapInPandas(_hidden_fn(sent[0], H), "a array<double>").collect())
+            a1 = a1.reshape(n, H) + heads["enc_b"][0]
+            h = np.maximum(a1, 0.0)
+            mu, lv = h @ heads["mu"] + heads["mu_b"][0], h @ heads["lv"] + heads["lv_b"][0]
+            eps, std = np.stack([noise(seed, epoch, int(d), K) for d in x.docs]), np.exp(0.5 * lv)
+            z = mu + eps * std
+            sent.append(send((x, z)))
+            got = state.select("block", "dec").mapInPandas(_softmax_fn(sent[1], K), ", ".join(f"{c} array<double>" for c in ("mx", "total", "rows", "own", "xl"))).collect()
+            mx = np.stack([r["mx"] for r in got])
+            top = mx.max(0)
+            share = np.exp(mx - top)
+            total = (share * np.stack([r["total"] for r in got])).sum(0)
+            lse = top + np.log(total)
+            rows = sum(s[:, None] * np.reshape(r["rows"], (n, K)) for s, r in zip(share, got)) / total[:, None]
+            recon = x.words * lse - sum(np.asarray(r["xl"]) for r in got)
+            kl = -0.5 * (1 + lv - mu ** 2 - np.exp(lv)).sum(1)
+            dz = (x.words[:, None] * rows - sum(np.reshape(r["own"], (n, K)) for r in got)) * scale
+            dmu = dz + mu * scale
+            dlv = dz * eps * 0.5 * std + (-0.5 + 0.5 * np.exp(lv)) * scale
+            da1 = (dmu @ heads["mu"].T + dlv @ heads["lv"].T) * (a1 > 0)
+            sent.append(send((x, z, lse, da1)))
+            state = kept(state.mapInPandas(_update_fn(sent[2], H, K, step, lr, scale), STATE), step)
+            g = {"mu": h.T @ dmu, "mu_b": dmu.sum(0, keepdims=True), "lv": h.T @ dlv, "lv_b": dlv.sum(0, keepdims=True), "enc_b": da1.sum(0, keepdims=True)}
+            for k in heads:
+                heads[k], *moments[k] = adam(heads[k], *moments[k], g[k], step, lr)
+            for s in sent:
+                s.unpersist()
+            log_rows.append((epoch, int(b), n, float((recon + kl).mean()), float(recon.mean()), float(kl.mean())))
         if vocab is not None:
-            dec = mats["dec"]
-            for k in range(min(monitor_topics, dec.shape[1])):
-                order = np.lexsort((-np.arange(dec.shape[0]), -dec[:, k]))[:monitor_words]
-                for rank, tok in enumerate(order, start=1):
-                    mon_rows.append((epoch, k, rank, int(tok)))
-    out_rows = []
-    for layer, mat in mats.items():
-        for r in range(mat.shape[0]):
-            out_rows.append((layer, r, mat[r].tolist()))
-    params_out = materialize(spark.createDataFrame(out_rows, "layer string, row int, values array<double>"))
+            mon_rows += _monitor(state, epoch, K, monitor_topics, monitor_words)
     log = spark.createDataFrame(log_rows, "epoch int, batch int, docs int, loss double, recon double, kl double")
     mon = spark.createDataFrame(mon_rows, "epoch int, topic int, rank int, token_id int")
     if vocab is not None:
         mon = mon.join(vocab, on="token_id")
-    return params_out, log, mon
+    return _params_of(state, heads, H, K), log, mon
+
+
+def _params_of(state: DataFrame, heads: dict, H: int, K: int) -> DataFrame:
+    """The parameter table of blocks and heads."""
+    from quill.session import materialize
+    fit_block = FIT_BLOCK
+
+    def fn(batches):
+        for pdf in batches:
+            for block, e, d in zip(pdf["block"], pdf["enc"], pdf["dec"]):
+                E, D = np.frombuffer(e).reshape(-1, H), np.frombuffer(d).reshape(-1, K + 1)
+                row = block * fit_block + np.arange(len(E), dtype=np.int32)
+                yield pd.DataFrame({"layer": "enc", "row": row, "values": list(E)})
+                yield pd.DataFrame({"layer": "dec", "row": row, "values": list(D[:, :K])})
+                yield pd.DataFrame({"layer": "dec_b", "row": row[:1], "values": [D[:, K]]})
+
+    rows = materialize(state.select("block", "enc", "dec").mapInPandas(fn, "layer string, row int, values array<double>"))
+    parts = F.array_sort(F.collect_list(F.struct("row", "values")))
+    bias = rows.where("layer = 'dec_b'").agg(F.flatten(F.transform(parts, lambda x: x["values"])).alias("values"))
+    small = state.sparkSession.createDataFrame([(k, r, v[r].tolist()) for k, v in heads.items() for r in range(len(v))], "layer string, row int, values array<double>")
+    return (rows.where("layer <> 'dec_b'").unionByName(bias.select(F.lit("dec_b").alias("layer"), F.lit(0).alias("row"), "values"))
+            .unionByName(small))
 
 
 def training_log_summary(log: DataFrame) -> DataFrame:

@@ -491,13 +491,16 @@ def q_cross_entropy(spark, sf):
 
 @query("train_head")
 def q_train_head(spark, sf):
-    """C1-C2 (rows only): softmax head fitted with distributed L-BFGS, then
-    test predictions with the same metrics as the centroid head."""
+    """C1-C2 (rows only): softmax head fitted with distributed L-BFGS on the
+    oversampled train rows, then test predictions with the same metrics as the
+    centroid head."""
     pts = src.embeddings_table(spark, sf)
     sp = S.stratified_split(pts.select("doc_id", "label"))
     ep = pts.join(sp.select("doc_id", "split"), on="doc_id")
-    lmap = L.fit_label_map(ep.where(F.col("split") == "train"))
-    head = CL.fit_softmax_head(ep.where(F.col("split") == "train"), lmap)
+    train = ep.where(F.col("split") == "train")
+    lmap = L.fit_label_map(train)
+    balanced = B.balance(train, train.select("doc_id", "features"), "ros").withColumnRenamed("out_id", "doc_id")
+    head = CL.fit_softmax_head(balanced, lmap)
     test = L.encode_labels(ep.where(F.col("split") == "test"), lmap)
     pred = CL.argmax_predict(CL.head_logits(test, head))
     return pred.select("doc_id", "label_id", "pred_id")
@@ -637,7 +640,7 @@ def q_minibatch_assign(spark, sf):
     return out.select("doc_id", F.col("epoch").cast("int"), "batch")
 
 
-FIT_H, FIT_K, FIT_EPOCHS, FIT_BATCH = 32, 8, 2, 256
+FIT_H, FIT_K, FIT_EPOCHS, FIT_BATCH = 500, 40, 15, 64   # as in the reference
 
 
 def _fit(spark, sf):
@@ -645,8 +648,12 @@ def _fit(spark, sf):
     from quill.session import materialize
     vocab = materialize(V.fit_vocabulary(p.tokens))
     n_vocab = vocab.count()
-    bow = V.term_counts(p.tokens.where(F.col("split") == "train"), vocab, keep=())
-    return TM.fit(bow, n_vocab, H=FIT_H, K=FIT_K, epochs=FIT_EPOCHS, batch_size=FIT_BATCH, vocab=vocab)
+    bow = V.term_counts(p.tokens.where(F.col("split") == "train"), vocab)
+    train = p.docs.where(F.col("split") == "train").select("doc_id", "label")
+    rows = B.balance(train, bow, "smote").select(F.col("out_id").alias("doc_id"), "token_id", "cnt")
+    # both methods number the same copies: rows without a counted token are in the batches too
+    docs = B.random_oversample(train).select(F.col("out_id").alias("doc_id"))
+    return TM.fit(rows, n_vocab, H=FIT_H, K=FIT_K, epochs=FIT_EPOCHS, batch_size=FIT_BATCH, vocab=vocab, docs=docs)
 
 
 @query("topic_fit")

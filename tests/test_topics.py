@@ -70,3 +70,64 @@ def test_blocks_of_a_large_model_give_the_same(spark, monkeypatch):
         assert np.allclose(a["mu"], b["mu"]) and np.allclose(a["logvar"], b["logvar"])
         assert sorted(zip(a["token_ids"], a["cnts"])) == sorted(zip(b["token_ids"], b["cnts"]))
         assert np.allclose([p for _, p in sorted(zip(a["token_ids"], a["logps"]))], [p for _, p in sorted(zip(b["token_ids"], b["logps"]))])
+
+
+def test_fit_by_blocks_is_adam_on_the_whole_model(spark, monkeypatch):
+    """A model beyond what the driver may hold, in blocks, and a document without words, against dense NumPy."""
+    import numpy as np
+    n, V, H, K, lr = 11, 23, 5, 3, 0.01
+    rows = [(d, t, 1 + (d * t) % 3) for d in range(1, n) for t in range(d % 5, V, 3)]
+    bow = spark.createDataFrame(rows, "doc_id long, token_id int, cnt int")
+    docs = spark.createDataFrame([(d,) for d in range(n)], "doc_id long")
+    start = TM.init_params(spark, V, H, K)
+    p = TM.params_to_numpy(start)
+    monkeypatch.setattr(TM, "FIT_PARAMS", 100)
+    monkeypatch.setattr(TM, "FIT_BLOCK", 7)
+    got, log, _ = TM.fit(bow, V, epochs=2, batch_size=4, lr=lr, params=start, docs=docs)
+    m1, m2, want, step = {k: 0 * v for k, v in p.items()}, {k: 0 * v for k, v in p.items()}, [], 0
+    for epoch in range(2):
+        of = {}
+        for r in TM.minibatches(docs, epoch, 4).collect():
+            of.setdefault(r["batch"], []).append(r["doc_id"])
+        for b in sorted(of):
+            ids, step = sorted(of[b]), step + 1
+            X = np.array([[next((c for d, t, c in rows if (d, t) == (i, v)), 0) for v in range(V)] for i in ids], dtype=float)
+            a = X @ p["enc"] + p["enc_b"]
+            h = np.maximum(a, 0)
+            mu, lv = h @ p["mu"] + p["mu_b"], h @ p["lv"] + p["lv_b"]
+            eps = np.stack([TM.noise(42, epoch, i, K) for i in ids])
+            z = mu + eps * np.exp(lv / 2)
+            e = np.exp(z @ p["dec"].T + p["dec_b"])
+            sm = e / e.sum(1, keepdims=True)
+            want.append((epoch, b, len(ids), (-(X * np.log(sm)).sum(1) - 0.5 * (1 + lv - mu**2 - np.exp(lv)).sum(1)).mean()))
+            dl = (X.sum(1, keepdims=True) * sm - X) / len(ids)
+            dz = dl @ p["dec"]
+            dmu, dlv = dz + mu / len(ids), dz * eps * np.exp(lv / 2) / 2 + (np.exp(lv) - 1) / 2 / len(ids)
+            da = (dmu @ p["mu"].T + dlv @ p["lv"].T) * (a > 0)
+            g = {"enc": X.T @ da, "enc_b": da.sum(0), "mu": h.T @ dmu, "mu_b": dmu.sum(0), "lv": h.T @ dlv, "lv_b": dlv.sum(0), "dec": dl.T @ z, "dec_b": dl.sum(0)}
+            for k in p:
+                m1[k], m2[k] = 0.9 * m1[k] + 0.1 * g[k], 0.999 * m2[k] + 0.001 * g[k] ** 2
+                p[k] = p[k] - lr * m1[k] / (1 - 0.9**step) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-8)
+    have = sorted((r["epoch"], r["batch"], r["docs"], r["loss"]) for r in log.collect())
+    assert [x[:3] for x in have] == [x[:3] for x in want] and np.allclose([x[3] for x in have], [x[3] for x in want])
+    have = TM.params_to_numpy(got, 10**6)
+    assert have.keys() == p.keys() and all(np.allclose(have[k], p[k], atol=1e-6) for k in p)
+
+
+def test_registered_fits_are_whole(spark, monkeypatch):
+    """The reference's sizes, on the balanced train rows; train_head on as many rows of every class."""
+    from quill.plans import catalog
+    from tests.conftest import SF_SMALL
+    seen = {}
+    monkeypatch.setattr(catalog.TM, "fit", lambda bow, V, **kw: seen.update(kw, bow=bow))
+    catalog._fit(spark, SF_SMALL)
+    assert (seen["H"], seen["K"], seen["epochs"], seen["batch_size"]) == (500, 40, 15, 64)
+    balanced = catalog.QUERIES["balanced_distribution"](spark, SF_SMALL).agg(F.sum("n")).first()[0]
+    assert seen["docs"].distinct().count() == balanced
+    assert seen["bow"].select("doc_id").distinct().join(seen["docs"], "doc_id", "left_anti").count() == 0
+    monkeypatch.setattr(catalog.CL, "fit_softmax_head", lambda train, lmap: 1 / 0 if seen.update(head=train) else 1 / 0)
+    try:
+        catalog.q_train_head(spark, SF_SMALL)
+    except ZeroDivisionError:
+        pass
+    assert len({r["count"] for r in seen["head"].groupBy("label").count().collect()}) == 1
