@@ -175,10 +175,12 @@ def _ids_cnts(pdf):
     return ids, cnts
 
 
-def forward(bow: DataFrame, params: DataFrame) -> DataFrame:
-    """One pass at z = mu: ``(doc_id, mu, logvar, token_ids, cnts, logps)``."""
+def forward(bow: DataFrame, params: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """One pass at z = mu: ``(doc_id, mu, logvar, token_ids, cnts, logps)``.
+    ``docs(doc_id)`` names the documents when some may be without a counted
+    token; those have empty arrays and the encoding of an all-zero row."""
     if n_params(params) > BROADCAST_PARAMS:
-        return _forward_blocks(bow, params)
+        return _forward_blocks(bow, params, docs)
     bm = bow.sparkSession.sparkContext.broadcast(params_to_numpy(params, BROADCAST_PARAMS))
 
     def fn(batches):
@@ -189,14 +191,14 @@ def forward(bow: DataFrame, params: DataFrame) -> DataFrame:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "mu": list(mu), "logvar": list(lv), "token_ids": ids,
                                 "cnts": [c.astype(np.int64) for c in cnts], "logps": m.token_logp(mu, ids)})
 
-    return _doc_entries(bow).mapInPandas(fn, FORWARD)
+    return _doc_entries(bow, docs).mapInPandas(fn, FORWARD)
 
 
 FORWARD = ("doc_id long, mu array<double>, logvar array<double>, token_ids array<int>, "
            "cnts array<int>, logps array<double>")
 
 
-def _forward_blocks(bow: DataFrame, params: DataFrame) -> DataFrame:
+def _forward_blocks(bow: DataFrame, params: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     """The same with a model of any vocabulary.  Documents are dealt into
     slices, the encoder's and decoder's rows into blocks; a slice and a block
     meet in one task, and what they give is summed per document.  Only the
@@ -204,7 +206,7 @@ def _forward_blocks(bow: DataFrame, params: DataFrame) -> DataFrame:
     from quill.session import materialize
     small = params_to_numpy(params.where(~F.col("layer").isin("enc", "dec", "dec_b")), BROADCAST_PARAMS)
     heads = bow.sparkSession.sparkContext.broadcast(small)
-    slices = max(1, -(-bow.select("doc_id").distinct().count() // SLICE_DOCS))
+    slices = max(1, -(-(bow if docs is None else docs).select("doc_id").distinct().count() // SLICE_DOCS))
     entries = bow.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(slices)).cast("int").alias("slice"),
                          F.col("token_id").cast("long").alias("token_id"), F.col("cnt").cast("int").alias("cnt"))
     entries = entries.withColumn("block", F.floor(F.col("token_id") / VOCAB_BLOCK).cast("int"))
@@ -231,6 +233,9 @@ def _forward_blocks(bow: DataFrame, params: DataFrame) -> DataFrame:
     enc = params.where("layer = 'enc'").select("row", "values", block, to_slices)
     a1 = (entries.groupBy("block", "slice").cogroup(enc.groupBy("block", "slice"))
           .applyInPandas(hidden, "doc_id long, v array<double>").groupBy("doc_id").agg(_vsum("v").alias("a")))
+    if docs is not None:
+        zeros = F.array_repeat(F.lit(0.0), small["mu"].shape[0])
+        a1 = docs.select("doc_id").join(a1, "doc_id", "left").select("doc_id", F.coalesce("a", zeros).alias("a"))
 
     def encode_rows(batches):
         m = heads.value
@@ -277,28 +282,29 @@ def _forward_blocks(bow: DataFrame, params: DataFrame) -> DataFrame:
     return z.join(per_doc, "doc_id").select("doc_id", "mu", "logvar", "token_ids", "cnts", "logps")
 
 
-def encode(bow: DataFrame, params: DataFrame) -> DataFrame:
+def encode(bow: DataFrame, params: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     """M1/M2 (evaluation: z = mu): ``(doc_id, mu array<double>, logvar array<double>)``."""
-    return forward(bow, params).select("doc_id", "mu", "logvar")
+    return forward(bow, params, docs).select("doc_id", "mu", "logvar")
 
 
-def word_logp(bow: DataFrame, params: DataFrame) -> DataFrame:
+def word_logp(bow: DataFrame, params: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     """M3: ``(doc_id, token_id, cnt, logp)`` for the document's own tokens, z = mu."""
-    f = forward(bow, params).select("doc_id", F.explode(F.arrays_zip("token_ids", "cnts", "logps")).alias("x"))
+    f = forward(bow, params, docs).select("doc_id", F.explode(F.arrays_zip("token_ids", "cnts", "logps")).alias("x"))
     return f.select("doc_id", F.col("x.token_ids").alias("token_id"), F.col("x.cnts").alias("cnt"), F.col("x.logps").alias("logp"))
 
 
-def elbo(bow: DataFrame, params: DataFrame) -> DataFrame:
+def elbo(bow: DataFrame, params: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     """A15 per document at z = mu: ``(doc_id, recon, kl, loss)``, from one pass."""
-    f = forward(bow, params)
+    f = forward(bow, params, docs)
     add = lambda a, x: a + x
     recon = -F.aggregate(F.zip_with("cnts", "logps", lambda c, p: c * p), F.lit(0.0), add)
     kl = F.lit(-0.5) * F.aggregate(F.zip_with("mu", "logvar", lambda m, v: F.lit(1.0) + v - m * m - F.exp(v)), F.lit(0.0), add)
     return f.select("doc_id", recon.alias("recon"), kl.alias("kl")).withColumn("loss", F.col("recon") + F.col("kl"))
 
 
-def elbo_mean(losses: DataFrame) -> DataFrame:
-    """A15 as the training log has it: the mean over a batch of documents."""
+def elbo_mean(losses) -> DataFrame:
+    """A15 as the training log has it: the mean over a batch of documents (a
+    DataFrame of losses, or one grouped by batch)."""
     return losses.agg(*[F.avg(c).alias(c) for c in ("recon", "kl", "loss")], F.count(F.lit(1)).alias("n_docs"))
 
 

@@ -621,6 +621,51 @@ def q_elbo_loss(spark, sf):
                     F.round("loss", 4).alias("loss"))
 
 
+# The three above are held to SQL on the validation split; these give every
+# document of every split, those without a counted token too.
+
+def _all_splits(spark, sf):
+    p, vocab, params = _topic_setup(spark, sf)
+    return p.docs.select("doc_id", "split"), V.term_counts(p.tokens, vocab, keep=()), params
+
+
+@query("topic_encode_splits")
+def q_topic_encode_splits(spark, sf):
+    """M1/M2 of every split, with logvar."""
+    docs, bow, params = _all_splits(spark, sf)
+    e = TM.encode(bow, params, docs).join(docs, on="doc_id")
+    return e.select("doc_id", "split", F.posexplode(F.arrays_zip("mu", "logvar")).alias("dim", "x")).select(
+        "doc_id", "split", F.col("dim").cast("int"), F.round("x.mu", 6).alias("mu"), F.round("x.logvar", 6).alias("logvar"))
+
+
+@query("topic_word_logp_splits")
+def q_topic_word_logp_splits(spark, sf):
+    """M3 of every split (a row per counted token, so none of a document without one)."""
+    docs, bow, params = _all_splits(spark, sf)
+    lp = TM.word_logp(bow, params, docs).join(docs, on="doc_id")
+    return lp.select("doc_id", "split", "token_id", F.round("logp", 6).alias("logp"))
+
+
+def _elbo_splits(spark, sf):
+    docs, bow, params = _all_splits(spark, sf)
+    return TM.elbo(bow, params, docs).join(docs, on="doc_id")
+
+
+@query("elbo_loss_splits")
+def q_elbo_loss_splits(spark, sf):
+    """A15 of every split; a document without a counted token has its KL term."""
+    return _elbo_splits(spark, sf).select("doc_id", "split", F.round("recon", 4).alias("recon"),
+                                          F.round("kl", 6).alias("kl"), F.round("loss", 4).alias("loss"))
+
+
+@query("elbo_mean")
+def q_elbo_mean(spark, sf):
+    """A15 as the training log has it: means over the batches of 64 of the train split's first epoch."""
+    e = _elbo_splits(spark, sf).where(F.col("split") == "train")
+    b = TM.minibatches(e.select("doc_id"), 0, FIT_BATCH)
+    return TM.elbo_mean(e.join(b, on="doc_id").groupBy("batch"))
+
+
 @query("perplexity", Q.with_(*_TOPIC_FWD) +
        "SELECT round(exp(sum(-cnt * logp) / sum(cnt)), 4) AS perplexity, CAST(sum(cnt) AS BIGINT) AS total_words FROM tf_lp")
 def q_perplexity(spark, sf):

@@ -131,3 +131,31 @@ def test_registered_fits_are_whole(spark, monkeypatch):
     except ZeroDivisionError:
         pass
     assert len({r["count"] for r in seen["head"].groupBy("label").count().collect()}) == 1
+
+
+def test_documents_without_words_are_encoded(spark, monkeypatch):
+    bow = spark.createDataFrame([(d, t, 1 + t % 2) for d in range(1, 8) for t in range(d, 20, 4)], "doc_id long, token_id int, cnt int")
+    docs = spark.createDataFrame([(d,) for d in range(9)], "doc_id long")
+    params = TM.init_params(spark, 20, 4, 3)
+    by = lambda df: {r["doc_id"]: (r["recon"], r["kl"], r["loss"]) for r in df.collect()}
+    whole, some = by(TM.elbo(bow, params, docs)), by(TM.elbo(bow, params))
+    assert set(whole) == set(range(9)) and {d: whole[d] for d in some} == some
+    assert whole[0] == whole[8] and whole[0][0] == 0 and whole[0][1] > 0
+    for name, value in (("BROADCAST_PARAMS", 100), ("VOCAB_BLOCK", 10), ("SLICE_DOCS", 4), ("DOC_SLICE", 4)):
+        monkeypatch.setattr(TM, name, value)
+    parts = by(TM.elbo(bow, params, docs))
+    assert set(parts) == set(whole) and all(abs(a - b) < 1e-9 for d in whole for a, b in zip(whole[d], parts[d]))
+
+
+def test_every_split_has_its_encoding(spark, monkeypatch):
+    from quill.plans import catalog
+    from tests.conftest import SF_SMALL
+    made = catalog._topic_setup(spark, SF_SMALL)
+    monkeypatch.setattr(catalog, "_topic_setup", lambda *a: made)
+    q, docs = catalog.QUERIES, {(r["doc_id"], r["split"]) for r in made[0].docs.collect()}
+    e = q["topic_encode_splits"](spark, SF_SMALL).collect()
+    assert {(r["doc_id"], r["split"]) for r in e} == docs and len(e) == 40 * len(docs) and all(r["logvar"] is not None for r in e)
+    assert {(r["doc_id"], r["dim"], r["mu"]) for r in q["topic_encode"](spark, SF_SMALL).collect()} == {(r["doc_id"], r["dim"], r["mu"]) for r in e if r["split"] == "val"}
+    assert {r["split"] for r in q["topic_word_logp_splits"](spark, SF_SMALL).select("split").distinct().collect()} == {"train", "val", "test"}
+    assert q["elbo_loss_splits"](spark, SF_SMALL).count() == len(docs)
+    assert sum(r["n_docs"] for r in q["elbo_mean"](spark, SF_SMALL).collect()) == sum(s == "train" for _, s in docs)
