@@ -1,14 +1,13 @@
-"""Substring deduplication by relative Lempel-Ziv parsing.
+"""Substring deduplication by hashed windows.
 
 Documents are in the order of ``doc_id``; what stands before a document is its
-reference.  The reference is indexed in blocks: all slabs (see ``repeats``)
-around one gram of words form a block, in the order of their documents.  Each
-slab is parsed greedily against its block: a factor begins where 50 words also
-begin in an earlier document and goes on as long as that holds, so at a factor's
-end the next one is tried with the windows that cross the border.  Factors are
-stretches of at least 50 words; joined over neighbouring slabs, they are the
-duplicate spans.  A block of very many slabs is not parsed in one task: its
-windows are dealt out by hash, with the least document of each found map-side.
+reference.  All slabs (see ``repeats``) around one gram of words form a block,
+in the order of their documents.  The 50-word windows of a block are hashed and
+sorted; one that also begins in an earlier document is flagged, and flagged
+windows that touch are joined over neighbouring slabs to the duplicate spans.
+Nothing is factored: a span may join windows of different earlier documents.
+The windows of a block of very many slabs are not sorted in one task: they are
+dealt out by hash, with the least document of each found map-side.
 
 Defined cases: null texts have no words; a text of less than 50 words keeps all
 of them; rows with the same ``doc_id`` are one document (neither is before the
