@@ -183,7 +183,8 @@ def candidates(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int,
 
 
 class Field:
-    """Weights (feature x label) and transitions between outside (0) and the kinds."""
+    """Weights (feature x label).  Transitions between outside (0) and the kinds
+    have a place in the recursions but are not trained: they are 0."""
 
     def __init__(self) -> None:
         self.w = np.zeros((_N, len(KINDS) + 1))
