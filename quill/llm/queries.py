@@ -5,7 +5,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quill.llm import bpe, chat, fingerprints, line_dedup, mixing, ngram_join, pii, quality_rules, substring_dedup, suffix_dedup
+from quill.llm import (
+    bpe, chat, conversation_repair, fingerprints, line_dedup, merkle, mixing, ngram_join, pii, quality_rules, simhash, substring_dedup, suffix_dedup,
+)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,8 +58,21 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.deduplicated(_documents(spark, sf_dir))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(_documents(spark, sf_dir))
+
+
+def op13_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classes(_documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_personal_data, op3_mix_sources, op4_ngram_join, op5_fingerprints, op6_chat_format,
     op7_suffix_dedup, op8_quality_rules, op9_byte_bpe, op10_substring_dedup,
+    op11_conversation_repair, op12_merkle_manifest, op13_simhash_classes,
 )}
 ORACLE = {"op3_mix_sources": mixing.SQL, "op8_quality_rules": quality_rules.SQL}

@@ -144,3 +144,46 @@ def corpus(n=60, seed=5, vocabulary=400):
         out.append(t)
     out += ["", None, " \t\n", "one", "One", "a b c d", "A B C D", "a b c d e f", "x" * 3000, "x" * 1200, common, common + " ", "\n\n" + common.upper()]
     return [(10 + 3 * i, t) for i, t in enumerate(out)]
+
+
+def _sha(parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def merkle(rows):
+    """Rows of (doc_id, text, source, lang, n_chars) -> sorted result rows."""
+    import zlib
+
+    def leaf(d, t, s, g, n):
+        return _sha("-" if v is None else f"{len(str(v).encode())}:{v}" for v in (d, s, g, n, t))
+
+    def tree(nodes):
+        levels = [nodes]
+        while len(levels[-1]) > 1:
+            levels.append([_sha(levels[-1][i : i + 2]) for i in range(0, len(levels[-1]), 2)])
+        return levels
+
+    def path(levels, i):
+        for nodes in levels[:-1]:
+            yield i & 1, nodes[i ^ 1] if i ^ 1 < len(nodes) else None
+            i >>= 1
+
+    by = {}
+    for d, t, s, g, n in rows:
+        up = n if n is None or d is None or zlib.crc32(str(d).encode()) % 7 else n + 1
+        by.setdefault((g is not None, (g or "").encode()), []).append((d is not None, d or 0, leaf(d, t, s, g, n), leaf(d, t, s, g, up), d))
+    trees = {}
+    for g in sorted(by):
+        by[g].sort(key=lambda x: x[:3])
+        trees[g] = tree([x[2] for x in by[g]])
+    over = tree([trees[g][-1][0] for g in sorted(by)]) if by else []
+    out = []
+    for k, g in enumerate(sorted(by)):
+        for i, (_, _, own, bad, d) in enumerate(by[g]):
+            steps = [*path(trees[g], i), *path(over, k)]
+            node = bad
+            for right, other in steps:
+                node = _sha([node] if other is None else [other, node] if right else [node, other])
+            root = over[-1][0]
+            out.append((d, own, trees[g][-1][0], root, _sha(o for _, o in steps if o), node, node == root))
+    return sorted(out, key=str)
