@@ -80,35 +80,23 @@ class Search:
             self.saves[i] = max(self.saves[i + 1], save)
 
     def _estimates(self, after: str) -> list[list[int]]:
-        """Lower bounds of what remains at (row, state), if ``after`` (u or a) follows the stretch."""
-        halves = {"u": [0] * (self.n + 1), "a": [0] * (self.n + 1)}  # clashes from row i on, in half units, if the row before has this role
-        here = {r: 3 * (r == after) for r in "ua"}
-        for r in "ua":
-            halves[r][self.n] = here[r]
-        for i in range(self.n - 1, -1, -1):
-            if self.must[i]:
-                own = {r: halves[r][i + 1] for r in "ua"}
-            elif self.roles[i] in "ua":
-                mine = self.roles[i]
-                # a clash is undone by Rerole (3, two clashes at most) or Insert (3), or by Delete, which for a truncated row adds 1 only
-                nxt = self._clash_cost(i, mine, halves)
-                own = {r: nxt + ((2 if self.extra[i] else 3) if r == mine else 0) for r in "ua"}
-            else:
-                own = dict.fromkeys("ua", halves["x"][i + 1] if "x" in halves else min(halves["u"][i + 1], halves["a"][i + 1]))
-            for r in "ua":
-                halves[r][i] = own[r]
-        out = []
-        for i in range(self.n + 1):
-            base = self.least[i]
-            fresh, said = base + -(-halves["a"][i] // 2), base + -(-halves["u"][i] // 2)
+        """Lower bounds of what remains at (row, state), if ``after`` (u or a)
+        follows.  A clash of two neighbours is undone by Rerole (3, two clashes
+        at most), Insert (3), or Delete, which takes away one clash and adds 1
+        to what a truncated row costs anyway: 1 where a row is truncated, else
+        a half of 3, here in halves."""
+        out, clashes, head, weight = [], 0, after, 3  # of the rows left: their clashes, the first one's role and weight
+        for i in range(self.n, -1, -1):
+            if i < self.n and not self.must[i]:
+                mine, own = self.roles[i], 2 if self.extra[i] else 3
+                if mine in "ua":
+                    clashes += min(own, weight) * (mine == head)
+                    head, weight = mine, own
+                else:
+                    head, weight = "x", 3
+            fresh, said = (self.least[i] - (-(clashes + weight * (head == r)) // 2) for r in "au")
             out.append([max(0, fresh - self.saves[i]), fresh, said, fresh])
-        return out
-
-    def _clash_cost(self, i: int, mine: str, halves: dict[str, list[int]]) -> int:
-        """Clashes after row i, which has role ``mine``; with a truncated row they weigh less."""
-        nxt = halves[mine][i + 1]
-        other = halves["u" if mine == "a" else "a"][i + 1]
-        return min(nxt, other + 2) if self.extra[i] else nxt
+        return out[::-1]
 
     def run(self, state: int, ends: tuple[int, ...]) -> tuple[int, str] | None:
         """(cost, audit) from a state to one of the states ``ends``."""
@@ -118,8 +106,8 @@ class Search:
         if ends in ((START,), (SYSTEM,)) and state == ends[0]:  # nothing more may be said
             return DELETE * n, "D" * n
         known = self._estimates("a" if ends == (USER,) else "u")  # raised where a state failed
-        if ends == (SYSTEM,):
-            known = [[0] * 4 for _ in range(n)] + [[_NEVER, 0, _NEVER, _NEVER]]
+        if ends == (SYSTEM,):  # one s is kept, all others go
+            known = [[max(0, DELETE * (n - i - 1)), DELETE * (n - i), _NEVER, _NEVER] for i in range(n)] + [[_NEVER, 0, _NEVER, _NEVER]]
 
         def steps(i: int, q: int) -> list[tuple[str, int, int, int]]:
             out = []
@@ -139,8 +127,6 @@ class Search:
             # a frame: row, state, cost so far, steps left, least cost seen to remain
             frames = [[0, state, 0, iter(steps(0, state)), _NEVER]]
             path: list[str] = []
-            if n == 0 and state in ends:
-                return 0, ""
             while frames:
                 frame = frames[-1]
                 i, q, spent = frame[0], frame[1], frame[2]
@@ -235,7 +221,7 @@ def faults(rows: DataFrame) -> DataFrame:
     placed = C.cut(numbered(keyed, "conv", [F.col("turn").asc_nulls_first(), "role", "text"]).withColumn("said", F.sha2(F.concat(F.octet_length("role").cast("string"), F.lit(":"), "role", "text"), 256)))
     first = placed.groupBy(F.col("conv").alias("c"), F.col("said").alias("s")).agg(F.min("pos").alias("first"))
     again = F.col("pos") > F.col("first")
-    words = F.rtrim(F.lit(" \t\n\x0b\x0c\r"), F.col("text"))
+    words = F.rtrim(F.col("text"), F.lit(" \t\n\x0b\x0c\r"))
     fault = F.when(words == "", "b").when(again, "d").when(~F.substring(words, -1, 1).isin(".", "!", "?"), "t").otherwise(".")
     initial = F.substring("role", 1, 1)
     out = placed.join(first, (F.col("conv") == F.col("c")) & (F.col("said") == F.col("s")))

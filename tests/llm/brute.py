@@ -187,3 +187,62 @@ def merkle(rows):
             root = over[-1][0]
             out.append((d, own, trees[g][-1][0], root, _sha(o for _, o in steps if o), node, node == root))
     return sorted(out, key=str)
+
+
+def cheapest_edits(rows):
+    """(cost, audit, lines) for rows of (role, text, fault), by Dijkstra over (cost, audit)."""
+    import heapq
+
+    def after(q, c):
+        return {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (2, "a"): 3, (3, "u"): 2}.get((q, c))
+
+    heap, done = [(0, "", 0, 0, ())], set()
+    while heap:
+        cost, audit, i, q, lines = heapq.heappop(heap)
+        if i == len(rows) and q in (0, 3):
+            return cost, audit, lines
+        if (i, q) in done:
+            continue
+        done.add((i, q))
+        for c, name in (("u", "user"), ("a", "assistant")):
+            if after(q, c):
+                heapq.heappush(heap, (cost + 3, audit + "I", i, after(q, c), (*lines, name + ":")))
+        if i < len(rows):
+            role, text, fault = rows[i]
+            heapq.heappush(heap, (cost + 4, audit + "D", i + 1, q, lines))
+            if fault not in ("b", "d"):
+                more = 3 * (fault == "t")
+                if after(q, role[:1]):
+                    heapq.heappush(heap, (cost + more, audit + "K", i + 1, after(q, role[:1]), (*lines, f"{role}:{text}")))
+                for c, name in (("u", "user"), ("a", "assistant")):
+                    if after(q, c):
+                        heapq.heappush(heap, (cost + 3 + more, audit + "R", i + 1, after(q, c), (*lines, f"{name}:{text}")))
+
+
+def repaired_conversations(table):
+    """Rows of (conv_id, turn, role, text) -> sorted result rows."""
+    import zlib
+
+    by = {c: [] for c, *_ in table}
+    for c, t, role, text in table:
+        show = [" " if v is None else v for v in (c, t, role, text)]
+        kind = zlib.crc32(f"{show[0]}:{show[1]}".encode()) % 20
+        role, text = show[2], show[3]
+        row = (t is not None, t or 0, "user" if kind == 4 else role, "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text)
+        by[c] += [row] * (0 if kind == 0 else 2 if kind == 3 else 1)
+    out = []
+    for c, rows in by.items():
+        rows.sort(key=lambda r: (r[0], r[1], r[2].encode(), r[3].encode()))
+        seen, faulty = set(), []
+        for _, _, role, text in rows:
+            last = re.sub("[\x20\x09-\x0d]+$", "", text)
+            fault = "b" if not last else "d" if (role, text) in seen else "t" if last[-1] not in ".!?" else "."
+            seen.add((role, text))
+            faulty.append((role, text, fault))
+        turns = [t for known, t, *_ in rows if known]
+        gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+        count = [sum(f == k for *_, f in faulty) for k in "bdt"]
+        illegal = sum(a[0][:1] + b[0][:1] not in ("su", "ua", "au") for a, b in zip(faulty, faulty[1:]))
+        cost, audit, lines = cheapest_edits(faulty)
+        out.append((c, gaps, *count, illegal, cost, audit, hashlib.sha256("\n".join(lines).encode()).hexdigest()))
+    return sorted(out, key=str)
