@@ -21,6 +21,7 @@ empty result; other columns are not read by ``encoded``.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import struct
 from collections.abc import Iterator, Sequence
@@ -32,11 +33,14 @@ from pyspark.sql import DataFrame
 from quill.llm import common as C
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
-#: Bounds of the lazily filled tables of a worker; reaching one empties it.
-MAX_TRANSITIONS = 200_000
-MAX_PIECES = 200_000
-MAX_PAIRS = 300_000
+#: Bounds of the lazily filled tables of a task (about 130, 350, 200 and 100
+#: bytes an entry, 270 MB in all); a full table is emptied, and all are when the task ends.
+MAX_TRANSITIONS = 450_000
+MAX_STATES = 250_000
+MAX_PIECES = 250_000
+MAX_PAIRS = 400_000
 _NEVER = 1 << 60
+_STATE = (1 << 32) - 1
 
 
 def read_ranks(name: str) -> dict[bytes, int]:
@@ -88,7 +92,13 @@ class Transducer:
         start = (-1, ((0, ()),))
         self.states: list[tuple] = [start]
         self.number = {start: 0}
-        self.step: dict[int, tuple[int, tuple[int, ...]]] = {}
+        # State and byte -> next state, and above 32 bits the number of what is emitted.
+        self.step: dict[int, int] = {}
+        self.emits: list[tuple[int, ...]] = [()]
+        self.emit_number: dict[tuple[int, ...], int] = {(): 0}
+
+    def full(self) -> bool:
+        return len(self.step) >= self.limit or len(self.states) >= MAX_STATES
 
     def merge(self, piece: bytes, stop: int = 1) -> list[bytes]:
         """Repeated merging of the lowest rank, leftmost first, down to ``stop``
@@ -126,8 +136,8 @@ class Transducer:
             self.pairs[a << 32 | b] = ok
         return ok
 
-    def advance(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """The transition of a state and byte: next state, tokens emitted."""
+    def advance(self, state: int, byte: int) -> int:
+        """The transition of a state and byte."""
         before, hypotheses = self.states[state]
         child, token, grows, pairs = self.child, self.token, self.grows, self.pairs
         after: list[tuple[int, tuple[int, ...]]] = []
@@ -162,29 +172,35 @@ class Transducer:
         if number is None:
             number = self.number[key] = len(self.states)
             self.states.append(key)
-        out = self.step[state << 8 | byte] = (number, common)
-        return out
+        if common:
+            emitted = self.emit_number.get(common)
+            if emitted is None:
+                emitted = self.emit_number[common] = len(self.emits)
+                self.emits.append(common)
+            number |= emitted << 32
+        self.step[state << 8 | byte] = number
+        return number
 
     def encode(self, piece: bytes) -> list[int]:
         if (whole := self.whole.get(piece)) is not None:
             return [whole]
-        if len(self.step) >= self.limit:
+        if self.full():
             self.reset()
-        state, out, step = 0, [], self.step
+        state, out, step, emits = 0, [], self.step, self.emits
         for byte in piece:
             found = step.get(state << 8 | byte)
             if found is None:
-                if len(step) >= self.limit:  # keep the current state, drop the rest
+                if self.full():  # keep the current state, drop the rest
                     here = self.states[state]
                     self.reset()
-                    step = self.step
+                    step, emits = self.step, self.emits
                     state = self.number.setdefault(here, len(self.states))
                     if state == len(self.states):
                         self.states.append(here)
                 found = self.advance(state, byte)
-            state, emitted = found
-            if emitted:
-                out += emitted
+            state = found & _STATE
+            if found > _STATE:
+                out += emits[found >> 32]
         for node, pending in self.states[state][1]:
             if node == 0:
                 out.extend(pending)
@@ -213,6 +229,13 @@ class Pieces(dict):
             self[piece] = ids
         return ids
 
+    def release(self) -> None:
+        """Empty all tables that fill up as texts are met."""
+        self.clear()
+        self.old = {}
+        self.transducer.reset()
+        self.transducer.pairs.clear()
+
 
 class Utf8Stream:
     """Incremental UTF-8 decoding: feed bytes, get the characters that are
@@ -288,11 +311,14 @@ def encoded(docs: DataFrame, ranks: str = RANK_FILE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pattern, pieces, _ = _tools(ranks)
+        gc.disable()  # the tables hold millions of small tuples and no cycles
         for b in batches:
-            for i, j in C.row_blocks(C.utf8(b.column(1))[1], 1 << 22):
+            for i, j in C.row_blocks(C.utf8(b.column(1))[1], 1 << 20):
                 rows = [b"".join(map(pieces.__getitem__, pattern.findall(t or ""))) for t in b.column(1).slice(i, j - i).to_pylist()]
                 values = pa.array(np.frombuffer(b"".join(rows), dtype="<i4"), type=pa.int32())
                 yield C.batch(schema, b.column(0).slice(i, j - i), C.list_array(values, np.array([len(r) // 4 for r in rows], dtype=np.int64)))
+        pieces.release()
+        gc.enable()
 
     return C.columns(docs, "doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -316,6 +342,7 @@ def round_trip(docs: DataFrame, ranks: str = RANK_FILE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pattern, pieces, decoder = _tools(ranks)
+        gc.disable()  # the tables hold millions of small tuples and no cycles
         for b in batches:
             for i, j in C.row_blocks(C.utf8(b.column(1))[1], 1 << 22):
                 n, ids_sha, out_sha, chars = [], [], [], []
@@ -330,5 +357,7 @@ def round_trip(docs: DataFrame, ranks: str = RANK_FILE) -> DataFrame:
                     out_sha.append(digest.hexdigest())
                     chars.append(count)
                 yield C.batch(_OUT, b.column(0).slice(i, j - i), n, ids_sha, out_sha, chars)
+        pieces.release()
+        gc.enable()
 
     return C.columns(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, decoded_chars long")
