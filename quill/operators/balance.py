@@ -135,13 +135,14 @@ def smote_dense(points: DataFrame, k: int | None = None, label_col: str = "label
     without neighbour and gap.  ``k`` defaults to the adaptive k (B9); a class
     of fewer than 2 rows is an error here (``balance`` falls back instead)."""
     from quill.operators.knn import knn_dense
-    pts = points.select(F.col("doc_id"), F.col(label_col).alias("label"), F.col(features_col).alias("features"))
+    from quill.session import materialize
+    pts = materialize(points.select(F.col("doc_id"), F.col(label_col).alias("label"), F.col(features_col).alias("features")))
     if k is None:
         row = smote_k(pts).first()  # one scalar row that sizes the plan
         if row["method"] != "smote":
             raise ValueError("smallest class has fewer than 2 rows: use random_oversample")
         k = int(row["k"])
-    draws = smote_draws(pts, k, seed=seed, strategy=strategy)
+    draws = materialize(smote_draws(pts, k, seed=seed, strategy=strategy))
     queries = draws.select(F.col("base_id").alias("doc_id"), "label").distinct()
     nn = knn_dense(pts, queries, k, block_size=block_size)
     d = draws.join(nn.select(F.col("query_id").alias("base_id"), F.col("rank").alias("nn_rank"), "neighbor_id"),
@@ -163,13 +164,14 @@ def smote_sparse(docs: DataFrame, bow: DataFrame, k: int | None = None, seed: in
     ``(out_id, label, token_id, cnt)`` of originals and synthetic rows; with ``integral`` the value is
     truncated to an integer like the reference's integer matrix, zeros dropped."""
     from quill.operators.knn import knn_sparse
-    docs = docs.select("doc_id", "label")
+    from quill.session import materialize
+    docs, bow = materialize(docs.select("doc_id", "label")), materialize(bow.select("doc_id", "token_id", "cnt"))
     if k is None:
         row = smote_k(docs).first()  # one scalar row that sizes the plan
         if row["method"] != "smote":
             raise ValueError("smallest class has fewer than 2 rows: use random_oversample")
         k = int(row["k"])
-    draws = smote_draws(docs, k, seed=seed, strategy=strategy)
+    draws = materialize(smote_draws(docs, k, seed=seed, strategy=strategy))
     queries = draws.select(F.col("base_id").alias("doc_id"), "label").distinct()
     nn = knn_sparse(docs, bow.select("doc_id", "token_id", "cnt"), queries, k, block_size=block_size)
     d = draws.join(nn.select(F.col("query_id").alias("base_id"), F.col("rank").alias("nn_rank"), "neighbor_id"),

@@ -105,3 +105,41 @@ def test_draws_reach_past_32_bits(spark):
     from pyspark.sql import functions as F
     from quill.functions.hashing import hash_draw
     assert spark.range(50).agg(F.max(hash_draw(1, "t", F.col("id")))).first()[0] > 2**40
+
+
+def test_knn_prunes_clusters_and_keeps_ties(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, "ab"[i % 2], [float(round(x)) for x in rng.normal(size=3) * 3 + 200 * (i % 7)]) for i in range(420)]
+    rows += [(1000 + i, "a", [1.0, 1.0, 1.0]) for i in range(12)] + [(2000, "c", [0.0, 0.0, 0.0])]
+    pts = spark.createDataFrame(rows, "doc_id long, label string, features array<double>")
+    asked = pts.where("doc_id % 3 = 0 or doc_id >= 1000").select("doc_id")
+    measured = spark.sparkContext.accumulator(0)
+    got = {}
+    for r in KNN.knn_dense(pts, asked, 4, block_size=16, measured=measured).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["neighbor_id"]))
+    queries = {r["doc_id"] for r in asked.collect()}
+    assert set(got) == queries - {2000}
+    pairs = 0
+    for i, li, fi in rows:
+        if i in queries:
+            cand = sorted((sum((a - b) ** 2 for a, b in zip(fi, fj)), j) for j, lj, fj in rows if lj == li and j != i)
+            pairs += len(cand)
+            if cand:
+                assert [j for _, j in sorted(got[i])] == [j for _, j in cand[:4]]
+    assert measured.value < pairs / 3
+    assert KNN.knn_dense(pts.limit(0), asked, 4).collect() == []
+
+
+def test_knn_sparse_by_few_coordinates(spark):
+    import random
+    r = random.Random(8)
+    docs = [(d, "ab"[d % 3 == 0]) for d in range(90)]
+    bow = {d: {t: r.randint(1, 4) for t in r.sample(range(40), r.randint(0, 9))} for d, _ in docs}
+    bow[7] = dict(bow[20])
+    df = spark.createDataFrame(docs, "doc_id long, label string")
+    rows = spark.createDataFrame([(d, t, c) for d, e in bow.items() for t, c in e.items()], "doc_id long, token_id int, cnt int")
+    for frequent in (1, 6):
+        got = {(x["query_id"], x["rank"]): (x["neighbor_id"], x["dist"]) for x in KNN.knn_sparse(df, rows, df, 5, block_size=10, frequent=frequent).collect()}
+        for d, label in docs:
+            dist = sorted((sum((bow[d].get(t, 0) - bow[e].get(t, 0)) ** 2 for t in range(40)), e) for e, m in docs if m == label and e != d)
+            assert [got[d, k + 1] for k in range(5)] == [(e, float(x)) for x, e in dist[:5]]
