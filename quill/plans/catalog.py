@@ -506,6 +506,57 @@ def q_train_head(spark, sf):
     return pred.select("doc_id", "label_id", "pred_id")
 
 
+from quill.operators import head as HD  # noqa: E402
+
+
+def _head_rows(spark, sf):
+    """Labelled rows of each split."""
+    pts = src.embeddings_table(spark, sf)
+    sp = S.stratified_split(pts.select("doc_id", "label"))
+    ep = pts.join(sp.select("doc_id", "split"), on="doc_id")
+    lmap = L.fit_label_map(ep.where(F.col("split") == "train"))
+    return ep, lmap, lambda rows: L.encode_labels(rows, lmap)
+
+
+def _head_fit(spark, sf):
+    """C2/C3 as in the reference: 3 epochs, batches of 16, on oversampled train rows."""
+    ep, lmap, encoded = _head_rows(spark, sf)
+    train = ep.where(F.col("split") == "train")
+    balanced = B.balance(train, train.select("doc_id", "features"), "ros").withColumnRenamed("out_id", "doc_id")
+    kept, log = HD.fit(encoded(balanced), encoded(ep.where(F.col("split") == "val")), lmap.count())
+    return kept, log, encoded(ep.where(F.col("split") == "test"))
+
+
+@query("classifier_log")
+def q_classifier_log(spark, sf):
+    """C2/A13 (rows only): loss and accuracies of each epoch."""
+    return _head_fit(spark, sf)[1]
+
+
+@query("classifier_best")
+def q_classifier_best(spark, sf):
+    """C3 (rows only): test predictions by the epoch with the best validation accuracy."""
+    kept, log, test = _head_fit(spark, sf)
+    epoch, head = HD.best(kept, log)
+    return CL.argmax_predict(CL.head_logits(test, head)).select("doc_id", "label_id", "pred_id", F.lit(epoch).alias("epoch"))
+
+
+_STEP_LR = 0.01
+
+
+@query("classifier_full_batch", Q.with_(*Q.classifier(), *Q.full_batch_epoch(_STEP_LR)) +
+       "SELECT CAST(label_id AS INTEGER) AS label_id, CAST(dim AS INTEGER) AS dim, round(weight, 6) AS weight, round(loss, 6) AS loss, "
+       "round(train_accuracy, 6) AS train_accuracy, round(val_accuracy, 6) AS val_accuracy FROM fb_w, fb_log")
+def q_classifier_full_batch(spark, sf):
+    """C2/C3/A13 of one epoch in one batch: the weights (dim -1: bias) and the log."""
+    ep, lmap, encoded = _head_rows(spark, sf)
+    train = encoded(ep.where(F.col("split") == "train"))
+    kept, log = HD.fit(train, encoded(ep.where(F.col("split") == "val")), lmap.count(), epochs=1, batch_size=max(1, train.count()), lr=_STEP_LR)
+    w = HD.head_of(kept.read("params", 0)).select("label_id", F.posexplode(F.concat(F.array("bias"), "weights")).alias("dim", "weight"))
+    out = w.join(F.broadcast(log.drop("epoch", "batches")), F.lit(True))
+    return out.select("label_id", (F.col("dim") - 1).alias("dim"), *[F.round(c, 6).alias(c) for c in ("weight", "loss", "train_accuracy", "val_accuracy")])
+
+
 # ----------------------------------------------------------------- topic model
 
 from quill.operators import coherence as CH  # noqa: E402

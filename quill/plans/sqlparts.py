@@ -320,6 +320,26 @@ def classifier() -> list[str]:
             "sc AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM sc1)"]
 
 
+def full_batch_epoch(lr: float) -> list[str]:
+    """One AdamW step from zero weights on all train rows at once: the first
+    step moves each weight by lr against the sign of its gradient (which the
+    small constant in the divisor softens)."""
+    return ["fb_t AS (SELECT e.doc_id, m.label_id, list_prepend(1.0::DOUBLE, e.f) AS f FROM ep e JOIN lmap m ON m.label = e.label WHERE e.split = 'train')",
+            "fb_n AS (SELECT (SELECT count(*) FROM fb_t) AS n, (SELECT count(*) FROM lmap) AS c)",
+            "fb_x AS (SELECT label_id, unnest(f) AS v, generate_subscripts(f, 1) - 2 AS dim FROM fb_t)",
+            "fb_s AS (SELECT dim, sum(v) AS s FROM fb_x GROUP BY dim)",
+            "fb_own AS (SELECT label_id, dim, sum(v) AS s FROM fb_x GROUP BY label_id, dim)",
+            "fb_g AS (SELECT m.label_id, a.dim, (a.s / c - coalesce(o.s, 0)) / n AS g FROM lmap m CROSS JOIN fb_s a CROSS JOIN fb_n "
+            "LEFT JOIN fb_own o ON o.label_id = m.label_id AND o.dim = a.dim)",
+            f"fb_w AS (SELECT label_id, dim, -{lr} * g / (abs(g) + 1e-8) AS weight FROM fb_g)",
+            "fb_h AS (SELECT label_id, list(weight ORDER BY dim) AS w FROM fb_w GROUP BY label_id)",
+            "fb_v AS (SELECT e.doc_id, m.label_id, list_prepend(1.0::DOUBLE, e.f) AS f FROM ep e JOIN lmap m ON m.label = e.label WHERE e.split = 'val')",
+            "fb_p AS (SELECT v.doc_id, v.label_id, h.label_id AS pred_id, row_number() OVER (PARTITION BY v.doc_id "
+            "ORDER BY list_sum(list_transform(range(1, len(v.f) + 1), lambda i: v.f[i] * h.w[i])) DESC, h.label_id) AS rk FROM fb_v v, fb_h h)",
+            "fb_log AS (SELECT ln(c) AS loss, (SELECT avg(CASE WHEN label_id = 0 THEN 1.0 ELSE 0.0 END) FROM fb_t) AS train_accuracy, "
+            "(SELECT avg(CASE WHEN label_id = pred_id THEN 1.0 ELSE 0.0 END) FROM fb_p WHERE rk = 1) AS val_accuracy FROM fb_n)"]
+
+
 # ----------------------------------------------------------------- topic model
 
 def topic_params(H: int, K: int, seed: int = 42, voc: str = "voc") -> list[str]:
