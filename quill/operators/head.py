@@ -122,7 +122,7 @@ def fit(train: DataFrame, val: DataFrame, classes: int, epochs: int = 3, batch_s
     val = materialize(val.select("doc_id", "label_id", "features"))
     last = kept.last()
     first = 0 if last is None else kept.log().agg(F.sum("steps")).first()[0]
-    state = None if last is None else kept.read("params", last)
+    state = None if last is None else kept.read("params", f"epoch={last}")
     for epoch in range(0 if last is None else last + 1, epochs):
         start = tuple(np.zeros((classes, dims + 1)) for _ in range(3)) if state is None else _matrices(state, classes)
         bm = spark.sparkContext.broadcast(start)
@@ -133,8 +133,9 @@ def fit(train: DataFrame, val: DataFrame, classes: int, epochs: int = 3, batch_s
         state = materialize(params)
         accuracy = CL.accuracy(CL.argmax_predict(CL.head_logits(val, head_of(state)))).select(F.col("accuracy").alias("val_accuracy"))
         log = sent.agg(F.sum("batches").alias("batches"), F.max("batches").alias("steps"), (F.sum("loss") / F.sum("batches")).alias("loss"), (F.sum("correct") / F.lit(n)).alias("train_accuracy"))
-        kept.commit(epoch, log.join(accuracy, F.lit(True)).coalesce(1), params=state)
-        state = kept.read("params", epoch)
+        kept.write("params", f"epoch={epoch}", state)
+        kept.commit(epoch, log.join(accuracy, F.lit(True)).coalesce(1))
+        state = kept.read("params", f"epoch={epoch}")
         first += kept.log().where(F.col("epoch") == epoch).first()["steps"]
     return kept, kept.log().where(F.col("epoch") < epochs).select("epoch", "batches", "loss", "train_accuracy", "val_accuracy")
 
@@ -142,4 +143,4 @@ def fit(train: DataFrame, val: DataFrame, classes: int, epochs: int = 3, batch_s
 def best(kept: Versions, log: DataFrame) -> tuple[int, DataFrame]:
     """The epoch of the best validation accuracy (the earliest of equals) and its head."""
     epoch = log.orderBy(F.col("val_accuracy").desc_nulls_last(), "epoch").first()["epoch"]
-    return epoch, head_of(kept.read("params", epoch))
+    return epoch, head_of(kept.read("params", f"epoch={epoch}"))

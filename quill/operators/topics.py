@@ -14,15 +14,16 @@ vocabulary.  Parameters live in a table ``(layer, row, values)``; layers
   ``BROADCAST_PARAMS`` numbers goes to the tasks; of a larger one the
   vocabulary layers stay a table, and each (block of it, slice of documents)
   meets in a task of its own;
-* fitting is synchronous: the vocabulary layers and Adam's moments are a
-  table with one row (bytes of doubles) per block of the vocabulary.  The documents of a step go
-  to the blocks; each sums the gradient of its own rows and updates them, and
-  the driver sees sums as wide as the batch and the heads only.  The log has
-  one row per step and is kept by the driver until the end.
+* fitting is synchronous, one barrier stage an epoch: each task holds its rows
+  of the vocabulary layers and of Adam's moments, reads its words of every batch
+  and updates its rows; the tasks exchange sums as wide as the batch.  The driver
+  sees neither parameters nor documents; parameters, moments and the log of an
+  epoch are kept in a table, from which a stopped fit goes on.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import math
 import uuid
@@ -34,10 +35,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quill.functions.hashing import TWO_60, hash_key, hash_unit
+from quill.sources.versions import Versions
 
 BROADCAST_PARAMS = 20_000_000  # numbers of a model that is sent to the tasks whole
 FIT_PARAMS = 50_000_000        # numbers of the heads that the driver updates
 FIT_BLOCK = 1024               # vocabulary rows updated at a time
+FIT_DTYPE = np.float32         # of weights and moments while fitting
+FIT_TASK_BYTES = 1 << 30       # weights and moments that one task of a fit holds
 VOCAB_BLOCK = 8192             # vocabulary rows worked on at a time
 DOC_SLICE = 64                 # documents worked on at a time
 SLICE_DOCS = 50_000            # documents that meet a block of a large model in one task
@@ -345,216 +349,290 @@ def noise(seed: int, epoch: int, doc_id: int, K: int) -> np.ndarray:
     return out
 
 
-def adam(w, m, v, g, step: int, lr: float):
-    """One Adam step: weights and both moments."""
-    m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g ** 2
-    return w - lr * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8), m, v
+STATE = "task int, layer string, chunk int, w binary, m binary, v binary"
+_DONE = STATE + ", kind string, batch int, docs int, loss double, recon double, kl double, topic int, token_id int, weight double"
 
 
-STATE = "block int, " + ", ".join(f"{layer}{part} binary" for layer in ("enc", "dec") for part in ("", "_m", "_v"))
+def adam_in_place(w, m, v, g, step: int, lr: float) -> None:
+    """One Adam step, a few rows at a time, so that all four stay in the cache."""
+    size = max(1, 32768 // max(1, w.shape[1]))
+    for lo in range(0, len(w), size):
+        wi, mi, vi, gi = (x[lo:lo + size] for x in (w, m, v, g))
+        mi *= 0.9
+        mi += 0.1 * gi
+        vi *= 0.999
+        vi += 0.001 * (gi * gi)
+        root = np.sqrt(vi * (1.0 / (1 - 0.999 ** step)))
+        root += 1e-8
+        wi -= mi * (lr / (1 - 0.9 ** step)) / root
 
 
-def _first_state(params: DataFrame, blocks: int) -> DataFrame:
-    """The vocabulary layers as one row per FIT_BLOCK vocabulary rows, with
-    Adam's moments; the decoder's bias is the last column of its rows."""
+def _first_state(params: DataFrame, heads: dict, tasks: int) -> DataFrame:
+    """Parameters as bytes, with empty moments: row r of the vocabulary layers
+    belongs to task r mod tasks, in chunks of FIT_BLOCK of its rows; the
+    decoder's bias is the last column of its rows.  Task -1 has what all tasks hold."""
+    spark, fit_block = params.sparkSession, FIT_BLOCK
     bias = params.where("layer = 'dec_b'").select(F.posexplode("values").alias("row", "bias"))
-    dec = params.where("layer = 'dec'").select("row", "values").join(bias, "row").select("row", F.concat("values", F.array("bias")).alias("dec"))
-    rows = params.where("layer = 'enc'").select("row", F.col("values").alias("enc")).join(dec, "row")
+    dec = params.where("layer = 'dec'").select("row", "values").join(bias, "row").select(F.lit("dec").alias("layer"), "row", F.concat("values", F.array("bias")).alias("values"))
+    rows = params.where("layer = 'enc'").select("layer", "row", "values").unionByName(dec)
+    at = F.floor(F.col("row") / tasks)
+    rows = rows.select("layer", "row", "values", (F.col("row") % tasks).cast("int").alias("task"), F.floor(at / fit_block).cast("int").alias("chunk"))
 
     def pack(key, pdf):
-        pdf = pdf.sort_values("row")
-        out = {"block": [key[0]]}
-        for layer in ("enc", "dec"):
-            w = np.concatenate(pdf[layer].to_numpy())
-            out |= {layer: [w.tobytes()], f"{layer}_m": [bytes(w.nbytes)], f"{layer}_v": [bytes(w.nbytes)]}
-        return pd.DataFrame(out)
-
-    # dealt out by block for good: the steps keep to these files
-    rows = rows.withColumn("block", F.floor(F.col("row") / FIT_BLOCK).cast("int")).repartition(max(blocks, 1), "block")
-    return rows.groupBy("block").applyInPandas(pack, STATE)
-
-
-class _Batch:
-    """The entries of a batch's documents, in the order of tokens."""
-
-    def __init__(self, rows):
-        self.size = FIT_BLOCK
-        self.docs = [r["doc_id"] for r in rows]
-        d = np.repeat(np.arange(len(rows)), [len(r["e"]) for r in rows])
-        t = np.array([x["token_id"] for r in rows for x in r["e"]], dtype=np.int64)
-        c = np.array([x["cnt"] for r in rows for x in r["e"]], dtype=np.float64)
-        order = np.argsort(t, kind="stable")
-        self.d, self.t, self.c = d[order], t[order], c[order]
-        self.words = np.bincount(d, weights=c, minlength=len(rows))
-
-    def block(self, block: int, n: int):
-        """Document, row of the block, count of the entries in a block of n rows."""
-        lo, hi = np.searchsorted(self.t, [block * self.size, block * self.size + n])
-        return self.d[lo:hi], self.t[lo:hi] - block * self.size, self.c[lo:hi]
-
-
-def _hidden_fn(bm, H: int):
-    def fn(batches):
-        x, out = bm.value, None
-        for pdf in batches:
-            for block, w in zip(pdf["block"], pdf["enc"]):
-                W = np.frombuffer(w).reshape(-1, H)
-                d, t, c = x.block(block, len(W))
-                out = np.zeros((len(x.docs), H)) if out is None else out
-                np.add.at(out, d, W[t] * c[:, None])
-        if out is not None:
-            yield pd.DataFrame({"a": [out.ravel()]})
-    return fn
+        w = np.concatenate(pdf.sort_values("row")["values"].to_numpy()).astype(FIT_DTYPE)
+        return pd.DataFrame({"task": [key[0]], "layer": [key[1]], "chunk": [key[2]], "w": [w.tobytes()], "m": [bytes(w.nbytes)], "v": [bytes(w.nbytes)]})
+
+    small = [(-1, k, 0, bytearray(v.astype(FIT_DTYPE).tobytes()), bytearray(v.size * FIT_DTYPE().nbytes), bytearray(v.size * FIT_DTYPE().nbytes)) for k, v in heads.items()]
+    return rows.groupBy("task", "layer", "chunk").applyInPandas(pack, STATE).unionByName(spark.createDataFrame(small, STATE))
+
+
+def _epoch_input(state: DataFrame, batched: DataFrame, tasks: int) -> DataFrame:
+    """What each task reads in an epoch, in order: its parameters, then for every
+    batch the batch's documents and the task's own words of them."""
+    every = F.explode(F.sequence(F.lit(0), F.lit(tasks - 1)))
+    own = F.when(F.col("task") >= 0, F.array("task")).otherwise(F.sequence(F.lit(0), F.lit(tasks - 1)))
+    held = state.select(F.explode(own).alias("to"), F.lit(-1).cast("long").alias("batch"), *[c.split()[0] for c in STATE.split(", ")])
+    words = F.aggregate("e", F.lit(0.0), lambda a, x: a + x["cnt"])
+    docs = batched.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("doc_id", words.alias("words")))).alias("docs")).withColumn("to", every)
+    entry = batched.select("batch", "doc_id", F.explode("e").alias("x")).select((F.col("x.token_id") % tasks).cast("int").alias("to"), "batch", F.struct(
+        "doc_id", F.col("x.token_id").cast("long").alias("token_id"), F.col("x.cnt").cast("double").alias("cnt")).alias("x"))
+    mine = entry.groupBy("to", "batch").agg(F.collect_list("x").alias("e"))
+    steps = docs.join(mine, ["to", "batch"], "left")
+    return held.unionByName(steps, allowMissingColumns=True).repartitionById(tasks, F.col("to")).sortWithinPartitions("batch", "layer", "chunk")
+
+
+class _Shard:
+    """A task's rows of a vocabulary layer, with their moments."""
+
+    def __init__(self, chunks: list, width: int) -> None:
+        chunks = [c[1:] for c in sorted(chunks)]
+        self.w, self.m, self.v = ((np.concatenate([np.frombuffer(c[k], FIT_DTYPE) for c in chunks]) if chunks else np.zeros(0, FIT_DTYPE)).reshape(-1, width) for k in range(3))
+
+    def update(self, lo: int, g: np.ndarray, step: int, lr: float) -> None:
+        hi = lo + len(g)
+        adam_in_place(self.w[lo:hi], self.m[lo:hi], self.v[lo:hi], g, step, lr)
+
+
+def _by_row(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of ``values`` that have each index, 0 to n - 1."""
+    out = np.zeros((n, values.shape[1]), values.dtype)
+    if len(index):
+        order = np.argsort(index, kind="stable")
+        at, first = np.unique(index[order], return_index=True)
+        out[at] = np.add.reduceat(values[order], first, axis=0)
+    return out
 
 
-def _softmax_fn(bm, K: int):
-    """Per task: maximum and sum of a running softmax, its sum of decoder rows,
-    and over the documents' own words the sums of decoder rows and of logits."""
-    def fn(batches):
-        x, z = bm.value
-        B, seen = len(x.docs), False
-        mx, total, rows, own, xl = np.full(B, -np.inf), np.zeros(B), np.zeros((B, K)), np.zeros((B, K)), np.zeros(B)
-        for pdf in batches:
-            for block, w in zip(pdf["block"], pdf["dec"]):
-                seen, W = True, np.frombuffer(w).reshape(-1, K + 1)
-                logits = z @ W[:, :K].T + W[:, K]
-                d, t, c = x.block(block, len(W))
-                np.add.at(own, d, W[t, :K] * c[:, None])
-                np.add.at(xl, d, logits[d, t] * c)
+def _epoch_fn(tasks: int, H: int, K: int, epoch: int, first: int, lr: float, seed: int, topics: int, words: int, fit_block: int):
+    """The task of an epoch.  All tasks run at once (barrier): each holds its
+    rows of the vocabulary layers, and a step's sums, as wide as the batch, go
+    round between them twice.  The heads are updated alike by all."""
+
+    def fn(frames):
+        from pyspark import BarrierTaskContext
+        ctx = BarrierTaskContext.get()
+        me = ctx.partitionId()
+
+        def gathered(*arrays: np.ndarray) -> list:
+            """Each task's arrays."""
+            if tasks == 1:
+                return [arrays]
+            sent = base64.b64encode(b"".join(np.ascontiguousarray(a, dtype=np.float64).tobytes() for a in arrays)).decode()
+            out, cuts = [], np.cumsum([a.size for a in arrays])[:-1]
+            for message in ctx.allGather(sent):
+                flat = np.split(np.frombuffer(base64.b64decode(message)), cuts)
+                out.append([f.reshape(a.shape) for f, a in zip(flat, arrays)])
+            return out
+
+        held: dict = {"enc": [], "dec": []}
+        heads, moments, log = {}, {}, []
+        shapes = {"enc_b": (1, H), "mu": (H, K), "mu_b": (1, K), "lv": (H, K), "lv_b": (1, K)}
+        model = None
+        step = first
+
+        def learn(docs, e) -> tuple:
+            enc, dec = model
+            n = len(docs)
+            ids = np.array([d["doc_id"] for d in docs], dtype=np.int64)
+            size = np.array([d["words"] for d in docs])
+            e = [] if e is None else e
+            d = np.searchsorted(ids, np.array([x["doc_id"] for x in e], dtype=np.int64))
+            t = np.array([x["token_id"] for x in e], dtype=np.int64) // tasks
+            c = np.array([x["cnt"] for x in e], dtype=FIT_DTYPE)
+            scale = 1.0 / n
+            a1 = sum(x[0] for x in gathered(_by_row(d, enc.w[t] * c[:, None], n))) + heads["enc_b"]
+            h = np.maximum(a1, 0.0)
+            mu, lv = h @ heads["mu"] + heads["mu_b"], h @ heads["lv"] + heads["lv_b"]
+            eps, std = np.stack([noise(seed, epoch, int(x), K) for x in ids]), np.exp(0.5 * lv)
+            z = mu + eps * std
+            # maximum and sum of a running softmax, its sum of decoder rows, and over the own words the sums of decoder rows and logits
+            mx, total, rows = np.full(n, -1e300), np.zeros(n), np.zeros((n, K))
+            zf = z.astype(FIT_DTYPE)
+            for lo in range(0, len(dec.w), VOCAB_BLOCK):
+                W = dec.w[lo:lo + VOCAB_BLOCK]
+                logits = zf @ W[:, :K].T + W[:, K]
                 top = np.maximum(mx, logits.max(1))
-                e, old = np.exp(logits - top[:, None]), np.exp(mx - top)
-                mx, total, rows = top, total * old + e.sum(1), rows * old[:, None] + e @ W[:, :K]
-        if seen:
-            yield pd.DataFrame({"mx": [mx], "total": [total], "rows": [rows.ravel()], "own": [own.ravel()], "xl": [xl]})
-    return fn
-
+                x, old = np.exp(logits - top[:, None]), np.exp(mx - top)
+                mx, total, rows = top, total * old + x.sum(1), rows * old[:, None] + x @ W[:, :K]
+            own = _by_row(d, dec.w[t, :K] * c[:, None], n)
+            xl = np.bincount(d, weights=((z[d] * dec.w[t, :K]).sum(1) + dec.w[t, K]) * c, minlength=n) if len(d) else np.zeros(n)
+            got = gathered(mx, total, rows, own, xl)
+            top = np.max([g[0] for g in got], axis=0)
+            share = [np.exp(g[0] - top) for g in got]
+            total = sum(s * g[1] for s, g in zip(share, got))
+            lse = top + np.log(total)
+            rows = sum(s[:, None] * g[2] for s, g in zip(share, got)) / total[:, None]
+            recon = size * lse - sum(g[4] for g in got)
+            kl = -0.5 * (1 + lv - mu ** 2 - np.exp(lv)).sum(1)
+            dz = (size[:, None] * rows - sum(g[3] for g in got)) * scale
+            dmu = dz + mu * scale
+            dlv = dz * eps * 0.5 * std + (-0.5 + 0.5 * np.exp(lv)) * scale
+            da1 = (dmu @ heads["mu"].T + dlv @ heads["lv"].T) * (a1 > 0)
+            order = np.argsort(t, kind="stable")
+            d, t, c = d[order], t[order], c[order]
+            z, da, lse, size = (x.astype(FIT_DTYPE) for x in (z, da1, lse, size))
+            for lo in range(0, len(dec.w), fit_block):
+                hi = min(lo + fit_block, len(dec.w))
+                i, j = np.searchsorted(t, [lo, hi])
+                enc.update(lo, _by_row(t[i:j] - lo, c[i:j, None] * da[d[i:j]], hi - lo), step, lr)
+                W = dec.w[lo:hi]
+                dlog = np.exp(z @ W[:, :K].T + W[:, K] - lse[:, None]) * size[:, None]
+                np.subtract.at(dlog, (d[i:j], t[i:j] - lo), c[i:j])
+                dec.update(lo, np.concatenate([dlog.T @ z, dlog.sum(0)[:, None]], axis=1) * scale, step, lr)
+            g = {"mu": h.T @ dmu, "mu_b": dmu.sum(0, keepdims=True), "lv": h.T @ dlv, "lv_b": dlv.sum(0, keepdims=True), "enc_b": da1.sum(0, keepdims=True)}
+            for k in heads:
+                adam_in_place(heads[k], *moments[k], g[k], step, lr)
+            return n, float((recon + kl).mean()), float(recon.mean()), float(kl.mean())
+
+        def ready() -> tuple:
+            for k, (w, m, v) in list(heads.items()):
+                heads[k], moments[k] = (np.frombuffer(w, FIT_DTYPE).reshape(shapes[k]).copy(), [np.frombuffer(x, FIT_DTYPE).reshape(shapes[k]).copy() for x in (m, v)])
+            out = _Shard(held["enc"], H), _Shard(held["dec"], K + 1)
+            held.clear()
+            return out
+
+        for frame in frames:
+            for r in frame.itertuples(index=False):
+                if r.batch < 0:
+                    if r.task < 0:
+                        heads[r.layer] = (r.w, r.m, r.v)
+                    else:
+                        held[r.layer].append((r.chunk, r.w, r.m, r.v))
+                else:
+                    model = model or ready()
+                    step += 1
+                    log.append((int(r.batch), *learn(r.docs, r.e)))
+        model = model or ready()
+        names = [c.split()[0] for c in _DONE.split(", ")]
+        none = dict.fromkeys(names)
+
+        def frame_of(rows: list) -> pd.DataFrame:
+            return pd.DataFrame(rows, columns=names)
+
+        for layer, shard in zip(("enc", "dec"), model):
+            for k, lo in enumerate(range(0, len(shard.w), fit_block)):
+                part = [x[lo:lo + fit_block].tobytes() for x in (shard.w, shard.m, shard.v)]
+                yield frame_of([none | {"kind": "state", "task": me, "layer": layer, "chunk": k, "w": part[0], "m": part[1], "v": part[2]}])
+        if me == 0:
+            yield frame_of([none | {"kind": "state", "task": -1, "layer": k, "chunk": 0, "w": w.tobytes(), "m": moments[k][0].tobytes(), "v": moments[k][1].tobytes()} for k, w in heads.items()])
+            yield frame_of([none | dict(zip(("kind", "batch", "docs", "loss", "recon", "kl"), ("log", *x))) for x in log])
+        D = model[1].w
+        for k in range(min(topics, K)):
+            top = np.lexsort((-np.arange(len(D)), -D[:, k]))[:words]
+            yield frame_of([none | {"kind": "top", "topic": k, "token_id": int(i) * tasks + me, "weight": float(D[i, k])} for i in top])
 
-def _update_fn(bm, H: int, K: int, step: int, lr: float, scale: float):
-    def fn(batches):
-        x, z, lse, da1 = bm.value
-        for pdf in batches:
-            for block, *parts in pdf.itertuples(index=False):
-                ew, em, ev, dw, dm, dv = map(np.frombuffer, parts)
-                E, D = ew.reshape(-1, H), dw.reshape(-1, K + 1)
-                d, t, c = x.block(block, len(E))
-                g = np.zeros_like(E)
-                np.add.at(g, t, c[:, None] * da1[d])
-                dlog = np.exp(z @ D[:, :K].T + D[:, K] - lse[:, None]) * x.words[:, None]
-                np.add.at(dlog, (d, t), -c)
-                gd = np.concatenate([dlog.T @ z, dlog.sum(0)[:, None]], axis=1) * scale
-                enc, dec = adam(ew, em, ev, g.ravel(), step, lr), adam(dw, dm, dv, gd.ravel(), step, lr)
-                yield pd.DataFrame({"block": [block], **{n: [v.tobytes()] for n, v in zip(pdf.columns[1:], (*enc, *dec))}})
     return fn
 
 
-def _monitor(state: DataFrame, epoch: int, K: int, topics: int, words: int) -> list:
-    """The largest weights of the first topics: a few of every block, then of those."""
-    fit_block = FIT_BLOCK
-
-    def fn(batches):
-        for pdf in batches:
-            for block, w in zip(pdf["block"], pdf["dec"]):
-                W = np.frombuffer(w).reshape(-1, K + 1)
-                for k in range(min(topics, K)):
-                    top = np.lexsort((-np.arange(len(W)), -W[:, k]))[:words]
-                    yield pd.DataFrame({"topic": k, "token_id": top + block * fit_block, "weight": W[top, k]})
-
-    w = Window.partitionBy("topic").orderBy(F.col("weight").desc(), F.col("token_id").desc())
-    best = state.select("block", "dec").mapInPandas(fn, "topic int, token_id int, weight double").withColumn("rank", F.row_number().over(w))
-    return [(epoch, r["topic"], r["rank"], r["token_id"]) for r in best.where(F.col("rank") <= words).collect()]
-
-
 def fit(bow: DataFrame, V: int, H: int = 500, K: int = 40, epochs: int = 15, batch_size: int = 64,
         lr: float = 1e-3, seed: int = 42, params: DataFrame | None = None,
         vocab: DataFrame | None = None, monitor_topics: int = 5, monitor_words: int = 8,
-        docs: DataFrame | None = None):
+        docs: DataFrame | None = None, root: str | None = None):
     """M4: returns ``(params, training_log, monitor)``; ``training_log`` has
     ``(epoch, batch, docs, loss, recon, kl)`` per step, ``monitor`` the first
     topics' top words after every epoch (M8).  ``docs(doc_id)`` names the
-    documents when some of them may be without a counted token."""
+    documents when some of them may be without a counted token.
+
+    An epoch is one barrier stage of as many tasks as hold the model
+    (FIT_TASK_BYTES each); documents stream through them.  Parameters and moments are kept under
+    ``root`` (two epochs take turns), the best epoch's weights beside them; a fit
+    that was stopped goes on after its last whole epoch."""
     spark = bow.sparkSession
     from quill.session import ensure_checkpoint_dir, materialize
-    ent = materialize(_doc_entries(bow, docs))
-    if params is None:
-        params = init_params(spark, V, H, K, seed)
-    heads = params_to_numpy(params.where(~F.col("layer").isin("enc", "dec", "dec_b")), FIT_PARAMS)
-    (H, K), moments = heads["mu"].shape, {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in heads.items()}
-    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/quill-tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-
-    def kept(state: DataFrame, step: int) -> DataFrame:
-        # two tables take turns: a step reads the one and writes the other
-        state.write.mode("overwrite").parquet(f"{folder}/{step % 2}")
-        return spark.read.schema(STATE).parquet(f"{folder}/{step % 2}")
-
-    state, step = kept(_first_state(params, -(-V // FIT_BLOCK)), 0), 0
-    log_rows, mon_rows = [], []
-    send = spark.sparkContext.broadcast
-    for epoch in range(epochs):
-        mb = minibatches(ent.select("doc_id"), epoch, batch_size, seed)
-        batched = materialize(ent.join(mb, on="doc_id"), partition_by="batch")
-        for b in sorted(r["batch"] for r in batched.select("batch").distinct().collect()):
-            # directory pruning on the batch partition; what the driver holds follows the batch, not the vocabulary
-            x = _Batch(sorted(batched.where(F.col("batch") == b).select("doc_id", "e").collect(), key=lambda r: r["doc_id"]))
-            n, step = len(x.docs), step + 1
-            scale = 1.0 / n
-            sent = [send(x)]
-            a1 = sum(np.asarray(r["a"]) for r in state.select("block", "enc").mapInPandas(_hidden_fn(sent[0], H), "a array<double>").collect())
-            a1 = a1.reshape(n, H) + heads["enc_b"][0]
-            h = np.maximum(a1, 0.0)
-            mu, lv = h @ heads["mu"] + heads["mu_b"][0], h @ heads["lv"] + heads["lv_b"][0]
-            eps, std = np.stack([noise(seed, epoch, int(d), K) for d in x.docs]), np.exp(0.5 * lv)
-            z = mu + eps * std
-            sent.append(send((x, z)))
-            got = state.select("block", "dec").mapInPandas(_softmax_fn(sent[1], K), ", ".join(f"{c} array<double>" for c in ("mx", "total", "rows", "own", "xl"))).collect()
-            mx = np.stack([r["mx"] for r in got])
-            top = mx.max(0)
-            share = np.exp(mx - top)
-            total = (share * np.stack([r["total"] for r in got])).sum(0)
-            lse = top + np.log(total)
-            rows = sum(s[:, None] * np.reshape(r["rows"], (n, K)) for s, r in zip(share, got)) / total[:, None]
-            recon = x.words * lse - sum(np.asarray(r["xl"]) for r in got)
-            kl = -0.5 * (1 + lv - mu ** 2 - np.exp(lv)).sum(1)
-            dz = (x.words[:, None] * rows - sum(np.reshape(r["own"], (n, K)) for r in got)) * scale
-            dmu = dz + mu * scale
-            dlv = dz * eps * 0.5 * std + (-0.5 + 0.5 * np.exp(lv)) * scale
-            da1 = (dmu @ heads["mu"].T + dlv @ heads["lv"].T) * (a1 > 0)
-            sent.append(send((x, z, lse, da1)))
-            state = kept(state.mapInPandas(_update_fn(sent[2], H, K, step, lr, scale), STATE), step)
-            g = {"mu": h.T @ dmu, "mu_b": dmu.sum(0, keepdims=True), "lv": h.T @ dlv, "lv_b": dlv.sum(0, keepdims=True), "enc_b": da1.sum(0, keepdims=True)}
-            for k in heads:
-                heads[k], *moments[k] = adam(heads[k], *moments[k], g[k], step, lr)
-            for s in sent:
-                s.unpersist()
-            log_rows.append((epoch, int(b), n, float((recon + kl).mean()), float(recon.mean()), float(kl.mean())))
+    if root is None:
+        root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/quill-tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    kept = Versions(spark, root)
+    last = kept.last()
+    if last is None:
+        if params is None:
+            params = init_params(spark, V, H, K, seed)
+        heads = params_to_numpy(params.where(~F.col("layer").isin("enc", "dec", "dec_b")), FIT_PARAMS)
+        H, K = heads["mu"].shape
+        # a task more costs two exchanges a step, of a second each: as few as hold the model
+        tasks = max(1, -(-V * (H + K + 1) * 3 * FIT_DTYPE().nbytes // FIT_TASK_BYTES))
+        kept.write("state", "first", _first_state(params, heads, tasks))
+        state, step, best = kept.read("state", "first"), 0, None
+    else:
+        row = kept.log().where(F.col("epoch") == last).first()
+        H, K, tasks, step = row["hidden"], row["topics"], row["tasks"], row["steps"]
+        best = (row["best_loss"], row["best_epoch"], row["best_slot"])
+        state = kept.read("state", row["slot"]).where("kind = 'state'")
+    ent = materialize(_doc_entries(bow, docs)) if (-1 if last is None else last) < epochs - 1 else None
+    for epoch in range(0 if last is None else last + 1, epochs):
+        batched = materialize(ent.join(minibatches(ent.select("doc_id"), epoch, batch_size, seed), on="doc_id").select("batch", "doc_id", "e"))
+        run = _epoch_fn(tasks, H, K, epoch, step, lr, seed, monitor_topics, monitor_words, FIT_BLOCK)
+        slot = f"turn={epoch % 2}"
+        kept.write("state", slot, _epoch_input(state.select(*[c.split()[0] for c in STATE.split(", ")]), batched, tasks).mapInPandas(run, _DONE, barrier=True))
+        done = kept.read("state", slot)
+        state = done.where("kind = 'state'")
+        log = done.where("kind = 'log'").select("batch", "docs", "loss", "recon", "kl")
+        loss, batches = log.agg(F.avg("loss"), F.count(F.lit(1))).first()
+        step += batches
+        if loss is not None and (best is None or loss < best[0]):
+            best = (loss, epoch, "turn=0" if best and best[2] == "turn=1" else "turn=1")
+            kept.write("best", best[2], state.select("task", "layer", "chunk", "w"))
         if vocab is not None:
-            mon_rows += _monitor(state, epoch, K, monitor_topics, monitor_words)
-    log = spark.createDataFrame(log_rows, "epoch int, batch int, docs int, loss double, recon double, kl double")
-    mon = spark.createDataFrame(mon_rows, "epoch int, topic int, rank int, token_id int")
-    if vocab is not None:
-        mon = mon.join(vocab, on="token_id")
-    return _params_of(state, heads, H, K), log, mon
-
-
-def _params_of(state: DataFrame, heads: dict, H: int, K: int) -> DataFrame:
-    """The parameter table of blocks and heads."""
+            w = Window.partitionBy("topic").orderBy(F.col("weight").desc(), F.col("token_id").desc())
+            top = done.where("kind = 'top'").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= monitor_words)
+            kept.write("monitor", f"epoch={epoch}", top.select("topic", "rank", "token_id"))
+        facts = {"steps": step, "slot": slot, "tasks": tasks, "hidden": H, "topics": K, "best_loss": best and best[0], "best_epoch": best and best[1], "best_slot": best and best[2]}
+        kept.commit(epoch, log.select("*", *[F.lit(v).alias(k) for k, v in facts.items()]).coalesce(1))
+    log = kept.log() if epochs else None
+    log = spark.createDataFrame([], "epoch int, batch int, docs int, loss double, recon double, kl double") if log is None else log.where(F.col("epoch") < epochs).select("epoch", "batch", "docs", "loss", "recon", "kl")
+    mon = spark.createDataFrame([], "epoch int, topic int, rank int, token_id int")
+    if vocab is not None and epochs:
+        mon = spark.read.parquet(f"{kept.root}/monitor").select(F.col("epoch").cast("int").alias("epoch"), "topic", "rank", "token_id").join(vocab, on="token_id")
+    return _params_of(state, tasks, H, K), log, mon
+
+
+def best_params(kept: Versions) -> tuple[int, DataFrame]:
+    """The epoch with the lowest mean loss (the earliest of equals) and its kept parameters."""
+    row = kept.log().orderBy(F.col("epoch").desc()).first()
+    return row["best_epoch"], _params_of(kept.read("best", row["best_slot"]), row["tasks"], row["hidden"], row["topics"])
+
+
+def _params_of(state: DataFrame, tasks: int, H: int, K: int) -> DataFrame:
+    """The parameter table of kept bytes; the decoder's bias is put together at the end."""
     from quill.session import materialize
     fit_block = FIT_BLOCK
+    width = {"enc": H, "dec": K + 1, "enc_b": H, "mu": K, "mu_b": K, "lv": K, "lv_b": K}
 
     def fn(batches):
         for pdf in batches:
-            for block, e, d in zip(pdf["block"], pdf["enc"], pdf["dec"]):
-                E, D = np.frombuffer(e).reshape(-1, H), np.frombuffer(d).reshape(-1, K + 1)
-                row = block * fit_block + np.arange(len(E), dtype=np.int32)
-                yield pd.DataFrame({"layer": "enc", "row": row, "values": list(E)})
-                yield pd.DataFrame({"layer": "dec", "row": row, "values": list(D[:, :K])})
-                yield pd.DataFrame({"layer": "dec_b", "row": row[:1], "values": [D[:, K]]})
-
-    rows = materialize(state.select("block", "enc", "dec").mapInPandas(fn, "layer string, row int, values array<double>"))
+            for task, layer, chunk, w in zip(pdf["task"], pdf["layer"], pdf["chunk"], pdf["w"]):
+                W = np.frombuffer(w, FIT_DTYPE).reshape(-1, width[layer]).astype(np.float64)
+                if task < 0:
+                    yield pd.DataFrame({"layer": layer, "row": np.arange(len(W), dtype=np.int32), "values": list(W)})
+                    continue
+                row = ((chunk * fit_block + np.arange(len(W))) * tasks + task).astype(np.int32)
+                yield pd.DataFrame({"layer": layer, "row": row, "values": list(W[:, :K] if layer == "dec" else W)})
+                if layer == "dec":
+                    yield pd.DataFrame({"layer": "dec_b", "row": row, "values": list(W[:, K:])})
+
+    rows = materialize(state.select("task", "layer", "chunk", "w").mapInPandas(fn, "layer string, row int, values array<double>"))
     parts = F.array_sort(F.collect_list(F.struct("row", "values")))
     bias = rows.where("layer = 'dec_b'").agg(F.flatten(F.transform(parts, lambda x: x["values"])).alias("values"))
-    small = state.sparkSession.createDataFrame([(k, r, v[r].tolist()) for k, v in heads.items() for r in range(len(v))], "layer string, row int, values array<double>")
-    return (rows.where("layer <> 'dec_b'").unionByName(bias.select(F.lit("dec_b").alias("layer"), F.lit(0).alias("row"), "values"))
-            .unionByName(small))
+    return rows.where("layer <> 'dec_b'").unionByName(bias.select(F.lit("dec_b").alias("layer"), F.lit(0).alias("row"), "values"))
 
 
 def training_log_summary(log: DataFrame) -> DataFrame:

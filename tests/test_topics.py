@@ -82,7 +82,8 @@ def test_fit_by_blocks_is_adam_on_the_whole_model(spark, monkeypatch):
     start = TM.init_params(spark, V, H, K)
     p = TM.params_to_numpy(start)
     monkeypatch.setattr(TM, "FIT_PARAMS", 100)
-    monkeypatch.setattr(TM, "FIT_BLOCK", 7)
+    monkeypatch.setattr(TM, "FIT_BLOCK", 2)
+    monkeypatch.setattr(TM, "FIT_TASK_BYTES", 12 * 9 * 8)  # three tasks
     got, log, _ = TM.fit(bow, V, epochs=2, batch_size=4, lr=lr, params=start, docs=docs)
     m1, m2, want, step = {k: 0 * v for k, v in p.items()}, {k: 0 * v for k, v in p.items()}, [], 0
     for epoch in range(2):
@@ -109,9 +110,9 @@ def test_fit_by_blocks_is_adam_on_the_whole_model(spark, monkeypatch):
                 m1[k], m2[k] = 0.9 * m1[k] + 0.1 * g[k], 0.999 * m2[k] + 0.001 * g[k] ** 2
                 p[k] = p[k] - lr * m1[k] / (1 - 0.9**step) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-8)
     have = sorted((r["epoch"], r["batch"], r["docs"], r["loss"]) for r in log.collect())
-    assert [x[:3] for x in have] == [x[:3] for x in want] and np.allclose([x[3] for x in have], [x[3] for x in want])
+    assert [x[:3] for x in have] == [x[:3] for x in want] and np.allclose([x[3] for x in have], [x[3] for x in want], rtol=1e-4)
     have = TM.params_to_numpy(got, 10**6)
-    assert have.keys() == p.keys() and all(np.allclose(have[k], p[k], atol=1e-6) for k in p)
+    assert have.keys() == p.keys() and all(np.allclose(have[k], p[k], atol=2e-3) and np.abs(have[k] - p[k]).mean() < 1e-4 for k in p)
 
 
 def test_registered_fits_are_whole(spark, monkeypatch):
@@ -119,7 +120,7 @@ def test_registered_fits_are_whole(spark, monkeypatch):
     from quill.plans import catalog
     from tests.conftest import SF_SMALL
     seen = {}
-    monkeypatch.setattr(catalog.TM, "fit", lambda bow, V, **kw: seen.update(kw, bow=bow))
+    monkeypatch.setattr(catalog.TM, "fit", lambda bow, V, **kw: (None, seen.update(kw, bow=bow), None))
     catalog._fit(spark, SF_SMALL)
     assert (seen["H"], seen["K"], seen["epochs"], seen["batch_size"]) == (500, 40, 15, 64)
     balanced = catalog.QUERIES["balanced_distribution"](spark, SF_SMALL).agg(F.sum("n")).first()[0]
@@ -159,3 +160,37 @@ def test_every_split_has_its_encoding(spark, monkeypatch):
     assert {r["split"] for r in q["topic_word_logp_splits"](spark, SF_SMALL).select("split").distinct().collect()} == {"train", "val", "test"}
     assert q["elbo_loss_splits"](spark, SF_SMALL).count() == len(docs)
     assert sum(r["n_docs"] for r in q["elbo_mean"](spark, SF_SMALL).collect()) == sum(s == "train" for _, s in docs)
+
+
+def test_a_stopped_fit_goes_on(spark, tmp_path, monkeypatch):
+    """A driver lost before an epoch's marker: the next run takes up moments, heads and draws, and ends alike."""
+    import numpy as np
+    import pytest
+    from quill.sources.versions import Versions
+    bow = spark.createDataFrame([(d, t, 1 + (d * t) % 3) for d in range(30) for t in range(d % 5, 20, 3)], "doc_id long, token_id int, cnt int")
+    vocab = spark.createDataFrame([(f"w{t}", t) for t in range(20)], "token string, token_id int")
+    monkeypatch.setattr(TM, "FIT_TASK_BYTES", 12 * 10 * 10)  # two tasks
+    args = dict(V=20, H=6, K=3, epochs=3, batch_size=8, lr=0.05, vocab=vocab, monitor_topics=2, monitor_words=3)
+    whole = TM.fit(bow, root=str(tmp_path / "a"), **args)
+    commit = Versions.commit
+
+    def lost(self, epoch, log):
+        if epoch == 1:
+            raise RuntimeError("lost")
+        commit(self, epoch, log)
+
+    monkeypatch.setattr(Versions, "commit", lost)
+    with pytest.raises(RuntimeError):
+        TM.fit(bow, root=str(tmp_path / "b"), **args)
+    monkeypatch.setattr(Versions, "commit", commit)
+    assert Versions(spark, str(tmp_path / "b")).last() == 0
+    again = TM.fit(bow, root=str(tmp_path / "b"), **args)
+    rows = lambda df: np.array(sorted(map(tuple, df.collect())))
+    assert np.allclose(rows(whole[1]), rows(again[1])) and len(rows(again[1])) == 12
+    assert sorted(map(tuple, whole[2].collect())) == sorted(map(tuple, again[2].collect())) and again[2].count() == 18
+    a, b = (TM.params_to_numpy(x[0]) for x in (whole, again))
+    assert a.keys() == b.keys() and all(np.allclose(a[k], b[k]) for k in a)
+    epoch, best = TM.best_params(Versions(spark, str(tmp_path / "b")))
+    means = {r["epoch"]: r["avg_loss"] for r in TM.training_log_summary(again[1]).collect()}
+    assert epoch == min(means, key=means.get)
+    assert epoch != 2 or all(np.allclose(TM.params_to_numpy(best)[k], a[k]) for k in a)
