@@ -7,9 +7,9 @@ digest (uniform), its first characters form an order-preserving *bucket*:
     rank = (rows of the group in earlier buckets) + row_number() within (group, bucket)
 
 Bucket counts are a small table (groups x 16**chars); the window over it
-is per group with at most 16**chars rows.  The same trick gives a global
-0-based dense index over distinct strings (vocabulary ids) using a string
-prefix as the bucket.
+is per group with at most 16**chars rows.  A global 0-based dense index over
+distinct strings (vocabulary ids) takes the partitions of sampled splitters as
+its buckets instead, since strings share prefixes.
 """
 
 from __future__ import annotations
@@ -35,18 +35,24 @@ def rank_within(df: DataFrame, group_cols: list[str], hex_col: str, tie_col: str
              .drop(b, "_rk_off"))
 
 
-def dense_index(values: DataFrame, col: str, out: str = "idx", prefix_chars: int = 2) -> DataFrame:
+def dense_index(values: DataFrame, col: str, out: str = "idx") -> DataFrame:
     """0-based position of every distinct value of ``col`` in ascending
-    (UTF-8 byte) order.  ``values`` must already be distinct on ``col``."""
-    b = "_dx_bucket"
-    x = values.withColumn(b, F.substring(F.col(col), 1, prefix_chars))
-    counts = x.groupBy(b).agg(F.count(F.lit(1)).alias("_dx_n"))
-    w = Window.orderBy(b).rowsBetween(Window.unboundedPreceding, 0)
-    offsets = counts.select(b, (F.sum("_dx_n").over(w) - F.col("_dx_n")).alias("_dx_off"))
-    inner = Window.partitionBy(b).orderBy(F.col(col))
-    return (x.join(offsets, on=b, how="inner")
-             .withColumn(out, (F.col("_dx_off") + F.row_number().over(inner) - 1).cast("long"))
-             .drop(b, "_dx_off"))
+    (UTF-8 byte) order.  ``values`` must already be distinct on ``col``; a null
+    has no position.
+
+    Sampled splitters range-partition the values, so no prefix that many of them
+    share fills a task; a value's position is its index in the sorted partition
+    plus the sizes of the partitions before, one row each."""
+    from quill.session import materialize
+    at, part = F.col("_dx_at"), F.shiftright("_dx_at", 33)
+    placed = values.where(F.col(col).isNotNull()).repartitionByRange(F.col(col)).sortWithinPartitions(col)
+    placed = materialize(placed.withColumn("_dx_at", F.monotonically_increasing_id()))
+    sizes = placed.groupBy(part.alias("_dx_part")).agg(F.count(F.lit(1)).alias("_dx_n"))
+    before = Window.orderBy("_dx_part").rowsBetween(Window.unboundedPreceding, 0)  # a row per partition
+    offsets = sizes.select("_dx_part", (F.sum("_dx_n").over(before) - F.col("_dx_n")).alias("_dx_off"))
+    return (placed.join(F.broadcast(offsets), part == F.col("_dx_part"))
+            .withColumn(out, (F.col("_dx_off") + at.bitwiseAND((1 << 33) - 1)).cast("long"))
+            .drop("_dx_at", "_dx_part", "_dx_off"))
 
 
 def ceil_frac(frac: float, n: Column) -> Column:

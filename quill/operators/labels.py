@@ -11,7 +11,7 @@ from quill.functions.ranking import dense_index
 def fit_label_map(df: DataFrame, label_col: str = "label") -> DataFrame:
     """``(label_id INT, label)``, ids in ascending label order."""
     labels = df.select(F.col(label_col).alias("label")).where(F.col("label").isNotNull()).distinct()
-    return dense_index(labels, "label", out="label_id", prefix_chars=1).select(
+    return dense_index(labels, "label", out="label_id").select(
         F.col("label_id").cast("int"), "label")
 
 

@@ -62,7 +62,7 @@ def build_piece_vocab(train_tokens: DataFrame, min_docs: int = MIN_WORD_DOCS) ->
            .where(F.col("n") >= min_docs).select(F.col("w").alias("piece")))
     allp = pieces.unionByName(top).distinct()
     from quill.functions.ranking import dense_index
-    idx = dense_index(allp, "piece", out="id", prefix_chars=1)
+    idx = dense_index(allp, "piece", out="id")
     spec = train_tokens.sparkSession.createDataFrame([(s, i) for i, s in enumerate(SPECIALS)], "piece string, id long")
     return spec.unionByName(idx.select("piece", (F.col("id") + len(SPECIALS)).alias("id"))).select(
         "piece", F.col("id").cast("int"))
