@@ -317,8 +317,9 @@ def encoded(docs: DataFrame, ranks: str = RANK_FILE) -> DataFrame:
                 rows = [b"".join(map(pieces.__getitem__, pattern.findall(t or ""))) for t in b.column(1).slice(i, j - i).to_pylist()]
                 values = pa.array(np.frombuffer(b"".join(rows), dtype="<i4"), type=pa.int32())
                 yield C.batch(schema, b.column(0).slice(i, j - i), C.list_array(values, np.array([len(r) // 4 for r in rows], dtype=np.int64)))
-        pieces.release()
         gc.enable()
+        pieces.release()
+        _worker.pop(ranks, None)  # the stages of a pipeline share their workers
 
     return C.columns(docs, "doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
