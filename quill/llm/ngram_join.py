@@ -56,8 +56,8 @@ ROUNDS = 2
 SLOT_BITS = 23
 SLOTS = 1 << SLOT_BITS
 FREQUENT = 8
-#: Bytes of text per partition of the counting step.
-COUNT_BYTES = 1 << 24
+#: Bytes of text per group of the counting step: a group is held by a task, with its sorted copy.
+COUNT_BYTES = 1 << 22
 
 
 def gram_sets(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
