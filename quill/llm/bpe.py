@@ -33,12 +33,15 @@ from pyspark.sql import DataFrame
 from quill.llm import common as C
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
-#: Bounds of the lazily filled tables of a task (about 130, 350, 200 and 100
-#: bytes an entry, 270 MB in all); a full table is emptied, and all are when the task ends.
+#: Bounds of the lazily filled tables of a task (about 130, 200 and 100 bytes an
+#: entry, and 350 for each state, of which there are five for nine transitions:
+#: 270 MB in all); a full table is emptied, and all are when the task ends.
 MAX_TRANSITIONS = 450_000
-MAX_STATES = 250_000
 MAX_PIECES = 250_000
 MAX_PAIRS = 400_000
+#: The same where other stages share the workers' memory.
+SHARED_TRANSITIONS = 180_000
+SHARED_PIECES = 100_000
 _NEVER = 1 << 60
 _STATE = (1 << 32) - 1
 
@@ -98,7 +101,7 @@ class Transducer:
         self.emit_number: dict[tuple[int, ...], int] = {(): 0}
 
     def full(self) -> bool:
-        return len(self.step) >= self.limit or len(self.states) >= MAX_STATES
+        return len(self.step) >= self.limit or 9 * len(self.states) >= 5 * max(self.limit, 9)
 
     def merge(self, piece: bytes, stop: int = 1) -> list[bytes]:
         """Repeated merging of the lowest rank, leftmost first, down to ``stop``
@@ -311,6 +314,7 @@ def encoded(docs: DataFrame, ranks: str = RANK_FILE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pattern, pieces, _ = _tools(ranks)
+        pieces.limit, pieces.transducer.limit = SHARED_PIECES, SHARED_TRANSITIONS
         gc.disable()  # the tables hold millions of small tuples and no cycles
         for b in batches:
             for i, j in C.row_blocks(C.utf8(b.column(1))[1], 1 << 20):
