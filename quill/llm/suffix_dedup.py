@@ -6,10 +6,12 @@ each stretch of strings that share theirs.  Suffixes of anchors that occur in
 different surroundings are range-partitioned by their leading bytes with
 sampled splitters; a bucket sorts its strings locally by multikey quicksort
 (eight bytes a step, only groups that are still equal go on), so strings that
-stay together for 400 bytes are its repeats.  A group too large for a bucket is
-split; where it touches the border of one, its strings are compared across boundaries by their hashes, one for those a bucket holds twice,
-so a passage in a third of all documents is spread over as many buckets as it
-fills.
+stay together for 400 bytes are its repeats.  A bucket holds whole groups.  One of
+more than ``GROUP`` slabs (a passage in a third of all documents) is divided by
+what stands around its gram: its slabs get anchors of ``FINE`` bytes, which equal
+strings share as well, and those of one such anchor are a group again.  A group
+that is still too large has its strings compared across buckets by their hashes;
+a slab then has at most ``WINDOW - FINE + 1`` of them.
 
 Defined cases: null texts are empty; a text of less than 400 bytes keeps all of
 its bytes; rows that repeat a document repeat its strings; a string that
@@ -33,8 +35,12 @@ from quill.llm import repeats as R
 WINDOW = 400  # a multiple of 8
 GRAM = 128
 LEAD = 64
-#: Slabs a bucket holds on average, and up to which a group stays in one bucket.
+#: Bytes of an anchor inside groups that are too large.
+FINE = 384
+#: Slabs a bucket holds on average.
 BUCKET = 4_000
+#: Slabs up to which a group stays in one bucket.
+GROUP = 512
 
 
 def multikey_sort(data: np.ndarray, at: np.ndarray, group: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,23 +64,21 @@ def multikey_sort(data: np.ndarray, at: np.ndarray, group: np.ndarray, depth: in
     return at, group
 
 
-_PART = pa.schema([("gram", pa.int64()), ("slab", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("open", pa.int64())])
-_PART_DDL = "gram long, slab long, first int, last int, open long"
+_PART = pa.schema([("gram", pa.int64()), ("fine", pa.int64()), ("slab", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
+_PART_DDL = "gram long, fine long, slab long, first int, last int"
 
 
 def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted repeats of one bucket; and by hash (``open``) the strings of groups at
-    its borders: each that is alone, and one without a place for those repeated here."""
+    """Sorted repeats of one bucket, which holds whole groups."""
     tables = [b for b in batches if b.num_rows]
     if not tables:
         return
     t = pa.Table.from_batches(tables).combine_chunks()
-    lead = t.column("lead").to_pylist()
-    order = np.array(sorted(range(len(lead)), key=lead.__getitem__))
+    key = list(zip(*(t.column(c).to_pylist() for c in ("lead", "gram", "fine"))))
+    order = sorted(range(len(key)), key=key.__getitem__)
     t = t.take(pa.array(order)).combine_chunks()
-    lead = [lead[k] for k in order]
-    group = np.cumsum([True, *(x != y for x, y in zip(lead[1:], lead[:-1]))])
-    gram, slab, windows, split = (t.column(c).to_numpy() for c in ("gram", "slab", "windows", "split"))
+    group = np.cumsum([True, *(key[x] != key[y] for x, y in zip(order[1:], order[:-1]))])
+    gram, fine, slab, windows = (t.column(c).to_numpy() for c in ("gram", "fine", "slab", "windows"))
     data, off = C.utf8(t.column("content"))
     owner = np.repeat(np.arange(len(windows)), windows)
     place = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
@@ -83,38 +87,62 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     flags = np.zeros(len(at), bool)
     flags[np.searchsorted(at, equal)] = True
     own, first, last = R.flag_spans(flags, owner, place)
-    yield C.batch(_PART, gram[own], slab[own], first.astype(np.int32), last.astype(np.int32), pa.nulls(len(own), pa.int64()))
-    for k in np.unique(group[[0, -1]]):
-        rows = np.flatnonzero((group == k) & split)
-        for lo in range(0, len(rows), 1000):  # a few hundred strings a slab
-            part = np.isin(owner, rows[lo : lo + 1000])
-            end = off[rows[min(lo + 1000, len(rows)) - 1] + 1]
-            prefix = C.prefix_hash(C.BYTE_VALUE[data[off[rows[lo]] : end]])
-            start = at[part] - off[rows[lo]]
-            h = C.range_hash(prefix, start, start + WINDOW)
-            # strings repeated here are known to go: one of them speaks for all
-            known = flags[part]
-            alone = np.flatnonzero(~known)
-            once = np.flatnonzero(known)[np.unique(h[known], return_index=True)[1]]
-            for mine, one in ((True, alone), (False, once)):
-                own, first = owner[part][one], place[part][one].astype(np.int32)
-                yield C.batch(_PART, gram[own], slab[own], first, first if mine else pa.nulls(len(one), pa.int32()), C.signed(h[one]))
+    yield C.batch(_PART, gram[own], fine[own], slab[own], first.astype(np.int32), last.astype(np.int32))
+
+
+def sorted_parts(slabs: DataFrame) -> DataFrame:
+    """(gram, fine, slab, first, last): strings inside slabs that other slabs of
+    their group (gram, fine) hold too; a group is held by a task."""
+    n = slabs.count()
+    buckets = max(int(slabs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // BUCKET + 1)
+    lead = F.expr(f"substring(content, anchor + 1, {LEAD})")
+    ordered = slabs.select("gram", "fine", "slab", "windows", "content", lead.alias("lead"))
+    return ordered.repartitionByRange(buckets, "lead", "gram", "fine").mapInArrow(_bucket, _PART_DDL)
+
+
+_FINE = pa.schema([("gram", pa.int64()), ("slab", pa.int64()), ("fine", pa.int64()), ("piece", pa.int64()), ("start", pa.int32()), ("windows", pa.int32()), ("anchor", pa.int32())])
+
+
+def fine_runs(slabs: DataFrame, size: int) -> DataFrame:
+    """(gram, slab, fine, piece, start, windows, anchor): the runs of the slabs by
+    anchors of ``size`` bytes; ``piece`` is the hash of what a run covers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, _, data, off in C.text_blocks(b.column(2)):
+                rows, start, count, anchor, grams, piece = R.runs_of(C.BYTE_VALUE[data], off, WINDOW, size)
+                take = pa.array(i + rows)
+                yield C.batch(_FINE, b.column(0).take(take), b.column(1).take(take), C.signed(grams), C.signed(piece), start.astype(np.int32), count.astype(np.int32), anchor.astype(np.int32))
+
+    return slabs.select("gram", "slab", "content").mapInArrow(run, "gram long, slab long, fine long, piece long, start int, windows int, anchor int")
+
+
+def _in_slabs(runs: DataFrame, parts: DataFrame) -> DataFrame:
+    """``parts`` (gram, fine, piece, first, last) as places in each slab that has the piece."""
+    return runs.join(parts, ["gram", "fine", "piece"]).select("gram", "slab", (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last"))
+
+
+def divided_parts(slabs: DataFrame) -> DataFrame:
+    """(gram, slab, first, last) of repeated strings in slabs of large groups."""
+    runs = C.cut(fine_runs(slabs, FINE))
+    pieces = C.cut(runs.groupBy("gram", "fine", "piece", "windows", "anchor").agg(F.count("*").alias("copies"), F.min(F.struct("slab", "start")).alias("at")))
+    whole = _in_slabs(runs, pieces.where("copies > 1").select("gram", "fine", "piece", F.lit(0).alias("first"), (F.col("windows") - 1).alias("last")))
+    kinds = C.cut(pieces.groupBy("gram", "fine").agg(F.count("*").alias("kinds")).where("kinds > 1"))
+    open_ = pieces.join(kinds, ["gram", "fine"]).select("gram", "fine", "piece", "windows", "anchor", "kinds", F.col("at.slab").alias("slab"), F.col("at.start").alias("start"))
+    open_ = C.cut(open_.join(slabs.select("gram", "slab", "content"), ["gram", "slab"]).withColumn("content", F.expr(f"substring(content, start + 1, windows - 1 + {WINDOW})")).drop("slab", "start"))
+    near = sorted_parts(open_.where(F.col("kinds") <= GROUP).withColumnRenamed("piece", "slab")).withColumnRenamed("slab", "piece")
+    # at WINDOW bytes a run is one string, and its anchor is its hash
+    strings = C.cut(fine_runs(open_.where(F.col("kinds") > GROUP).select("gram", F.col("piece").alias("slab"), "content"), WINDOW))
+    twice = strings.groupBy("gram", "fine").agg(F.count("*").alias("n")).where("n > 1").select("gram", "fine")
+    far = strings.join(twice, ["gram", "fine"]).select("gram", F.col("slab").alias("piece"), F.col("start").alias("first"), F.col("start").alias("last"))
+    far = open_.where(F.col("kinds") > GROUP).select("gram", "fine", "piece").join(far, ["gram", "piece"]).select("gram", "fine", "piece", "first", "last")
+    return whole.unionAll(_in_slabs(runs, C.cut(near.unionAll(far))))
 
 
 def repeated_parts(disputed: DataFrame) -> DataFrame:
     """(gram, slab, first, last): strings inside slabs that other slabs hold too."""
-    lead = F.expr(f"substring(content, anchor + 1, {LEAD})")
-    n = disputed.count()
-    buckets = max(int(disputed.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // BUCKET + 1)
-    split = F.col("kinds") > BUCKET
-    ordered = disputed.select("gram", "slab", "windows", "content", lead.alias("lead"), split.alias("split"), F.when(split, F.col("slab")).otherwise(0).alias("part"))
-    ordered = ordered.repartitionByRange(buckets, "lead", "part")
-    found = C.cut(ordered.mapInArrow(_bucket, _PART_DDL))
-    inside = found.where("open is null").select("gram", "slab", "first", "last")
-    border = found.where("open is not null")
-    twice = border.groupBy("gram", "open").agg(F.count("*").alias("n")).where("n > 1").select(F.col("gram").alias("g"), F.col("open").alias("o"))
-    across = border.where("last is not null").join(twice, (F.col("gram") == F.col("g")) & (F.col("open") == F.col("o"))).select("gram", "slab", "first", "last")
-    return inside.unionAll(across)
+    near = sorted_parts(disputed.where(F.col("kinds") <= GROUP).withColumn("fine", F.lit(0).cast("long"))).select("gram", "slab", "first", "last")
+    return near.unionAll(divided_parts(disputed.where(F.col("kinds") > GROUP)))
 
 
 def repeated(docs: DataFrame) -> DataFrame:

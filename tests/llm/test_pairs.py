@@ -67,13 +67,25 @@ def test_repeated_bytes_of_one_text(docs_of):
     assert suffix_dedup.deduplicated(docs_of([])).collect() == []
 
 
-def test_buckets_meet_at_their_borders(docs_of, monkeypatch):
-    """Many texts share a passage in different surroundings: one group fills several buckets."""
-    r = random.Random(4)
-    passage = "".join(r.choice("abcdefgh ") for _ in range(450))
-    rows = [(i, "".join(r.choice("ijklm ") for _ in range(300)) + passage[r.randint(0, 20) :] + "".join(r.choice("nopq ") for _ in range(300))) for i in range(120)]
+@pytest.mark.parametrize("length", [450, 395, 300])
+def test_large_groups_are_divided(docs_of, monkeypatch, length):
+    """Many texts share a passage in surroundings that differ, or agree for a few bytes."""
+    r = random.Random(length)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(length))
+
+    def around(letters):
+        near = "".join(r.choice(letters[:2]) for _ in range(6))
+        return "".join(r.choice(letters) for _ in range(300)), near, "".join(r.choice(letters) for _ in range(120)) if r.random() < 0.5 else letters * 24
+
+    rows = []
+    for i in range(120):
+        (far, near, same), (end, close, tail) = around("ijkl "), around("nopq ")
+        rows.append((i, far + same + near + passage[r.randint(0, 5) :] + close + tail + end))
     monkeypatch.setattr(suffix_dedup, "BUCKET", 10)
-    assert as_rows(suffix_dedup.deduplicated(docs_of(rows))) == brute.repeated_bytes(rows, 400)
+    monkeypatch.setattr(suffix_dedup, "GROUP", 3)
+    want = brute.repeated_bytes(rows, 400)
+    assert sum(row[2] for row in want) > 0
+    assert as_rows(suffix_dedup.deduplicated(docs_of(rows))) == want
 
 
 @pytest.mark.parametrize("block", [2000, 3])
