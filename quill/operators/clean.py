@@ -110,15 +110,20 @@ def clean_long(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def clean_corpus(docs: DataFrame, lexicon: DataFrame | None = None, lemmatize: bool = True,
-                 text_col: str = "text", keep_empty: bool = True, exceptions: DataFrame | None = None) -> DataFrame:
+                 text_col: str = "text", keep_empty: bool = True, exceptions: DataFrame | None = None,
+                 abbreviated: DataFrame | None = None) -> DataFrame:
     """``(doc_id, tokens, processed_content, label)``.
 
     ``lexicon(word)`` and ``exceptions(token, lemma)`` feed the lemmatiser;
     without a lexicon the corpus's own is used (``corpus_lexicon``).  Documents
     whose cleaned token list is empty keep an empty list and an empty string
-    unless ``keep_empty`` is False (P3).
+    unless ``keep_empty`` is False (P3).  With ``abbreviated(word)`` the periods
+    of abbreviations are no sentence ends (``operators.sentences``).
     """
+    from quill.operators.sentences import protect
     from quill.session import materialize
+    if abbreviated is not None:
+        docs = protect(docs, abbreviated, text_col)
     out = materialize(with_clean_tokens(docs, text_col).drop(text_col))
     if lemmatize:
         long = explode_tokens(out, keep=())

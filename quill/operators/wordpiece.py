@@ -4,9 +4,10 @@ truncation, padding and attention masks.
 The piece vocabulary is a DataFrame ``(piece, id)``; continuation pieces
 carry ``##``.  ``build_piece_vocab`` derives a test vocabulary from the
 train split: the special markers, every character and its ``##`` form, and
-the words of enough train documents.  Words are encoded once per *distinct* word
-(Arrow batches, the vocabulary as a broadcast dictionary of bounded size),
-then joined back to the token stream and assembled per document.
+the words of enough train documents.  Words are encoded once per *distinct* word:
+with a dictionary sent to the tasks while the vocabulary is of bounded size, else
+by a join of the words' distinct parts with the vocabulary.  They are then joined
+back to the token stream and assembled per document.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ SPECIALS = (PAD, UNK, CLS, SEP)          # ids 0, 1, 2, 3
 MAX_LEN = 128                            # sequence length, markers included
 MAX_WORD_CHARS = 100                     # longer words encode as [UNK]
 MIN_WORD_DOCS = 20                       # a derived vocabulary holds the words of that many train documents
-MAX_VOCAB_PIECES = 2_000_000             # size bound for broadcasting the vocabulary
+MAX_VOCAB_PIECES = 2_000_000             # a larger vocabulary stays a table
 
 
 def _accent_map() -> tuple[str, str]:
@@ -88,11 +89,41 @@ def _greedy(word: str, vocab: dict, unk: int, max_piece: int) -> list[int]:
     return out
 
 
+def _encode_by_join(words: DataFrame, piece_vocab: DataFrame) -> DataFrame:
+    """E1 with the vocabulary as a table.  Words are cut into all parts that are
+    short enough to be pieces; the distinct parts meet the vocabulary once, and a
+    word's matches (at most one a start and length) are walked from its first
+    character, the longest piece at each place."""
+    from quill.session import materialize
+    pieces = piece_vocab.where(~F.col("piece").isin(*SPECIALS))
+    starts = F.col("piece").startswith("##")
+    both = pieces.select(F.when(starts, F.expr("substring(piece, 3)")).otherwise(F.col("piece")).alias("part"), (~starts).alias("head"), "id")
+    both = both.unionAll(pieces.where(starts).select(F.col("piece").alias("part"), F.lit(True).alias("head"), "id"))  # "##x" itself, at a word's start
+    both = materialize(both.where(F.length("part") > 0).groupBy("part", "head").agg(F.min("id").alias("id")))
+    longest = both.agg(F.max(F.length("part"))).first()[0] or 0
+    unk = piece_vocab.where(F.col("piece") == UNK).first()["id"]
+    d = materialize(words.select("token").distinct().select("token", strip_accents("token").alias("w")))
+    cut = (d.where(F.length("w") <= MAX_WORD_CHARS)
+           .select("token", "w", F.explode(F.expr("sequence(1, greatest(1, length(w)))")).alias("at"))
+           .select("token", "at", "w", F.explode(F.expr(f"sequence(1, greatest(1, least({longest}, length(w) - at + 1)))")).alias("size"))
+           .select("token", "at", "size", F.expr("substring(w, at, size)").alias("part"), (F.col("at") == 1).alias("head")))
+    found = cut.join(both, on=["part", "head"]).groupBy("token", "at").agg(F.max(F.struct("size", "id")).alias("best"))
+    steps = found.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("at", "best"))).alias("steps"))
+    d = d.join(steps, on="token", how="left")
+    step = "element_at(steps, state.at)"
+    walk = ("aggregate(sequence(1, greatest(1, length(w))), named_struct('at', 1, 'ids', cast(array() as array<int>)), "
+            f"(state, i) -> if(state.at = i and {step} is not null, "
+            f"named_struct('at', i + {step}.size, 'ids', concat(state.ids, array(cast({step}.id as int)))), state))")
+    d = d.withColumn("_walk", F.expr(walk))
+    whole = (F.col("_walk.at") == F.length("w") + 1) & (F.length("w") <= MAX_WORD_CHARS)
+    ids = F.when(F.length("w") == 0, F.array().cast("array<int>")).when(whole, F.col("_walk.ids")).otherwise(F.array(F.lit(unk).cast("int")))
+    return d.select("token", ids.alias("piece_ids"))
+
+
 def encode_words(words: DataFrame, piece_vocab: DataFrame) -> DataFrame:
     """``(token, piece_ids array<int>)`` for distinct ``words.token``."""
-    n = piece_vocab.count()
-    if n > MAX_VOCAB_PIECES:
-        raise ValueError(f"piece vocabulary of {n} entries is too large to broadcast")
+    if piece_vocab.count() > MAX_VOCAB_PIECES:
+        return _encode_by_join(words, piece_vocab)
     vocab = {r["piece"]: int(r["id"]) for r in piece_vocab.collect()}  # bounded by the check above
     unk = vocab[UNK]
     max_piece = max(len(p) - (2 if p.startswith("##") else 0) for p in vocab if p not in SPECIALS)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quill.functions import text as T
 from quill.operators import clean as C
+from quill.operators import sentences as N
 from quill.operators import split as S
 from quill.plans import sqlparts as Q
 from quill.sources import tables as src
@@ -42,6 +43,21 @@ def q_tokenize(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", F.size("tk").cast("long").alias("n_tokens"), _joined("tk").alias("tokens_text"))
 
 
+@query("abbreviations", Q.with_(Q.docs(), N.abbreviations_sql()) + "SELECT word, n, n_period, score, is_abbreviation FROM ab")
+def q_abbreviations(spark, sf):
+    return N.abbreviations(src.documents_corpus(spark, sf))
+
+
+@query("tokenize_abbreviated", Q.with_(Q.docs(), N.abbreviations_sql(), N.protected_sql()) +
+       f"SELECT doc_id, CAST(len(tk) AS BIGINT) AS n_tokens, replace(array_to_string(tk, ' '), '{N.MARK}', '.') AS tokens_text "
+       f"FROM (SELECT doc_id, {T.tokenize_sql('text')} AS tk FROM pr)")
+def q_tokenize_abbreviated(spark, sf):
+    from quill.session import materialize
+    docs = src.documents_corpus(spark, sf).select("doc_id", "text")
+    d = N.tokenize(docs, materialize(N.abbreviations(docs).where("is_abbreviation")))
+    return d.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), _joined("tokens").alias("tokens_text"))
+
+
 @query("normalize_case", Q.with_(Q.docs()) +
        f"SELECT doc_id, CAST(len(tk) AS BIGINT) AS n_tokens, array_to_string(tk, ' ') AS tokens_text "
        f"FROM (SELECT doc_id, list_transform({T.tokenize_sql('text')}, lambda t: lower(t)) AS tk FROM docs)")

@@ -20,3 +20,15 @@ def test_greedy_longest_match():
     v = {"un": 4, "##aff": 5, "##able": 6, "##a": 7, "u": 8, "##n": 9}
     assert WP._greedy("unaffable", v, 1, 4) == [4, 5, 6]
     assert WP._greedy("xyz", v, 1, 4) == [1]
+
+
+def test_vocabulary_as_a_table_gives_the_same_pieces(spark, monkeypatch):
+    pieces = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "un", "##aff", "##able", "##a", "u", "##n", "able", "##b", "b", "a", "e", "##e"]
+    vocab = spark.createDataFrame([(p, i) for i, p in enumerate(pieces)], "piece string, id int")
+    words = ["unaffable", "able", "unable", "bun", "aaa", "xyz", "unx", "", "\u00e9", "a" * 100, "a" * 101, "##a", "[UNK]", "un"]
+    toks = spark.createDataFrame([(w,) for w in words + words], "token string")
+    plain = {r["token"]: r["piece_ids"] for r in WP.encode_words(toks, vocab).collect()}
+    monkeypatch.setattr(WP, "MAX_VOCAB_PIECES", 0)
+    got = WP.encode_words(toks, vocab).collect()
+    assert len(got) == len(plain) and {r["token"]: r["piece_ids"] for r in got} == plain
+    assert plain["unaffable"] == [4, 5, 6]
