@@ -9,8 +9,9 @@ window).  An occurrence at position ``p`` is inside the windows starting in
 intervals are merged into islands (``lag`` + running sum), so
 
 * windows containing word i   = sum of island lengths,
-* windows containing i and j  = sum of island overlaps (a range join on the
-  same text).
+* windows containing i and j  = sum of island overlaps: islands are cut at every
+  ``4 w`` windows, so that a text's islands meet only those of the same stretch
+  (an island is ``w`` long but at a text's ends: few of a word in a stretch).
 
 NPMI(i, j) = ln((p_ij + e) / (p_i p_j)) / -ln(p_ij + e), e = 1e-12, p_ii = p_i;
 a pair present in every window scores 1 (the limit) instead of the formula's
@@ -48,6 +49,14 @@ def window_islands(texts: DataFrame, words: DataFrame, width: int = WINDOW):
     return islands, n_windows
 
 
+def _stretches(islands: DataFrame, size: int) -> DataFrame:
+    """The islands cut at multiples of ``size``, with the ``stretch`` each part is in."""
+    number = F.explode(F.expr(f"sequence(lo div {size}, hi div {size})")).alias("stretch")
+    return islands.select("doc_id", "token", "lo", "hi", number).select(
+        "doc_id", "token", "stretch", F.greatest("lo", F.col("stretch") * size).alias("lo"),
+        F.least("hi", F.col("stretch") * size + (size - 1)).alias("hi"))
+
+
 def sliding_window_counts(texts: DataFrame, words: DataFrame, width: int = WINDOW) -> DataFrame:
     """``(doc_id, token, windows)`` = windows of the text containing the word."""
     islands, _ = window_islands(texts, words, width)
@@ -67,11 +76,11 @@ def coherence_by_topic(top: DataFrame, texts: DataFrame, width: int = WINDOW) ->
     t = top.join(wc, on="token", how="inner")  # words seen in the texts
     pairs = (t.select("topic", F.col("token").alias("wi"), F.col("c_i").alias("c_wi"))
              .join(t.select("topic", F.col("token").alias("wj"), F.col("c_i").alias("c_wj")), on="topic"))
-    a = islands.select("doc_id", F.col("token").alias("wi"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"))
-    b = islands.select("doc_id", F.col("token").alias("wj"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"))
+    cut = _stretches(islands, 4 * width)
+    a = cut.select("doc_id", "stretch", F.col("token").alias("wi"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"))
+    b = cut.select("doc_id", "stretch", F.col("token").alias("wj"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"))
     needed = pairs.select("wi", "wj").distinct()
-    # range join: equi-key (text, partner word), interval overlap as the extra condition
-    ov = (a.join(needed, on="wi").join(b, on=["doc_id", "wj"])
+    ov = (a.join(needed, on="wi").join(b, on=["doc_id", "stretch", "wj"])
           .where((F.col("lo_a") <= F.col("hi_b")) & (F.col("lo_b") <= F.col("hi_a")))
           .groupBy("wi", "wj").agg(F.sum(F.least("hi_a", "hi_b") - F.greatest("lo_a", "lo_b") + 1).alias("c_ij")))
     n_total = n_windows.first()[0] or 0  # one scalar

@@ -15,6 +15,34 @@ def test_csv_round_trip_with_newlines(spark):
     assert back[0]["text"] == 'line one\nline "two"'
 
 
+def test_csv_with_line_breaks_in_several_tasks(spark, tmp_path):
+    import csv
+    import random
+    r = random.Random(5)
+    rows = []
+    for k in range(400):
+        body = "".join(r.choice(['word ', 'a,b ', '"quoted" ', "line\nbreak ", "\n\n", "tail"]) for _ in range(r.randint(0, 12)))
+        rows.append((k, body + "\n" * (k % 3) + "x" * r.choice([0, 5, 900]), f"label{k % 4}"))
+    for name, part in (("a.csv", rows[:250]), ("b.csv", rows[250:]), ("c.csv", [])):
+        with open(tmp_path / name, "w", newline="") as f:
+            w = csv.writer(f, lineterminator="\n", quoting=csv.QUOTE_ALL)
+            w.writerow(["id", "body", "label"])
+            w.writerows(part)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1000")
+    try:
+        path, schema = str(tmp_path), "id long, body string, label string"
+        assert spark.read.text(path).rdd.getNumPartitions() > 10
+        want = sorted(map(tuple, FS.read_csv(spark, path, schema).collect()))
+        got = sorted(map(tuple, FS.read_csv_parallel(spark, path, schema).collect()))
+        assert len(want) == 400 and got == want
+        assert FS.read_csv_parallel(spark, path).dtypes == [("id", "string"), ("body", "string"), ("label", "string")]
+        assert FS.read_csv_parallel(spark, str(tmp_path / "c.csv"), schema).collect() == []
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_guarded_source_skips_missing(spark):
     assert FS.read_csv_guarded(spark, "/nonexistent/quill/input.csv") is None
 
