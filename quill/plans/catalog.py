@@ -129,6 +129,18 @@ def q_multi_corpus_clean(spark, sf):
                      "label", "processed_content")
 
 
+# ----------------------------------------------------------------- sources
+
+@query("csv_round_trip", "SELECT CAST(doc_id AS BIGINT) AS doc_id, nullif(CAST(text AS VARCHAR), '') AS text, nullif(CAST(lang AS VARCHAR), '') AS lang FROM documents")
+def q_csv_round_trip(spark, sf):
+    """The documents written as CSV with quoted line breaks and read again by ranges."""
+    from quill.session import table_path
+    from quill.sources import files as FS
+    path = table_path(spark)
+    FS.write_csv(src.table(spark, sf, "documents").select("doc_id", "text", "lang"), path)
+    return FS.read_csv_parallel(spark, path, "doc_id long, text string, lang string")
+
+
 # ----------------------------------------------------------------- split
 
 def _nonempty(spark, sf, label="lang"):
@@ -296,6 +308,33 @@ def q_oversample_targets(spark, sf):
     return B.class_targets(_train_docs(spark, sf)).select("label", "n", "target", "deficit")
 
 
+_STRATEGIES_SQL = (
+    "st AS (SELECT label, CAST(count(*) AS BIGINT) AS n FROM tdocs GROUP BY label), "
+    "sr AS (SELECT label, n, max(n) OVER () AS most, row_number() OVER (ORDER BY n, label) = 1 AS least FROM st), "
+    "sa AS (SELECT 'auto' AS strategy, label, n, most AS target FROM sr "
+    "UNION ALL SELECT 'minority', label, n, CASE WHEN least THEN most ELSE n END FROM sr "
+    "UNION ALL SELECT 'not minority', label, n, CASE WHEN least THEN n ELSE most END FROM sr "
+    "UNION ALL SELECT 'explicit', label, n, n + most FROM sr)")
+
+
+@query("oversample_strategies", Q.with_(*_PREP_TRAIN, _STRATEGIES_SQL, "bt AS (SELECT strategy, label, n, target FROM sa)") +
+       "SELECT strategy, label, n, target, target - n AS n_copies FROM bt")
+def q_oversample_strategies(spark, sf):
+    """Rows and copies of each class after oversampling by each strategy;
+    the explicit targets are the class size plus that of the largest class."""
+    from functools import reduce
+    from quill.session import materialize
+    docs = materialize(_train_docs(spark, sf))
+    asked = B.class_targets(docs).select("label", (F.col("n") + F.col("target")).alias("target"))
+    out = []
+    for name in ("auto", "minority", "not minority", asked):
+        done = B.random_oversample(docs, strategy=name).groupBy("label").agg(
+            F.sum((~F.col("is_copy")).cast("long")).alias("n"), F.count(F.lit(1)).alias("target"),
+            F.sum(F.col("is_copy").cast("long")).alias("n_copies"))
+        out.append(done.select(F.lit(name if isinstance(name, str) else "explicit").alias("strategy"), "label", "n", "target", "n_copies"))
+    return reduce(DataFrame.unionByName, out)
+
+
 @query("random_oversample", Q.with_(*_PREP_TRAIN, *Q.ros("ros", "tdocs")) +
        "SELECT out_id, doc_id, label, is_copy FROM ros")
 def q_random_oversample(spark, sf):
@@ -323,10 +362,13 @@ _PREP_RARE_TRAIN = [*Q.prepared("size_bucket"), "tdocs AS (SELECT doc_id, label
        "(SELECT CASE WHEN min(n) < 2 THEN 'ros' ELSE 'smote' END FROM (SELECT count(*) AS n FROM tdocs GROUP BY label)) AS method "
        "FROM ros GROUP BY label")
 def q_balance_fallback(spark, sf):
+    """``balance`` itself, on one feature a document: whichever way it takes, a
+    class rises to its target."""
     docs = _train_docs(spark, sf, "size_bucket")
-    method = B.smote_k(docs).first()["method"]  # scalar that picks the plan (B10)
-    # either method raises a class to its target
-    return S.class_distribution(B.random_oversample(docs)).withColumn("method", F.lit(method))
+    sizes = src.table(spark, sf, "documents").select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.array(F.coalesce(F.col("n_chars"), F.lit(0)).cast("double")).alias("features"))
+    method = B.smote_k(docs).select("method").first()["method"]  # scalar, as balance reads it
+    return S.class_distribution(B.balance(docs, sizes, "smote")).withColumn("method", F.lit(method))
 
 
 _EMB_K = Q.smote_k("pts")

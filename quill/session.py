@@ -82,14 +82,19 @@ def ship(spark: SparkSession) -> None:
     sc.addPyFile(path)
 
 
+def table_path(spark: SparkSession) -> str:
+    """A new path in the shared folder; tables of one application lie together,
+    so they can be removed when it has ended."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/quill-tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Cut lineage: write ``df`` once as a Parquet table in the shared folder
     named by ``spark.checkpoint.dir`` and read it back.  It is computed once,
     survives executor loss, and keeps later plans small (a plan that
     references its own input several times grows with every stage)."""
     spark = df.sparkSession
-    # tables of one application lie together, so they can be removed when it has ended
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/quill-tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = table_path(spark)
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(partition_by)

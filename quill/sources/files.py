@@ -81,7 +81,10 @@ def read_csv_parallel(spark: SparkSession, path: str, schema: str | None = None)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """S2.  Fields are kept as they are, white space at their ends too; an empty
+    string comes back as null."""
+    (df.write.mode("overwrite").option("header", True).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def read_csv_guarded(spark: SparkSession, path: str, schema: str | None = None,

@@ -43,6 +43,14 @@ def test_csv_with_line_breaks_in_several_tasks(spark, tmp_path):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+def test_csv_keeps_fields_as_they_are(spark, tmp_path):
+    rows = [(1, None), (2, ""), (3, "  spaces around  "), (4, 'a "quoted" word, and a comma'), (5, "line\nbreak\n"), (6, "\ttab"), (7, '"')]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    FS.write_csv(df, str(tmp_path / "c"))
+    for read in (FS.read_csv, FS.read_csv_parallel):
+        assert sorted(map(tuple, read(spark, str(tmp_path / "c"), "doc_id long, text string").collect())) == [(k, t or None) for k, t in rows]
+
+
 def test_guarded_source_skips_missing(spark):
     assert FS.read_csv_guarded(spark, "/nonexistent/quill/input.csv") is None
 
