@@ -150,17 +150,12 @@ def flag_spans(flags: np.ndarray, owner: np.ndarray, place: np.ndarray) -> tuple
     return owner[at[first]], place[at[first]], place[at[last]]
 
 
-def covered(table: DataFrame, whole: DataFrame, parts: DataFrame, window: int, earlier: bool) -> DataFrame:
+def covered(table: DataFrame, whole: DataFrame, parts: DataFrame, window: int) -> DataFrame:
     """(id, th, spans): covered stretches of each text in symbols.  ``whole``:
-    slabs with several copies; with ``earlier`` the copies of least id stay.
-    ``parts``: (gram, slab, first, last) of windows covered inside a slab."""
-    w = whole.select(F.col("gram").alias("g"), F.col("slab").alias("s"), F.col("at.order").alias("least"))
+    slabs with several copies.  ``parts``: (gram, slab, first, last) of windows covered inside a slab."""
+    w = whole.select(F.col("gram").alias("g"), F.col("slab").alias("s"))
     same = (F.col("gram") == F.col("g")) & (F.col("slab") == F.col("s"))
-    mine = F.coalesce("id", F.lit((1 << 63) - 1))
-    full = table.join(w, same)
-    if earlier:
-        full = full.where(mine > F.col("least"))
-    full = full.select("id", "th", F.struct("start", (F.col("start") + F.col("windows") - 1 + window).alias("end")).alias("x"))
+    full = table.join(w, same).select("id", "th", F.struct("start", (F.col("start") + F.col("windows") - 1 + window).alias("end")).alias("x"))
     p = parts.select(F.col("gram").alias("g"), F.col("slab").alias("s"), "first", "last")
     some = table.join(p, same).select("id", "th", F.struct((F.col("start") + F.col("first")).alias("start"), (F.col("start") + F.col("last") + window).alias("end")).alias("x"))
     return full.unionAll(some).groupBy("id", "th").agg(F.collect_list("x").alias("spans"))

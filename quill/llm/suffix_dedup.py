@@ -151,7 +151,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     table = R.of_repeated_grams(R.runs(k, R.byte_symbols, WINDOW, GRAM))
     whole, disputed = R.spread(table)
     parts = repeated_parts(C.cut(R.fetch(k, disputed, R.byte_symbols, WINDOW, True)))
-    return R.with_spans(k, R.covered(table, whole, parts, WINDOW, False))
+    return R.with_spans(k, R.covered(table, whole, parts, WINDOW))
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])

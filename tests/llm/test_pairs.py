@@ -92,13 +92,55 @@ def test_large_groups_are_divided(docs_of, monkeypatch, length):
 def test_earlier_words(docs_of, monkeypatch, block):
     monkeypatch.setattr(substring_dedup, "BLOCK", block)
     rows = brute.corpus(60, 9)
-    assert as_rows(substring_dedup.deduplicated(docs_of(rows, CLASHING))) == brute.earlier_words(rows, 50)
+    assert as_rows(substring_dedup.deduplicated(docs_of(rows, CLASHING)).drop("n_factors")) == brute.earlier_words(rows, 50)
+
+
+@pytest.mark.parametrize("block", [2000, 3])
+def test_factors_have_sources(docs_of, monkeypatch, block):
+    monkeypatch.setattr(substring_dedup, "BLOCK", block)
+    rows = brute.corpus(60, 9)
+    words = {d: (t or "").encode().split() for d, t in rows}
+    found = as_rows(substring_dedup.factors(docs_of(rows, CLASHING)))
+    for doc, start, n, of, at in found:
+        assert n >= 50 and of < doc and words[doc][start : start + n] == words[of][at : at + n]
+    removed = {d: 0 for d in words}
+    for d in removed:
+        removed[d] = len({k for doc, start, n, _, _ in found if doc == d for k in range(start, start + n)})
+    assert [(d, n) for d, n in sorted(removed.items())] == [(r[0], r[2]) for r in brute.earlier_words(rows, 50)]
+    assert any(n > 100 for _, _, n, _, _ in found)  # pieces of several slabs are one factor
+
+
+@pytest.mark.parametrize("block", [2000, 1])
+def test_windows_over_factor_ends(docs_of, monkeypatch, block):
+    """The third text goes from the first one's words to the second one's: windows
+    over the end of the first factor stand in the second source only."""
+    monkeypatch.setattr(substring_dedup, "BLOCK", block)
+    w = [str(k) for k in range(200)]
+    rows = [(1, " ".join(w[:100])), (2, " ".join(w[60:160])), (3, " ".join(w)), (4, " ".join(w[10:150]))]
+    found = as_rows(substring_dedup.factors(docs_of(rows)))
+    # the second text's shared words are too few; the third has both, overlapping
+    assert [f for f in found if f[0] == 3] == [(3, 0, 100, 1, 0), (3, 60, 100, 2, 0)]
+    # no word of 4 is left, and windows of words 61 to 99 have the third text alone
+    assert as_rows(substring_dedup.deduplicated(docs_of(rows)).drop("n_factors")) == brute.earlier_words(rows, 50)
+
+
+def test_greedy_parse():
+    """A factor goes on as far as its source agrees; the next begins with the first window over its end."""
+    w = np.arange(1, 200, dtype=np.uint64)
+    slabs = [w[:90], w[20:110], w[10:100]]  # the last is parsed against the first two
+    values, off = np.concatenate(slabs), np.concatenate([[0], np.cumsum([len(s) for s in slabs])])
+    owner, place, hashes = substring_dedup._windows(values, off)
+    lead = substring_dedup.first_places(owner, hashes, np.array([1, 2, 3]), np.zeros(3, np.int64))
+    got = substring_dedup.parse(values, off, owner, place, np.where(lead < 0, -1, owner[lead]), place[lead])
+    # 80 words of the first slab; then, from window 31 on, the second slab's
+    assert [tuple(map(int, f)) for f in zip(*got) if f[0] == 2] == [(2, 0, 80, 0, 10), (2, 31, 59, 1, 21)]
+    assert [tuple(map(int, f)) for f in zip(*got) if f[0] == 1] == [(1, 0, 70, 0, 20)]
 
 
 def test_earlier_words_edges(docs_of):
     t = " ".join(map(str, range(80)))
     rows = [(4, t), (4, t), (2, "x " + t), (9, t + " " + t), (11, None)]
-    assert as_rows(substring_dedup.deduplicated(docs_of(rows))) == brute.earlier_words(rows, 50)
+    assert as_rows(substring_dedup.deduplicated(docs_of(rows)).drop("n_factors")) == brute.earlier_words(rows, 50)
     null = as_rows(substring_dedup.deduplicated(docs_of([(None, t), (3, t)])).na.fill(-1))
     assert [(x[0], x[2]) for x in null] == [(-1, 80), (3, 0)]
     assert substring_dedup.deduplicated(docs_of([])).collect() == []
