@@ -18,7 +18,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quill.llm import common as C
@@ -26,9 +27,10 @@ from quill.llm import common as C
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 #: A line is boilerplate of a host if it is in more distinct documents than
-#: this (a dozen or more), whatever the size of the host.  A share of the
+#: this, whatever the size of the host: the limit published for the line-level
+#: deduplication of the Llama 3 corpus ("more than 6 times").  A share of the
 #: host's documents can be asked for besides; 0 is none.
-LINE_DOCS = 11
+LINE_DOCS = 6
 LINE_SHARE = 0.0
 #: A document is depleted if fewer of its words than this share remain.
 MIN_LEFT = 0.20
@@ -84,7 +86,7 @@ def normal_lines(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids, host, text = b.column(0), b.column(1), b.column(2)
+        ids, host, text, text_hash = b.columns
         for i, j, data, off in C.text_blocks(text):
             n = j - i
             starts, stops, first = C.word_bounds(data, off)
@@ -116,14 +118,18 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums = np.add.reduceat(lw[order], new) if len(new) else np.zeros(0, np.int64)
             sizes = np.bincount(lr[order][new], minlength=n)
             yield C.batch(
-                _OUT, ids.slice(i, n), host.slice(i, n), C.signed(C.range_hash(raw, off[:-1], off[1:])), n_words, _per_row(inside, off), _per_row(_IS_SYMBOL[data], off),
+                _OUT, ids.slice(i, n), host.slice(i, n), text_hash.slice(i, n), n_words, _per_row(inside, off), _per_row(_IS_SYMBOL[data], off),
                 dup_lines, repeat, C.list_array(pa.array(C.signed(lh[order][new])), sizes), C.list_array(pa.array(sums.astype(np.int64)), sizes),
             )
 
 
+def _text_hash(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
 def measure(docs: DataFrame) -> DataFrame:
     """One row per document: base measures and its distinct normalised lines."""
-    return C.columns(docs, "doc_id", "source", "text").mapInArrow(_measure, _DDL)
+    return C.columns(docs, "doc_id", "source", "text").withColumn("text_hash", _text_hash("text")).mapInArrow(_measure, _DDL)
 
 
 def frequent_lines(measured: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
@@ -140,31 +146,32 @@ def frequent_lines(measured: DataFrame, line_docs: int = LINE_DOCS, line_share:
 def quality(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
     """Verdict per document: base measures, ``base_failed``, ``n_line_words``
     (words in lines above the limit), ``depleted`` and ``kept``."""
-    return verdicts(C.cut(measure(docs)), line_docs, line_share, min_left)[0]
+    return verdicts(C.cut(measure(docs)), line_docs, line_share, min_left).drop("hits")
 
 
-def verdicts(measured: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, min_left: float = MIN_LEFT) -> tuple[DataFrame, DataFrame]:
-    """Verdicts over written measures, and the written table of frequent lines."""
+def verdicts(measured: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+    """Verdicts over written measures; ``hits`` are the document's own lines
+    above the limit (null: none)."""
     lines = C.cut(frequent_lines(measured, line_docs, line_share))
     rows = measured.select("host", "text_hash", F.explode(F.arrays_zip("line_hash", "line_words")).alias("x")).select("host", "text_hash", F.col("x.line_hash").alias("line_hash"), F.col("x.line_words").alias("w")).distinct()
     hot = C.small(lines.select(F.col("host").alias("of_host"), "line_hash"))
-    lost = rows.join(hot, (rows["line_hash"] == hot["line_hash"]) & rows["host"].eqNullSafe(hot["of_host"]), "inner").groupBy(F.col("host").alias("of_host"), F.col("text_hash").alias("of_text")).agg(F.sum("w").alias("lost"))
+    lost = rows.join(hot, (rows["line_hash"] == hot["line_hash"]) & rows["host"].eqNullSafe(hot["of_host"]), "inner").groupBy(F.col("host").alias("of_host"), F.col("text_hash").alias("of_text")).agg(F.sum("w").alias("lost"), F.collect_list(rows["line_hash"]).alias("hits"))
     m = measured.drop("line_hash", "line_words")
     out = m.join(lost, (F.col("text_hash") == F.col("of_text")) & F.col("host").eqNullSafe(F.col("of_host")), "left")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     lost_words = F.coalesce(F.col("lost"), F.lit(0)).cast("long")
     out = out.withColumn("base_failed", failed).withColumn("n_line_words", lost_words).withColumn("depleted", (F.col("n_words") - lost_words) < min_left * F.col("n_words"))
     out = out.withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
-    return out.select("doc_id", "host", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_line_words", "depleted", "kept"), lines
+    return out.select("doc_id", "host", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_line_words", "depleted", "kept", "hits")
 
 
 def clean(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
     """The documents that stay, without their lines above the limit, columns as
     they came (``n_chars``, if there, follows the text).  Kept texts without
     such lines are unchanged to the byte."""
-    measured = C.cut(measure(docs))
-    _, lines = verdicts(measured, line_docs, line_share, min_left)
-    per_host = lines.groupBy("host").agg(F.collect_list("line_hash").alias("hot"))
+    found = verdicts(C.cut(measure(docs)), line_docs, line_share, min_left)
+    acts = found.where(~F.col("kept") | F.col("hits").isNotNull()).select(F.col("host").alias("__of_host"), F.col("text_hash").alias("__of_text"), "kept", "hits")
+    acts = C.small(C.cut(acts.dropDuplicates(["__of_host", "__of_text"])))  # equal texts of a host have one verdict
     own = [f"__own_{i}" for i in range(len(docs.columns))]
     rows = docs.toDF(*own)
     text = next((o for o, c in zip(own, docs.columns) if c.lower() == "text"), None)
@@ -172,61 +179,42 @@ def clean(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_
     size = next((o for o, c in zip(own, docs.columns) if c.lower() == "n_chars"), None)
     if text is None:
         raise ValueError("documents need a text column")
-    rows = rows.withColumn("__host", F.col(host).cast("string") if host else F.lit(None).cast("string"))
-    joined = rows.join(F.broadcast(per_host) if lines.count() <= C.BROADCAST_ROWS else per_host, F.col("__host").eqNullSafe(per_host["host"]), "left").drop("host", "__host")
-    schema = joined.drop("hot").schema
+    rows = rows.withColumn("__host", F.col(host).cast("string") if host else F.lit(None).cast("string")).withColumn("__hash", _text_hash(text))
+    joined = rows.join(acts, F.col("__host").eqNullSafe(F.col("__of_host")) & (F.col("__hash") == F.col("__of_text")), "left")
+    joined = joined.where(F.coalesce("kept", F.lit(True))).select(*own, "hits")
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names = b.schema.names
-            at = names.index(text)
-            column, hot = b.column(at), b.column(names.index("hot"))
-            out, keep = column.to_pylist(), np.zeros(b.num_rows, dtype=bool)
-            for i, j, data, off in C.text_blocks(column):
-                ls, le, lr, lw, lh = normal_lines(data, off)
-                starts, _, first = C.word_bounds(data, off)
-                left = np.diff(first).astype(np.int64)
-                total = left.copy()
-                ok = base_ok(column.slice(i, j - i))
-                first_line = np.searchsorted(lr, np.arange(j - i + 1))
-                for k in range(j - i):
-                    if not hot[i + k].is_valid:
-                        continue
-                    f, t = first_line[k], first_line[k + 1]
-                    drop = np.isin(C.signed(lh[f:t]), np.asarray(hot[i + k].values))
-                    if drop.any():
-                        left[k] -= lw[f:t][drop].sum()
-                        parts, at_byte = [], int(off[k])
-                        for s, e in zip(ls[f:t][drop], le[f:t][drop]):
-                            parts.append(data[at_byte:s])
-                            at_byte = min(int(e) + 1, int(off[k + 1]))
-                        parts.append(data[at_byte : off[k + 1]])
-                        out[i + k] = b"".join(p.tobytes() for p in parts).decode()
-                keep[i:j] = ok & ~(left < min_left * total)
-            cols = []
-            for n, c in zip(names, b.columns):
-                if n == "hot":
-                    continue
-                if n == text:
-                    c = pa.array(out, type=c.type)
-                elif n == size:
-                    c = pa.array([o if o is None or x is None or x == y else len(x) for o, x, y in zip(c.to_pylist(), out, column.to_pylist())], type=c.type)
-                cols.append(c)
-            yield pa.RecordBatch.from_arrays(cols, names=[n for n in names if n != "hot"]).filter(pa.array(keep))
-
-    return joined.mapInArrow(strip, schema).toDF(*docs.columns)
-
-
-def _ok(m: pa.RecordBatch) -> np.ndarray:
-    words, repeat = m.column(3).to_numpy(), m.column(7).to_numpy()
-    return (words >= MIN_WORDS) & (100 * repeat <= MAX_REPEAT_PERCENT * words)
-
-
-def base_ok(text: pa.Array) -> np.ndarray:
-    """Whether each text passes the base rules."""
-    n = len(text)
-    parts = [_ok(m) for m in _measure(iter([pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), text], names=["a", "b", "c"])]))]
-    return np.concatenate(parts) if parts else np.zeros(0, bool)
+            names, hits = b.schema.names[:-1], b.column(b.num_columns - 1)
+            has = hits.is_valid()
+            columns = dict(zip(names, b.columns))
+            if has.true_count:
+                new = pa.array(without_lines(columns[text].filter(has), hits.filter(has)), type=columns[text].type)
+                columns[text] = pc.replace_with_mask(columns[text], has, new)
+                if size:
+                    known = pc.and_(has, columns[size].is_valid())
+                    columns[size] = pc.replace_with_mask(columns[size], known, pc.cast(pc.utf8_length(columns[text].filter(known)), columns[size].type))
+            yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
+
+    return joined.mapInArrow(strip, joined.drop("hits").schema).toDF(*docs.columns)
+
+
+def without_lines(texts: pa.Array, hits: pa.ListArray) -> list[str]:
+    """The texts without the lines whose normalised hashes are named."""
+    out = []
+    for i, j, data, off in C.text_blocks(texts):
+        ls, le, lr, _, lh = normal_lines(data, off)
+        first = np.searchsorted(lr, np.arange(j - i + 1))
+        for k in range(j - i):
+            own = slice(first[k], first[k + 1])
+            drop = np.isin(C.signed(lh[own]), hits[i + k].values.to_numpy())
+            parts, at = [], int(off[k])
+            for s, e in zip(ls[own][drop], le[own][drop]):
+                parts.append(data[at:s])
+                at = min(int(e) + 1, int(off[k + 1]))
+            parts.append(data[at : off[k + 1]])
+            out.append(b"".join(p.tobytes() for p in parts).decode())
+    return out
 
 
 def __getattr__(name: str) -> str:

@@ -83,18 +83,18 @@ def test_quality_cleans(docs_of):
     verdict = {r["doc_id"]: r["kept"] for r in quality_rules.quality(docs, line_docs=2).collect()}
     assert {d for d, k in verdict.items() if k} == set(got)
     assert quality_rules.clean(docs_of([])).collect() == []
-    same = {r["doc_id"]: r["text"] for r in quality_rules.clean(docs).collect()}
+    same = {r["doc_id"]: r["text"] for r in quality_rules.clean(docs, line_docs=11).collect()}
     assert same[3] == rows[3][1]
 
 
 def test_line_limit_is_alike_at_every_host_size(spark):
-    """Production values: a line of 12 documents goes from a host of 30 and from one of 400; a line of 11 stays in both."""
-    often, seldom = "accept all cookies to go on reading", "this line is in eleven documents only"
+    """Production values: a line of 7 documents goes from a host of 30 and from one of 400; a line of 6 stays in both."""
+    often, seldom = "accept all cookies to go on reading", "this line is in six documents only"
     rows = []
     for host, n in (("small", 30), ("hot", 400)):
         for i in range(n):
             own = " ".join(f"{host}{i}w{k}" for k in range(12))
-            rows.append((len(rows), "\n".join([own, *[often] * (i < 12), *[seldom] * (12 <= i < 23)]), host, 0))
+            rows.append((len(rows), "\n".join([own, *[often] * (i < 7), *[seldom] * (7 <= i < 13)]), host, 0))
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
     lost = {r["doc_id"]: r["n_line_words"] for r in quality_rules.quality(docs).collect()}
     assert lost == {d: 7 * (often in t) for d, t, _, _ in rows}

@@ -4,6 +4,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quill.llm import bpe, line_dedup, mixing, quality_rules
@@ -19,6 +20,26 @@ def passes(text):
     return len(w) >= 10 and 100 * len(again) <= 20 * len(w)
 
 
+def of_quality(rows, host_of):
+    """The documents that stay, without lines of more than LINE_DOCS distinct texts of a host."""
+    norm = lambda line: " ".join(brute.words("".join(c.lower() if c.isascii() else c for c in line)))
+    seen = {}
+    for d, t in rows:
+        for line in (t or "").split("\n"):
+            seen.setdefault((host_of[d], norm(line)), set()).add(t)
+    out, removed = [], 0
+    for d, t in rows:
+        own = (t or "").split("\n")
+        often = [bool(norm(line)) and len(seen[host_of[d], norm(line)]) > quality_rules.LINE_DOCS for line in own]
+        lost = sum(len(norm(line).split()) for line, o in zip(own, often) if o)
+        n = len(brute.words(t))
+        if passes(t) and n - lost >= quality_rules.MIN_LEFT * n:
+            removed += sum(often)
+            left = "".join(line + "\n" for line, o in zip(own[:-1], often) if not o) + (own[-1] if not often[-1] else "")
+            out.append((d, left))
+    return out, removed
+
+
 def without_lines(rows):
     heads = brute.line_heads(rows, line_dedup.DISTANCE, line_dedup.MIN_CHARS)
     out = []
@@ -33,7 +54,11 @@ def without_lines(rows):
 
 def test_stages(spark, docs_of):
     rows = brute.corpus(70, 21)
-    docs = docs_of(rows)
+    # a line in every document of two hosts; one of them has too little besides
+    rows += [(1001 + 10 * i, f"Read  our terms and privacy notice\n{i} words that no other document has, and more of them {i}") for i in range(9)]
+    rows += [(1002 + 10 * i, "Sign in to see all of the offers that we have for you this week\nonly " + f"n{i}") for i in range(8)]
+    docs = docs_of(rows).withColumn("source", F.when(F.col("doc_id") > 1000, F.concat(F.lit("host"), F.pmod("doc_id", F.lit(10)))).otherwise(F.col("source")))
+    host_of = {r["doc_id"]: r["source"] for r in docs.collect()}
     got = {}
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         before, docs = docs, stage(spark, docs, "")
@@ -41,8 +66,8 @@ def test_stages(spark, docs_of):
             assert docs.columns == before.columns and docs.dtypes == before.dtypes
             docs = spark.createDataFrame(docs.collect(), docs.schema)
             got[name] = sorted((r["doc_id"], r["text"]) for r in docs.collect())
-    # no line is in more than LINE_DOCS documents of a host here, so texts stay whole
-    want = [(d, t) for d, t in rows if passes(t)]
+    want, removed = of_quality(rows, host_of)
+    assert removed >= 9 and not any(d % 10 == 2 for d, _ in want if d > 1000)
     assert got["quality rules"] == sorted(want)
     want = without_lines(want)
     assert got["line dedup"] == sorted(want)
