@@ -9,8 +9,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quill.session import ensure_checkpoint_dir
 
@@ -25,8 +26,8 @@ SEPARATOR = np.zeros(256, dtype=bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 
 BLOCK_BYTES = 1 << 19
-#: Rows up to which a keyed table may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 400_000
+#: Bytes up to which a table may be broadcast; beyond it the join shuffles.
+BROADCAST_BYTES = 32 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -178,10 +179,35 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """``df`` (a written table) with a broadcast hint if it has few rows, else as it is."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+def _fixed(kind: T.DataType) -> int:
+    """Bytes of a value without what is of any length in it."""
+    return 8 + sum(_fixed(f.dataType) for f in kind.fields) if isinstance(kind, T.StructType) else 8
+
+
+def _bytes(column: Column, kind: T.DataType) -> Column:
+    """Bytes of a value: 8 for a number, what strings hold, and all of a list's elements."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.lit(8) + F.coalesce(F.octet_length(column), F.lit(0))
+    if isinstance(kind, T.StructType):
+        return sum((_bytes(column[f.name], f.dataType) for f in kind.fields), F.lit(8))
+    if isinstance(kind, T.ArrayType):
+        inner = kind.elementType
+        if not isinstance(inner, (T.StringType, T.BinaryType, T.ArrayType, T.StructType)) or isinstance(inner, T.StructType) and all(isinstance(f.dataType, T.NumericType) for f in inner.fields):
+            return F.lit(16) + F.greatest(F.coalesce(F.size(column), F.lit(0)), F.lit(0)) * _fixed(inner)
+        return F.lit(16) + F.coalesce(F.aggregate(column, F.lit(0).cast("long"), lambda n, x: n + _bytes(x, inner)), F.lit(0))
+    return F.lit(8)
+
+
+def table_bytes(df: DataFrame) -> int:
+    """About the bytes of a written table's values, by one aggregation."""
+    row = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16))
+    return df.agg(F.sum(row.cast("long"))).first()[0] or 0
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` (a written table) with a broadcast hint if its values are at most
+    BROADCAST_BYTES, else as it is."""
+    return F.broadcast(df) if table_bytes(df) <= BROADCAST_BYTES else df
 
 
 def columns(docs: DataFrame, *names: str) -> DataFrame:

@@ -175,4 +175,4 @@ def with_spans(keyed_docs: DataFrame, spans: DataFrame) -> DataFrame:
     """(id, text, spans) of every document; without covered stretches spans is null."""
     found = C.cut(spans)
     f = found.select(F.col("id").alias("of"), F.col("th").alias("of_th"), "spans")
-    return keyed_docs.join(C.small(f, found.count()), F.col("id").eqNullSafe(F.col("of")) & (F.col("th") == F.col("of_th")), "left").select("id", "text", "spans")
+    return keyed_docs.join(C.small(f), F.col("id").eqNullSafe(F.col("of")) & (F.col("th") == F.col("of_th")), "left").select("id", "text", "spans")

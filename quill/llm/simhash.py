@@ -261,7 +261,7 @@ def links(uniq: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET, leaf_
         free = 64 - F.bit_count(F.bit_and("shared"))
         heavy = C.cut(rows.groupBy("key").agg(F.count("*").alias("rows"), free.alias("free")).where((F.col("rows") > bucket) & (F.col("free") > leaf_bits)).select("key"))
         many = heavy.count()
-        side = C.small(heavy, many)
+        side = C.small(heavy)
         light = _links(rows.join(side, "key", "left_anti") if many else rows, distance)
         out = light if out is None else out.unionAll(light)
         if not many:
