@@ -137,6 +137,18 @@ def test_greedy_parse():
     assert [tuple(map(int, f)) for f in zip(*got) if f[0] == 1] == [(1, 0, 70, 0, 20)]
 
 
+def test_broadcast_by_bytes(spark, monkeypatch):
+    rows = [(1, [(1, 2)] * 1000, ["é" * 50] * 10), (2, None, []), (None, [], None)]
+    df = spark.createDataFrame(rows, "a long, b array<struct<x long, y long>>, c array<string>")
+    # the elements of lists count, not the rows
+    assert 1000 * 16 + 10 * 100 < C.table_bytes(df) < 2 * (1000 * 16 + 10 * 100)
+    assert C.table_bytes(df.limit(0)) == 0
+    hinted = lambda: "broadcast" in C.small(df)._jdf.queryExecution().logical().toString().lower()
+    assert hinted()
+    monkeypatch.setattr(C, "BROADCAST_BYTES", 16_000)
+    assert not hinted()
+
+
 def test_earlier_words_edges(docs_of):
     t = " ".join(map(str, range(80)))
     rows = [(4, t), (4, t), (2, "x " + t), (9, t + " " + t), (11, None)]
