@@ -31,8 +31,8 @@ _LAST_PERIOD = r"\.([^\p{L}\p{N}.]*)$"
 
 
 def _pieces(c: str) -> Column:
-    plain = F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), T.EXOTIC_WS + "|" + MARK, " ")
-    return F.filter(F.split(plain, r"\s+"), lambda t: F.length(t) > 0)
+    text = F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return T._split_ws(T.plain_spaces(F.replace(text, F.lit(MARK), F.lit(" "))))
 
 
 def _core(piece: Column) -> Column:
@@ -64,11 +64,12 @@ def abbreviations(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``(word, n, n_period, score, is_abbreviation)`` of every type that has a
     final period somewhere; ``word`` is lower-case, without that period."""
     from quill.session import materialize
-    core = _core(F.col("piece"))
-    seen = (docs.select(F.explode(_pieces(text_col)).alias("piece"))
-            .select(_type(core).alias("word"), _has_period(core).cast("long").alias("period"))
+    # pieces are counted first, so the rules run once a distinct piece
+    seen = (docs.select(F.explode(_pieces(text_col)).alias("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias("_n"))
+            .select(_core(F.col("piece")).alias("core"), "_n")
+            .select(_type(F.col("core")).alias("word"), "_n", F.when(_has_period(F.col("core")), F.col("_n")).otherwise(0).alias("period"))
             .where(F.col("word").rlike(r"\p{L}")))
-    types = materialize(seen.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("period").alias("n_period")))
+    types = materialize(seen.groupBy("word").agg(F.sum("_n").alias("n"), F.sum("period").alias("n_period")))
     total = types.agg(F.sum("n").alias("n"), F.sum("n_period").alias("k")).first()
     share = (total["k"] or 0) / total["n"] if total["n"] else 0.0
     scored = types.where("n_period > 0").withColumn("score", score(F.col("n"), F.col("n_period"), F.col("word"), share))
@@ -81,23 +82,24 @@ def protect(docs: DataFrame, abbreviated: DataFrame, text_col: str = "text") ->
     only its own abbreviations: distinct (doc_id, word) pairs are joined and
     come back as one short array.  Rows that repeat a ``doc_id``, or have none,
     share what is found under it."""
-    def types(c: str) -> Column:
-        ended = F.filter(F.transform(_pieces(c), _core), _has_period)
-        return F.array_distinct(F.transform(ended, _type))
-
+    dotted = lambda t: t.contains(".")  # noqa: E731 - no other piece can end in a period
+    ended = F.filter(F.transform(F.filter(_pieces(text_col), dotted), _core), _has_period)
+    types = F.array_distinct(F.transform(ended, _type))
     words = abbreviated.select(F.col("word").alias("_word")).distinct()
-    own = (docs.select(F.col("doc_id").alias("_of"), F.explode(types(text_col)).alias("_word")).distinct()
+    own = (docs.select(F.col("doc_id").alias("_of"), F.explode(types).alias("_word")).distinct()
            .join(words, on="_word").groupBy("_of").agg(F.collect_list("_word").alias("_own")))
-    pieces = _pieces(text_col)
-    last = F.size(pieces) - 1
 
-    def marked(t: Column, i: Column) -> Column:
+    def marked(t: Column) -> Column:
         core = _core(t)
-        hit = (i < last) & _has_period(core) & F.array_contains("_own", _type(core))
+        hit = dotted(t) & _has_period(core) & F.array_contains("_own", _type(core))
         return F.when(hit, F.regexp_replace(t, _LAST_PERIOD, MARK + "$1")).otherwise(t)
 
-    text = F.when(F.col("_own").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(pieces, marked), " "))
-    return docs.join(own, F.col("doc_id").eqNullSafe(F.col("_of")), "left").withColumn(text_col, text).drop("_of", "_own")
+    # cut once a text: inside the lambda the text would be cut again for every piece
+    pieces = F.when(F.col("_own").isNotNull(), _pieces(text_col))
+    before = F.slice("_pieces", F.lit(1), F.greatest(F.size("_pieces") - 1, F.lit(0)))
+    text = F.array_join(F.concat(F.transform(before, marked), F.slice("_pieces", -1, 1)), " ")
+    return (docs.join(own, F.col("doc_id").eqNullSafe(F.col("_of")), "left").withColumn("_pieces", pieces)
+            .withColumn(text_col, F.when(F.col("_own").isNull(), F.col(text_col)).otherwise(text)).drop("_of", "_own", "_pieces"))
 
 
 def tokenize(docs: DataFrame, abbreviated: DataFrame, text_col: str = "text") -> DataFrame:

@@ -39,3 +39,14 @@ def test_empty_corpus(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert N.abbreviations(empty).collect() == []
     assert N.tokenize(empty, N.abbreviations(empty)).collect() == []
+
+
+def test_a_long_text_is_cut_into_pieces_once(spark):
+    """30,000 pieces, cut again for every piece, would take minutes."""
+    import time
+    docs = spark.createDataFrame([(1, "Then Mr. Smith came home. " * 6000)], SCHEMA)
+    words = spark.createDataFrame([("mr",)], "word string")
+    begun = time.time()
+    tokens = N.tokenize(docs, words).first()["tokens"]
+    assert time.time() - begun < 30
+    assert tokens.count("Mr.") == 6000 and tokens.count(".") == 6000 and len(tokens) == 36000

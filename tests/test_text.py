@@ -63,3 +63,56 @@ def test_lemma_rules(spark):
     lex = spark.createDataFrame([(w,) for w in ["market", "glass", "glasse", "woman", "women", "wolf", "bus"]], "word string")
     m = {r["token"]: r["lemma"] for r in C.lemma_map(toks, lex).collect()}
     assert m == {"markets": "market", "glasses": "glass", "women": "woman", "wolves": "wolf"}
+
+
+def test_rules_begin_with_a_character_that_is_looked_up():
+    """A rule that begins otherwise is tried at every character of a text (ten times the time)."""
+    for pattern, _ in T.SPARK_TOKEN_RULES:
+        first = pattern.removeprefix("(?i)").removeprefix("(")
+        assert not first.startswith("?") and (first[0] in "[\\'" or first.startswith("--"))
+        assert all(ord(c) < 256 for c in pattern)
+
+
+def test_rules_agree_with_look_around_on_mixed_texts(spark):
+    """The same rules in fewer passes, as slow as they are plain."""
+    import random
+    plain = ((T.EXOTIC_WS, " "), (T._PUNCT + r"|\.{2,}", " $0 "), (r"([:,])([^0-9])", " $1 $2"), (r"([^.\s])\.('*)(\s)", "$1 . $2$3"), (r"--", " $0 "),
+             (r"(?i)(?<=[^'\s])('(?=\s)|(?:" + "|".join(T.CLITICS) + r")(?=\s))", " $1"),
+             (r"(?i)(?<=\s)(" + "|".join(f"{h}(?={t}\\s)" for h, t in T.FUSED_WORDS) + ")", "$1 "))
+    r = random.Random(5)
+    parts = [*"aNnTtsDlrem''...  ,,:09-\n\t\x0b\x1f\x85\xa0\u1680\u2003\u3000«“‘„”’\"`;@[(}é😀", "cannot", "GONNA", "n't", "'ll", "...", "don't", "'s"]
+    df = spark.createDataFrame([("".join(r.choice(parts) for _ in range(r.randint(0, 30))),) for _ in range(5000)], "text string")
+    x = F.concat(F.lit(" "), "text", F.lit(" "))
+    for pattern, put in plain:
+        x = F.regexp_replace(x, pattern, put)
+    lower = F.filter(F.split(F.lower(x), r"\s+"), lambda t: F.length(t) > 0)
+    alnum = F.filter(lower, lambda t: t.rlike(r"^[\p{L}\p{N}]+$"))
+    got = df.select("text", T.lower_tokens("text").alias("a"), lower.alias("b"), T.filter_alnum(T.lower_tokens("text")).alias("c"), alnum.alias("d"))
+    assert [r["text"] for r in got.collect() if r["a"] != r["b"] or r["c"] != r["d"]] == []
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().toString()
+
+
+def test_lemmas_are_joined_not_sent_to_python(spark):
+    docs = spark.createDataFrame([(1, ["cats", "cats", "dog"]), (1, ["dogs"]), (None, ["cats"]), (2, []), (3, None)], "doc_id long, tokens array<string>")
+    lemmas = spark.createDataFrame([("cats", "cat"), ("dogs", "dog")], "token string, lemma string")
+    out = C.lemmatize_arrays(docs, lemmas)
+    assert "Python" not in _plan(out)
+    want = [(1, ["cat", "cat", "dog"]), (1, ["dog"]), (2, []), (3, None), (None, ["cat"])]
+    assert sorted(((r["doc_id"], r["tokens"]) for r in out.collect()), key=str) == sorted(want, key=str)
+    long = docs.select("doc_id", F.posexplode("tokens").alias("pos", "token"))
+    got = C.replace_lemmas(long, lemmas)
+    assert got.columns == long.columns and "Python" not in _plan(got)
+    assert sorted(r["token"] for r in got.collect()) == ["cat", "cat", "cat", "dog", "dog"]
+
+
+def test_lexicon_counts_documents_without_their_pairs(spark):
+    rows = [(1, "a"), (1, "a"), (1, "b"), (2, "b"), (None, "c"), (None, "c"), (None, "d"), (3, "d")]
+    long = spark.createDataFrame(rows, "doc_id long, token string")
+    lexicon = C.corpus_lexicon(long)
+    assert {r["word"] for r in lexicon.collect()} == {"b", "d"}
+    assert _plan(lexicon).count("Exchange") == 1 or "doc_id, token" not in _plan(lexicon)
+    text_ids = long.withColumn("doc_id", F.col("doc_id").cast("string"))
+    assert {r["word"] for r in C.corpus_lexicon(text_ids).collect()} == {"b", "d"}
