@@ -143,3 +143,20 @@ def test_knn_sparse_by_few_coordinates(spark):
         for d, label in docs:
             dist = sorted((sum((bow[d].get(t, 0) - bow[e].get(t, 0)) ** 2 for t in range(40)), e) for e, m in docs if m == label and e != d)
             assert [got[d, k + 1] for k in range(5)] == [(e, float(x)) for x, e in dist[:5]]
+
+
+def test_visits_of_cells_come_in_bounded_frames(monkeypatch):
+    """A batch in which every query visits every cell is not one frame; none is lost by it."""
+    import numpy as np
+    import pandas as pd
+    from quill.operators import knn
+    P = np.arange(12.0).reshape(6, 2)
+    pivots, radius, size = {"a": P}, {"a": np.full(6, 100.0)}, {"a": np.full(6, 9.0)}
+    rows = pd.DataFrame({"doc_id": range(50), "label": "a", "features": [P[i % 6] for i in range(50)], "cell": [i % 6 for i in range(50)],
+                         "block": 0, "_kth": None})
+    monkeypatch.setattr(knn, "VISIT_ROWS", 20)
+    frames = list(knn._visits([rows], pivots, radius, size, 3))
+    assert max(len(f) for f in frames) <= 20
+    got = pd.concat(frames)
+    assert sorted(zip(got["doc_id"], got["cell"])) == [(i, j) for i in range(50) for j in range(6)]
+    assert all((g["_home"] == 0) == (g["cell"] == g["doc_id"] % 6) for g in got.to_dict("records"))
