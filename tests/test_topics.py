@@ -72,6 +72,65 @@ def test_blocks_of_a_large_model_give_the_same(spark, monkeypatch):
         assert np.allclose([p for _, p in sorted(zip(a["token_ids"], a["logps"]))], [p for _, p in sorted(zip(b["token_ids"], b["logps"]))])
 
 
+def _large(monkeypatch):
+    for name, value in (("BROADCAST_PARAMS", 100), ("VOCAB_BLOCK", 10), ("SLICE_DOCS", 9), ("DOC_SLICE", 4), ("BLOCK_BYTES", 400)):
+        monkeypatch.setattr(TM, name, value)
+
+
+def _blocks_case(spark):
+    import random
+    r = random.Random(3)
+    bow = spark.createDataFrame([(d, t, r.randint(1, 3)) for d in range(23) for t in sorted(r.sample(range(37), r.randint(1, 9)))],
+                                "doc_id long, token_id int, cnt int")
+    docs = spark.createDataFrame([(d,) for d in [*range(23), 5, 900, None]], "doc_id long")  # one twice, two without a counted token
+    return bow, docs, TM.init_params(spark, 37, 6, 4)
+
+
+def test_blocks_give_the_losses_of_the_whole_model(spark, monkeypatch):
+    """One row per row of ``docs``, whatever the model's size."""
+    bow, docs, params = _blocks_case(spark)
+
+    def all_of():
+        return [sorted((str(r["doc_id"]), *[round(x, 9) + 0.0 for x in r[1:]]) for r in TM.elbo(bow, params, docs).collect()),
+                sorted((str(r["doc_id"]), [round(x, 9) for x in r["mu"] + r["logvar"]]) for r in TM.encode(bow, params, docs).collect()),
+                sorted((r["doc_id"], r["token_id"], r["cnt"], round(r["logp"], 9)) for r in TM.word_logp(bow, params, docs).collect()),
+                [round(x, 9) for x in TM.perplexity(bow, params).first()]]
+
+    whole = all_of()
+    _large(monkeypatch)
+    assert all_of() == whole
+    assert len(whole[0]) == len(whole[1]) == 26
+
+
+def test_encoding_does_not_read_the_decoder(spark, monkeypatch):
+    bow, docs, params = _blocks_case(spark)
+    _large(monkeypatch)
+    decoder = (F.col("layer") == "dec_b") | ((F.col("layer") == "dec") & (F.col("row") > 0))  # the first row tells the width
+    broken = F.when(decoder, F.transform("values", lambda x: F.raise_error(F.lit("read")).cast("double"))).otherwise(F.col("values"))
+    got = TM.encode(bow, params.withColumn("values", broken), docs).collect()
+    assert len(got) == 26
+
+
+def test_softmax_sums_of_near_and_far_logits():
+    import numpy as np
+    r = np.random.default_rng(5)
+    Z, W, shift = r.normal(size=(150, 3)), r.normal(size=(5000, 3)), r.normal(size=5000)
+    Z[::7] *= 900  # logits that lie beyond what an exponential can hold
+    mx, total = TM.softmax_sums(Z, W, shift)
+    y = Z @ W.T + shift
+    top = y.max(1)
+    assert np.allclose(mx + np.log(total), top + np.log(np.exp(y - top[:, None]).sum(1)), rtol=1e-13, atol=1e-12)
+
+
+def test_the_grid_of_a_large_model_grows_with_the_data():
+    """What is sent (documents to every block, rows to every slice) is within a
+    factor of the data, not blocks of fixed size times documents."""
+    for docs, rows, width in ((5_000, 800_000, 64), (50_000, 3_700_000, 64), (500_000, 3_700_000, 40)):
+        blocks, slices = TM._grid(docs, width, rows, width, 24)
+        assert rows * width * 8 / blocks <= TM.BLOCK_BYTES and docs / slices <= TM.SLICE_DOCS
+        assert docs * blocks + rows * slices <= 12 * (docs + rows)
+
+
 def test_fit_by_blocks_is_adam_on_the_whole_model(spark, monkeypatch):
     """A model beyond what the driver may hold, in blocks, and a document without words, against dense NumPy."""
     import numpy as np
