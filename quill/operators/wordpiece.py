@@ -24,7 +24,7 @@ SPECIALS = (PAD, UNK, CLS, SEP)          # ids 0, 1, 2, 3
 MAX_LEN = 128                            # sequence length, markers included
 MAX_WORD_CHARS = 100                     # longer words encode as [UNK]
 MIN_WORD_DOCS = 20                       # a derived vocabulary holds the words of that many train documents
-MAX_VOCAB_PIECES = 2_000_000             # a larger vocabulary stays a table
+MAX_VOCAB_PIECES = 200_000               # a larger vocabulary stays a table: every Python worker would hold it (about 40 MB)
 
 
 def _accent_map() -> tuple[str, str]:
@@ -55,12 +55,13 @@ def strip_accents_sql(expr: str) -> str:
 def build_piece_vocab(train_tokens: DataFrame, min_docs: int = MIN_WORD_DOCS) -> DataFrame:
     """``(piece, id)``: specials 0-3, then pieces in ascending order.  All words
     in at least ``min_docs`` documents are whole pieces."""
+    from quill.session import materialize
     words = train_tokens.select("doc_id", strip_accents("token").alias("w"))
-    chars = words.select(F.explode(F.split("w", "")).alias("c")).where(F.length("c") == 1).distinct()
+    counts = materialize(words.distinct().groupBy("w").agg(F.count(F.lit(1)).alias("n")))  # both kinds of pieces come from it
+    chars = counts.select(F.explode(F.split("w", "")).alias("c")).where(F.length("c") == 1).distinct()
     pieces = chars.select(F.col("c").alias("piece")).unionByName(
         chars.select(F.concat(F.lit("##"), "c").alias("piece")))
-    top = (words.distinct().groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-           .where(F.col("n") >= min_docs).select(F.col("w").alias("piece")))
+    top = counts.where(F.col("n") >= min_docs).select(F.col("w").alias("piece"))
     allp = pieces.unionByName(top).distinct()
     from quill.functions.ranking import dense_index
     idx = dense_index(allp, "piece", out="id")
@@ -100,12 +101,14 @@ def _encode_by_join(words: DataFrame, piece_vocab: DataFrame) -> DataFrame:
     both = pieces.select(F.when(starts, F.expr("substring(piece, 3)")).otherwise(F.col("piece")).alias("part"), (~starts).alias("head"), "id")
     both = both.unionAll(pieces.where(starts).select(F.col("piece").alias("part"), F.lit(True).alias("head"), "id"))  # "##x" itself, at a word's start
     both = materialize(both.where(F.length("part") > 0).groupBy("part", "head").agg(F.min("id").alias("id")))
-    longest = both.agg(F.max(F.length("part"))).first()[0] or 0
+    # a part is as long as a piece of its kind can be: where only characters continue a word, one from its second place on
+    longest = dict.fromkeys((True, False), 0) | {r["head"]: r["n"] for r in both.groupBy("head").agg(F.max(F.length("part")).alias("n")).collect()}
+    reach = f"if(at = 1, {longest[True]}, {longest[False]})"
     unk = piece_vocab.where(F.col("piece") == UNK).first()["id"]
     d = materialize(words.select("token").distinct().select("token", strip_accents("token").alias("w")))
     cut = (d.where(F.length("w") <= MAX_WORD_CHARS)
            .select("token", "w", F.explode(F.expr("sequence(1, greatest(1, length(w)))")).alias("at"))
-           .select("token", "at", "w", F.explode(F.expr(f"sequence(1, greatest(1, least({longest}, length(w) - at + 1)))")).alias("size"))
+           .select("token", "at", "w", F.explode(F.expr(f"sequence(1, greatest(1, least({reach}, length(w) - at + 1)))")).alias("size"))
            .select("token", "at", "size", F.expr("substring(w, at, size)").alias("part"), (F.col("at") == 1).alias("head")))
     found = cut.join(both, on=["part", "head"]).groupBy("token", "at").agg(F.max(F.struct("size", "id")).alias("best"))
     steps = found.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("at", "best"))).alias("steps"))
