@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quill.llm import common as C
 from quill.llm import line_dedup, ngram_join, repeats, substring_dedup, suffix_dedup
@@ -232,3 +233,16 @@ def test_lines_removed(docs_of):
     assert out.columns == docs.columns
     assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in out.collect()} == {3: (f"{one}\n\n{two}", 55), 5: ("x", 1), 7: ("", 0), 8: (None, 0), None: ("y", 1)}
     assert line_dedup.deduplicated(docs_of([])).collect() == []
+
+
+def test_texts_are_joined_alike_at_every_size(spark):
+    """Check of op7, op10: small tables of spans are not sent whole, so disk follows the input from small sizes on."""
+    from quill.llm import repeats as R
+    docs = spark.createDataFrame([(i, "a " * 60) for i in range(4)], "doc_id long, text string")
+    k = R.keyed(docs)
+    spans = k.select("id", "th", F.expr("array(struct(0L as start, 3L as end))").alias("spans"))
+    slabs = k.select(F.struct("id", "th", F.lit(0).cast("long").alias("start"), F.col("id").alias("order")).alias("at"), F.lit(1).cast("long").alias("gram"),
+                     F.lit(2).cast("long").alias("slab"), F.lit(1).alias("windows"), F.lit(0).alias("anchor"), F.lit(2).cast("long").alias("kinds"))
+    for d in (R.with_spans(k, spans), R.fetch(k, slabs, R.byte_symbols, 50, True)):
+        assert "Broadcast" not in d._jdf.queryExecution().executedPlan().toString()
+        assert d.count() == 4
