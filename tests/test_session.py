@@ -44,3 +44,21 @@ for k in ("encode_sequences", "knn_within_class"):
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
     assert done.returncode == 0, done.stderr[-2000:]
     assert "encode_sequences 200" in done.stdout
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    import time
+    from quill.session import _CLEANED, materialize
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {str(f) for f in blocks.getAllFiles().mkString("|").split("|") if "shuffle_" in f}
+    before, setting = shuffled(), spark.conf.get(_CLEANED, None)
+    df = spark.range(1000).selectExpr("id % 7 as k", "id").groupBy("k").sum("id")
+    assert materialize(df).count() == 7
+    assert materialize(df).count() == 7  # the same rows again
+    for _ in range(50):
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    left = {f for f in shuffled() - before}
+    assert spark.conf.get(_CLEANED, None) == setting
+    assert len(left) <= 2 * 4, left  # of the two counts only, which are not writes

@@ -253,3 +253,90 @@ def test_a_stopped_fit_goes_on(spark, tmp_path, monkeypatch):
     means = {r["epoch"]: r["avg_loss"] for r in TM.training_log_summary(again[1]).collect()}
     assert epoch == min(means, key=means.get)
     assert epoch != 2 or all(np.allclose(TM.params_to_numpy(best)[k], a[k]) for k in a)
+
+
+def test_numbers_drawn_in_numpy_are_those_of_spark(spark):
+    import numpy as np
+    from quill.functions.hashing import draws_of, hash_draw
+    i = [*range(12), 99, 100, 16384, 16385, 10**9 - 1, 10**9, 2**40]
+    df = spark.createDataFrame([(x,) for x in i], "i long").select(hash_draw(42, "dec", F.col("i")).alias("h"))
+    assert draws_of(42, "dec", np.array(i)).tolist() == [r["h"] for r in df.collect()]
+
+
+def test_parameters_and_their_rule_are_the_hashed_weights(spark):
+    """Each weight as the SQL twin has it, bit for bit, whether from the table or made for a task."""
+    import numpy as np
+    from quill.functions.hashing import hash_unit
+    V, H, K = 23, 6, 4
+    params, p = TM.init_params(spark, V, H, K), TM.params_to_numpy(TM.init_params(spark, V, H, K))
+    for layer, (rows, cols, fan_in) in TM._shapes(V, H, K).items():
+        i = spark.range(rows * cols).select("id", ((hash_unit(42, layer, F.col("id")) - F.lit(0.5)) * F.lit(2.0 * (1.0 / math.sqrt(fan_in)))).alias("w"))
+        assert p[layer].ravel().tolist() == [r["w"] for r in i.orderBy("id").collect()]
+    rule, some = TM._rule(params), np.array([3, 22, 0, 11])
+    assert (rule.rows("enc", some) == p["enc"][some]).all()
+    assert (rule.decoder(some) == np.concatenate([p["dec"], p["dec_b"].T], axis=1)[some]).all()
+    assert TM._rule(params.where("row >= 0")) is None  # another table
+
+
+def test_moments_give_a_softmax_its_sum_or_nothing():
+    """Within the bound that is asked for, and no number where the bound is not met."""
+    import numpy as np
+    r = np.random.default_rng(8)
+    rows = np.concatenate([r.uniform(-.3, .3, size=(5000, 6)), r.normal(size=(5000, 1))], axis=1)
+    centre = r.normal(size=6)
+    Z = centre + r.normal(size=(300, 6)) * np.repeat([1e-3, 0.05, 2, 400], 75)[:, None]
+    halves = [TM._Moments.of_rows([x], centre) for x in (rows[:3000], rows[3000:])]
+    top, norm, G = TM._Moments.of_rows([rows[:3000], rows[3000:]], centre)
+    best = max(h[0] for h in halves)
+    assert np.allclose(sum(h[2] * np.exp(h[0] - best) for h in halves) * np.exp(best - top), G)
+    got = TM._Moments(centre, top, norm, G).log_sums(Z, 1e-7)
+    y = Z @ rows[:, :6].T + rows[:, 6]
+    true = y.max(1) + np.log(np.exp(y - y.max(1)[:, None]).sum(1))
+    known = ~np.isnan(got)
+    assert known[:75].all() and 0 < known[75:150].sum() and not known[150:].any()
+    assert np.abs(got - true)[known].max() < 1e-7 and np.abs(got - true)[:75].max() < 1e-12
+
+
+def test_moments_in_the_passes_of_a_large_model(spark, monkeypatch):
+    """By moments, and one far document by all rows, for a model with and without a rule: the same losses."""
+    bow, docs, params = _blocks_case(spark)
+    bow = bow.withColumn("cnt", F.when(F.col("doc_id") == 4, F.col("cnt") * 9000).otherwise(F.col("cnt")))
+    by = lambda df: sorted((str(r["doc_id"]), round(r["recon"], 6), round(r["kl"], 6)) for r in df.collect())
+    lp = lambda df: sorted((r["doc_id"], r["token_id"], r["cnt"], round(r["logp"], 6)) for r in df.collect())
+    whole, words = by(TM.elbo(bow, params, docs)), lp(TM.word_logp(bow, params, docs))
+    _large(monkeypatch)
+    monkeypatch.setattr(TM, "MOMENT_DOCS", 0)
+    monkeypatch.setattr(TM, "MOMENT_ERROR", 1e-3)
+    # moments about the mean, which a far document draws away: about the others here
+    kept, seen, moments = TM._grid, [], TM._moments
+    monkeypatch.setattr(TM, "_grid", lambda n, *a: seen.append(n) or kept(n, *a))
+    monkeypatch.setattr(TM, "_moments", lambda dec, rule, z, K, tasks: moments(dec, rule, z.where("key <> 4"), K, tasks))
+    for p in (params, params.where("row >= 0")):
+        got = by(TM.elbo(bow, p, docs))
+        assert [x[::2] for x in got] == [x[::2] for x in whole] and all(abs(a[1] - b[1]) < 1e-2 for a, b in zip(got, whole))
+    assert seen == [1, 1] and [x for x in got if x[0] == "4"] == [x for x in whole if x[0] == "4"]
+    assert got != whole  # moments were used: the bound asked for here is coarse
+    monkeypatch.setattr(TM, "MOMENT_ERROR", 0.0)
+    assert lp(TM.word_logp(bow, params, docs)) == words and seen[2:] == [23]
+
+
+def test_a_slice_reads_its_entries_once(spark, monkeypatch):
+    """Neither documents nor rows of the model are copied to blocks or slices: of a model with a rule only entries and ids are shuffled."""
+    bow, docs, params = _blocks_case(spark)
+    whole = sorted((str(r["doc_id"]), [round(x, 9) for x in r["mu"]]) for r in TM.encode(bow, params, docs).collect())
+    _large(monkeypatch)
+    kept, seen = TM._sliced, []
+    monkeypatch.setattr(TM, "_sliced", lambda *a: seen.append(kept(*a)) or seen[-1])
+    assert sorted((str(r["doc_id"]), [round(x, 9) for x in r["mu"]]) for r in TM.encode(bow, params, docs).collect()) == whole
+    assert seen[0].count() == bow.count() + 23 and "values" not in seen[0].columns
+    TM.encode(bow, params.where("row >= 0"), docs).count()
+    rows = seen[1].where("values is not null")
+    assert rows.count() == rows.select("token_id", F.spark_partition_id()).distinct().count()
+
+
+def test_a_counted_token_beyond_the_model_is_an_error(spark, monkeypatch):
+    import pytest
+    bow, _, params = _blocks_case(spark)
+    _large(monkeypatch)
+    with pytest.raises(Exception, match="no row in the model"):
+        TM.encode(bow.unionByName(spark.createDataFrame([(1, 37, 1)], bow.schema)), params.where("row >= 0")).count()
