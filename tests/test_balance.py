@@ -174,3 +174,30 @@ def test_draws_are_not_sent_whole_and_are_made_in_several_tasks(spark):
     draws = B.draw_table(B.class_targets(docs))
     assert draws.count() == 3 * 3000 - 7
     assert draws.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+
+
+def test_visits_are_not_written(spark, monkeypatch):
+    """Rows without clusters visit nearly all cells: they are sent once a region, and neighbours are those of all pairs, by ties too."""
+    import numpy as np
+    from quill import session
+    r = np.random.default_rng(4)
+    rows = [(i, "ab"[i % 3 == 0], [float(x) for x in r.integers(0, 4, 5)]) for i in range(240)]
+    pts = spark.createDataFrame(rows, "doc_id long, label string, features array<double>")
+    kept, written = session.materialize, []
+
+    def counted(df, *a):
+        out = kept(df, *a)
+        if "features" in out.columns:
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(session, "materialize", counted)
+    for region, queries, found in ((65536, 16384, 10**6), (32, 50, 40)):
+        for name, value in (("REGION_ROWS", region), ("SLICE_QUERIES", queries), ("FOUND_ROWS", found), ("VISITORS", 30)):
+            monkeypatch.setattr(KNN, name, value)
+        written.clear()
+        got = {(x["query_id"], x["rank"]): (x["neighbor_id"], x["dist"]) for x in KNN.knn_dense(pts, pts, 4, block_size=8).collect()}
+        assert written and max(written) <= 240
+        for i, label, f in rows:
+            near = sorted((sum((a - b) ** 2 for a, b in zip(f, g)), j) for j, other, g in rows if other == label and j != i)
+            assert [got[i, k + 1] for k in range(4)] == [(j, d) for d, j in near[:4]]
