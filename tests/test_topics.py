@@ -340,3 +340,29 @@ def test_a_counted_token_beyond_the_model_is_an_error(spark, monkeypatch):
     _large(monkeypatch)
     with pytest.raises(Exception, match="no row in the model"):
         TM.encode(bow.unionByName(spark.createDataFrame([(1, 37, 1)], bow.schema)), params.where("row >= 0")).count()
+
+
+def test_a_task_of_the_fit_holds_its_rows_once():
+    """Chunks go to their place as they come, in any order; nothing beside the weights and moments is held."""
+    import tracemalloc
+    import numpy as np
+    rows, width = 5000, 100
+    made = [np.arange(k * 1000 * width, (k + 1) * 1000 * width, dtype=np.float32) for k in range(5)]
+    tracemalloc.start()
+    shard = TM._Shard(rows, width)
+    for k in (3, 0, 4, 1, 2):
+        shard.put(k * 1000, *[(made[k] * f).tobytes() for f in (1, 2, 3)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (shard.w.ravel() == np.arange(rows * width)).all() and (shard.v == 3 * shard.w).all() and (shard.m == 2 * shard.w).all()
+    assert peak < 1.5 * 3 * rows * width * 4
+
+
+def test_a_fit_reads_few_chunks_at_a_time(spark, monkeypatch):
+    """A frame of the state is some chunks, not the task's model; the setting is as before afterwards."""
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before, kept = spark.conf.get(key, None), TM.Versions.write
+    monkeypatch.setattr(TM.Versions, "write", lambda self, kind, *a: seen.append((kind, spark.conf.get(key, None))) or kept(self, kind, *a))
+    bow = spark.createDataFrame([(d, t, 1) for d in range(6) for t in range(d % 3, 9, 2)], "doc_id long, token_id int, cnt int")
+    TM.fit(bow, 9, H=3, K=2, epochs=1, batch_size=4)
+    assert ("state", str(TM.FIT_ROWS)) in seen and spark.conf.get(key, None) == before
